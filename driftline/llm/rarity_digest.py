@@ -25,6 +25,8 @@ from driftline.llm.common import append_columns, mix, shuffle_partitions, slices
 COARSE = (64, 64, 16)
 #: Texts of fewer bytes than SHORT take these smaller windows as well.
 FINE, SHORT = (8, 8, 2), 1024
+#: Texts of fewer bytes than BRIEF also have every window of SCRAP bytes as a feature.
+SCRAP, BRIEF = 3, 64
 #: Entropies are told apart in thousandths of the largest; below WEAK a window ranks last.
 LEVELS, WEAK = 1000, 100
 #: Bits and features of one filter, and bits set for each feature.
@@ -152,7 +154,7 @@ def _features(texts: list[bytes], shape: tuple[int, int, int], rank: np.ndarray)
 def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """Filters (rows of BITS / 8 bytes) and the number of features of each text.
 
-    An empty text has no filter; one shorter than the smallest window is its own single feature.
+    An empty text has no filter.
     """
     owner, h = _features(texts, COARSE, rank[0])
     short = [i for i, t in enumerate(texts) if len(t) < SHORT]
@@ -160,11 +162,10 @@ def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray,
         own, more = _features([texts[i] for i in short], FINE, rank[1])
         owner = np.concatenate([owner, np.array(short)[own]])
         h = np.concatenate([h, mix(more + np.uint64(1))])
-    tiny = [i for i, t in enumerate(texts) if 0 < len(t) < FINE[0]]
-    if tiny:
-        owner = np.concatenate([owner, np.array(tiny)])
-        padded = b"".join(texts[i].ljust(8, b"\0") for i in tiny)
-        h = np.concatenate([h, mix(np.frombuffer(padded, np.uint64) + np.uint64(2))])
+    for i in (i for i, t in enumerate(texts) if 0 < len(t) < BRIEF):
+        scraps = [texts[i][k : k + SCRAP].ljust(8, b"\0") for k in range(max(1, len(texts[i]) - SCRAP + 1))]
+        owner = np.concatenate([owner, np.full(len(scraps), i)])
+        h = np.concatenate([h, mix(np.frombuffer(b"".join(scraps), np.uint64) + np.uint64(2))])
     # a feature counts once in a text, where it comes first
     place = np.arange(len(h))
     order = np.lexsort((place, h, owner))
