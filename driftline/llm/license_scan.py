@@ -62,8 +62,8 @@ RULES = [
     ("All-rights-reserved", ["reserved"]),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at a mark before white space, or at a blank or comment-led line break of its own.
-BREAK = r"[.;:!?]+[ \t\r\n]+|[\r\n][ \t]*[\r\n]+"
+#: A sentence ends at a mark before white space, and at each line break.
+BREAK = r"[.;:!?]+[ \t]*[\r\n]+|[.;:!?]+[ \t]+|[\r\n]+"
 #: What a normalised sentence keeps: ASCII letters, digits, hyphen, dot and whatever is not ASCII.
 DROPPED = r"[\x00-\x2C\x2F\x3A-\x60\x7B-\x7F]+"
 EDGE = r"^[ .-]+|[ .-]+$"
@@ -75,35 +75,53 @@ def normalised(sentence):
 
 
 def pattern(rule: list[str]) -> str:
-    """The rule's identifiers in order and side by side, in a sequence written |a|b|c|."""
-    return r"\|" + r"\|".join(rule) + r"\|"
+    """The rule's identifiers in order and side by side, in a sequence written |a||b||c|."""
+    return "".join(rf"\|{i}\|" for i in rule)
 
 
 def scan(df: DataFrame, column: str = "text") -> DataFrame:
     """Adds sentence_ids (comma-joined, in order of the text) and licenses (comma-joined, in order of the rules).
 
-    Identifiers that no rule takes are left over and give the licence `unknown`. Null and empty texts have
-    neither identifiers nor licences. Columns of these names are replaced; all rows stay.
+    Identifiers that no rule takes are left over and give the licence `unknown`. Null and empty
+    texts have neither identifiers nor licences. Columns of these names are replaced; all rows stay.
     """
     names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    # lines are sentences of their own as well as parts of longer ones
-    pieces = F.split(F.coalesce(column, F.lit("")), BREAK_OR_LINE)
+    pieces = F.split(F.coalesce(column, F.lit("")), BREAK)
     found = F.filter(F.transform(pieces, lambda s: F.try_element_at(names, normalised(s))), lambda i: i.isNotNull())
-    out = df.withColumn("sentence_ids", F.array_join(found, ","))
-    step = out.withColumn("__seq", F.concat(F.lit("|"), F.replace("sentence_ids", F.lit(","), F.lit("|")), F.lit("|")))
+    step = df.withColumn("sentence_ids", F.array_join(found, ","))
+    some = F.col("sentence_ids") != ""
+    step = step.withColumn(
+        "__seq", F.when(some, F.concat(F.lit("|"), F.replace("sentence_ids", F.lit(","), F.lit("||")), F.lit("|"))).otherwise("")
+    )
     hits = []
     for k, (name, rule) in enumerate(RULES):
         step = step.withColumn(f"__hit{k}", F.when(F.col("__seq").rlike(pattern(rule)), F.lit(name)))
-        step = step.withColumn("__seq", F.regexp_replace("__seq", pattern(rule), "|"))
+        step = step.withColumn("__seq", F.regexp_replace("__seq", pattern(rule), ""))
         hits.append(f"__hit{k}")
-    rest = F.when(F.length(F.replace("__seq", F.lit("|"), F.lit(""))) > 0, F.lit("unknown"))
+    rest = F.when(F.col("__seq") != "", F.lit("unknown"))
     licenses = F.array_join(F.array_distinct(F.array_compact(F.array(*hits, rest))), ",")
     return step.withColumn("licenses", licenses).drop("__seq", *hits)
 
 
-BREAK_OR_LINE = r"[.;:!?]+[ \t]*[\r\n]+|[.;:!?]+[ \t]+|[\r\n]+"
-
-
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, sentence_ids, licenses of every row."""
     return scan(documents.select("doc_id", "text")).select("doc_id", "sentence_ids", "licenses")
+
+
+def sql() -> str:
+    """The same in DuckDB."""
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    normal = f"regexp_replace(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '{DROPPED}', ' ', 'g'), '{EDGE}', '', 'g')"
+    steps = f"""WITH k AS (SELECT map([{quoted(SENTENCES)}], [{quoted(SENTENCES.values())}]) AS names),
+f AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{BREAK}'),
+        lambda s: names[{normal}]), lambda i: i IS NOT NULL) AS ids FROM documents, k),
+s0 AS (SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,
+        CASE WHEN len(ids) = 0 THEN '' ELSE '|' || array_to_string(ids, '||') || '|' END AS seq, []::VARCHAR[] AS hits FROM f)"""
+    for k, (name, rule) in enumerate(RULES):
+        steps += f""",
+s{k + 1} AS (SELECT doc_id, sentence_ids, regexp_replace(seq, '{pattern(rule)}', '', 'g') AS seq,
+        CASE WHEN regexp_matches(seq, '{pattern(rule)}') AND NOT list_contains(hits, '{name}')
+             THEN list_append(hits, '{name}') ELSE hits END AS hits FROM s{k})"""
+    return f"""{steps}
+SELECT doc_id, sentence_ids,
+  array_to_string(CASE WHEN seq <> '' THEN list_append(hits, 'unknown') ELSE hits END, ',') AS licenses FROM s{len(RULES)}"""

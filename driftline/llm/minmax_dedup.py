@@ -262,3 +262,24 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         .filter("__nth = 1")
     )
     return once.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def sql(words: int, percent: int) -> str:
+    """classes() in DuckDB, by comparing all pairs of texts that share a shingle: for small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    joined = " || ' ' || ".join(f"ws[i + {k}]" for k in range(words))
+    return f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'),
+        lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - {words} + 2), lambda i: {joined})) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= {percent} * (x.n + y.n - m)),
+d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT d.b, r.c FROM r JOIN d ON d.a = r.doc_id),
+c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""

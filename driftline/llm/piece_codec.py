@@ -338,11 +338,13 @@ def decode(df: DataFrame, model_file: str, column: str = "ids", into: str = "dec
     return kept.mapInArrow(run, schema)
 
 
-def digests(documents: DataFrame, model_file: str) -> DataFrame:
-    """Per document: number of ids, and digests of the ids and of the decoded text."""
-    coded = encode(documents.select("doc_id", "text"), model_file).drop("text")
+def digests(documents: DataFrame, model_file: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the columns to keep (ids among them), number of ids, digests of the ids and the decoded text."""
+    carried = [c for c in keep if c != "ids"]
+    coded = encode(documents.select("doc_id", "text", *carried), model_file).drop("text")
     return decode(coded, model_file).select(
         "doc_id",
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),

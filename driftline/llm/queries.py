@@ -84,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_minmax": minmax_dedup.sql(words=3, percent=85),
         "op4_lm_delta": lm_delta.SQL,
         "op6_perspectives": perspectives.SQL,
+        "op9_slots": slot_shards.sql(),
+        "op10_licenses": license_scan.sql(),
     }

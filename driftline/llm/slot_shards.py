@@ -124,3 +124,32 @@ def sharded(documents: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFr
         "vslot",
         "map_version",
     )
+
+
+def sql(shards: int = 8, slots: int = SLOTS) -> str:
+    """The same in DuckDB, which has no CRC-32 of its own: it is folded over the bytes with a table made by rule."""
+    zeros = ", ".join(["0"] * shards)
+    return f"""
+WITH RECURSIVE
+tab AS (SELECT list(list_reduce(list_concat([i::BIGINT], range(8)),
+          lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS tab FROM range(256) x(i)),
+hexed AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS pairs FROM documents),
+r AS (SELECT doc_id, octet_length(encode(text))::BIGINT + 1 AS size,
+        xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(pairs, lambda p: ('0x' || p)::BIGINT)),
+            lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295)::BIGINT AS text_crc32,
+        (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {slots})::INT AS vslot
+      FROM hexed, tab),
+s AS (SELECT vslot, sum(size)::BIGINT AS bytes FROM r GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, vslot) AS k FROM s),
+f(k, vslot, loads, shard) AS (
+  SELECT 0::BIGINT, -1, [{zeros}]::BIGINT[], -1
+  UNION ALL
+  SELECT o.k, o.vslot,
+    list_transform(f.loads, lambda l, i: CASE WHEN i = list_position(f.loads, list_min(f.loads)) THEN l + o.bytes ELSE l END),
+    (list_position(f.loads, list_min(f.loads)) - 1)::INT
+  FROM f JOIN o ON o.k = f.k + 1)
+SELECT r.doc_id, r.size, r.text_crc32, 'bytes' AS law, f.shard,
+  row_number() OVER (PARTITION BY f.shard ORDER BY r.vslot, r.doc_id, r.text_crc32, r.size) - 1 AS slot,
+  NULL::INT AS grown_shard, r.vslot, 1 AS map_version
+FROM r JOIN f ON r.vslot = f.vslot
+"""
