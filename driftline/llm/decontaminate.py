@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 A first pass counts in how many texts of the corpus each n-gram of the benchmark occurs, and
-the rarer half of an item's n-grams are its seeds. A second pass finds the seeds in each text
+the rarer two thirds of an item's n-grams that occur at all are its seeds. A second pass finds the seeds in each text
 and aligns the passage around them with the item (Smith-Waterman over words), so that edited
 and paraphrased copies score by how much of the item they still follow.
 
@@ -54,13 +54,17 @@ class Items:
         self.distinct = np.unique(self.gram)
 
     def keep_rare(self, seen: np.ndarray) -> None:
-        """Only the rarer half of each item's n-grams stay, by the number of texts that hold them."""
+        """Of the n-grams of each item that occur in any text, the rarer two thirds stay.
+
+        Those that no text holds, as an edited copy leaves behind, would be the rarest and find nothing.
+        """
         count = seen[np.searchsorted(self.distinct, self.gram)]
         order = np.lexsort((self.gram, count, self.item))
+        order = order[count[order] > 0]
         item = self.item[order]
         nth = np.arange(len(order)) - np.searchsorted(item, item, side="left")
         size = np.bincount(item, minlength=len(self.ids))[item]
-        keep = np.sort(order[nth < (size + 1) // 2])
+        keep = np.sort(order[3 * nth < 2 * size])
         self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
 
 
