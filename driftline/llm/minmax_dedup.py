@@ -5,10 +5,14 @@ signature of 2k values costs k hash evaluations. Bands of the signature propose
 link is confirmed on the full shingle sets. Texts with equal word sequences are one class
 from the start, and only their representative is banded.
 
-Candidates come in two rounds, so that a large bucket never pairs all its members:
-first each member with the smallest and the largest id of its bucket; then, once the links
-found so far have joined members into components, every two members of one bucket that are
-still in different components. No link between components is left out.
+Candidates come in two rounds, so that a large bucket never pairs all its members. First each
+member meets two hubs of its bucket: the member that shares most buckets with others, as the
+one in the middle of a group of edited copies does, and the one of the smallest id. Then, once
+the links found so far have joined members into components, members that still share a bucket
+with another component are compared where they can be linked at all: with shingles in one
+order, rare ones first, two linked sets share one of their first few, and stand no further
+apart in length and place than the similarity allows. Neither round leaves out a link that a
+bucket holds.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftline.llm.common import Words, append_columns, cut, mix
+from driftline.llm.common import Words, append_columns, cut, mix, slices
 
 #: Signature values in a band, and how often a pair at the threshold may meet in no band.
 ROWS, MISS = 5, 1e-6
 #: Ids that may be broadcast to pick out their texts (16 bytes each); above it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Hash bins by whose counts shingles are ordered.
+ORDER_BITS = 18
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,7 +48,7 @@ def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 def signatures(texts: list[str | None], words: int, bands: int, rows: int = ROWS) -> tuple:
-    """Set size, digest of the word sequence (None without words), band hashes and one byte of each value."""
+    """Set size, digest of the word sequence (None without words), and band hashes."""
     w = Words(texts)
     shingle, owner = w.shingles(words)
     n = len(texts)
@@ -75,28 +81,26 @@ def signatures(texts: list[str | None], words: int, bands: int, rows: int = ROWS
             continue
         sequence = b" ".join(w.raw[w.text_at[i] : w.text_at[i + 1]].lower().split())
         keys.append(hashlib.blake2b(sequence, digest_size=16).digest())
-    return size, keys, band, (both & np.uint64(255)).astype(np.uint8)
+    return size, keys, band
 
 
 def described(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_id, n_shingles, key, bands, sketch) of every row."""
+    """(doc_id, n_shingles, key, bands) of every row."""
     bands = bands_for(threshold)
 
     def make(texts: list[str | None]) -> list:
-        size, keys, band, low = signatures(texts, words, bands)
+        size, keys, band = signatures(texts, words, bands)
         places = pa.array(np.arange(len(texts) + 1) * bands, pa.int32())
         return [
             pa.array(size, pa.int64()),
             pa.array(keys, pa.binary()),
             pa.ListArray.from_arrays(places, pa.array(band.ravel())),
-            pa.array([row.tobytes() for row in low], pa.binary()),
         ]
 
     fields = [
         T.StructField("n_shingles", T.LongType()),
         T.StructField("key", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("sketch", T.BinaryType()),
     ]
     return append_columns(docs.select("doc_id", "text"), "text", make, fields).drop("text")
 
@@ -166,10 +170,54 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels_before
 
 
-def agreeing(a: str, b: str, least: int):
-    """Whether two sketches agree in at least `least` bytes, as a column."""
-    same = f"size(filter(sequence(1, length({a})), i -> substring({a}, i, 1) = substring({b}, i, 1)))"
-    return F.expr(f"{same} >= {least}")
+def rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """How many texts hold a shingle of each of 2^ORDER_BITS hash bins: rows for the driver are bounded by the bins."""
+
+    def run(batches):
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for piece in slices(batches, "text"):
+            shingle, _ = Words(piece.column("text").to_pylist()).shingles(words)
+            total += np.bincount(_bin(shingle), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bin", "n"])
+
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n")).toArrow().to_batches():
+        at, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        out[at] = n
+    return out
+
+
+def _bin(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def leading(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, size, place, shingle): of each set, its first shingles that a linked set must share one of.
+
+    Any one order of all shingles serves; rare bins first leaves the least to compare. A linked
+    set holds at least `percent` hundredths of this one, so all but that many come first.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(rarity(texts, words))
+
+    def run(batches):
+        for piece in slices(batches, "text"):
+            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
+            shingle, owner = Words(piece.column("text").to_pylist()).shingles(words)
+            order = np.lexsort((shingle, shared.value[_bin(shingle)], owner))
+            shingle, owner = shingle[order], owner[order]
+            new = np.ones(len(shingle), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
+            shingle, owner = shingle[new], owner[new]
+            size = np.bincount(owner, minlength=len(ids))
+            place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+            first = place <= size[owner] - -(-percent * size[owner] // 100)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (ids[owner[first]], size[owner[first]], place[first], shingle[first].view(np.int64))],
+                names=["id", "size", "place", "shingle"],
+            )
+
+    return texts.mapInArrow(run, "id long, size long, place long, shingle long")
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -186,44 +234,52 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     worded = every.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     reps = cut(
         worded.groupBy("key")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("first"))
-        .select("key", "first.*")
-        .withColumnRenamed("doc_id", "id")
+        .agg(F.min(F.struct("doc_id", "bands")).alias("first"))
+        .select("key", F.col("first.doc_id").alias("id"), "first.bands")
     )
-    member = reps.select("id", F.explode("bands").alias("bucket"))
+    member = reps.select("id", F.explode("bands").alias("bucket")).distinct()
+    sizes = cut(member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    met = cut(member.join(sizes, "bucket"))
+    central = cut(met.groupBy("id").agg(F.sum("size").alias("central")))
     hubs = cut(
-        member.groupBy("bucket")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        .filter("low < high")
+        met.join(central, "id")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("central", F.col("id").alias("hub"))).alias("most"), F.min("id").alias("low"))
+        .select("bucket", F.array_distinct(F.array("most.hub", "low")).alias("hubs"))
     )
-    met = cut(member.join(hubs, "bucket"))
     pairs = (
-        met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-        .select("p.*")
-        .filter("a < b")
+        met.join(hubs, "bucket")
+        .select("id", F.explode("hubs").alias("hub"))
+        .filter("id <> hub")
+        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         .distinct()
     )
-    links = confirm(docs, reps, cut(pairs), words, percent)
+    links = confirm(docs, cut(pairs), words, percent)
     found = components(reps.select("id").distinct(), links)
 
     # what the first round left apart
     placed = met.select("bucket", "id").join(found, "id")
-    mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1"))
-    apart = cut(
-        placed.join(mixed.select("bucket"), "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
+    mixed = cut(
+        placed.groupBy("bucket")
+        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+        .filter("c0 < c1")
+        .select("bucket")
     )
-    sides = [apart.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "sketch")]) for s in "ab"]
-    bytes_in = bands_for(threshold) * ROWS
-    # values of two linked sets agree with a chance of at least the threshold each: so few would be 1 in 10^9
-    least = int(bytes_in * threshold - 8 * math.sqrt(bytes_in * threshold * (1 - threshold)))
-    close = (
+    apart = cut(met.select("bucket", "id").join(mixed, "bucket").select(F.col("id").alias("doc_id")).distinct())
+    texts = cut(texts_of(docs, apart))
+    heads = cut(leading(texts, words, percent).join(found, "id"))
+    one, two = (heads.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "size", "place")]) for k in "ab")
+    # the sets must share so many: ceil(percent * (size_a + size_b) / (100 + percent))
+    must = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / (100 + percent) - 1e-9)
+    able = (
         (F.col("component_a") < F.col("component_b"))
-        & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-        & agreeing("sketch_a", "sketch_b", least)
+        & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+        & (F.col("size_a") - F.col("place_a") >= must)
+        & (F.col("size_b") - F.col("place_b") >= must)
     )
-    rest = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & close)
+    rest = one.join(two, (one["shingle"] == two["shingle"]) & able)
     rest = cut(rest.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
-    more = cut(confirm(docs, reps, rest, words, percent))
+    more = cut(linked(rest, texts, words, percent))
     if not more.isEmpty():
         of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
         joined = more.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
@@ -242,7 +298,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that are links."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     return cut(linked(pairs, cut(texts_of(docs, ids)), words, percent))
