@@ -5,13 +5,14 @@ or backward pass of a chain, its best path, any affine recursion - is run in thr
 each block of BLOCK steps composes its own steps, the compositions are scanned over the blocks
 (by the same plan, if a series has very many), and each block is then run from what its
 predecessors hand it. No row ever holds more than one block, so one very long series is as
-parallel as many short ones, and appending to a block's output stays cheap.
+parallel as many short ones.
 
 Everything is SQL over arrays; steps, compositions and states are structs given as SQL text.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,10 +25,10 @@ BLOCK = 128
 class Scan:
     """SQL of a recursion.
 
-    element: the step of item `x` as a struct. compose: struct for `a` followed by `b`.
+    element: the step of item `x` as a struct. compose: the struct of `a` followed by `b`.
     identity: the element that changes nothing. start: state before the first item, from the
     element `e` that composes all items before it (the identity for the first block).
-    step: the state after item `x` from state `s`. emit: what is kept of state `s` at item `x`.
+    step: the state after item `x` from state `s`, of the same fields as start.
     """
 
     element: str
@@ -35,7 +36,6 @@ class Scan:
     identity: str
     start: str
     step: str
-    emit: str
 
 
 def _blocks(items: DataFrame, key: str, order: str, block: int, backward: bool) -> DataFrame:
@@ -49,6 +49,11 @@ def _blocks(items: DataFrame, key: str, order: str, block: int, backward: bool)
     )
 
 
+def _put(text: str, **names: str) -> str:
+    """SQL with other names in place of one-letter ones where a field of them is taken."""
+    return re.sub(r"\b([abs])\.", lambda m: f"{names.get(m[1], m[1])}.", text)
+
+
 def carried(summaries: DataFrame, key: str, scan: Scan, block: int, depth: int) -> DataFrame:
     """(key, block, e): the composition of all summaries (key, block, e) of earlier blocks."""
     upper = F.floor(F.col("block") / block).cast("long") if depth > 1 else F.lit(0).cast("long")
@@ -57,27 +62,21 @@ def carried(summaries: DataFrame, key: str, scan: Scan, block: int, depth: int)
         .agg(F.sort_array(F.collect_list(F.struct("block", "e"))).alias("held"))
     )
     if depth > 1:
-        total = f"aggregate(held, {scan.identity}, (a, h) -> {_with(scan.compose, b='h.e')})"
+        total = f"aggregate(held, {scan.identity}, (a, h) -> {_put(scan.compose, b='h.e')})"
         above = carried(grouped.select(key, F.col("upper").alias("block"), F.expr(total).alias("e")), key, scan, block, depth - 1)
         grouped = grouped.join(above.select(key, F.col("block").alias("upper"), F.col("e").alias("before")), [key, "upper"])
     else:
         grouped = grouped.withColumn("before", F.expr(scan.identity))
-    spread = f"""aggregate(held, named_struct('a', before, 'out', slice(array(named_struct('block', 0L, 'e', before)), 1, 0)),
-        (s, h) -> named_struct('a', {_with(scan.compose, a='s.a', b='h.e')},
-                               'out', concat(s.out, array(named_struct('block', h.block, 'e', s.a)))),
-        s -> s.out)"""
-    return grouped.select(key, F.explode(F.expr(spread)).alias("h")).select(key, "h.*")
-
-
-def _with(text: str, **names: str) -> str:
-    """SQL with whole names put in for `a` and `b` where a field of them is taken."""
-    import re
-
-    return re.sub(r"\b([ab])\.", lambda m: f"{names.get(m[1], m[1])}.", text)
+    # entry k of `reached` composes everything before the block k
+    spread = f"aggregate(held, array(before), (z, h) -> concat(z, array({_put(scan.compose, a='element_at(z, -1)', b='h.e')})))"
+    paired = grouped.select(key, "held", F.expr(spread).alias("reached"))
+    return paired.select(key, F.explode(F.arrays_zip("held", F.expr("slice(reached, 1, size(held))").alias("e"))).alias("h")).select(
+        key, F.col("h.held.block").alias("block"), F.col("h.e").alias("e")
+    )
 
 
 def run(items: DataFrame, key: str, order: str, scan: Scan, longest: int, block: int = BLOCK, backward: bool = False) -> DataFrame:
-    """(key, emitted fields) of every item; `longest` bounds the order column, which counts from 0.
+    """The items with the fields of the state after each; `longest` bounds the order column, which counts from 0.
 
     Series of at most one block take one shuffle and no composition.
     """
@@ -86,39 +85,13 @@ def run(items: DataFrame, key: str, order: str, scan: Scan, longest: int, block:
     while reach <= longest:
         depth, reach = depth + 1, reach * block
     if depth:
-        total = f"aggregate(items, {scan.identity}, (a, x) -> {_with(scan.compose, b=f'({scan.element})')})"
+        total = f"aggregate(transform(items, x -> {scan.element}), {scan.identity}, (a, b) -> {scan.compose})"
         summaries = blocks.select(key, "block", F.expr(total).alias("e"))
-        if backward:  # blocks are numbered from below 0; lift them so that levels above count from 0
-            shift = longest // block
-            summaries = summaries.withColumn("block", F.col("block") + shift)
-            held = carried(summaries, key, scan, block, depth).withColumn("block", F.col("block") - shift)
-        else:
-            held = carried(summaries, key, scan, block, depth)
-        blocks = blocks.join(held, [key, "block"])
+        shift = longest // block if backward else 0  # blocks are numbered from below 0 backwards
+        held = carried(summaries.withColumn("block", F.col("block") + shift), key, scan, block, depth)
+        blocks = blocks.join(held.withColumn("block", F.col("block") - shift), [key, "block"])
     else:
         blocks = blocks.withColumn("e", F.expr(scan.identity))
-    path = f"""aggregate(items, named_struct('s', {scan.start}, 'out', slice(array({_first(scan)}), 1, 0)),
-        (z, x) -> named_struct('s', {_state(scan.step)}, 'out', concat(z.out, array({_emitted(scan)}))),
-        z -> z.out)"""
-    return blocks.select(key, F.explode(F.expr(path)).alias("z")).select(key, "z.*")
-
-
-def _state(text: str) -> str:
-    import re
-
-    return re.sub(r"\bs\.", "z.s.", text)
-
-
-def _emitted(scan: Scan) -> str:
-    """emit, with the state after the item in place of s."""
-    import re
-
-    return re.sub(r"\bs\.", f"({_state(scan.step)}).", scan.emit)
-
-
-def _first(scan: Scan) -> str:
-    """A value of the emitted type."""
-    import re
-
-    text = re.sub(r"\bs\.", f"({scan.start}).", scan.emit)
-    return re.sub(r"\bx\.", "items[0].", text)
+    path = f"aggregate(items, array({scan.start}), (z, x) -> concat(z, array({_put(scan.step, s='element_at(z, -1)')})))"
+    reached = blocks.select(key, "items", F.expr(f"slice({path}, 2, size(items))").alias("s"))
+    return reached.select(key, F.explode(F.arrays_zip("items", "s")).alias("z")).select(key, "z.items.*", "z.s.*").drop("place")

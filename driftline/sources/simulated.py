@@ -62,3 +62,112 @@ def bandit(spark: SparkSession, n_series: int, n_time: int, block: int, high: fl
     )
     chance = F.when(F.col("choice") == F.col("true_block"), high).otherwise(low)
     return made.withColumn("reward", (F.col("u") < chance).cast("int")).drop("u")
+
+
+# ---------------------------------------------------------------- models, drawn series by series
+
+
+def _series(spark: SparkSession, n_series: int, make, schema: str, seed: int) -> DataFrame:
+    """Rows of `make(rng, series)`, an iterator of tables, each series from a seed of its own: a lost task draws the same again."""
+    import numpy as np
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                yield from make(np.random.default_rng([seed, i]), i)
+
+    return spark.range(0, n_series, 1, min(n_series, 64)).mapInArrow(run, schema)
+
+
+CHUNK = 4096
+
+
+def switching(spark: SparkSession, n_series: int, n_time: int, model, seed: int = 0, kind: str = "gaussian") -> DataFrame:
+    """(series_id, t, state, x, y): a latent whose dynamics switch, seen as a Gaussian vector or as counts ("spikes").
+
+    model: operators.switching.Switching whose obs is GaussianObs or SpikeObs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def make(r, i):
+        z = int(r.choice(model.k, p=model.prior))
+        x = r.multivariate_normal(model.m0[z], model.P0[z])
+        for a in range(0, n_time, CHUNK):
+            zs, xs, ys = [], [], []
+            for t in range(a, min(n_time, a + CHUNK)):
+                if t:
+                    z = int(r.choice(model.k, p=model.Z[z]))
+                    x = model.A[z] @ x + r.multivariate_normal(np.zeros(len(x)), model.Q[z])
+                if kind == "gaussian":
+                    y = model.obs.H[z] @ x + r.multivariate_normal(np.zeros(len(model.obs.R[z])), model.obs.R[z])
+                else:
+                    y = r.poisson(np.exp(np.clip(model.obs.baseline[z] + model.obs.weights[z] @ x, -20, 10)) * model.obs.dt).astype(float)
+                zs.append(z)
+                xs.append(x.tolist())
+                ys.append(y.tolist())
+            n = len(zs)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * n), pa.array(np.arange(a, a + n)), pa.array(zs, pa.int32()), pa.array(xs), pa.array(ys)], names=["series_id", "t", "state", "x", "y"])
+
+    return _series(spark, n_series, make, "series_id long, t long, state int, x array<double>, y array<double>", seed)
+
+
+def choices(spark: SparkSession, n_series: int, n_time: int, n_options: int, noise: float = 0.05, temperature: float = 2.0, decay: float = 1.0, seed: int = 0) -> DataFrame:
+    """(series_id, t, choice, values): softmax choices among options whose values walk at random."""
+    import numpy as np
+    import pyarrow as pa
+
+    def make(r, i):
+        x = np.zeros(n_options - 1)
+        for a in range(0, n_time, CHUNK):
+            cs, xs = [], []
+            for _ in range(min(CHUNK, n_time - a)):
+                x = decay * x + r.normal(0, noise**0.5, n_options - 1)
+                e = np.exp(temperature * (np.append(0, x) - max(0, x.max())))
+                cs.append(int(r.choice(n_options, p=e / e.sum())))
+                xs.append(x.tolist())
+            n = len(cs)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * n), pa.array(np.arange(a, a + n)), pa.array(cs, pa.int32()), pa.array(xs)], names=["series_id", "t", "choice", "values"])
+
+    return _series(spark, n_series, make, "series_id long, t long, choice int, values array<double>", seed)
+
+
+def learning(spark: SparkSession, n_series: int, n_time: int, first: float = 0.125, last: float = 0.6, rate: float = 0.2, middle: float = 25.0, seed: int = 0) -> DataFrame:
+    """(series_id, t, p, n_correct, n_possible): single trials along a sigmoid of success."""
+    grid = spark.range(n_series * n_time).select((F.col("id") % n_series).alias("series_id"), F.floor(F.col("id") / n_series).cast("int").alias("t"))
+    p = first + (last - first) / (1 + F.exp(-rate * (F.col("t") - middle)))
+    return grid.select("*", p.alias("p"), (F.rand(seed) < p).cast("int").alias("n_correct"), F.lit(1).alias("n_possible"))
+
+
+def coupled_field(spark: SparkSession, n_series: int, n_time: int, params, beta, baseline, seed: int = 0) -> DataFrame:
+    """(series_id, t, lfp, spikes): oscillations seen with noise, and 0/1 spikes whose log odds follow them."""
+    import numpy as np
+    import pyarrow as pa
+
+    lin = params.linear()
+
+    def make(r, i):
+        x = r.multivariate_normal(lin.m0, lin.P0)
+        for a in range(0, n_time, CHUNK):
+            ls, ss = [], []
+            for _ in range(min(CHUNK, n_time - a)):
+                x = lin.A @ x + r.normal(0, np.sqrt(np.diag(lin.Q)))
+                ls.append((x + r.normal(0, params.field_noise**0.5, len(x))).tolist())
+                ss.append((r.random(len(baseline)) < 1 / (1 + np.exp(-(baseline + beta @ x)))).astype(float).tolist())
+            n = len(ls)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * n), pa.array(np.arange(a, a + n)), pa.array(ls), pa.array(ss)], names=["series_id", "t", "lfp", "spikes"])
+
+    return _series(spark, n_series, make, "series_id long, t long, lfp array<double>, spikes array<double>", seed)
+
+
+def moving_field(spark: SparkSession, n_time: int, dt: float = 0.004, arena: float = 100.0, speed: float = 20.0, peak: float = 30.0, background: float = 1.0, width: float = 12.0, drift: float = 0.02, seed: int = 0) -> DataFrame:
+    """(t, x, y, rate, n): lanes to and fro over a square, past a field whose centre moves along the diagonal."""
+    lanes, s = 10, F.col("id") * (dt * speed)
+    lane = F.floor(s / arena)
+    along = F.pmod(s, F.lit(arena))
+    x = F.when(lane % 2 == 0, along).otherwise(arena - along)
+    y = (F.pmod(lane, F.lit(lanes)) + 0.5) * (arena / lanes)
+    c = arena / 3 + F.col("id") * (dt * drift)
+    square = (x - c) ** 2 + (y - c) ** 2
+    rate = background + peak * F.exp(-square / (2 * width**2))
+    return poisson_counts(spark.range(n_time).select(F.col("id").alias("t"), x.alias("x"), y.alias("y"), rate.alias("rate")), dt, seed)
