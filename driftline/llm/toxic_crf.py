@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from driftline.llm.common import PUNCTUATION, Words, append_columns
 
 #: The classifier is fitted on at most so many labelled rows, of at most so many characters each.
-SAMPLE, SAMPLE_CHARS = 6000, 50_000
+SAMPLE, SAMPLE_CHARS = 4000, 20_000
 #: Beginnings of a word, in bytes, that are features beside the word.
 PREFIXES = (4, 6)
 FEATURES = 1 << 18
