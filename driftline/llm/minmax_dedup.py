@@ -105,7 +105,7 @@ def described(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     return append_columns(docs.select("doc_id", "text"), "text", make, fields).drop("text")
 
 
-@lru_cache(64)
+@lru_cache(12)
 def shingle_set(text: str, words: int) -> frozenset:
     """The text's distinct word shingles; all words as one, if there are fewer."""
     w = text.encode("utf-8", "replace").lower().split()
@@ -126,7 +126,7 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(slices(batches, "text_a"), "text_b"):
             keep = []
             for s, t in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
                 x, y = shingle_set(s, words), shingle_set(t, words)
