@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +17,9 @@ from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass works on; bounds a Python worker's memory whatever Arrow sends.
 SLICE_BYTES = 1 << 20
+_libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+if not hasattr(_libc, "malloc_trim"):
+    _libc = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +53,13 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system; a worker that is used again would keep the most that it ever held."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that `column` holds at most max_bytes in each piece (one row at least)."""
     for batch in batches:
@@ -60,7 +72,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLIC
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def append_columns(

@@ -9,13 +9,13 @@ word, so the order of merges is the one-at-a-time order of the library.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm.common import append_columns
@@ -54,6 +54,7 @@ class PieceModel:
                 surface.append(piece.replace(SPACE, " ").encode())
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte fallback")
+        self.numerals = [str(i).encode() for i in range(self.size)]
         self.silent = np.array([sp.is_control(i) for i in range(self.size)])
         self.surface_size = np.array([len(s) for s in surface], np.int64)
         self.surface_at = np.concatenate([[0], np.cumsum(self.surface_size)[:-1]])
@@ -339,13 +340,22 @@ def decode(df: DataFrame, model_file: str, column: str = "ids", into: str = "dec
 
 
 def digests(documents: DataFrame, model_file: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, the columns to keep (ids among them), number of ids, digests of the ids and the decoded text."""
+    """Per document: doc_id, the columns to keep (ids among them), number of ids, digests of the ids and the decoded text.
+
+    A slice is encoded, decoded and digested in one pass, so that a task has one Python worker.
+    """
+    model = _shared(documents, model_file)
     carried = [c for c in keep if c != "ids"]
-    coded = encode(documents.select("doc_id", "text", *carried), model_file).drop("text")
-    return decode(coded, model_file).select(
-        "doc_id",
-        *keep,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+
+    def make(texts: list[str | None]) -> list:
+        ids, offsets = model.value.encode(texts)
+        shown = [model.value.numerals[i] for i in ids.tolist()]
+        made = [hashlib.sha256(b" ".join(shown[a:b])).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
+        text = [hashlib.sha256(t.encode()).hexdigest() for t in model.value.decode(ids, offsets)]
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))] if "ids" in keep else []
+        return [*lists, pa.array(np.diff(offsets), pa.int64()), made, text]
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), True))] if "ids" in keep else []
+    fields += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    coded = append_columns(documents.select("doc_id", "text", *carried), "text", make, fields)
+    return coded.select("doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256")
