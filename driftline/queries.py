@@ -258,10 +258,11 @@ def transition_matrix(spark, d):
 
 
 @_query(""", e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS i FROM embeddings)
-SELECT a.label, a.i, b.i AS j, round(sum(a.x * b.x), 4) AS s FROM e a JOIN e b USING (label, vec_id) GROUP BY 1, 2, 3""")
+SELECT a.label, a.i, b.i AS j, round(sum(a.x * b.x), 4) + 0.0::DOUBLE AS s FROM e a JOIN e b USING (label, vec_id) GROUP BY 1, 2, 3""")
 def outer_product_sums(spark, d):
     rows = table(spark, d, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
-    return _rounded(statistics.outer_sums(rows, "x", "x", "label"), "s", to=4)
+    got = statistics.outer_sums(rows, "x", "x", "label")
+    return got.withColumn("s", F.round("s", 4) + 0.0)  # no negative zero
 
 
 @_query(""" SELECT series_id, count(*) AS n, round(sum(y * nx), 4) AS s FROM (SELECT series_id, y, lead(y) OVER (PARTITION BY series_id ORDER BY t) AS nx FROM SERIES) WHERE nx IS NOT NULL GROUP BY 1""")

@@ -65,7 +65,8 @@ def test_a_stream_gives_what_the_batch_gives(spark, tmp_path):
 
 def test_windows_and_sessions_of_a_stream(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet(f"{DATA}/events.parquet")
+    events.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
     for k, frame in enumerate((filters.windowed_counts(stream, "ts", "1 day", "1 hour", "event_type"), filters.sessions(stream, "ts", "6 hours", "1 hour", "user_id"))):
         frame.writeStream.format("memory").queryName(f"out{k}").outputMode("complete").option("checkpointLocation", f"{tmp_path}/{k}").trigger(availableNow=True).start().awaitTermination()
         assert spark.table(f"out{k}").selectExpr("sum(n)").first()[0] == events.count()
