@@ -76,6 +76,7 @@ def fold(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot: dict = {}
         carry: Arrays = {}
+        seen = np.zeros(0, bool)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -84,11 +85,9 @@ def fold(
             if new:
                 more = start(len(new))
                 carry = {k: np.concatenate([carry[k], v]) if carry else v for k, v in more.items()}
-                seen = np.concatenate([carry.pop("__seen"), np.zeros(len(new), bool)]) if "__seen" in carry else np.zeros(len(new), bool)
+                seen = np.concatenate([seen, np.zeros(len(new), bool)])
                 for i in new:
                     slot[i] = len(slot)
-            else:
-                seen = carry.pop("__seen")
             at = np.fromiter((slot[i] for i in ids), np.int64, len(ids))
             given = {c: to_numpy(batch.column(c)) for c in inputs}
             when = batch.column(order).to_numpy(zero_copy_only=False)
@@ -107,7 +106,6 @@ def fold(
                         if k not in made:
                             made[k] = np.zeros((batch.num_rows, *out[k].shape[1:]))
                         made[k][where] = out[k]
-            carry["__seen"] = seen
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], *[to_arrow(made[c], kind) for c, kind in zip(into, arrow)]], names=schema.names
             )

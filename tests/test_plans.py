@@ -133,3 +133,19 @@ def test_loops_on_small_functions():
         gain = r.uniform(size=(n, n))
         best = max(itertools.permutations(range(n)), key=lambda p: sum(gain[i, j] for i, j in enumerate(p)))
         assert tuple(fitting.assignment(gain)) == best
+
+
+def test_folds_go_on_from_batch_to_batch(spark):
+    frame, rows = series(spark, 30, 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        step = lambda s, x, f: ({"s": s["s"] + x["y"], "n": s["n"] + 1}, {"sum": s["s"] + x["y"], "first": f.astype(float)})
+        got = fold(frame.filter("t >= series_id"), "series_id", "t", lambda n: {"s": np.zeros(n), "n": np.zeros(n)}, step, {"sum": 0, "first": 0}, ["y"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    total = {}
+    for r in sorted(got, key=lambda r: r["t"]):
+        i = r["series_id"]
+        assert r["first"] == (i not in total)
+        total[i] = total.get(i, 0.0) + next(y for s, t, y in rows if s == i and t == r["t"])
+        assert r["sum"] == pytest.approx(total[i])
