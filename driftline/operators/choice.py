@@ -67,7 +67,7 @@ def softmax_update(pm, pv, choice, temperature, offset=0.0, steps: int = 3):
 
 
 def filtered(trials: DataFrame, models: Choice | list[Choice], covariates: str | None = None, features: str | None = None, key: str = "series_id", order: str = "t", choice: str = "choice") -> DataFrame:
-    """(key, order, choice, m, P, pm, pP, ll) under one model; (key, order, ll) with an array of log evidences under several.
+    """(key, order, choice, m, V, pm, pV, ll, probs, pprobs) under one model, probs of filtered and pprobs of predicted values; (key, order, ll) with an array of log evidences under several.
 
     Several models are valued in one pass over the rows.
     """
@@ -95,9 +95,10 @@ def filtered(trials: DataFrame, models: Choice | list[Choice], covariates: str |
             lls.append(ll)
         if several:
             return carry, {"ll": np.stack(lls, 1)}
-        return carry, {"m": m, "V": P, "pm": pm, "pV": pv, "ll": lls[0]}
+        shown = lambda x: softmax(c.temperature * np.concatenate([np.zeros((len(x), 1)), x], 1))
+        return carry, {"m": m, "V": P, "pm": pm, "pV": pv, "ll": lls[0], "probs": shown(m), "pprobs": shown(pm)}
 
-    into = {"ll": 1} if several else {"m": 1, "V": 2, "pm": 1, "pV": 2, "ll": 0}
+    into = {"ll": 1} if several else {"m": 1, "V": 2, "pm": 1, "pV": 2, "ll": 0, "probs": 1, "pprobs": 1}
     return fold(trials, key, order, start, step, into, given, [] if several else given)
 
 
@@ -134,15 +135,14 @@ def probabilities(values: Column, temperature: float) -> Column:
     return sm(F.transform(append_reference_option(values), lambda v: v * temperature))
 
 
-def summaries(rows: DataFrame, temperature: float, choice: str = "choice") -> DataFrame:
-    """Adds probs, entropy, surprise and variances of the options to filtered rows; surprise is of the predicted values."""
+def summaries(rows: DataFrame, choice: str = "choice") -> DataFrame:
+    """Adds entropy, surprise and variances of the options to filtered rows; surprise is of the predicted values."""
     from driftline.functions import uncertainty
 
     return rows.withColumns(
         {
-            "probs": probabilities(F.col("m"), temperature),
-            "entropy": uncertainty.categorical_entropy(probabilities(F.col("m"), temperature)),
-            "surprise": uncertainty.surprise(probabilities(F.col("pm"), temperature), F.col(choice).cast("int")),
+            "entropy": uncertainty.categorical_entropy(F.col("probs")),
+            "surprise": uncertainty.surprise(F.col("pprobs"), F.col(choice).cast("int")),
             "variances": uncertainty.option_variances(F.col("V")),
         }
     )

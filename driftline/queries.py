@@ -624,8 +624,7 @@ def switching_choice(spark, d):
 
 @_query()
 def choice_filter(spark, d):
-    m = choice.Choice(5, 0.05, 1.5, 0.95)
-    return choice.summaries(choice.filtered(choices(spark, d), m), m.temperature)
+    return choice.summaries(choice.filtered(choices(spark, d), choice.Choice(5, 0.05, 1.5, 0.95)))
 
 
 @_query()
