@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: word-pair seeds, then local alignment.
 
-A first pass counts in how many texts of the corpus each n-gram of the benchmark occurs, and
-the rarer two thirds of an item's n-grams that occur at all are its seeds. A second pass finds the seeds in each text
-and aligns the passage around them with the item (Smith-Waterman over words), so that edited
-and paraphrased copies score by how much of the item they still follow.
+Every pair of neighbouring words of an item is a seed, found in a text side by side or around one
+word put in between. Where the seeds lie dense enough, the passage around them is aligned with
+the item (Smith-Waterman over words), so that edited and paraphrased copies score by how much of
+the item they still follow. From LEAST on, no alignment is missed: see `dense`.
 
 The benchmark is a stated set of queries against all texts, taken in blocks of bounded size;
 texts are never shuffled.
@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import PUNCTUATION, Words, slices, without
+from driftline.llm.common import _STEPS, PUNCTUATION, Words, mix, slices, without
 
+#: Words from which an item has seeds.
 NGRAM = 3
 #: Score of a pair of equal words, of unequal ones, and of a word left out on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -28,6 +29,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 #: Items broadcast at a time.
 BLOCK = 5_000
+#: Seeds of some texts that are in memory at a time, if no single text has more.
+HITS = 500_000
 MATCHES = T.ArrayType(
     T.StructType(
         [
@@ -41,31 +44,33 @@ MATCHES = T.ArrayType(
 
 
 class Items:
-    """Words of the items, and their n-grams: hash, item, place, in order of hash."""
+    """Words of the items, and their seeds: hash, item, place, in order of hash."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         w = Words(texts, PUNCTUATION)
         self.ids = ids
         self.words = [w.hashes[a:b] for a, b in zip(w.of_text[:-1], w.of_text[1:])]
-        gram, item = w.shingles(NGRAM)
-        first = np.searchsorted(item, item, side="left")
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], item[order], (np.arange(len(gram)) - first)[order]
-        self.distinct = np.unique(self.gram)
-
-    def keep_rare(self, seen: np.ndarray) -> None:
-        """Of the n-grams of each item that occur in any text, the rarer two thirds stay.
-
-        Those that no text holds, as an edited copy leaves behind, would be the rarest and find nothing.
-        """
-        count = seen[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((self.gram, count, self.item))
-        order = order[count[order] > 0]
-        item = self.item[order]
-        nth = np.arange(len(order)) - np.searchsorted(item, item, side="left")
-        size = np.bincount(item, minlength=len(self.ids))[item]
-        keep = np.sort(order[3 * nth < 2 * size])
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
+        self.size = w.counts()
+        self.short: dict[tuple, list[int]] = {}
+        for i in np.flatnonzero((self.size > 0) & (self.size < NGRAM)).tolist():
+            self.short.setdefault(tuple(self.words[i].tolist()), []).append(i)
+        gram, at, item = _pairs(w, 1)
+        long = self.size[item] >= NGRAM
+        outer, outer_at, outer_item = _pairs(w, 2)  # of three words, the first and last are half of the score
+        three = self.size[outer_item] == NGRAM
+        gram = np.concatenate([gram[long], outer[three]])
+        item = np.concatenate([item[long], outer_item[three]])
+        place = np.concatenate([at[long], outer_at[three]]) - w.of_text[item]
+        order = np.lexsort((item, gram))
+        self.gram, self.item, self.place = gram[order], item[order], place[order]
+
+
+def _pairs(w: Words, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all pairs of words `step` apart within a text, the number of the first word and the text of each."""
+    h, count = w.hashes, w.counts()
+    owner = np.repeat(np.arange(len(count)), count)
+    at = np.flatnonzero(owner[:-step] == owner[step:])
+    return mix(h[at] * _STEPS[0] + h[at + step] * _STEPS[1]), at, owner[at]
 
 
 def _hits(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -76,26 +81,57 @@ def _hits(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.flatnonzero(known[at] == grams)
 
 
-def count_texts(documents: DataFrame, items: Items, column: str = "text") -> np.ndarray:
-    """In how many texts each distinct n-gram of the items occurs."""
-    known = documents.sparkSession.sparkContext.broadcast(items.distinct)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known.value), np.int64)
-        for piece in slices(batches, column):
-            gram, owner = Words(piece.column(column).to_pylist(), PUNCTUATION).shingles(NGRAM)
-            hit = _hits(gram, known.value)
-            pair = np.unique(np.stack([owner[hit], np.searchsorted(known.value, gram[hit])]), axis=1)
-            total += np.bincount(pair[1].astype(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["gram", "n"])
-
-    rows = documents.select(column).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(items.distinct), np.int64)
-    for batch in rows.toArrow().to_batches():  # a row for each n-gram of the block at most
-        gram, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        out[gram] = n
-    return out
+def slack(size, least: float):
+    """Most words that a text may put between those of an item of `size` words and still score `least`."""
+    return np.ceil(MATCH * (1 - least) * size).astype(np.int64)
+
+
+def dense(key: np.ndarray, weight: np.ndarray, reach: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which seeds lie in a stretch of `reach` words whose weights sum to `need`; key is sorted by text, item and place.
+
+    Of m matched words, let s0 follow their predecessor at once in both sequences, s1 at once in
+    the item and after one more word in the text, p after further words in the item, and q at once
+    in the item and after two or more in the text. Half of the score or more means
+    2m - s1 - p - 2q >= size, and m + p <= size, hence 3 s0 + s1 >= size - 3.
+    """
+    first = np.searchsorted(key, key - reach)
+    total = np.concatenate([[0], np.cumsum(weight)])
+    ends = np.flatnonzero(total[1:] - total[first] >= need)
+    marks = np.bincount(first[ends], minlength=len(key) + 1) - np.bincount(ends + 1, minlength=len(key) + 1)
+    return np.cumsum(marks)[:-1] > 0
+
+
+def seeds(w: Words, items: Items, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, item and begin of the item of all seeds in stretches that hold enough of them, some texts at a time."""
+    parts = []
+    for step, worth in ((1, 3), (2, 1)):
+        gram, at, owner = _pairs(w, step)
+        hit = _hits(gram, items.gram)
+        low = np.searchsorted(items.gram, gram[hit])
+        number = np.searchsorted(items.gram, gram[hit], side="right") - low
+        parts.append((owner[hit], at[hit] - w.of_text[owner[hit]], low, number, np.full(len(hit), worth)))
+    owner, at, low, number, worth = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(owner, kind="stable")
+    owner, at, low, number, worth = owner[order], at[order], low[order], number[order], worth[order]
+    upto = np.cumsum(number)
+    room = int(w.counts().max(initial=0)) + 3 * int(items.size.max(initial=0)) + 3
+    start = 0
+    while start < len(owner):  # texts are not parted
+        stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + HITS, side="right"))
+        stop = int(np.searchsorted(owner, owner[max(start, stop - 1)], side="left" if stop > start and owner[stop - 1] > owner[start] and stop < len(owner) else "right"))
+        n = number[start:stop]
+        one = np.repeat(low[start:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text, place, weight = (np.repeat(x[start:stop], n) for x in (owner, at, worth))
+        item = items.item[one]
+        size = items.size[item]
+        reach = size + slack(size, least)
+        key = (text * len(items.ids) + item) * room + place
+        order = np.argsort(key, kind="stable")
+        need = np.maximum(1, size - 3 if least >= 0.5 else 1)
+        key = key + 3 * int(items.size.max())  # what lies `reach` before stays within the same text and item
+        live = order[dense(key[order], weight[order], reach[order], need[order])]
+        yield text[live], item[live], place[live] - items.place[one[live]]
+        start = stop
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -130,21 +166,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 def search(texts: list[str | None], items: Items, least: float) -> list[list[dict]]:
     """Items that each text holds, with the best score and its span in code points."""
     w = Words(texts, PUNCTUATION)
-    gram, owner = w.shingles(NGRAM)
     found: list[list[dict]] = [[] for _ in texts]
-    hit = _hits(gram, items.gram)
-    if not len(hit):
-        return found
-    place = hit - np.searchsorted(owner, owner[hit], side="left")
-    low, high = np.searchsorted(items.gram, gram[hit]), np.searchsorted(items.gram, gram[hit], side="right")
     near: dict[tuple[int, int], list[int]] = {}
-    for t, p, a, b in zip(owner[hit].tolist(), place.tolist(), low.tolist(), high.tolist()):
-        for k in range(a, b):
-            near.setdefault((t, int(items.item[k])), []).append(p - int(items.place[k]))
+    for text, item, begin in seeds(w, items, least):
+        for t, i, p in zip(text.tolist(), item.tolist(), begin.tolist()):
+            near.setdefault((t, i), []).append(p)
+    count = w.counts()
+    for t in np.flatnonzero((count > 0) & (count < NGRAM)).tolist() if items.short else []:
+        for i in items.short.get(tuple(w.hashes[w.of_text[t] : w.of_text[t + 1]].tolist()), []):
+            near[t, i] = [0]
     for (t, i), begins in near.items():
         item = items.words[i]
         words = w.hashes[w.of_text[t] : w.of_text[t + 1]]
-        spare = len(item) // 2 + 2
+        spare = int(slack(len(item), least)) + 1
         best = (0.0, 0, 0)
         at, stop = None, 0
         for begin in [*sorted(set(begins)), None]:  # touching stretches are aligned as one
@@ -186,7 +220,7 @@ def matched(documents: DataFrame, benchmark: DataFrame, least: float = LEAST, co
     """documents with `matches`, the items held by each text; rows without any have an empty list.
 
     Null and empty texts hold nothing, and so do all texts if the benchmark is empty. An item
-    of fewer words than an n-gram is held by texts of the same few words only. Repeated rows
+    of fewer than NGRAM words is held by texts of the same few words only. Repeated rows
     are matched alike. A column `matches` is replaced.
     """
     out = without(documents, ["matches"]).withColumn("matches", F.array().cast(MATCHES))
@@ -194,7 +228,6 @@ def matched(documents: DataFrame, benchmark: DataFrame, least: float = LEAST, co
     schema = out.schema
     for ids, texts in blocks(benchmark):
         items = Items(ids, texts)
-        items.keep_rare(count_texts(documents, items, column))
         shared = documents.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,42 @@ def test_odd_rows(spark, odd_documents, no_documents):
     kept = dc.clean(odd_documents, benchmark)
     assert kept.count() == odd_documents.count() - 3 and kept.columns == odd_documents.columns
     assert dc.leaks(no_documents, benchmark).count() == 0
+
+
+def test_edited_copies_beside_an_exact_one_as_without_seeds(spark):
+    r = random.Random(8)
+    words = [f"v{k}" for k in range(400)] + ["the", "of", "and"] * 40
+    items = [[r.choice(words) for _ in range(n)] for n in (39, 39, 39, 24, 5, 4, 3)]
+    texts = []
+    for x in items:
+        texts.append(list(x))
+        for every in (2, 3, 4, 5):
+            texts.append([f"e{k}" if k % every == 0 else w for k, w in enumerate(x)])
+            texts.append([y for k, w in enumerate(x) for y in ((w, f"i{k}") if k % (every - 1) == 0 else (w,))])
+            texts.append([w for k, w in enumerate(x) if k % every])
+    texts = [[r.choice(words) for _ in range(30)] + t + [r.choice(words) for _ in range(30)] for t in texts] + texts
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    number = {w: k for k, w in enumerate({w for t in [*texts, *items] for w in t})}
+    coded = lambda t: np.array([number[w] for w in t], np.uint64)
+    want = {}
+    for i, t in enumerate(texts):
+        for k, x in enumerate(items):
+            score = dc.align(coded(x), coded(t))[0]
+            if score >= dc.LEAST:
+                want[i, k] = score
+    assert sum(k < 3 for _, k in want) >= 3 * 2 * 9
+    got = {(g["doc_id"], g["item_id"]): g["score"] for g in dc.leaks(docs, benchmark).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_seeds_in_parts_give_the_same(monkeypatch):
+    r = random.Random(9)
+    items = [[f"v{r.randrange(20)}" for _ in range(12)] for _ in range(6)]
+    texts = [" ".join(["x", *items[k % 6], *items[k % 5]]) for k in range(20)]
+    known = dc.Items(list(range(6)), [" ".join(x) for x in items])
+    whole = dc.search(texts, known, dc.LEAST)
+    for hits in (1, 40, 300):
+        monkeypatch.setattr(dc, "HITS", hits)
+        assert dc.search(texts, known, dc.LEAST) == whole
+    assert all(whole)
