@@ -1,8 +1,11 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-Texts are cut into sentences and each is normalised. Known licence sentences become
-identifiers, all others fall away, and the sequence of identifiers is matched against rules in
-their order; a rule takes the identifiers that it matches out of the sequence.
+Texts are normalised as wholes, with marks where a sentence ends or may end. Known licence
+sentences between two marks become identifiers, whether on a line of their own or wrapped over
+lines and comment signs; all else falls away. The sequence of identifiers is matched against rules
+in their order; a rule takes the identifiers that it matches out of the sequence.
+
+The SQL knows sentences on one line only. Both agree on texts without wrapped ones.
 """
 
 from __future__ import annotations
@@ -62,16 +65,31 @@ RULES = [
     ("All-rights-reserved", ["reserved"]),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at a mark before white space, and at each line break.
+#: Of the SQL: a sentence ends at a mark before white space, and at each line break.
 BREAK = r"[.;:!?]+[ \t]*[\r\n]+|[.;:!?]+[ \t]+|[\r\n]+"
-#: What a normalised sentence keeps: ASCII letters, digits, hyphen, dot and whatever is not ASCII.
+#: Of the SQL: what a normalised sentence keeps: ASCII letters, digits, hyphen, dot and whatever is not ASCII.
 DROPPED = r"[\x00-\x2C\x2F\x3A-\x60\x7B-\x7F]+"
 EDGE = r"^[ .-]+|[ .-]+$"
+#: A sentence ends here, written |; or it may end here or go on, written ~, with the signs of a line comment. Two ~ in a row, as at a blank line, end it.
+ENDS = r"[.!?][.;:!?]*[ \t\r\n]+"
+MAY_END = r"[;:]+[ \t]*(?:\r\n|[\r\n])(?:[ \t]*;+[ \t]+)?|[;:]+[ \t]+|(?:\r\n|[\r\n])(?:[ \t]*;+[ \t]+)?"
+#: DROPPED without | and ~.
+SPACED = r"[\x00-\x2C\x2F\x3A-\x60\x7B\x7D\x7F]+"
+JOINT = "[ .-]*~[ .-]*"
+
+
+def marked(text):
+    """Texts with A-Z lowered, punctuation and white space as single spaces, and marks."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + "|~", LOWER + "__")
+    for found, put in ((ENDS, "|"), (MAY_END, "~"), (SPACED, " ")):
+        plain = F.regexp_replace(plain, found, put)
+    return F.concat(F.lit("|"), plain, F.lit("|"))
 
 
-def normalised(sentence):
-    """A-Z lowered, punctuation and white space to single spaces, no dots or hyphens at either end."""
-    return F.regexp_replace(F.regexp_replace(F.translate(sentence, UPPER, LOWER), DROPPED, " "), EDGE, "")
+def known() -> str:
+    """Any known sentence between two marks, the longer ones first."""
+    words = [s.replace(".", r"\.").replace(" ", f"(?: |{JOINT})") for s in sorted(SENTENCES, key=len, reverse=True)]
+    return rf"(?<=[|~])[ .-]*+({'|'.join(words)})(?=[ .-]*[|~])"
 
 
 def pattern(rule: list[str]) -> str:
@@ -86,8 +104,8 @@ def scan(df: DataFrame, column: str = "text") -> DataFrame:
     texts have neither identifiers nor licences. Columns of these names are replaced; all rows stay.
     """
     names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    pieces = F.split(F.coalesce(column, F.lit("")), BREAK)
-    found = F.filter(F.transform(pieces, lambda s: F.try_element_at(names, normalised(s))), lambda i: i.isNotNull())
+    sentences = F.regexp_extract_all(marked(F.col(column)), F.lit(known()), F.lit(1))
+    found = F.transform(sentences, lambda s: F.element_at(names, F.regexp_replace(s, JOINT, " ")))
     step = df.withColumn("sentence_ids", F.array_join(found, ","))
     some = F.col("sentence_ids") != ""
     step = step.withColumn(

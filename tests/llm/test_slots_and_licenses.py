@@ -58,3 +58,77 @@ def test_license_rules_in_order(spark):
     frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").selectExpr("*", "1 AS licenses")
     got = {r["doc_id"]: r["licenses"] for r in license_scan.report(frame).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+'''
+MIT = '''MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+'''
+BSD = '''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+'''
+GPL = '''This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+'''
+
+
+def test_wrapped_licences(spark):
+    texts = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-3-Clause": BSD, "GPL-3.0-or-later": GPL}
+    rows = []
+    for name, text in texts.items():
+        for sign in ("", "# ", "// ", " * ", ";; ", "-- "):
+            made = "".join((sign + line).rstrip() + "\n" for line in text.splitlines())
+            rows += [(name, made), (name, made.replace("\n", "\r\n")), (name, f"code|~\n/*\n{made}*/\nmore")]
+    rows.append(("", "Permission is hereby granted,\n\nfree of charge. All rights\n\nreserved"))
+    rows.append(("MIT,All-rights-reserved", "Released under the MIT License\nAll rights reserved\nx"))
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.report(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
