@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass works on; bounds a Python worker's memory whatever Arrow sends.
 SLICE_BYTES = 1 << 20
+_tops: set[str] = set()
 _libc = ctypes.CDLL(None) if sys.platform == "linux" else None
 if not hasattr(_libc, "malloc_trim"):
     _libc = None
@@ -27,18 +30,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session has none, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where a session of one process has none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="driftline-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the application's part of the shared folder, which goes when the driver ends."""
+    top = f"{shared_folder(spark)}/driftline/{spark.sparkContext.applicationId}"
+    if top not in _tops:
+        _tops.add(top)
+        atexit.register(_remove, spark, top)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, top: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written in the shared folder and read again: it survives lost executors and is made once."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/driftline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from driftline.llm import license_scan, slot_shards
 
 
@@ -21,19 +23,45 @@ def test_shards_are_near_equal_and_places_gapless(spark):
 
 def test_growing_moves_rows_into_the_new_shard_only(spark, tmp_path):
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('a', cast(id % 50 AS int)) AS text")
-    sizes = slot_shards.slot_sizes(slot_shards.sized(docs))
-    slot_shards.save_map(slot_shards.first_map(sizes, 8), str(tmp_path))
-    slot_shards.save_map(slot_shards.grown_map(slot_shards.load_map(spark, str(tmp_path)), 8), str(tmp_path))
+    sizes, store = slot_shards.slot_sizes(slot_shards.sized(docs)), str(tmp_path / "map")
+    slot_shards.save_map(slot_shards.first_map(spark, 8), store)
+    slot_shards.save_map(slot_shards.rebalanced_map(slot_shards.load_map(spark, store), sizes, 8), store)
+    slot_shards.save_map(slot_shards.grown_map(slot_shards.load_map(spark, store), 8), store)
     old, new = (
-        {r["vslot"]: r for r in slot_shards.load_map(spark, str(tmp_path), v).collect()} for v in (1, None)
+        {r["vslot"]: r for r in slot_shards.load_map(spark, store, v).collect()} for v in (2, None)
     )
-    assert old.keys() == new.keys() and {r["version"] for r in new.values()} == {2}
+    assert len(old) == slot_shards.SLOTS and old.keys() == new.keys() and {r["version"] for r in new.values()} == {3}
     moved = [s for s in old if old[s]["shard"] != new[s]["shard"]]
     assert moved and all(new[s]["shard"] == 8 for s in moved)
     share = sum(new[s]["bytes"] for s in moved) / sum(r["bytes"] for r in new.values())
     assert 0.08 < share < 0.1112
 
 
+def test_a_map_places_rows_that_it_was_not_made_from(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('b', cast(id % 90 AS int)) AS text")
+    store = str(tmp_path / "map")
+    early = slot_shards.slot_sizes(slot_shards.sized(docs.filter("doc_id < 1000")))
+    slot_shards.save_map(slot_shards.first_map(spark, 8), store)
+    slot_shards.save_map(slot_shards.rebalanced_map(slot_shards.load_map(spark, store), early, 8), store)
+    later = slot_shards.sized(docs.filter("doc_id >= 1000"))
+    rows = slot_shards.assign(later, slot_shards.load_map(spark, store)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1000, 3000))
+    for k in range(8):
+        own = sorted(r["slot"] for r in rows if r["shard"] == k)
+        assert own == list(range(len(own)))
+    with pytest.raises(Exception, match="(?i)exist"):
+        slot_shards.save_map(slot_shards.first_map(spark, 8), store)
+    with pytest.raises(Exception, match="the map has no slot"):
+        slot_shards.assign(later, slot_shards.load_map(spark, store).filter("vslot < 9")).collect()
+
+
+def test_equal_rows_and_null_ids_spread_over_slots(spark):
+    docs = spark.range(9000).selectExpr("cast(null AS long) AS doc_id", "'the same text' AS text")
+    rows = slot_shards.sharded(docs).collect()
+    assert len(rows) == 9000 and len({r["vslot"] for r in rows}) >= 8
+    assert sorted((r["shard"], r["slot"]) for r in rows) == sorted({(r["shard"], r["slot"]) for r in rows})
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = slot_shards.sharded(odd_documents).collect()
     assert len(rows) == odd_documents.count()
