@@ -1,14 +1,21 @@
 """Cross-entropy difference of two matched n-gram models over one vocabulary.
 
-The vocabulary is the VOCABULARY most frequent words of the whole corpus; all other words are
-one unknown word. Both models are class bigrams over it: the CLASSES most frequent words are
-classes of their own, the others share one, and p(w | h) mixes the class bigram with the
-unigram. The target model learns from the target rows, the background model from all rows.
-A document's score is its mean loss per token under the target less that under the background.
+The vocabulary is every word of the corpus. The target model learns from the target rows, the
+background model from all rows; both have a unigram and a bigram, smoothed by added counts, and a
+token's loss is the mean of its two losses. A document's score is its mean loss per token under
+the target less that under the background.
+
+Such a difference is a sum of one number for each word and one for each pair of words, found from
+the corpus counts of that word or pair. So documents are cut into their n-grams, n-grams are dealt
+into buckets by hash, and a bucket counts them, values them and sums up by document. Texts stay
+where they are, and nothing of the corpus goes through the driver but totals and the n-grams that
+make up SHARE or more of all, which number 1 / SHARE at most: they are counted beforehand and
+broadcast, so that no bucket holds a hot one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import PUNCTUATION, Words, append_columns, cut, slices
-
-VOCABULARY, CLASSES, LAMBDA = 32768, 512, 0.5
-#: Target ids that may be broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+from driftline.llm.common import _STEPS, PUNCTUATION, Words, cut, mix, slices
+
+#: Added to each count of a word, and of a pair of words.
+ADDED, ADDED_PAIR = 1.0, 0.01
+#: An n-gram of so large a share of all tokens is hot.
+SHARE = 1e-5
+#: N-grams of a bucket, on average; tokens that are counted together before they are shuffled.
+BUCKET, CHUNK = 1_000_000, 2_000_000
+#: Target ids that may be broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 200_000
+#: Documents of a slice at most: their number and the target mark share 16 bits.
+DOCS = 1 << 15
+#: Stands for the word before a text.
+BEGIN = np.uint64(0x9E3779B97F4A7C15)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words: ASCII but letters and digits.
@@ -29,163 +45,265 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def marked(documents: DataFrame, target: DataFrame) -> DataFrame:
-    """(text, target 0/1): target has the doc_ids of the target rows."""
+    """(doc_id, text, target 0/1): target has the doc_ids of the target rows."""
     ids = target.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     few = ids.count() <= BROADCAST_IDS
     flag = ids.withColumn("target", F.lit(1))
     return documents.select("doc_id", "text").join(F.broadcast(flag) if few else flag, "doc_id", "left").select(
-        "text", F.coalesce("target", F.lit(0)).alias("target")
+        "doc_id", "text", F.coalesce("target", F.lit(0)).alias("target")
     )
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n, n_target) over all texts."""
-    words = F.split(F.translate("text", UPPER, LOWER), GAP)
-    return (
-        rows.select("target", F.explode(words).alias("word"))
-        .filter("word <> ''")
-        .groupBy("word")
-        .agg(F.count("*").alias("n"), F.sum("target").cast("long").alias("n_target"))
-    )
+class Grams:
+    """Words and pairs of some texts: key, text and target mark of each token; a pair is a word with the one before."""
 
+    def __init__(self, piece: pa.RecordBatch):
+        w = Words(piece.column("text").to_pylist(), PUNCTUATION)
+        self.count = w.counts()
+        self.aimed = piece.column("target").to_numpy(zero_copy_only=False) > 0
+        self.text = np.repeat(np.arange(len(self.count)), self.count)
+        self.word = w.hashes
+        before = np.concatenate([[BEGIN], w.hashes[:-1]]) if len(w.hashes) else w.hashes
+        self.last = np.zeros(len(w.hashes), bool)
+        filled = self.count > 0
+        before[w.of_text[:-1][filled]] = BEGIN
+        self.last[w.of_text[1:][filled] - 1] = True
+        self.pair = mix(before * _STEPS[0] + w.hashes * _STEPS[1])
 
-class Vocabulary:
-    """Word hashes in order, with each word's number: 0 is the most frequent, `size` the unknown word."""
 
-    def __init__(self, words: list[str]):
-        self.size = len(words)
-        hashes = Words(words, PUNCTUATION).hashes
-        order = np.argsort(hashes)
-        self.hashes, self.number = hashes[order], order.astype(np.int64)
+def _counted(keys: np.ndarray, aimed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, at = np.unique(keys, return_inverse=True)
+    return key, np.bincount(at, minlength=len(key)), np.bincount(at, aimed, minlength=len(key)).astype(np.int64)
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not self.size:
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
-        return np.where(self.hashes[at] == hashes, self.number[at], self.size)
+
+def _rows(kind: int, key: np.ndarray, n: np.ndarray, aimed: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n), pa.array(aimed)],
+        names=["kind", "key", "n", "n_target"],
+    )
 
 
-def tokens(texts: list[str | None], vocabulary: Vocabulary, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of all texts, the key (history class, class) of each, and the number of words of each text.
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[list[Grams]]:
+    held, total = [], 0
+    for piece in slices(batches, "text"):
+        held.append(Grams(piece))
+        total += len(held[-1].word)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
-    History class classes + 1 stands for the begin of a text.
+
+def word_counts(rows: DataFrame, share: float) -> DataFrame:
+    """(kind, key, n, n_target): counts of every word (kind 0), of texts with words (2), and which pairs may be hot (1).
+
+    A pair of that share of all tokens has it in some chunk, so only those of the chunks are named.
     """
-    w = Words(texts, PUNCTUATION)
-    word = vocabulary.numbers(w.hashes)
-    kind = np.minimum(word, classes)
-    before = np.concatenate([[classes + 1], kind[:-1]]) if len(kind) else kind
-    count = w.counts()
-    before[w.of_text[:-1][count > 0]] = classes + 1
-    return word, before * (classes + 1) + kind, count
-
-
-class Model:
-    """Loss differences of unigrams and of class pairs; sizes are bounded by VOCABULARY and CLASSES."""
-
-    def __init__(self, vocabulary: Vocabulary, classes: int, unigrams: np.ndarray, pairs: np.ndarray, mixing: float):
-        self.vocabulary, self.classes = vocabulary, classes
-        self.word = np.zeros(vocabulary.size + 1)
-        self.pair = np.zeros((classes + 2) * (classes + 1))
-        kind = np.minimum(np.arange(vocabulary.size + 1), classes)
-        for sign, m in ((-1, 1), (1, 0)):  # target, background
-            p = (unigrams[:, m] + 1) / (unigrams[:, m].sum() + vocabulary.size + 1)
-            of_kind = np.bincount(kind, p, minlength=classes + 1)
-            seen = pairs[:, m].reshape(classes + 2, classes + 1)
-            history = seen.sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = seen / history / of_kind
-            gain = np.where((history > 0) & (of_kind > 0), mixing * ratio + (1 - mixing), 1.0)
-            self.word += sign * np.log(p)
-            self.pair += sign * np.log(gain).ravel()
-
-
-def fit(
-    documents: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, mixing: float = LAMBDA
-) -> Model:
-    """Both models from all texts. Gathered on the driver: the vocabulary and at most (classes + 2)^2 pair counts."""
-    rows = marked(documents, target)
-    counts = cut(word_counts(rows))
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    words = Vocabulary([r["word"] for r in top])
-    classes = min(classes, words.size)
-    unigrams = np.array([(r["n"], r["n_target"]) for r in top] or np.zeros((0, 2)), np.float64).reshape(-1, 2)
-    unigrams = np.vstack([unigrams, np.array(total, np.float64) - unigrams.sum(axis=0)])
-    shared = documents.sparkSession.sparkContext.broadcast((words, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classes = shared.value
-        n = np.zeros(((classes + 2) * (classes + 1), 2), np.int64)
+        for held in chunks(batches):
+            aimed = np.concatenate([g.aimed[g.text] for g in held])
+            yield _rows(0, *_counted(np.concatenate([g.word for g in held]), aimed))
+            key, n, of_target = _counted(np.concatenate([g.pair for g in held]), aimed)
+            hot = n >= share * len(aimed)
+            yield _rows(1, key[hot], n[hot], of_target[hot])
+            begun = np.concatenate([g.aimed[g.count > 0] for g in held])
+            yield _rows(2, np.zeros(1, np.uint64), np.array([len(begun)]), np.array([begun.sum()]))
+
+    found = rows.mapInArrow(run, "kind int, key long, n long, n_target long")
+    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+class Hot:
+    """Counts of hot n-grams of one kind, by key."""
+
+    def __init__(self, rows: pa.Table):
+        key = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        self.key = key[order]
+        self.n, self.aimed = (rows.column(c).to_numpy()[order] for c in ("n", "n_target"))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is one of these."""
+        if not len(self.key):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return at, self.key[at] == keys
+
+
+def hot_pairs(rows: DataFrame, counts: DataFrame, least: float) -> Hot:
+    """Exact counts of the pairs that have `least` or more."""
+    named = Hot(counts.filter("kind = 1").select("key", "n", "n_target").toArrow())
+    shared = rows.sparkSession.sparkContext.broadcast(named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, of_target = np.zeros((2, len(shared.value.key)), np.int64)
         for piece in slices(batches, "text"):
-            _, key, count = tokens(piece.column("text").to_pylist(), words, classes)
-            aimed = np.repeat(piece.column("target").to_numpy(zero_copy_only=False) > 0, count)
-            n[:, 0] += np.bincount(key, minlength=len(n))
-            n[:, 1] += np.bincount(key[aimed], minlength=len(n))
-        used = np.flatnonzero(n[:, 0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(n[used, 0]), pa.array(n[used, 1])], names=["key", "n", "n_target"]
-        )
-
-    found = rows.mapInArrow(run, "key long, n long, n_target long").groupBy("key").agg(F.sum("n"), F.sum("n_target"))
-    pairs = np.zeros(((classes + 2) * (classes + 1), 2))
-    for batch in found.toArrow().to_batches():
-        key, n, aimed = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        pairs[key] = np.stack([n, aimed], axis=1)
-    return Model(words, classes, unigrams, pairs, mixing)
-
-
-def score(df: DataFrame, model: Model, column: str = "text", into: tuple[str, str] = ("n_tokens", "delta")) -> DataFrame:
-    """Adds the number of tokens and their mean loss difference, below 0 where the target model fits better.
-
-    Null, empty and wordless texts have no tokens and a difference of 0.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+            g = Grams(piece)
+            at, there = shared.value.find(g.pair)
+            n += np.bincount(at[there], minlength=len(n))
+            of_target += np.bincount(at[there & g.aimed[g.text]], minlength=len(n))
+        used = np.flatnonzero(n)
+        yield _rows(1, shared.value.key[used], n[used], of_target[used])
+
+    found = rows.mapInArrow(run, "kind int, key long, n long, n_target long").groupBy("key")
+    return Hot(found.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).filter(F.col("n") >= least).toArrow())
+
 
-    def make(texts: list[str | None]) -> list:
-        m = shared.value
-        word, key, count = tokens(texts, m.vocabulary, m.classes)
-        loss = m.word[word] + m.pair[key]
-        owner = np.repeat(np.arange(len(texts)), count)
-        total = np.bincount(owner, loss, minlength=len(texts))
-        return [pa.array(count, pa.int64()), pa.array(total / np.maximum(count, 1))]
+class Value:
+    """What words and pairs add to the difference, in nats, from their counts (all, target)."""
 
-    fields = [T.StructField(into[0], T.LongType()), T.StructField(into[1], T.DoubleType())]
-    return append_columns(df, column, make, fields)
+    def __init__(self, tokens: int, aimed: int, words: int, texts: int, aimed_texts: int):
+        self.words = words
+        self.token = (math.log(aimed + ADDED * words) - math.log(tokens + ADDED * words)) / 2 if words else 0.0
+        self.text = self.before(np.array([texts]), np.array([aimed_texts]))[0] if words else 0.0
 
+    def word(self, n: np.ndarray, aimed: np.ndarray) -> np.ndarray:
+        return (np.log(n + ADDED) - np.log(aimed + ADDED)) / 2 + self.token
 
-def compare(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_tokens, delta (rounded to six places); target rows are those labelled quality 1."""
-    model = fit(documents, labels.filter("quality = 1"))
-    return score(documents.select("doc_id", "text"), model).select(
-        "doc_id", "n_tokens", F.round("delta", 6).alias("delta")
+    def pair(self, n: np.ndarray, aimed: np.ndarray) -> np.ndarray:
+        return (np.log(n + ADDED_PAIR) - np.log(aimed + ADDED_PAIR)) / 2
+
+    def before(self, n: np.ndarray, aimed: np.ndarray) -> np.ndarray:
+        """Of a word with another after it, of its text."""
+        return (np.log(aimed + ADDED_PAIR * self.words) - np.log(n + ADDED_PAIR * self.words)) / 2
+
+
+def compare(documents: DataFrame, target: DataFrame, share: float = SHARE, bucket: int = BUCKET) -> DataFrame:
+    """Per row: doc_id, n_tokens, delta (rounded to six places), below 0 where the target model fits better.
+
+    target has the doc_ids of the target rows. Null, empty and wordless texts have no tokens and a difference of 0;
+    repeated rows count and are scored as often as they come; a null doc_id is never a target. Other columns are
+    not looked at. Words are known by 64 bits of hash, pairs too.
+    """
+    spark = documents.sparkSession
+    rows = marked(documents, target)
+    counts = cut(word_counts(rows, share))
+    totals = counts.groupBy("kind").agg(F.sum("n"), F.sum("n_target"), F.count("*")).collect()
+    totals = {kind: numbers for kind, *numbers in totals}
+    tokens, aimed, words = totals.get(0, (0, 0, 0))
+    value = Value(tokens, aimed, words, *totals.get(2, (0, 0))[:2])
+    hot_words = Hot(counts.filter((F.col("kind") == 0) & (F.col("n") >= share * tokens)).select("key", "n", "n_target").toArrow())
+    shared = spark.sparkContext.broadcast((value, hot_words, hot_pairs(rows, counts, share * tokens)))
+    buckets = max(1, math.ceil(2 * tokens / bucket))
+    names = ["bucket", "kind", "slice", "keys", "texts", "ids", "counts", "sums"]
+    id_type = documents.schema["doc_id"].dataType
+    kinds = [T.IntegerType(), T.IntegerType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.ArrayType(id_type), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each slice: ids, token counts and the sums of hot n-grams in one row, the other n-grams in a row for each bucket.
+
+        Kind 0: words with another after them, 1: last words of a text, 2: pairs, 3: the slice's texts.
+        """
+        from pyspark import TaskContext
+
+        value, hot_words, hot_pairs = shared.value
+        number = TaskContext.get().partitionId() << 36
+        for wide in slices(batches, "text"):
+            for start in range(0, wide.num_rows, DOCS):
+                piece = wide.slice(start, DOCS)
+                g = Grams(piece)
+                number += 1
+                mark = (g.text + DOCS * g.aimed[g.text]).astype(np.uint16)
+                total = np.bincount(g.text, minlength=len(g.count)) * 0.0 + (g.count > 0) * value.text
+                made = {n: [] for n in names}
+                at, hot = hot_words.find(g.word)
+                n, a = (x[at[hot]] for x in (hot_words.n, hot_words.aimed)) if len(hot_words.key) else np.zeros((2, 0))
+                total += np.bincount(g.text[hot], value.word(n, a) + np.where(g.last[hot], 0, value.before(n, a)), minlength=len(total))
+                at, known = hot_pairs.find(g.pair)
+                n, a = (x[at[known]] for x in (hot_pairs.n, hot_pairs.aimed)) if len(hot_pairs.key) else np.zeros((2, 0))
+                total += np.bincount(g.text[known], value.pair(n, a), minlength=len(total))
+                for kind, chosen, keys in ((0, ~hot & ~g.last, g.word), (1, ~hot & g.last, g.word), (2, ~known, g.pair)):
+                    key, text = keys[chosen], mark[chosen]
+                    to = (key % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(to, kind="stable")
+                    key, text, to = key[order], text[order], to[order]
+                    edges = np.concatenate([np.flatnonzero(np.diff(to, prepend=-1)), [len(to)]])
+                    for p, q in zip(edges[:-1], edges[1:]):
+                        for name, x in zip(names, (int(to[p]), kind, number, key[p:q].tobytes(), text[p:q].tobytes(), None, None, None)):
+                            made[name].append(x)
+                ids = piece.column("doc_id").to_pylist()
+                for name, x in zip(names, (number % buckets, 3, number, None, None, ids, g.count.tolist(), total.tolist())):
+                    made[name].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(made[n], f.type) for n, f in zip(names, arrow)], names=names)
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of one bucket after another become (row, doc_id, n_tokens, part)."""
+        value = shared.value[0]
+        held: dict[int, list] = {0: [], 1: [], 2: []}
+        now = None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("bucket", "kind", "slice", "keys", "texts")]
+            for k in np.flatnonzero(np.asarray(columns[1]) == 3).tolist():
+                ids, count, total = (batch.column(c)[k].values for c in ("ids", "counts", "sums"))
+                row = pa.array((np.int64(columns[2][k].as_py()) << 15) + np.arange(len(count)))
+                yield pa.RecordBatch.from_arrays([row, ids, count, total], names=out)
+            for to, kind, number, keys, texts in zip(*[c.to_pylist() for c in columns]):
+                if now is not None and to != now:
+                    yield from settled(held, value)
+                    held = {0: [], 1: [], 2: []}
+                now = to
+                if kind < 3:
+                    held[kind].append((number, np.frombuffer(keys, np.uint64), np.frombuffer(texts, np.uint16)))
+        yield from settled(held, value)
+
+    def settled(held: dict[int, list], value: Value) -> Iterator[pa.RecordBatch]:
+        row, part = [], []
+        for kinds in ((0, 1), (2,)):
+            own = [(k, x) for k in kinds for x in held[k]]
+            if not own:
+                continue
+            key = np.concatenate([x[1] for _, x in own])
+            text = np.concatenate([x[2] for _, x in own])
+            size = [len(x[1]) for _, x in own]
+            key, at = np.unique(key, return_inverse=True)
+            n, a = np.bincount(at, minlength=len(key)), np.bincount(at, text >= DOCS, minlength=len(key))
+            if kinds == (2,):
+                worth = value.pair(n, a)[at]
+            else:
+                ends = np.repeat([k == 1 for k, _ in own], size)
+                worth = value.word(n, a)[at] + np.where(ends, 0, value.before(n, a)[at])
+            row.append((np.repeat(np.array([x[0] for _, x in own], np.int64), size) << 15) + (text % DOCS))
+            part.append(worth)
+        if row:
+            row, at = np.unique(np.concatenate(row), return_inverse=True)
+            part = np.bincount(at, np.concatenate(part))
+            none = [pa.nulls(len(row), arrow_id), pa.nulls(len(row), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(row), *none, pa.array(part)], names=out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+
+    arrow, arrow_id, out = list(to_arrow_schema(schema)), to_arrow_type(id_type), ["row", "doc_id", "n_tokens", "part"]
+    result = T.StructType([T.StructField(n, k) for n, k in zip(out, (T.LongType(), id_type, T.LongType(), T.DoubleType()))])
+    sums = (
+        rows.mapInArrow(dealt, schema)
+        .repartition(buckets, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(valued, result)
+        .groupBy("row")
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("part").alias("total"))
     )
+    return sums.select("doc_id", "n_tokens", F.round(F.col("total") / F.greatest("n_tokens", F.lit(1)), 6).alias("delta"))
 
 
 SQL = f"""
 WITH t AS (
-  SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS target,
+  SELECT row_number() OVER () AS r, d.doc_id, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS target,
          list_filter(regexp_split_to_array(translate(coalesce(d.text, ''), '{UPPER}', '{LOWER}'), '{GAP}'), lambda x: x <> '') AS ws
   FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id)),
-w AS (SELECT doc_id, target, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM t),
-c AS (SELECT word, count(*)::DOUBLE AS n0, sum(target)::DOUBLE AS n1 FROM w GROUP BY 1),
-v AS (SELECT word, n0, n1, row_number() OVER (ORDER BY n0 DESC, word) - 1 AS id FROM c
-      QUALIFY id < {VOCABULARY}),
-z AS (SELECT count(*) AS size, least(count(*), {CLASSES}) AS classes, sum(n0) AS s0, sum(n1) AS s1 FROM v),
-a AS (SELECT sum(n0) AS t0, sum(n1) AS t1 FROM c),
-u AS (SELECT id, (n0 + 1) / (t0 + size + 1) AS p0, (n1 + 1) / (t1 + size + 1) AS p1 FROM v, z, a
-      UNION ALL SELECT size, (t0 - s0 + 1) / (t0 + size + 1), (t1 - s1 + 1) / (t1 + size + 1) FROM z, a),
-o AS (SELECT least(id, classes) AS cls, sum(p0) AS o0, sum(p1) AS o1 FROM u, z GROUP BY 1),
-k AS (SELECT w.doc_id, w.target, w.k, coalesce(v.id, size) AS id, least(coalesce(v.id, size), classes) AS cls,
-             coalesce(lag(least(coalesce(v.id, size), classes)) OVER (PARTITION BY w.doc_id ORDER BY w.k), classes + 1) AS h
-      FROM w CROSS JOIN z LEFT JOIN v USING (word)),
-b AS (SELECT h, cls, count(*)::DOUBLE AS b0, sum(target)::DOUBLE AS b1 FROM k GROUP BY 1, 2),
-y AS (SELECT h, sum(b0) AS h0, sum(b1) AS h1 FROM b GROUP BY 1),
-g AS (SELECT b.h, b.cls,
-        CASE WHEN h1 > 0 THEN ln({LAMBDA} * b1 / h1 / o1 + {1 - LAMBDA}) ELSE 0 END AS g1,
-        CASE WHEN h0 > 0 THEN ln({LAMBDA} * b0 / h0 / o0 + {1 - LAMBDA}) ELSE 0 END AS g0
-      FROM b JOIN y USING (h) JOIN o USING (cls)),
-s AS (SELECT k.doc_id, count(*) AS n_tokens, avg(ln(p0) - ln(p1) + g0 - g1) AS delta
-      FROM k JOIN u USING (id) JOIN g ON k.h = g.h AND k.cls = g.cls GROUP BY 1)
+w AS (SELECT r, target, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM t),
+k AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY k) AS h FROM w),
+u AS (SELECT w, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS a FROM k GROUP BY 1
+      UNION ALL SELECT NULL, count(*) FILTER (WHERE h IS NULL), sum(target) FILTER (WHERE h IS NULL) FROM k),
+b AS (SELECT h, w, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS a FROM k GROUP BY 1, 2),
+z AS (SELECT sum(n) AS n, sum(a) AS a, count(*)::DOUBLE AS v FROM u WHERE w IS NOT NULL),
+s AS (SELECT k.r, count(*) AS n_tokens, avg(
+        ln((x.n + {ADDED}) / (z.n + {ADDED} * z.v)) - ln((x.a + {ADDED}) / (z.a + {ADDED} * z.v))
+        + ln((b.n + {ADDED_PAIR}) / (y.n + {ADDED_PAIR} * z.v)) - ln((b.a + {ADDED_PAIR}) / (y.a + {ADDED_PAIR} * z.v))) / 2 AS delta
+      FROM k JOIN u x ON x.w = k.w JOIN u y ON y.w IS NOT DISTINCT FROM k.h JOIN b ON b.w = k.w AND b.h IS NOT DISTINCT FROM k.h CROSS JOIN z
+      GROUP BY 1)
 SELECT t.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, round(coalesce(delta, 0), 6) AS delta
-FROM t LEFT JOIN s USING (doc_id)
+FROM t LEFT JOIN s USING (r)
 """

@@ -40,7 +40,8 @@ def op3_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_delta.compare(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    return lm_delta.compare(table(spark, sf_dir, "documents"), labels.filter("quality = 1"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -7,68 +8,49 @@ import pytest
 from driftline.llm import lm_delta
 
 
-def brute(rows, target, size, classes, mix):
-    import re
-
-    words = {i: [w for w in re.split(lm_delta.GAP, t or "") if w] for i, t in rows}
-    words = {i: [w.translate(str.maketrans(lm_delta.UPPER, lm_delta.LOWER)) for w in ws] for i, ws in words.items()}
-    count = Counter(w for ws in words.values() for w in ws)
-    top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:size]]
-    number = {w: k for k, w in enumerate(top)}
-    classes, v = min(classes, len(top)), len(top)
-    loss = {}
-    for m in (0, 1):
-        uni, pair = Counter(), Counter()
-        for i, ws in words.items():
-            if m and i not in target:
-                continue
-            h = "begin"
-            for w in ws:
-                k = number.get(w, v)
-                uni[k] += 1
-                pair[h, min(k, classes)] += 1
-                h = min(k, classes)
-        total = sum(uni.values())
-        p = {k: (uni[k] + 1) / (total + v + 1) for k in range(v + 1)}
-        of_kind, history = Counter(), Counter()
-        for k in p:
-            of_kind[min(k, classes)] += p[k]
-        for (h, _), n in pair.items():
-            history[h] += n
-        loss[m] = (p, of_kind, pair, history)
-    out = {}
-    for i, ws in words.items():
-        total, h = 0.0, "begin"
-        for w in ws:
-            k = number.get(w, v)
-            for m, sign in ((0, -1), (1, 1)):
-                p, of_kind, pair, history = loss[m]
-                c = min(k, classes)
-                gain = mix * pair[h, c] / history[h] / of_kind[c] + 1 - mix if history[h] else 1
-                total -= sign * (math.log(p[k]) + math.log(gain))
-            h = min(k, classes)
-        out[i] = (len(ws), total / len(ws) if ws else 0.0)
+def brute(rows, target):
+    lower = str.maketrans(lm_delta.UPPER, lm_delta.LOWER)
+    texts = [(i, [w for w in re.split(lm_delta.GAP, (t or "").translate(lower)) if w]) for i, t in rows]
+    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for i, ws in texts:
+        for m in (0, 1) if i in target else (0,):
+            words[m].update(["begin"] * bool(ws) + [(w,) for w in ws])
+            pairs[m].update(zip(["begin"] + [(w,) for w in ws], ws))
+    v = sum(k != "begin" for k in words[0])
+    out = []
+    for i, ws in texts:
+        total = 0.0
+        for h, w in zip(["begin"] + [(w,) for w in ws], ws):
+            for m, sign in ((0, 1), (1, -1)):
+                n = sum(words[m].values()) - words[m]["begin"]
+                one = (words[m][(w,)] + lm_delta.ADDED) / (n + lm_delta.ADDED * v)
+                two = (pairs[m][h, w] + lm_delta.ADDED_PAIR) / (words[m][h] + lm_delta.ADDED_PAIR * v)
+                total += sign * (math.log(one) + math.log(two)) / 2
+        out.append((i, len(ws), total / len(ws) if ws else 0.0))
     return out
 
 
-def test_as_brute_force(spark):
+@pytest.mark.parametrize("share, bucket", [(lm_delta.SHARE, lm_delta.BUCKET), (0.03, 100), (1.0, 50)])
+def test_as_brute_force(spark, share, bucket):
+    """With all n-grams hot, some, and none."""
     r = random.Random(1)
     good, bad = [f"g{k}" for k in range(30)], [f"b{k}" for k in range(30)]
     rows = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(r.randint(0, 30)))) for i in range(80)]
-    target = {i for i in range(0, 80) if i % 2 and i < 60}
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(80, "ONLY CAPITALS"), (81, None), (82, "..."), (None, "g1 g2 g3"), (83, "one"), (79, rows[79][1])]
+    target = {i for i in range(0, 80) if i % 2 and i < 60} | {83}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     aimed = spark.createDataFrame([(i,) for i in target] * 2, "doc_id long")
-    model = lm_delta.fit(docs, aimed, vocabulary=40, classes=6)
-    got = {x["doc_id"]: (x["n_tokens"], x["delta"]) for x in lm_delta.score(docs, model).collect()}
-    want = brute(rows, target, 40, 6, lm_delta.LAMBDA)
-    for i in want:
-        assert got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-9)
-    side = [sum(got[i][1] for i in got if i % 2 == k) for k in (0, 1)]
+    key = lambda x: (x[0] is None, x[0] or 0)
+    got = sorted(map(tuple, lm_delta.compare(docs, aimed, share, bucket).collect()), key=key)
+    want = sorted(brute(rows, target), key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-6)
+    side = [sum(x[2] for x in got if x[0] is not None and x[0] < 80 and x[0] % 2 == k) for k in (0, 1)]
     assert side[1] < 0 < side[0]
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
-    labels = spark.createDataFrame([(1, 1), (None, 1), (6, 0)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(1,), (None,)], "doc_id long")
     rows = lm_delta.compare(odd_documents, labels).collect()
     assert len(rows) == odd_documents.count()
     assert all((r["n_tokens"], r["delta"]) == (0, 0) for r in rows if r["doc_id"] in (2, 3, 4))
