@@ -6,20 +6,26 @@ always with the label that chance cannot explain it. A chain over each sentence
 labels; its forward-backward marginals give every token a probability, and a logistic of the
 largest one, the expected number and the expected share gives the document's score. Tokens
 whose marginal reaches one half make up the offending spans.
+
+The sample is cut into slices of tokens in tasks and written; each step of the fit adds up what
+the slices say of the present weights. The driver holds weights and sums, whatever the texts'
+lengths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import PUNCTUATION, Words, append_columns
+from driftline.llm.common import PUNCTUATION, Words, append_columns, cut, slices
 
-#: The classifier is fitted on at most so many labelled rows, of at most so many characters each.
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+#: The classifier is fitted on at most so many labelled rows, of any length, in so many tasks.
+SAMPLE, TASKS = 6000, 8
 #: Beginnings of a word, in bytes, that are features beside the word.
 PREFIXES = (4, 6)
 FEATURES = 1 << 18
@@ -102,18 +108,30 @@ def marginals(score: np.ndarray, move: np.ndarray, start: float, chains: Chains)
     return p, expected, float(last.sum())
 
 
-def telling(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens are labelled toxic, given the labels of their texts."""
-    out = np.zeros(len(tokens.text), bool)
-    rate = min(max(float(toxic.mean()), 1e-3), 0.9)
+def sightings(tokens: Tokens, toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each kind of feature: its hashes, how many texts hold each, and how many toxic ones."""
+    out = []
     for h in tokens.raw:
-        pair = np.unique(np.stack([h, tokens.text.astype(np.uint64)]), axis=1)
-        feature, at = np.unique(pair[0], return_inverse=True)
-        with_label = np.bincount(at, toxic[pair[1].astype(np.int64)], minlength=len(feature))
-        total = np.bincount(at, minlength=len(feature))
-        # as often by chance in none of the features: total * log(1 / rate) above log of their number
-        sure = (with_label >= 0.95 * total) & (with_label * -np.log(rate) > np.log(len(feature) + 1) + 3)
-        out |= np.isin(h, feature[sure])
+        order = np.lexsort((h, tokens.text))
+        feature, text = h[order], tokens.text[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (feature[1:] != feature[:-1]) | (text[1:] != text[:-1])
+        feature, at = np.unique(feature[new], return_inverse=True)
+        out.append((feature, np.bincount(at, minlength=len(feature)), np.bincount(at, toxic[text[new]], minlength=len(feature)).astype(np.int64)))
+    return out
+
+
+def sure(rate: float, features: int):
+    """Condition on n and n_toxic: nearly always with the label, and as often by chance in none of so many features."""
+    least = (np.log(features + 1) + 3) / -np.log(min(max(rate, 1e-3), 0.9))
+    return (F.col("n_toxic") >= 0.95 * F.col("n")) & (F.col("n_toxic") > float(least))
+
+
+def telling(tokens: Tokens, toxic: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """Which tokens are labelled toxic: those of toxic texts with one of the known features."""
+    out = np.zeros(len(tokens.text), bool)
+    for h, k in zip(tokens.raw, known):
+        out |= np.isin(h, k)
     return out & toxic[tokens.text].astype(bool)
 
 
@@ -126,49 +144,49 @@ def aggregate(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.stack([top, np.log1p(total), np.sqrt(total / np.maximum(count, 1))], axis=1)
 
 
+class Gradient:
+    """Sums over slices of tokens: of each feature, of label pairs, of first tokens. They add."""
+
+    def __init__(self):
+        self.feature, self.move, self.start = np.zeros(FEATURES), np.zeros((2, 2)), 0.0
+
+    def add(self, model: Model, f: np.ndarray, truth: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
+        second = np.ones(len(truth), bool)
+        second[first] = False
+        j = np.flatnonzero(second)
+        np.add.at(self.move, (truth[j - 1].astype(int), truth[j].astype(int)), 1)
+        p, moved, _ = marginals(model.weight[f].sum(axis=0) + model.bias, model.move, model.start, Chains(first, length))
+        wrong = truth - p
+        for row in f:
+            self.feature += np.bincount(row, wrong, minlength=FEATURES)
+        self.move -= moved
+        self.start += float(wrong[first].sum())
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.feature, self.move.ravel(), [self.start]])
+
+
 class Model:
-    """Weights of the chain and of the logistic over a document's marginals."""
+    """Weights of the chain and of the logistic over a document's marginals; without a fit, it knows the prior alone."""
 
-    def __init__(self, texts: list[str], labels: list[int]):
+    def __init__(self, prior: float):
         self.weight = np.zeros(FEATURES, np.float64)
-        self.move, self.start = np.zeros((2, 2)), 0.0
+        self.move, self.start, self.bias = np.zeros((2, 2)), 0.0, 0.0
         self.logit = np.zeros(4)
-        y = np.array(labels, np.float64)
-        self.prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
-        self.only_prior = len(set(labels)) < 2
-        if not self.only_prior:
-            t = Tokens(texts)
-            self._fit_chain(t, telling(t, y))
-            p = self.token_probabilities(t)
-            self._fit_logit(aggregate(p, t.text, len(texts)), y)
-
-    def _fit_chain(self, t: Tokens, truth: np.ndarray) -> None:
-        """Gradient ascent on the log likelihood with a step of its own for each weight (Adagrad)."""
-        chains = Chains(t.first, t.length)
-        f = t.features
-        second = np.ones(len(truth), bool)
-        second[t.first] = False
-        j = np.flatnonzero(second)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (truth[j - 1].astype(int), truth[j].astype(int)), 1)
-        square, square_move, square_start = np.full(FEATURES, 1e-2), np.full((2, 2), 1.0), 1.0
-        bias = np.log((truth.mean() + 1e-6) / (1 - truth.mean() + 1e-6))
-        self.bias = float(bias)
-        for _ in range(EPOCHS):
-            score = self.weight[f].sum(axis=0) + self.bias
-            p, moved, _ = marginals(score, self.move, self.start, chains)
-            wrong = truth - p
-            gradient = sum(np.bincount(row, wrong, minlength=FEATURES) for row in f) - DECAY * self.weight
-            square += gradient**2
-            self.weight += RATE * gradient / np.sqrt(square)
-            step = seen - moved
-            square_move += step**2
-            self.move += RATE * step / np.sqrt(square_move)
-            g = float(wrong[t.first].sum())
-            square_start += g * g
-            self.start += RATE * g / square_start**0.5
-
-    def _fit_logit(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.prior, self.only_prior = prior, True
+        self.square = np.concatenate([np.full(FEATURES, 1e-2), np.ones(5)])
+
+    def climb(self, gradient: np.ndarray) -> None:
+        """A step up the log likelihood, of a size of its own for each weight (Adagrad); gradient as Gradient.flat has it."""
+        g = gradient.copy()
+        g[:FEATURES] -= DECAY * self.weight
+        self.square += g**2
+        step = RATE * g / np.sqrt(self.square)
+        self.weight = self.weight + step[:FEATURES]
+        self.move = self.move + step[FEATURES:-1].reshape(2, 2)
+        self.start += float(step[-1])
+
+    def fit_logit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Newton steps of a logistic regression with a small ridge."""
         x = np.hstack([np.ones((len(x), 1)), x])
         for _ in range(25):
@@ -176,6 +194,7 @@ class Model:
             w = np.maximum(p * (1 - p), 1e-6)
             h = (x * w[:, None]).T @ x + 1e-2 * np.eye(4)
             self.logit += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * self.logit)
+        self.only_prior = False
 
     def token_probabilities(self, t: Tokens) -> np.ndarray:
         score = self.weight[t.features].sum(axis=0) + self.bias
@@ -210,34 +229,123 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list, list]:
-    """Texts and labels of at most `most` rows that are not held out, in order of a hash of the id.
+def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(text, toxic 0/1) of at most `most` labelled documents that are not held out, the first in order of a hash of the id.
 
-    A label row without id or label, or held out, teaches nothing; of several labels of one id
-    the largest holds. Labelled ids that the documents lack are passed over.
+    A label row without id or label, held out or of no document teaches nothing; of several labels of
+    one id the largest holds, of several texts the smallest. A null text teaches as an empty one.
     """
     taught = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .filter(fold(F.col("doc_id")) != 0)
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-    )
-    chosen = taught.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
-    rows = (
-        documents.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # `most` rows at most
-        .filter(F.length("text") <= chars)
-        .select("text", "toxic", "doc_id")
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
-        .limit(most)
-        .collect()
+        .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
-    return [r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows]
+    there = documents.select("doc_id").distinct().join(taught, "doc_id")
+    chosen = there.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
+    text = F.min(F.coalesce("text", F.lit(""))).alias("text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` rows at most
+    rows = rows.groupBy("doc_id", "toxic").agg(text)
+    return cut(rows.repartition(TASKS, "doc_id").sortWithinPartitions("doc_id").select("text", "toxic"))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tokens, np.ndarray]]:
+    for piece in slices(batches, "text"):
+        yield Tokens(piece.column("text").to_pylist()), piece.column("toxic").to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def known_features(taught: DataFrame, rate: float) -> list[np.ndarray]:
+    """Hashes of each kind of feature that tell toxic texts; sightings are summed by shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, toxic in _sliced(batches):
+            for kind, (feature, n, n_toxic) in enumerate(sightings(tokens, toxic)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), kind, np.int32)), pa.array(feature.view(np.int64)), pa.array(n), pa.array(n_toxic)],
+                    names=["kind", "feature", "n", "n_toxic"],
+                )
+
+    seen = taught.mapInArrow(run, "kind int, feature long, n long, n_toxic long").groupBy("kind", "feature")
+    seen = cut(seen.agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")))
+    number = {r["kind"]: r["count"] for r in seen.groupBy("kind").count().collect()}
+    known = []
+    for kind in range(1 + len(PREFIXES)):
+        found = seen.filter(F.col("kind") == kind).filter(sure(rate, number.get(kind, 0))).select("feature").toArrow()
+        known.append(np.sort(found.column("feature").to_numpy().view(np.uint64)))
+    return known
+
+
+def prepared(taught: DataFrame, known: list[np.ndarray]) -> DataFrame:
+    """The sample as slices of tokens, a row each: features, labels of tokens, chains, and the text of each token."""
+    shared = taught.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, toxic in _sliced(batches):
+            parts = (t.features, telling(t, toxic, shared.value), t.first.astype(np.int64), t.length.astype(np.int64), t.text.astype(np.int32), toxic)
+            counts = [pa.array([len(parts[1])]), pa.array([int(parts[1].sum())])]
+            yield pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()]) for x in parts], *counts], names=[*_PARTS, "tokens", "told"])
+
+    return cut(taught.mapInArrow(run, ", ".join(f"{c} binary" for c in _PARTS) + ", tokens long, told long"))
+
+
+_PARTS = ["features", "truth", "first", "length", "owner", "toxic"]
+_KINDS = [np.int32, bool, np.int64, np.int64, np.int32, np.float64]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            got = [np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in zip(_PARTS, _KINDS)]
+            yield [got[0].reshape(1 + len(PREFIXES), -1), *got[1:]]
+
+
+def summed(rows: DataFrame, model: Model) -> np.ndarray:
+    """The gradient at the model's weights; a vector from each of the sample's tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Gradient()
+        for f, truth, first, length, _, _ in _parts(batches):
+            g.add(shared.value, f, truth, first, length)
+        yield pa.RecordBatch.from_arrays([pa.array([g.flat().tobytes()])], names=["sums"])
+
+    out = np.zeros(FEATURES + 5)
+    for row in rows.mapInArrow(run, "sums binary").toLocalIterator(prefetchPartitions=True):
+        out += np.frombuffer(row["sums"])
+    shared.destroy()
+    return out
+
+
+def aggregates(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What the logistic sees of each text of the sample, and its label."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for f, _, first, length, owner, toxic in _parts(batches):
+            p = marginals(m.weight[f].sum(axis=0) + m.bias, m.move, m.start, Chains(first, length))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*aggregate(p, owner, len(toxic)).T, toxic)], names=["a", "b", "c", "y"])
+
+    got = rows.mapInArrow(run, "a double, b double, c double, y double").toArrow()
+    a, b, c, y = (got.column(k).to_numpy() for k in range(4))
+    return np.stack([a, b, c], axis=1), y
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """A model from the bounded sample; with no or one kind of label it knows the prior alone."""
-    return Model(*sample(documents, labels, most))
+    taught = sample(documents, labels, most)
+    n, n_toxic = (int(x or 0) for x in taught.agg(F.count("*"), F.sum("toxic")).first())
+    model = Model((n_toxic + 0.5) / (n + 1))
+    if n_toxic in (0, n):
+        return model
+    rows = prepared(taught, known_features(taught, n_toxic / n))
+    marks = rows.agg(F.sum(F.length("truth")), F.sum(F.octet_length(F.replace("truth", F.lit(b"\x00"), F.lit(b""))))).first()
+    share = float(marks[1] or 0) / max(float(marks[0] or 0), 1)
+    model.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    for _ in range(EPOCHS):
+        model.climb(summed(rows, model))
+    model.fit_logit(*aggregates(rows, model))
+    return model
 
 
 def score(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
