@@ -30,11 +30,11 @@ from driftline.llm.common import _STEPS, PUNCTUATION, Words, cut, mix, slices
 ADDED, ADDED_PAIR = 1.0, 0.01
 #: An n-gram of so large a share of all tokens is hot.
 SHARE = 1e-5
-#: N-grams of a bucket, on average; tokens that are counted together before they are shuffled.
-BUCKET, CHUNK = 1_000_000, 2_000_000
+#: N-grams of a bucket, on average; tokens that are counted or dealt out together.
+BUCKET, CHUNK = 2_000_000, 2_000_000
 #: Target ids that may be broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 200_000
-#: Documents of a slice at most: their number and the target mark share 16 bits.
+#: Documents of a chunk at most: their number and the target mark share 16 bits.
 DOCS = 1 << 15
 #: Stands for the word before a text.
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
@@ -60,6 +60,7 @@ class Grams:
     def __init__(self, piece: pa.RecordBatch):
         w = Words(piece.column("text").to_pylist(), PUNCTUATION)
         self.count = w.counts()
+        self.ids = piece.column("doc_id")
         self.aimed = piece.column("target").to_numpy(zero_copy_only=False) > 0
         self.text = np.repeat(np.arange(len(self.count)), self.count)
         self.word = w.hashes
@@ -84,13 +85,17 @@ def _rows(kind: int, key: np.ndarray, n: np.ndarray, aimed: np.ndarray) -> pa.Re
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[list[Grams]]:
-    held, total = [], 0
-    for piece in slices(batches, "text"):
-        held.append(Grams(piece))
-        total += len(held[-1].word)
-        if total >= size:
-            yield held
-            held, total = [], 0
+    """Slices in lists of at least so many tokens, but the last, and of at most DOCS documents."""
+    held, total, texts = [], 0, 0
+    for wide in slices(batches, "text"):
+        for start in range(0, wide.num_rows, DOCS):
+            g = Grams(wide.slice(start, DOCS))
+            if held and (total >= size or texts + len(g.count) > DOCS):
+                yield held
+                held, total, texts = [], 0, 0
+            held.append(g)
+            total += len(g.word)
+            texts += len(g.count)
     if held:
         yield held
 
@@ -131,6 +136,13 @@ class Hot:
         at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
         return at, self.key[at] == keys
 
+    def counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are of these, and the counts of those."""
+        at, there = self.find(keys)
+        if not len(self.key):
+            return there, np.zeros(0), np.zeros(0)
+        return there, self.n[at[there]], self.aimed[at[there]]
+
 
 def hot_pairs(rows: DataFrame, counts: DataFrame, least: float) -> Hot:
     """Exact counts of the pairs that have `least` or more."""
@@ -187,107 +199,128 @@ def compare(documents: DataFrame, target: DataFrame, share: float = SHARE, bucke
     hot_words = Hot(counts.filter((F.col("kind") == 0) & (F.col("n") >= share * tokens)).select("key", "n", "n_target").toArrow())
     shared = spark.sparkContext.broadcast((value, hot_words, hot_pairs(rows, counts, share * tokens)))
     buckets = max(1, math.ceil(2 * tokens / bucket))
-    names = ["bucket", "kind", "slice", "keys", "texts", "ids", "counts", "sums"]
     id_type = documents.schema["doc_id"].dataType
-    kinds = [T.IntegerType(), T.IntegerType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.ArrayType(id_type), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())]
-    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+    dealt_schema = T.StructType.fromDDL("bucket int, kind int, chunk long, keys binary, texts binary, counts array<long>, sums array<double>")
+    dealt_schema = T.StructType([*dealt_schema.fields, T.StructField("ids", T.ArrayType(id_type))])
+    valued_schema = T.StructType([f for f in dealt_schema.fields if f.name not in ("bucket", "kind", "keys")])
+    result = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("total", T.DoubleType())])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each slice: ids, token counts and the sums of hot n-grams in one row, the other n-grams in a row for each bucket.
+        """For each chunk: ids, token counts and sums of hot n-grams in one row, the other n-grams in a row for each bucket.
 
-        Kind 0: words with another after them, 1: last words of a text, 2: pairs, 3: the slice's texts.
+        Kind 0: words with another after them, 1: last words of a text, 2: pairs, 3: the chunk's texts.
         """
         from pyspark import TaskContext
 
         value, hot_words, hot_pairs = shared.value
-        number = TaskContext.get().partitionId() << 36
-        for wide in slices(batches, "text"):
-            for start in range(0, wide.num_rows, DOCS):
-                piece = wide.slice(start, DOCS)
-                g = Grams(piece)
-                number += 1
-                mark = (g.text + DOCS * g.aimed[g.text]).astype(np.uint16)
-                total = np.bincount(g.text, minlength=len(g.count)) * 0.0 + (g.count > 0) * value.text
-                made = {n: [] for n in names}
-                at, hot = hot_words.find(g.word)
-                n, a = (x[at[hot]] for x in (hot_words.n, hot_words.aimed)) if len(hot_words.key) else np.zeros((2, 0))
-                total += np.bincount(g.text[hot], value.word(n, a) + np.where(g.last[hot], 0, value.before(n, a)), minlength=len(total))
-                at, known = hot_pairs.find(g.pair)
-                n, a = (x[at[known]] for x in (hot_pairs.n, hot_pairs.aimed)) if len(hot_pairs.key) else np.zeros((2, 0))
-                total += np.bincount(g.text[known], value.pair(n, a), minlength=len(total))
-                for kind, chosen, keys in ((0, ~hot & ~g.last, g.word), (1, ~hot & g.last, g.word), (2, ~known, g.pair)):
-                    key, text = keys[chosen], mark[chosen]
-                    to = (key % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    key, text, to = key[order], text[order], to[order]
-                    edges = np.concatenate([np.flatnonzero(np.diff(to, prepend=-1)), [len(to)]])
-                    for p, q in zip(edges[:-1], edges[1:]):
-                        for name, x in zip(names, (int(to[p]), kind, number, key[p:q].tobytes(), text[p:q].tobytes(), None, None, None)):
-                            made[name].append(x)
-                ids = piece.column("doc_id").to_pylist()
-                for name, x in zip(names, (number % buckets, 3, number, None, None, ids, g.count.tolist(), total.tolist())):
-                    made[name].append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(made[n], f.type) for n, f in zip(names, arrow)], names=names)
+        number = TaskContext.get().partitionId() << 32
+        for held in chunks(batches):
+            number += 1
+            count = np.concatenate([g.count for g in held])
+            total = np.where(count > 0, value.text, 0.0)
+            text = np.concatenate([g.text + k for g, k in zip(held, np.cumsum([0, *[len(g.count) for g in held]]))])
+            mark = (text + DOCS * np.concatenate([g.aimed[g.text] for g in held])).astype(np.uint16)
+            word, pair, last = (np.concatenate([getattr(g, x) for g in held]) for x in ("word", "pair", "last"))
+            hot, n, a = hot_words.counts(word)
+            total += np.bincount(text[hot], value.word(n, a) + np.where(last[hot], 0, value.before(n, a)), minlength=len(total))
+            known, n, a = hot_pairs.counts(pair)
+            total += np.bincount(text[known], value.pair(n, a), minlength=len(total))
+            made: dict[str, list] = {n: [] for n in ("bucket", "kind", "keys", "texts")}
+            for kind, chosen, keys in ((0, ~hot & ~last, word), (1, ~hot & last, word), (2, ~known, pair)):
+                key, own = keys[chosen], mark[chosen]
+                to = (key % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                key, own, to = key[order], own[order], to[order]
+                edges = np.concatenate([np.flatnonzero(np.diff(to, prepend=-1)), [len(to)]])
+                for p, q in zip(edges[:-1], edges[1:]):
+                    for name, x in zip(made, (int(to[p]), kind, key[p:q].tobytes(), own[p:q].tobytes())):
+                        made[name].append(x)
+            rows_made = len(made["kind"])
+            yield _batch(dealt_schema, rows_made, **made, chunk=[number] * rows_made)
+            ids = [x for g in held for x in g.ids.to_pylist()]
+            yield _batch(dealt_schema, 1, bucket=[number % buckets], kind=[3], chunk=[number], ids=[ids], counts=[count], sums=[total])
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of one bucket after another become (row, doc_id, n_tokens, part)."""
-        value = shared.value[0]
-        held: dict[int, list] = {0: [], 1: [], 2: []}
+        """One bucket after another: n-grams become, for each chunk, texts and what these n-grams add to them."""
+        held: dict[int, list] = {}
         now = None
         for batch in batches:
-            columns = [batch.column(c) for c in ("bucket", "kind", "slice", "keys", "texts")]
-            for k in np.flatnonzero(np.asarray(columns[1]) == 3).tolist():
-                ids, count, total = (batch.column(c)[k].values for c in ("ids", "counts", "sums"))
-                row = pa.array((np.int64(columns[2][k].as_py()) << 15) + np.arange(len(count)))
-                yield pa.RecordBatch.from_arrays([row, ids, count, total], names=out)
-            for to, kind, number, keys, texts in zip(*[c.to_pylist() for c in columns]):
-                if now is not None and to != now:
-                    yield from settled(held, value)
-                    held = {0: [], 1: [], 2: []}
-                now = to
+            kinds = batch.column("kind").to_numpy()
+            for k in np.flatnonzero(kinds == 3).tolist():
+                yield batch.slice(k, 1).select(valued_schema.names)
+            for to, kind, chunk, keys, texts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "kind", "chunk", "keys", "texts")]):
+                if to != now:
+                    yield from _settled(held, shared.value[0], valued_schema)
+                    held, now = {0: [], 1: [], 2: []}, to
                 if kind < 3:
-                    held[kind].append((number, np.frombuffer(keys, np.uint64), np.frombuffer(texts, np.uint16)))
-        yield from settled(held, value)
-
-    def settled(held: dict[int, list], value: Value) -> Iterator[pa.RecordBatch]:
-        row, part = [], []
-        for kinds in ((0, 1), (2,)):
-            own = [(k, x) for k in kinds for x in held[k]]
-            if not own:
-                continue
-            key = np.concatenate([x[1] for _, x in own])
-            text = np.concatenate([x[2] for _, x in own])
-            size = [len(x[1]) for _, x in own]
-            key, at = np.unique(key, return_inverse=True)
-            n, a = np.bincount(at, minlength=len(key)), np.bincount(at, text >= DOCS, minlength=len(key))
-            if kinds == (2,):
-                worth = value.pair(n, a)[at]
-            else:
-                ends = np.repeat([k == 1 for k, _ in own], size)
-                worth = value.word(n, a)[at] + np.where(ends, 0, value.before(n, a)[at])
-            row.append((np.repeat(np.array([x[0] for _, x in own], np.int64), size) << 15) + (text % DOCS))
-            part.append(worth)
-        if row:
-            row, at = np.unique(np.concatenate(row), return_inverse=True)
-            part = np.bincount(at, np.concatenate(part))
-            none = [pa.nulls(len(row), arrow_id), pa.nulls(len(row), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(row), *none, pa.array(part)], names=out)
-
-    from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
-
-    arrow, arrow_id, out = list(to_arrow_schema(schema)), to_arrow_type(id_type), ["row", "doc_id", "n_tokens", "part"]
-    result = T.StructType([T.StructField(n, k) for n, k in zip(out, (T.LongType(), id_type, T.LongType(), T.DoubleType()))])
+                    held[kind].append((chunk, np.frombuffer(keys, np.uint64), np.frombuffer(texts, np.uint16)))
+        yield from _settled(held, shared.value[0], valued_schema)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One chunk after another: the sums of its texts."""
+        now, head, total = None, None, np.zeros(0)
+        for batch in batches:
+            for k, chunk in enumerate(batch.column("chunk").to_pylist()):
+                if chunk != now:
+                    if head:
+                        yield pa.RecordBatch.from_arrays([*head, pa.array(total[: len(head[0])])], names=result.names)
+                    now, head, total = chunk, None, np.zeros(DOCS)
+                sums = batch.column("sums")[k].values.to_numpy()
+                texts = batch.column("texts")[k].as_py()
+                if texts is None:
+                    head = [batch.column(c)[k].values for c in ("ids", "counts")]
+                    total[: len(sums)] += sums
+                else:
+                    total[np.frombuffer(texts, np.uint16)] += sums
+        if head:
+            yield pa.RecordBatch.from_arrays([*head, pa.array(total[: len(head[0])])], names=result.names)
+
     sums = (
-        rows.mapInArrow(dealt, schema)
+        rows.mapInArrow(dealt, dealt_schema)
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(valued, result)
-        .groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("part").alias("total"))
+        .mapInArrow(valued, valued_schema)
+        .repartition("chunk")
+        .sortWithinPartitions("chunk")
+        .mapInArrow(added, result)
     )
     return sums.select("doc_id", "n_tokens", F.round(F.col("total") / F.greatest("n_tokens", F.lit(1)), 6).alias("delta"))
 
 
+def _batch(schema: T.StructType, rows: int, **columns) -> pa.RecordBatch:
+    """Rows of the schema, null in the columns that are not given."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in to_arrow_schema(schema)]
+    return pa.RecordBatch.from_arrays(made, names=schema.names)
+
+
+def _settled(held: dict[int, list], value: Value, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """The n-grams of one bucket, counted and valued: of each chunk, its texts and their sums."""
+    parts: dict[int, list] = {}
+    for kinds in ((0, 1), (2,)):
+        own = [(k, x) for k in kinds for x in held.get(k, [])]
+        if not own:
+            continue
+        text = np.concatenate([x[2] for _, x in own])
+        key, at = np.unique(np.concatenate([x[1] for _, x in own]), return_inverse=True)
+        n, a = np.bincount(at, minlength=len(key)), np.bincount(at, text >= DOCS, minlength=len(key))
+        if kinds == (2,):
+            worth = value.pair(n, a)[at]
+        else:
+            ends = np.repeat([k == 1 for k, _ in own], [len(x[1]) for _, x in own])
+            worth = value.word(n, a)[at] + np.where(ends, 0, value.before(n, a)[at])
+        stop = 0
+        for _, (chunk, keys, texts) in own:
+            start, stop = stop, stop + len(keys)
+            parts.setdefault(chunk, []).append((texts % DOCS, worth[start:stop]))
+    for chunk, own in parts.items():
+        texts = np.concatenate([x[0] for x in own])
+        total = np.bincount(texts, np.concatenate([x[1] for x in own]))
+        there = np.unique(texts)
+        yield _batch(schema, 1, chunk=[chunk], texts=[there.tobytes()], sums=[total[there]])
+
+
 SQL = f"""
 WITH t AS (
   SELECT row_number() OVER () AS r, d.doc_id, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS target,
