@@ -10,10 +10,12 @@ The SQL knows sentences on one line only. Both agree on texts without wrapped on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised licence sentences and their identifiers.
+#: Normalised licence sentences and their identifiers; {} stands for the name of a holder or author.
 SENTENCES = {
     "licensed under the apache license version 2.0": "apache2-under",
     "licensed under the apache license version 2.0 the license": "apache2-under",
@@ -30,7 +32,7 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-no-warranty",
@@ -43,9 +45,39 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4.0 international license": "cc-by4-under",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "mpl2-subject",
     "all rights reserved": "reserved",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this software is provided as-is without any express or implied warranty": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-free",
+    "to the extent possible under law {} has waived all copyright and related or neighboring rights to this work": "cc0-waived",
+    "distributed under the boost software license version 1.0": "bsl1-under",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-no-warranty",
+    "see the gnu general public license for more details": "gpl-see",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl-copy",
+    "you should have received a copy of the gnu lesser general public license along with this program": "lgpl-copy",
+    "you should have received a copy of the gnu affero general public license along with this program": "agpl-copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0 which accompanies this distribution and is available at http www.eclipse.org legal epl-v10.html": "epl1-under",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl-2.0": "epl2-under",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0": "mpl2-obtain",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "mpl2-obtain",
 }
 #: Licences and the identifiers that show them, in the order of trial.
 RULES = [
+    ("GPL-2.0-or-later", ["gpl2-later", "gpl-no-warranty", "gpl-see", "gpl-copy"]),
+    ("GPL-3.0-or-later", ["gpl3-later", "gpl-no-warranty", "gpl-see", "gpl-copy"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-no-warranty", "gpl-see", "gpl-copy"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later", "gpl-no-warranty", "lgpl-see", "lgpl-copy"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later", "gpl-no-warranty", "lgpl-see", "lgpl-copy"]),
+    ("AGPL-3.0-or-later", ["agpl3-later", "gpl-no-warranty", "agpl-see", "agpl-copy"]),
     ("Apache-2.0", ["apache2-under", "apache-comply", "apache-copy", "apache-basis", "apache-see"]),
     ("Apache-2.0", ["apache2-under"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
@@ -61,9 +93,25 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc4-under"]),
     ("CC-BY-SA-4.0", ["cc-by-sa4-under"]),
     ("CC-BY-4.0", ["cc-by4-under"]),
+    ("MPL-2.0", ["mpl2-subject", "mpl2-obtain"]),
     ("MPL-2.0", ["mpl2-subject"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Unlicense", ["unlicense-free"]),
+    ("CC0-1.0", ["cc0-waived"]),
+    ("BSL-1.0", ["bsl1-under"]),
+    ("EPL-1.0", ["epl1-under"]),
+    ("EPL-2.0", ["epl2-under"]),
     ("All-rights-reserved", ["reserved"]),
 ]
+# a line that names a licence by its identifier, for each licence of the rules
+for _name in dict.fromkeys(name for name, _ in RULES[:-1]):
+    SENTENCES[f"spdx-license-identifier {_name.lower()}"] = f"spdx-{_name.lower()}"
+    RULES.append((_name, [f"spdx-{_name.lower()}"]))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Of the SQL: a sentence ends at a mark before white space, and at each line break.
 BREAK = r"[.;:!?]+[ \t]*[\r\n]+|[.;:!?]+[ \t]+|[\r\n]+"
@@ -76,6 +124,8 @@ MAY_END = r"[;:]+[ \t]*(?:\r\n|[\r\n])(?:[ \t]*;+[ \t]+)?|[;:]+[ \t]+|(?:\r\n|[\
 #: DROPPED without | and ~.
 SPACED = r"[\x00-\x2C\x2F\x3A-\x60\x7B\x7D\x7F]+"
 JOINT = "[ .-]*~[ .-]*"
+#: The name of a holder, initials with their dots too.
+NAME = ".{1,120}?"
 
 
 def marked(text):
@@ -88,10 +138,15 @@ def marked(text):
 
 def known() -> str:
     """Any known sentence between two marks, the longer ones first."""
-    words = [s.replace(".", r"\.").replace(" ", f"(?: |{JOINT})") for s in sorted(SENTENCES, key=len, reverse=True)]
+    words = [s.replace(".", r"\.").replace(" ", f"(?: |{JOINT})").replace("{}", NAME) for s in sorted(SENTENCES, key=len, reverse=True)]
     return rf"(?<=[|~])[ .-]*+({'|'.join(words)})(?=[ .-]*[|~])"
 
 
+def named() -> list[tuple[str, str]]:
+    """What finds a sentence with a name in it, and the sentence as the table has it."""
+    return [(f"^{s.replace('.', chr(92) + '.').replace('{}', NAME)}$", s) for s in SENTENCES if "{}" in s]
+
+
 def pattern(rule: list[str]) -> str:
     """The rule's identifiers in order and side by side, in a sequence written |a||b||c|."""
     return "".join(rf"\|{i}\|" for i in rule)
@@ -105,7 +160,8 @@ def scan(df: DataFrame, column: str = "text") -> DataFrame:
     """
     names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     sentences = F.regexp_extract_all(marked(F.col(column)), F.lit(known()), F.lit(1))
-    found = F.transform(sentences, lambda s: F.element_at(names, F.regexp_replace(s, JOINT, " ")))
+    plain = lambda s: reduce(lambda x, n: F.regexp_replace(x, *n), named(), F.regexp_replace(s, JOINT, " "))
+    found = F.transform(sentences, lambda s: F.element_at(names, plain(s)))
     step = df.withColumn("sentence_ids", F.array_join(found, ","))
     some = F.col("sentence_ids") != ""
     step = step.withColumn(
@@ -130,6 +186,8 @@ def sql() -> str:
     """The same in DuckDB."""
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
     normal = f"regexp_replace(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '{DROPPED}', ' ', 'g'), '{EDGE}', '', 'g')"
+    for with_name, without in named():
+        normal = f"regexp_replace({normal}, '{with_name}', '{without}')"
     steps = f"""WITH k AS (SELECT map([{quoted(SENTENCES)}], [{quoted(SENTENCES.values())}]) AS names),
 f AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{BREAK}'),
         lambda s: names[{normal}]), lambda i: i IS NOT NULL) AS ids FROM documents, k),

@@ -1,3 +1,4 @@
+import textwrap
 import zlib
 
 import pytest
@@ -73,7 +74,7 @@ def test_odd_rows(odd_documents, no_documents):
 
 
 def test_license_rules_in_order(spark):
-    bsd = [k for k, v in license_scan.SENTENCES.items() if v.startswith("bsd")]
+    bsd = [k.replace("{}", "the copyright holder") for k, v in license_scan.SENTENCES.items() if v.startswith("bsd")]
     cases = {
         "Licensed under the Apache License, Version 2.0.\nmore": "Apache-2.0",
         "x. Released under the MIT License.\nReleased under the MIT License.": "MIT",
@@ -88,6 +89,24 @@ def test_license_rules_in_order(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+def test_every_sentence_and_rule_on_one_line_and_wrapped(spark):
+    """Wrapped, with comment signs, in capitals, and with a name: the same identifiers; each rule's sentences give its licence."""
+    by_id = {}
+    for sentence, i in license_scan.SENTENCES.items():
+        by_id.setdefault(i, sentence.replace("{}", "J. Doe, of Example Inc"))
+    texts = []
+    for sentence in license_scan.SENTENCES:
+        full = sentence.replace("{}", "J. Doe, of Example Inc")
+        texts += [(full + ".", sentence), ("\n".join(f" * {x}" for x in textwrap.wrap(full.upper(), 40, break_on_hyphens=False)) + ".", sentence), ("x " + full, None)]
+    got = license_scan.report(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in got:
+        sentence = texts[r["doc_id"]][1]
+        assert r["sentence_ids"] == (license_scan.SENTENCES[sentence] if sentence else ""), texts[r["doc_id"]]
+    rules = [(k, ".\n".join(by_id[i] for i in rule) + ".") for k, (_, rule) in enumerate(license_scan.RULES)]
+    got = license_scan.report(spark.createDataFrame(rules, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["licenses"]) for r in sorted(got)] == [(k, name) for k, (name, _) in enumerate(license_scan.RULES)]
+
+
 APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
