@@ -11,6 +11,7 @@ texts are never shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import _STEPS, PUNCTUATION, Words, mix, slices, without
+from driftline.llm.common import _STEPS, PUNCTUATION, Words, cut, mix, slices, without
 
 #: Words from which an item has seeds.
 NGRAM = 3
@@ -27,26 +28,21 @@ NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a text counts as holding it.
 LEAST = 0.5
-#: Items broadcast at a time.
-BLOCK = 5_000
+#: Items, and words of items, broadcast at a time.
+BLOCK, BLOCK_WORDS = 20_000, 2_000_000
 #: Seeds of some texts that are in memory at a time, if no single text has more.
 HITS = 500_000
-MATCHES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("item_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-        ]
-    )
-)
+
+
+def matches_type(item_id: T.DataType) -> T.ArrayType:
+    fields = [("item_id", item_id), ("score", T.DoubleType()), ("start", T.IntegerType()), ("end", T.IntegerType())]
+    return T.ArrayType(T.StructType([T.StructField(*f) for f in fields]))
 
 
 class Items:
     """Words of the items, and their seeds: hash, item, place, in order of hash."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None]):
         w = Words(texts, PUNCTUATION)
         self.ids = ids
         self.words = [w.hashes[a:b] for a, b in zip(w.of_text[:-1], w.of_text[1:])]
@@ -201,32 +197,29 @@ def search(texts: list[str | None], items: Items, least: float) -> list[list[dic
     return found
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark in blocks of at most `size` items, in order of item_id; null ids or texts are no items."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna().distinct()
-    last = None
-    while True:
-        rest = rows if last is None else rows.filter((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
-        block = rest.orderBy("item_id", "text").limit(size).collect()
-        if not block:
-            return
-        yield [r["item_id"] for r in block], [r["text"] for r in block]
-        last = block[-1]
-        if len(block) < size:
-            return
+def blocks(benchmark: DataFrame, items: int = BLOCK, words: int = BLOCK_WORDS) -> Iterator[tuple[list, list[str]]]:
+    """The benchmark in blocks of about so many items and words at most; null ids or texts are no items."""
+    rows = cut(benchmark.select("item_id", "text").dropna().distinct())
+    n, size = rows.agg(F.count("*"), F.sum(F.size(F.split("text", r"\s+")))).first()
+    number = math.ceil(max(n / items, (size or 0) / words))
+    for k in range(number):
+        block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).orderBy("item_id", "text").collect()
+        if block:
+            yield [r["item_id"] for r in block], [r["text"] for r in block]
 
 
-def matched(documents: DataFrame, benchmark: DataFrame, least: float = LEAST, column: str = "text") -> DataFrame:
+def matched(documents: DataFrame, benchmark: DataFrame, least: float = LEAST, column: str = "text", block: int = BLOCK) -> DataFrame:
     """documents with `matches`, the items held by each text; rows without any have an empty list.
 
     Null and empty texts hold nothing, and so do all texts if the benchmark is empty. An item
     of fewer than NGRAM words is held by texts of the same few words only. Repeated rows
-    are matched alike. A column `matches` is replaced.
+    are matched alike. A column `matches` is replaced. An item_id may be of any type that sorts.
     """
-    out = without(documents, ["matches"]).withColumn("matches", F.array().cast(MATCHES))
+    kind = matches_type(benchmark.schema["item_id"].dataType)
+    out = without(documents, ["matches"]).withColumn("matches", F.array().cast(kind))
     names = [c for c in out.columns if c != "matches"]
     schema = out.schema
-    for ids, texts in blocks(benchmark):
+    for ids, texts in blocks(benchmark, block):
         items = Items(ids, texts)
         shared = documents.sparkSession.sparkContext.broadcast(items)
 
@@ -234,7 +227,8 @@ def matched(documents: DataFrame, benchmark: DataFrame, least: float = LEAST, co
             for piece in slices(batches, column):
                 new = search(piece.column(column).to_pylist(), shared.value, least)
                 old = piece.column("matches").to_pylist()
-                made = pa.array([a + b for a, b in zip(old, new)], piece.schema.field("matches").type)
+                both = [sorted(a + b, key=lambda x: x["item_id"]) for a, b in zip(old, new)]
+                made = pa.array(both, piece.schema.field("matches").type)
                 yield pa.RecordBatch.from_arrays(
                     [*[piece.column(c) for c in names], made], names=[*names, "matches"]
                 )

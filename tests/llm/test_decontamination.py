@@ -53,14 +53,15 @@ def test_finds_copies_and_edits_and_leaves_the_rest(spark):
     assert dc.clean(docs, benchmark.limit(0)).count() == 300
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k}") for k in range(7)], "item_id long, text string")
-    docs = spark.createDataFrame([(k, f"x a{k} b{k} c{k} d{k} e{k} y") for k in range(9)], "doc_id long, text string")
+def test_blocks_give_the_same_and_items_may_have_names(spark):
+    items = spark.createDataFrame([(f"i{k}", f"a{k} b{k} c{k} d{k} e{k}") for k in range(9)], "item_id string, text string")
+    docs = spark.createDataFrame([(k, f"x a{k} b{k} c{k} d{k} e{k} y a8 b8 c8 d8 e8") for k in range(9)], "doc_id long, text string")
     whole = sorted(dc.leaks(docs, items).collect())
-    blocks = list(dc.blocks(items, 3))
-    assert [len(b[0]) for b in blocks] == [3, 3, 1]
-    monkeypatch.setattr(dc, "blocks", lambda b, size=3: iter(blocks))
-    assert sorted(dc.leaks(docs, items).collect()) == whole and len(whole) == 7
+    assert len(whole) == 17 and {r["item_id"] for r in whole} == {f"i{k}" for k in range(9)}
+    assert sum(len(b[0]) for b in dc.blocks(items, 3)) == sum(len(b[0]) for b in dc.blocks(items, 9, 10)) == 9
+    parted = dc.matched(docs, items, block=3).collect()
+    assert sorted((r["doc_id"], *m) for r in parted for m in r["matches"]) == [tuple(r) for r in whole]
+    assert all([m["item_id"] for m in r["matches"]] == sorted(m["item_id"] for m in r["matches"]) for r in parted)
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
