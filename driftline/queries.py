@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftline import model_oracles as O
 from driftline.functions import circular, links, uncertainty
 from driftline.operators import (
     choice,
@@ -35,18 +36,30 @@ STAY, PRIOR = (0.9, 0.8), (0.6, 0.4)
 #: Bound of the events of one user; the scans need one, and cut a series longer than a block into blocks.
 LONGEST = 10_000
 
-Queries = dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
+Queries = dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | Callable[[], str] | None]]
 _all: Queries = {}
 
 
-def _query(sql: str | None = None):
+def _query(sql: str | Callable[[], str] | None = None):
+    """Registers a query with its SQL after the views, or what writes that when it is asked for."""
+
     def keep(f):
-        _all[f.__name__] = (f, sql and f"WITH RECURSIVE {VIEWS.strip()}{sql}")
+        _all[f.__name__] = (f, sql)
         return f
 
     return keep
 
 
+def _cells(df: DataFrame, to: int = 5, given=("series_id", "t"), **shapes: tuple[int, ...]) -> DataFrame:
+    """Given columns, and the cells of arrays by name and place, rounded, without negative zeros."""
+    out = []
+    for name, shape in shapes.items():
+        for at in np.ndindex(*shape):
+            place = "".join(map(str, at))
+            out.append((F.round(F.expr(name + "".join(f"[{k}]" for k in at)), to) + 0.0).alias(name + place))
+    return df.select(*given, *out)
+
+
 def _rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, to) for n in names})
 
@@ -570,40 +583,124 @@ def _two_regimes():
     return switching.Switching(A, np.array([0.1 * np.eye(2), 0.5 * np.eye(2)]), np.zeros((2, 2)), np.array([np.eye(2)] * 2), np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([0.6, 0.4]), switching.gaussian, obs)
 
 
-@_query()
+_VECTORS = """, VEC AS (SELECT series_id, t, choice, reward, (y - 50) / 50 AS y0, (s / 3600 - 24 * floor(s / 86400) - 12) / 7 AS y1, y AS raw FROM SERIES)"""
+_Y = O.columns("y", 2)
+
+
+def _linear_sql(rows: str, model, tag: str = "", carry=("y0", "y1")) -> str:
+    """LF, the filter, and LS, the smoother, of two channels; model: numbers, or columns of the rows."""
+    A, Q, H, R, m0, P0 = model
+    return ", " + O.linear_filter(f"LF{tag}", rows, _Y, A, Q, H, R, m0, P0, carry=carry) + ", " + O.linear_smoother(f"LS{tag}", f"LF{tag}", A, Q, 2, carry=(*carry, "ll"))
+
+
+def _linear_numbers():
+    m = _linear()
+    return m.A, m.Q, m.H, m.R, m.m0, m.P0
+
+
+_LINEAR_CELLS = {"ll": (), "ms": (2,), "Vs": (2, 2), "cross": (2, 2)}
+
+
+@_query(lambda: _VECTORS + _linear_sql("VEC", _linear_numbers()) + " " + O.rounded("LS", O.names(**_LINEAR_CELLS)))
 def linear_filter_smoother(spark, d):
     m = _linear()
-    return kalman.smoothed(kalman.filtered(_vectors(spark, d), m), m.A, m.Q)
+    return _cells(kalman.smoothed(kalman.filtered(_vectors(spark, d), m), m.A, m.Q), **_LINEAR_CELLS)
 
 
-@_query()
+def _fit_rows(spark, lls, to=2):
+    return spark.createDataFrame([(k, round(float(x), to)) for k, x in enumerate(lls)], "iteration int, log_likelihood double")
+
+
+def _linear_em_sql():
+    sql, model, rows, lls = _VECTORS, _linear_numbers(), "VEC", []
+    for k in range(3):
+        sql += _linear_sql(rows, model, str(k), ("y0", "y1") if not k else ("y0", "y1", *O.names(A=(2, 2), Q=(2, 2), H=(2, 2), R=(2, 2), mstart=(2,), Pstart=(2, 2))))
+        lls.append(f"SELECT {k}::INT AS iteration, round(sum(ll), 2) AS log_likelihood FROM LF{k}")
+        if k < 2:
+            sql += f", {O.linear_sums(f'SUM{k}', f'LS{k}', ('y0', 'y1'), 2)}, {O.linear_step(f'PAR{k}', f'SUM{k}', 2, 2)}, ROW{k} AS (SELECT VEC.*, PAR{k}.* FROM VEC CROSS JOIN PAR{k})"
+            c, rows = O.columns, f"ROW{k}"
+            model = (c("A", 2, 2), c("Q", 2, 2), c("H", 2, 2), c("R", 2, 2), c("mstart", 2), c("Pstart", 2, 2))
+    return sql + " " + " UNION ALL ".join(lls)
+
+
+@_query(_linear_em_sql)
 def linear_em(spark, d):
-    got = kalman.fit(_vectors(spark, d), _linear(), max_iter=3)
-    rows = [(k, float(x), got.params.A.ravel().tolist(), got.params.Q.ravel().tolist()) for k, x in enumerate(got.log_likelihoods)]
-    return spark.createDataFrame(rows, "iteration int, log_likelihood double, A array<double>, Q array<double>")
+    return _fit_rows(spark, kalman.fit(_vectors(spark, d), _linear(), max_iter=2).log_likelihoods)
 
 
-@_query()
+def _switching_sql(rows: str, model, values: dict, tag: str = "", carry=("y0", "y1"), smoother: bool = True, second_order: bool = False) -> str:
+    """SF, the filter, and SS, the smoother, of a switching model with Gaussian observations; values: its numbers, or columns of the rows."""
+    K, dim = np.shape(model.m0)
+    H, R = values["H"], values["R"]
+    observe = lambda s, m, P, j: O.measured(s, m, P, _Y, H[j], R[j] if np.ndim(R) == 3 else R)
+    v = [values[c] for c in ("A", "Q", "m0", "P0", "Z", "prior")]
+    sql = ", " + O.switching_filter(f"SF{tag}", rows, K, dim, *v, observe, carry=carry, pairs=second_order)
+    if smoother:
+        sql += ", " + O.switching_smoother(f"SS{tag}", f"SF{tag}", K, dim, values["A"], values["Q"], values["Z"], carry=(*carry, "ll"), second_order=second_order)
+    return sql
+
+
+def _numbers(m) -> dict:
+    return {"A": m.A, "Q": m.Q, "m0": m.m0, "P0": m.P0, "Z": m.Z, "prior": m.prior, "H": m.obs.H, "R": m.obs.R}
+
+
+def _regime_sql(second_order: bool = False, smoother: bool = True) -> str:
+    m = _two_regimes()
+    return _VECTORS + _switching_sql("VEC", m, _numbers(m), smoother=smoother, second_order=second_order)
+
+
+_MOMENTS = {"m": (2, 2), "V": (2, 2, 2), "p": (2,)}
+_SMOOTH = {"ms": (2, 2), "Vs": (2, 2, 2), "ps": (2,), "joint": (2, 2)}
+
+
+@_query(lambda: _regime_sql(smoother=False) + " " + O.rounded("SF", ["ll", *O.names(**_MOMENTS)], given=("series_id", "t", "CASE WHEN p0 >= p1 THEN 0 ELSE 1 END AS state")))
 def switching_filter(spark, d):
-    return switching.path_scores(switching.filtered(_vectors(spark, d), _two_regimes(), ["y"]))
+    got = switching.path_scores(switching.filtered(_vectors(spark, d), _two_regimes(), ["y"]))
+    return _cells(got, given=("series_id", "t", "state"), ll=(), **_MOMENTS)
 
 
-@_query()
+@_query(lambda: _regime_sql() + " " + O.rounded("SS", O.names(**_SMOOTH)))
 def switching_smoother(spark, d):
     m = _two_regimes()
-    return switching.smoothed(switching.filtered(_vectors(spark, d), m, ["y"]), m).select("series_id", "t", "ms", "Vs", "ps", "joint")
+    return _cells(switching.smoothed(switching.filtered(_vectors(spark, d), m, ["y"]), m), **_SMOOTH)
 
 
-@_query()
+@_query(lambda: _regime_sql(second_order=True) + " " + O.rounded("SS", O.names(**_SMOOTH)))
 def switching_smoother_second_order(spark, d):
     m = _two_regimes()
-    return switching.smoothed(switching.filtered(_vectors(spark, d), m, ["y"], pairs=True), m, second_order=True).select("series_id", "t", "ms", "Vs", "ps", "joint")
+    return _cells(switching.smoothed(switching.filtered(_vectors(spark, d), m, ["y"], pairs=True), m, second_order=True), **_SMOOTH)
 
 
-@_query()
+def _switching_em_sql(m, learn, iterations: int = 2) -> str:
+    """Log likelihoods of the start and of each step, and the last step's parameters."""
+    K, dim = np.shape(m.m0)
+    sql, values, rows, lls, n = _VECTORS, _numbers(m), "VEC", [], m.obs.H.shape[1]
+    for k in range(iterations + 1):
+        step = O.switching_values(K, dim, n)
+        own = [x for a in (*step["A"], *step["Q"], step["Z"], step["prior"], *step["m0"], *step["P0"], *step["H"], step["R"]) for x in (c.sql for c in np.ravel(a))]
+        sql += _switching_sql(rows, m, values, str(k), ("y0", "y1", *(own if k else [])), smoother=k < iterations)
+        lls.append(f"SELECT {k}::INT AS iteration, sum(ll) AS ll FROM SF{k}")
+        if k < iterations:
+            sql += f", {O.switching_sums(f'SUM{k}', f'SS{k}', K, dim, ('y0', 'y1'))}, {O.switching_step(f'PAR{k}', f'SUM{k}', K, dim, n, learn, m)}, ROW{k} AS (SELECT VEC.*, PAR{k}.* FROM VEC CROSS JOIN PAR{k})"
+            values, rows = step, f"ROW{k}"
+    shown = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in O.names(Z=(K, K), prior=(K,), H=(K, n, dim), R=(n, n)))
+    return f"{sql}, LL AS ({' UNION ALL '.join(lls)}) SELECT iteration, round(ll, 2) AS log_likelihood, {shown} FROM LL CROSS JOIN PAR{iterations - 1}"
+
+
+def _switching_fit(spark, got) -> DataFrame:
+    m = got.params
+    arrays = {"Z": m.Z, "prior": m.prior, "H": m.obs.H, "R": m.obs.R[0]}
+    cells = {n + "".join(map(str, at)): round(float(x[at]), 4) + 0.0 for n, x in arrays.items() for at in np.ndindex(*x.shape)}
+    schema = "iteration int, log_likelihood double, " + ", ".join(f"{c} double" for c in cells)
+    return spark.createDataFrame([(k, round(float(x), 2), *cells.values()) for k, x in enumerate(got.log_likelihoods)], schema)
+
+
+_ALL = ("A", "Q", "Z", "prior", "init", "obs")
+
+
+@_query(lambda: _switching_em_sql(_two_regimes(), _ALL))
 def switching_em(spark, d):
-    got = switching.fit(_vectors(spark, d), _two_regimes(), ["y"], max_iter=2)
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(got.log_likelihoods)], "iteration int, log_likelihood double")
+    return _switching_fit(spark, switching.fit(_vectors(spark, d), _two_regimes(), ["y"], max_iter=2))
 
 
 @_query()
@@ -755,12 +852,13 @@ def switching_hamiltonian(spark, d):
     return got.select("series_id", "t", "m", "p", "ll")
 
 
-@_query()
+def _oscillators():
+    return oscillators.common_model([0.1], [0.9], [0.3], np.array([np.eye(2), 0.5 * np.eye(2)]), 1.0)
+
+
+@_query(lambda: _switching_em_sql(_oscillators(), ("Z", "prior", "obs"), 1))
 def oscillator_em(spark, d):
-    v = _vectors(spark, d)
-    m = oscillators.common_model([0.1], [0.9], [0.3], np.array([np.eye(2), 0.5 * np.eye(2)]), 1.0)
-    got = switching.fit(v, m, ["y"], max_iter=1, learn=("Z", "prior", "obs"), project=oscillators.project_common)
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(got.log_likelihoods)], "iteration int, log_likelihood double")
+    return _switching_fit(spark, switching.fit(_vectors(spark, d), _oscillators(), ["y"], max_iter=1, learn=("Z", "prior", "obs"), project=oscillators.project_common))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -768,4 +866,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _all.items() if s}
+    made = {k: s() if callable(s) else s for k, (_, s) in _all.items() if s}
+    return {k: f"WITH RECURSIVE {VIEWS.strip()}{s}" for k, s in made.items()}
