@@ -7,9 +7,15 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 from driftline.sheets import (
-    Cell, Sheet, back, call, column, columns, eliminated, even, log_sum_exp, measured, mixed, named, predicted, recursion, smoothed_back, solved,
+    Cell, Sheet, back, call, column, columns, counted, eliminated, even, log_sum_exp, measured, mixed, named, number, predicted, recursion, smoothed_back, solved,
 )
 
+__all__ = [
+    "Cell", "Sheet", "back", "call", "chain_filter", "chain_smoother", "choice_filter", "choice_smoother", "column", "columns", "counted", "eliminated", "linear_filter",
+    "linear_smoother", "linear_step", "linear_sums", "measured", "mixed", "named", "names", "number", "predicted", "recursion", "rounded", "softmax_update", "solved",
+    "switching_filter", "switching_smoother", "switching_step", "switching_sums", "switching_values",
+]
+
 
 def rounded(rows: str, cells: dict[str, int] | Sequence[str], to: int = 5, given: Sequence[str] = ("series_id", "t")) -> str:
     """SELECT of given columns and of cells, rounded, without negative zeros."""
@@ -263,15 +269,15 @@ def switching_values(K: int, d: int, n: int) -> dict:
 # ---------------------------------------------------------------- choices
 
 
-def softmax_update(s: Sheet, m, P, choice: Cell, temperature, steps: int = 3):
-    """Newton steps of a softmax over [0, x]: mode, covariance, Laplace evidence. choice: a column."""
+def softmax_update(s: Sheet, m, P, choice: Cell, temperature, steps: int = 3, offset=None):
+    """Newton steps of a softmax over [0, x] and offsets: mode, covariance, Laplace evidence. choice: a column."""
     d, eye = len(m), np.eye(len(m))
     prec, log_v = eliminated(s, P, eye)
     chosen = [Cell(f"(CASE WHEN {choice.sql} = {k} THEN 1e0 ELSE 0e0 END)") for k in range(d + 1)]
 
     def options(x):
-        logits = [0.0, *[s.let(temperature * v) for v in x]]
-        z = log_sum_exp(s, [Cell("0e0"), *logits[1:]])
+        logits = [s.let(temperature * v + (offset[k] if offset is not None else 0.0)) for k, v in enumerate([Cell("0e0"), *x])]
+        z = log_sum_exp(s, logits)
         return logits, z, [s.let(call("exp", v - z)) for v in logits]
 
     def information(p):
@@ -292,11 +298,11 @@ def softmax_update(s: Sheet, m, P, choice: Cell, temperature, steps: int = 3):
     return x, V, s.let(ll - 0.5 * (off @ s.let(prec @ off)) - 0.5 * log_v + 0.5 * eliminated(s, V, eye)[1])
 
 
-def choice_filter(name: str, rows: str, d: int, noise, temperature, decay, m0, P0, gain=None, u=None, carry=("choice",), keys=("series_id",)) -> str:
+def choice_filter(name: str, rows: str, d: int, noise, temperature, decay, m0, P0, gain=None, u=None, carry=("choice",), keys=("series_id",), offset=None) -> str:
     def step(s, m, P):
         pm = s.let(decay * m + (gain @ u if gain is not None else 0.0))
         pV = s.let(decay * decay * P + noise * np.eye(d))
-        x, V, ll = softmax_update(s, pm, pV, column("choice"), temperature)
+        x, V, ll = softmax_update(s, pm, pV, column("choice"), temperature, offset=offset)
         shown = {}
         for name_, at in (("probs", x), ("pprobs", pm)):
             z = log_sum_exp(s, [Cell("0e0"), *[s.let(temperature * v) for v in at]])
@@ -337,7 +343,7 @@ def chain_filter(name: str, rows: str, K: int, prior, transition: Callable, logl
 
     p = back("p", K)
     return recursion(
-        name, rows, lambda s: step(s, lambda s, T: [x if isinstance(x, Cell) else Cell(repr(float(x)) + "::DOUBLE") for x in prior]),
+        name, rows, lambda s: step(s, lambda s, T: [x if isinstance(x, Cell) else number(x) for x in prior]),
         lambda s: step(s, lambda s, T: [sum(p[i] * T[i, j] for i in range(K)) for j in range(K)]), keys, carry=carry,
     )
 

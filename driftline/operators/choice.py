@@ -22,7 +22,10 @@ TEMPERATURES = [0.1, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0]
 
 @dataclass(frozen=True)
 class Choice:
-    """x_t = decay * x_{t-1} + gain u_t + N(0, noise I); choice ~ softmax(temperature * [0, x] + weights v_t)."""
+    """x_t = decay * x_{t-1} + gain u_t + N(0, noise I); choice ~ softmax(temperature * [0, x] + weights v_t).
+
+    weights: a row for each option, or for each but the first, whose row is then 0.
+    """
 
     n_options: int
     noise: float = 0.01
@@ -37,6 +40,10 @@ class Choice:
     def d(self) -> int:
         return self.n_options - 1
 
+    def offsets(self, features: np.ndarray) -> np.ndarray:
+        w = np.asarray(self.weights, float)
+        return features @ (w if len(w) == self.n_options else np.concatenate([np.zeros((1, w.shape[1])), w])).T
+
     def prior(self) -> tuple[np.ndarray, np.ndarray]:
         return (np.zeros(self.d) if self.m0 is None else self.m0), (np.eye(self.d) if self.P0 is None else self.P0)
 
@@ -89,7 +96,7 @@ def filtered(trials: DataFrame, models: Choice | list[Choice], covariates: str |
             if covariates and c.gain is not None:
                 pm = pm + x[covariates] @ c.gain.T
             pv = c.decay**2 * s[f"P{k}"] + c.noise * np.eye(c.d)
-            offset = x[features] @ np.concatenate([np.zeros((1, c.weights.shape[1])), c.weights]).T if features and c.weights is not None else 0.0
+            offset = c.offsets(x[features]) if features and c.weights is not None else 0.0
             m, P, ll = softmax_update(pm, pv, x[choice].astype(np.int64), c.temperature, offset)
             carry |= {f"m{k}": m, f"P{k}": P}
             lls.append(ll)
@@ -106,8 +113,11 @@ def log_evidence(trials: DataFrame, models: list[Choice], **how) -> list[float]:
     return totals(filtered(trials, models, **how), ["ll"], lambda x: {"ll": x["ll"].sum(0)})["ll"].tolist()
 
 
-def smoothed(rows: DataFrame, model: Choice, key: str = "series_id", order: str = "t", keep=("choice", "ll")) -> DataFrame:
-    """Backward with the stored predictions, so that covariates count: (key, order, keep, ms, Ps, cross, next_m, next_P, last)."""
+def smoothed(rows: DataFrame, model: Choice, key: str = "series_id", order: str = "t", keep=("choice", "ll"), covariates: str | None = None) -> DataFrame:
+    """Backward with the stored predictions, so that covariates count: (key, order, keep, ms, Vs, cross, next_m, next_P, last).
+
+    With `covariates`, also next_u, those of the next row, which drive the move into it.
+    """
     d = model.d
 
     def start(n):
@@ -123,8 +133,16 @@ def smoothed(rows: DataFrame, model: Choice, key: str = "series_id", order: str
         out = {"ms": m, "Vs": P, "cross": c, "next_m": s["m"], "next_P": s["V"], "last": fresh.astype(float)}
         return {"m": m, "V": P, "pm": x["pm"], "pV": x["pV"]}, out
 
+    def with_moves(s, x, fresh):
+        carry, out = step({k: v for k, v in s.items() if k != "u"}, x, fresh)
+        return carry | {"u": x[covariates]}, out | {"next_u": np.where(fresh[:, None], 0.0, s["u"])}
+
     into = {"ms": 1, "Vs": 2, "cross": 2, "next_m": 1, "next_P": 2, "last": 0}
-    return fold(rows, key, order, start, step, into, ["m", "V", "pm", "pV"], keep, backward=True)
+    given = ["m", "V", "pm", "pV"]
+    if covariates is None:
+        return fold(rows, key, order, start, step, into, given, keep, backward=True)
+    width = model.gain.shape[1]
+    return fold(rows, key, order, lambda n: start(n) | {"u": np.zeros((n, width))}, with_moves, into | {"next_u": 1}, [*given, covariates], keep, backward=True)
 
 
 def probabilities(values: Column, temperature: float) -> Column:
@@ -148,44 +166,68 @@ def summaries(rows: DataFrame, choice: str = "choice") -> DataFrame:
     )
 
 
-def fit(trials: DataFrame, model: Choice, covariates: str | None = None, max_iter: int = 10, tolerance: float = 1e-4, learn: tuple[str, ...] = ("noise", "temperature"), grid: list[float] | None = None, key: str = "series_id", order: str = "t") -> Fit:
-    """EM: noise, decay and gain by smoothed moments, the temperature by its evidence on a grid and golden sections."""
-    how = {"covariates": covariates, "key": key, "order": order}
-    keep = ["choice", "ll", *([covariates] if covariates else [])]
+def refit_weights(rows: DataFrame, model: Choice, features: str, steps: int = 5, choice: str = "choice") -> np.ndarray:
+    """Weights of the observation's features at smoothed values: damped Newton steps, option by option, in one job each."""
+    w = np.asarray(model.weights, float)
+    theta = w if len(w) == model.n_options else np.concatenate([np.zeros((1, w.shape[1])), w])
+    for _ in range(steps):
+        def make(x, theta=theta):
+            logits = model.temperature * np.concatenate([np.zeros((len(x["ms"]), 1)), x["ms"]], 1) + x[features] @ theta.T
+            p = softmax(logits)
+            chosen = np.eye(model.n_options)[x[choice].astype(np.int64)]
+            return {"g": np.einsum("nk,nf->kf", chosen - p, x[features]), "h": np.einsum("nk,nf,ne->kfe", p * (1 - p), x[features], x[features])}
+
+        s = totals(rows, ["ms", features, choice], make)
+        theta = theta + 0.5 * vec_solve(s["h"], s["g"])
+    return theta
+
+
+def fit(trials: DataFrame, model: Choice, covariates: str | None = None, max_iter: int = 10, tolerance: float = 1e-4, learn: tuple[str, ...] = ("noise", "temperature"), grid: list[float] | None = None, key: str = "series_id", order: str = "t", features: str | None = None) -> Fit:
+    """EM: gain, decay and noise by smoothed moments, weights by Newton steps, the temperature by its evidence on a grid and golden sections.
+
+    learn: any of gain, weights, decay, noise, temperature, taken in that order.
+    """
+    moves = covariates if covariates and model.gain is not None else None
+    how = {"covariates": covariates, "features": features, "key": key, "order": order}
+    keep = ["choice", "ll", *([features] if features else [])]
 
     def e_step(model):
-        rows = smoothed(filtered(trials, model, covariates, None, key, order), model, key, order, keep)
+        rows = smoothed(filtered(trials, model, covariates, features, key, order), model, key, order, keep, moves)
 
         def make(x):
             go = x["last"] == 0
             m, P, n, Pn, c = x["ms"][go], x["Vs"][go], x["next_m"][go], x["next_P"][go], x["cross"][go]
             tr = lambda a: np.trace(a, axis1=1, axis2=2).sum()
-            return {
-                "nn": np.array((n * n).sum() + tr(Pn)), "nm": np.array((n * m).sum() + tr(c)), "mm": np.array((m * m).sum() + tr(P)),
+            out = {
+                "nn": np.array((n * n).sum()), "nm": np.array((n * m).sum()), "mm": np.array((m * m).sum()),
+                "vn": np.array(tr(Pn)), "vm": np.array(tr(P)), "vc": np.array(tr(c)),
                 "steps": np.array(float(go.sum())), "ll": np.array(x["ll"].sum()),
             }
+            if moves:
+                u = x["next_u"][go]
+                out |= {"nu": n.T @ u, "mu": m.T @ u, "uu": u.T @ u}
+            return out
 
-        s = totals(rows, ["ms", "Vs", "cross", "next_m", "next_P", "last", "ll"], make)
-        if "gain" in learn and covariates:
-            # the move into a trial takes that trial's covariates: join each row with the one before it
-            from pyspark.sql.window import Window
-
-            lag = Window.partitionBy(key).orderBy(order)
-            steps = rows.select(covariates, "ms", F.lag("ms").over(lag).alias("__p")).filter("__p IS NOT NULL")
-            got = totals(steps, [covariates, "ms", "__p"], lambda x: {
-                "ru": np.einsum("na,nb->ab", x["ms"] - model.decay * x["__p"], x[covariates]), "uu": np.einsum("na,nb->ab", x[covariates], x[covariates])})
-            s |= got
-        return float(s["ll"]), s
+        s = totals(rows, ["ms", "Vs", "cross", "next_m", "next_P", "last", "ll", *(["next_u"] if moves else [])], make)
+        return float(s["ll"]), (s, rows)
 
-    def m_step(model, s):
+    def m_step(model, held):
+        s, rows = held
         new = model
-        if "gain" in learn and covariates:
-            new = replace(new, gain=np.linalg.solve(s["uu"] + 1e-8 * np.eye(len(s["uu"])), s["ru"].T).T)
+        if "gain" in learn and moves:
+            new = replace(new, gain=psd_solve(s["uu"], (s["nu"] - model.decay * s["mu"]).T).T)
+        if "weights" in learn and features:
+            new = replace(new, weights=refit_weights(rows, model, features))
+        # what the covariates move is taken off the next value
+        by = lambda x: float((new.gain * x).sum()) if moves else 0.0
         if "decay" in learn:
-            new = replace(new, decay=float(np.clip(s["nm"] / s["mm"], 0.01, 1.0)))
+            new = replace(new, decay=float(np.clip((s["nm"] - by(s.get("mu"))) / max(s["mm"] + s["vm"], 1e-10), 0.01, 1.0)))
         if "noise" in learn:
-            a = new.decay
-            q = (s["nn"] - 2 * a * s["nm"] + a * a * s["mm"]) / max(s["steps"], 1) / model.d
+            a, B = new.decay, new.gain
+            off = s["nn"] - 2 * a * s["nm"] + a * a * s["mm"]
+            if moves:
+                off = off - 2 * by(s["nu"]) + 2 * a * by(s["mu"]) + np.einsum("af,fg,ag->", B, s["uu"], B)
+            q = (off + s["vn"] + a * a * s["vm"] - 2 * a * s["vc"]) / max(s["steps"], 1) / model.d
             new = replace(new, noise=max(float(q), 1e-8))
         if "temperature" in learn:
             at = best_on_grid(lambda bs: log_evidence(trials, [replace(new, temperature=b) for b in bs], **how), grid or TEMPERATURES)

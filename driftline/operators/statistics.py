@@ -196,12 +196,12 @@ def circular_correlation(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     return got.select(by, F.when(F.col("__d") < 1e-10, 0.0).otherwise(F.col("__n") / F.col("__d")).alias("r"))
 
 
-def trial_comparisons(smoothed: DataFrame, key: str = "series_id") -> DataFrame:
+def trial_comparisons(smoothed: DataFrame, key: str = "series_id", reference: int | None = None) -> DataFrame:
     """(key, i, j, p): chance that the state of trial i exceeds that of trial j > i, from m, v and the smoother's gain g (toward the next trial).
 
     Cov(x_i, x_j) is the product of the gains from i to j - 1 times v_j, taken as a difference of
-    running sums of logs. Only series of at most a few hundred trials should be compared in full:
-    the result has a row for each pair of trials.
+    running sums of logs. With a reference only that trial i is compared, a row for each later one. In full
+    the result has a row for each pair of trials, so only short series should be.
     """
     own = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     upto = smoothed.withColumn("__g", F.coalesce(F.sum(F.ln(F.greatest("g", F.lit(1e-300)))).over(own), F.lit(0.0)))
@@ -211,5 +211,5 @@ def trial_comparisons(smoothed: DataFrame, key: str = "series_id") -> DataFrame:
 
     cov = F.exp(F.col("gj") - F.col("gi")) * F.col("vj")
     spread = F.sqrt(F.greatest(F.col("vi") + F.col("vj") - 2 * cov, F.lit(TINY)))
-    pairs = a.join(b, key).filter("i < j")
+    pairs = (a if reference is None else a.filter(F.col("i") == reference)).join(b, key).filter("i < j")
     return pairs.select(key, "i", "j", normal_cdf((F.col("mi") - F.col("mj")) / spread).alias("p"))

@@ -703,38 +703,162 @@ def switching_em(spark, d):
     return _switching_fit(spark, switching.fit(_vectors(spark, d), _two_regimes(), ["y"], max_iter=2))
 
 
-@_query()
-def switching_spikes(spark, d):
-    own = Window.partitionBy("unit_id").orderBy("bin")
-    rows = _daily(spark, d).select(F.col("unit_id").alias("series_id"), F.col("bin").alias("t"), F.array(F.col("n").cast("double"), F.coalesce(F.lag("n").over(own), F.lit(0)).cast("double")).alias("y"))
+_PAIRED = """, DC AS (SELECT unit_id AS series_id, bin AS t, n::DOUBLE AS y0, coalesce(lag(n) OVER (PARTITION BY unit_id ORDER BY bin), 0)::DOUBLE AS y1 FROM DAILY)"""
+
+
+def _spike_states():
     obs = point_process.SpikeObs(np.array([[0.5, 0.5], [1.0, 1.0]]), np.array([0.3 * np.eye(2), 0.6 * np.eye(2)]), 1.0)
-    m = switching.Switching(np.array([0.9 * np.eye(2)] * 2), np.array([0.05 * np.eye(2)] * 2), np.zeros((2, 2)), np.array([np.eye(2)] * 2), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([0.5, 0.5]), point_process.spikes, obs)
-    return switching.smoothed(switching.filtered(rows, m, ["y"]), m).select("series_id", "t", "ms", "ps")
+    return switching.Switching(np.array([0.9 * np.eye(2)] * 2), np.array([0.05 * np.eye(2)] * 2), np.zeros((2, 2)), np.array([np.eye(2)] * 2), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([0.5, 0.5]), point_process.spikes, obs)
 
 
-@_query()
+def _switching_spikes_sql():
+    m = _spike_states()
+    observe = lambda s, x, P, j: O.counted(s, np.asarray(x, object), np.asarray(P, object), _Y, m.obs.weights[j], m.obs.baseline[j])
+    sql = f", {_DAILY}{_PAIRED}, " + O.switching_filter("SF", "DC", 2, 2, m.A, m.Q, m.m0, m.P0, m.Z, m.prior, observe, carry=("y0", "y1"))
+    return sql + ", " + O.switching_smoother("SS", "SF", 2, 2, m.A, m.Q, m.Z, carry=("y0", "y1", "ll"))
+
+
+def _spike_counts(spark, d):
+    own = Window.partitionBy("unit_id").orderBy("bin")
+    return _daily(spark, d).select(F.col("unit_id").alias("series_id"), F.col("bin").alias("t"), F.array(F.col("n").cast("double"), F.coalesce(F.lag("n").over(own), F.lit(0)).cast("double")).alias("y"))
+
+
+@_query(lambda: _switching_spikes_sql() + " " + O.rounded("SS", ["ll", *O.names(ms=(2, 2), Vs=(2, 2, 2), ps=(2,))], to=4))
+def switching_spikes(spark, d):
+    m = _spike_states()
+    got = switching.smoothed(switching.filtered(_spike_counts(spark, d), m, ["y"]), m, keep=("ll",))
+    return _cells(got, 4, ll=(), ms=(2, 2), Vs=(2, 2, 2), ps=(2,))
+
+
+def _spike_refit_sql():
+    m, sql, parts = _spike_states(), _switching_spikes_sql(), []
+    for k in range(2):
+        for u in range(2):
+            c, b = m.obs.weights[k, u], m.obs.baseline[k, u]
+            s = O.Sheet()
+            mean, V, w, y = O.columns(f"ms{k}", 2), O.columns(f"Vs{k}", 2, 2), O.column(f"ps{k}"), _Y[u]
+            lift = s.let(V @ c)
+            mu = s.let(w * O.call("exp", O.call("least", O.call("greatest", b + mean @ c + 0.5 * (lift @ c), -50.0), 50.0)))
+            v, one = np.array([1.0, *(mean + lift)], object), np.array([1.0, *mean], object)
+            cells = O.named(g=np.array([mu * v[i] - w * y * one[i] for i in range(3)], object))
+            h = np.array([[mu * (v[i] * v[j] + (V[i - 1, j - 1] if i and j else 0.0)) for j in range(3)] for i in range(3)], object)
+            each = s.over("SS", (), cells | O.named(h=h))
+            sums = ", ".join(f"sum({x}) AS {x}" for x in [*cells, *O.named(h=h)])
+            t = O.Sheet()
+            H, g = O.columns("h", 3, 3), O.columns("g", 3)
+            lifted = np.array([[H[i, j] + ((1e-6 if not i else 1e-2) if i == j else 0.0) for j in range(3)] for i in range(3)], object)
+            pull = np.array([g[i] + (1e-2 * float(c[i - 1]) if i else 0.0) for i in range(3)], object)
+            at = [float(b), *map(float, c)]
+            move = O.solved(t, lifted, t.let(pull), boost=False)
+            new = {f"x{i}": at[i] - O.call("least", O.call("greatest", move[i], -1.0), 1.0) for i in range(3)}
+            parts.append(t.over(f"(SELECT {sums} FROM ({each}))", (f"{k}::INT AS state", f"{u}::INT AS unit"), new))
+    return sql + ", NEW AS (" + " UNION ALL ".join(parts) + ") " + O.rounded("NEW", ["x0", "x1", "x2"], 4, ("state", "unit"))
+
+
+@_query(_spike_refit_sql)
+def spike_refit(spark, d):
+    """One step for baseline and weights of each state and unit."""
+    m = _spike_states()
+    rows = switching.smoothed(switching.filtered(_spike_counts(spark, d), m, ["y"]), m, keep=("y",))
+    got = point_process.refit_spikes(rows, m.obs)
+    made = [(k, u, *[round(float(x), 4) + 0.0 for x in (got.baseline[k, u], *got.weights[k, u])]) for k in range(2) for u in range(2)]
+    return spark.createDataFrame(made, "state int, unit int, x0 double, x1 double, x2 double")
+
+
+def _choice_states():
+    return choice.switching_model(5, [0.01, 0.1], [1.0, 3.0], [0.98, 0.8], [[0.95, 0.05], [0.05, 0.95]])
+
+
+def _switching_choice_sql():
+    m = _choice_states()
+    observe = lambda s, x, P, j: O.softmax_update(s, np.asarray(x, object), np.asarray(P, object), O.column("choice"), float(m.obs[j]))
+    return ", " + O.switching_filter("SF", "SERIES", 2, 4, m.A, m.Q, m.m0, m.P0, m.Z, m.prior, observe) + " " + O.rounded("SF", O.names(m=(2, 4), p=(2,), ll=()))
+
+
+@_query(_switching_choice_sql)
 def switching_choice(spark, d):
-    m = choice.switching_model(5, [0.01, 0.1], [1.0, 3.0], [0.98, 0.8], [[0.95, 0.05], [0.05, 0.95]])
-    got = switching.filtered(choices(spark, d), m, ["choice"])
-    return got.select("series_id", "t", "m", "p", "ll")
+    return _cells(switching.filtered(choices(spark, d), _choice_states(), ["choice"]), m=(2, 4), p=(2,), ll=())
 
 
-@_query()
+_EYE4, _ZERO4 = np.eye(4), np.zeros(4)
+_CHOSEN = {"m": (4,), "ll": (), "probs": (5,)}
+
+
+@_query(lambda: ", " + O.choice_filter("CF", "SERIES", 4, 0.05, 1.5, 0.95, _ZERO4, _EYE4) + """, CE AS (SELECT *, """
+    + " + ".join(f"-greatest(probs{k}, 1e-10) * ln(greatest(probs{k}, 1e-10))" for k in range(5))
+    + " AS entropy, -ln(greatest(CASE choice " + " ".join(f"WHEN {k} THEN pprobs{k}" for k in range(5)) + " END, 1e-10)) AS surprise, 0e0 AS variances0, "
+    + ", ".join(f"V{k}{k} AS variances{k + 1}" for k in range(4)) + " FROM CF) " + O.rounded("CE", [*O.names(**_CHOSEN), "entropy", "surprise", *O.names(variances=(5,))]))
 def choice_filter(spark, d):
-    return choice.summaries(choice.filtered(choices(spark, d), choice.Choice(5, 0.05, 1.5, 0.95)))
+    got = choice.summaries(choice.filtered(choices(spark, d), choice.Choice(5, 0.05, 1.5, 0.95)))
+    return _cells(got, **_CHOSEN, entropy=(), surprise=(), variances=(5,))
 
 
-@_query()
+@_query(lambda: ", " + O.choice_filter("CF", "SERIES", 4, 0.05, 1.5, 0.95, _ZERO4, _EYE4, np.full((4, 1), 0.1), np.array([O.column("reward")], object), carry=("choice", "reward"))
+    + ", " + O.choice_smoother("CS", "CF", 4, 0.95) + " " + O.rounded("CS", O.names(ms=(4,), Vs=(4, 4), cross=(4, 4))))
 def choice_smoother(spark, d):
     rows = choices(spark, d).withColumn("u", F.array(F.col("reward").cast("double")))
     m = choice.Choice(5, 0.05, 1.5, 0.95, gain=np.full((4, 1), 0.1))
-    return choice.smoothed(choice.filtered(rows, m, "u"), m)
+    return _cells(choice.smoothed(choice.filtered(rows, m, "u"), m), ms=(4,), Vs=(4, 4), cross=(4, 4))
+
+
+_FIRST_CHOICE = choice.Choice(5, 0.05, 1.5, 0.9, gain=np.full((4, 1), 0.1), weights=np.zeros((5, 1)))
+
+
+def _choice_rows(spark, d):
+    """Rewards drive the values; every third trial shifts the choice."""
+    return choices(spark, d).withColumns({"u": F.array(F.col("reward").cast("double")), "z": F.array((F.col("t") % 3 == 0).cast("double"))})
+
+
+def _choice_em_sql():
+    m, sql = _FIRST_CHOICE, ", CR AS (SELECT series_id, t, choice, reward::DOUBLE AS reward, (t % 3 = 0)::INT::DOUBLE AS z FROM SERIES)"
+    carry = ("choice", "reward", "z")
+    u, z = np.array([O.column("reward")], object), O.column("z")
+    sql += ", " + O.choice_filter("CF", "CR", 4, m.noise, m.temperature, m.decay, _ZERO4, _EYE4, m.gain, u, carry) + ", " + O.choice_smoother("CS", "CF", 4, m.decay, (*carry, "ll"))
+    dot = lambda a, b: " + ".join(f"{a}{i} * {b}{i}" for i in range(4))
+    tr = lambda a: " + ".join(f"{a}{i}{i}" for i in range(4))
+    sums = [f"sum({dot('nm', 'nm')}) AS nn", f"sum({dot('nm', 'ms')}) AS xm", f"sum({dot('ms', 'ms')}) AS mm", f"sum({tr('nV')}) AS vn", f"sum({tr('Vs')}) AS vm", f"sum({tr('cross')}) AS vc"]
+    sums += [f"sum(nm{i} * nu) AS nu{i}, sum(ms{i} * nu) AS mu{i}" for i in range(4)] + ["sum(nu * nu) AS uu", "count(*)::DOUBLE AS steps"]
+    sql += f", ST AS (SELECT {', '.join(sums)} FROM (SELECT *, lead(reward) OVER (PARTITION BY series_id ORDER BY t) AS nu FROM CS) WHERE nu IS NOT NULL)"
+    sql += ", TH0 AS (SELECT " + ", ".join(f"0e0 AS th{k}" for k in range(5)) + ")"
+    for n in range(5):
+        logits = [f"{m.temperature} * {x} + z * th{k}" for k, x in enumerate(["0e0", *[f"ms{i}" for i in range(4)]])]
+        e = ", ".join(f"exp({x}) AS e{k}" for k, x in enumerate(logits))
+        p = ", ".join(f"e{k} / (e0 + e1 + e2 + e3 + e4) AS q{k}" for k in range(5))
+        g = ", ".join(f"any_value(th{k}) + 0.5 * sum(((choice = {k})::INT - q{k}) * z) / (sum(q{k} * (1 - q{k}) * z * z) + greatest(1e-9, 1e-12 * sum(q{k} * (1 - q{k}) * z * z))) AS th{k}" for k in range(5))
+        sql += f", TH{n + 1} AS (SELECT {g} FROM (SELECT *, {p} FROM (SELECT *, {e} FROM CS CROSS JOIN TH{n})))"
+    gain = ", ".join(f"(nu{i} - {m.decay} * mu{i}) / (uu + greatest(1e-9, 1e-12 * uu)) AS g{i}" for i in range(4))
+    by = lambda x: "(" + " + ".join(f"g{i} * {x}{i}" for i in range(4)) + ")"
+    sql += f", P1 AS (SELECT *, {gain} FROM ST), P2 AS (SELECT *, least(greatest((xm - {by('mu')}) / (mm + vm), 0.01), 1.0) AS decay FROM P1)"
+    square = "(" + " + ".join(f"g{i} * g{i}" for i in range(4)) + ") * uu"
+    sql += f", P3 AS (SELECT *, (nn - 2 * decay * xm + decay * decay * mm - 2 * {by('nu')} + 2 * decay * {by('mu')} + {square} + vn + decay * decay * vm - 2 * decay * vc) / steps / 4 AS noise FROM P2)"
+    sql += ", CR1 AS (SELECT CR.*, decay, noise, " + ", ".join([*[f"g{i}" for i in range(4)], *[f"th{k}" for k in range(5)]]) + " FROM CR CROSS JOIN P3 CROSS JOIN TH5)"
+    sql += ", " + O.choice_filter("CG", "CR1", 4, O.column("noise"), m.temperature, O.column("decay"), _ZERO4, _EYE4, O.columns("g", 4).reshape(4, 1), u, ("choice",), offset=[O.column(f"th{k}") * z for k in range(5)])
+    shown = ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ["noise", "decay", *[f"g{i}" for i in range(4)], *[f"th{k}" for k in range(5)]])
+    return sql + f" SELECT {shown}, round((SELECT sum(ll) FROM CF), 3) AS before, round((SELECT sum(ll) FROM CG), 3) AS after FROM P3 CROSS JOIN TH5"
+
+
+@_query(_choice_em_sql)
+def choice_em(spark, d):
+    got = choice.fit(_choice_rows(spark, d), _FIRST_CHOICE, "u", max_iter=1, learn=("gain", "weights", "decay", "noise"), features="z")
+    p = got.params
+    cells = {"noise": p.noise, "decay": p.decay} | {f"g{i}": p.gain[i, 0] for i in range(4)} | {f"th{k}": p.weights[k, 0] for k in range(5)}
+    values = [*[round(float(x), 5) + 0.0 for x in cells.values()], *[round(float(x), 3) for x in got.log_likelihoods]]
+    return spark.createDataFrame([tuple(values)], ", ".join(f"{c} double" for c in [*cells, "before", "after"]))
 
 
-@_query()
-def choice_em(spark, d):
-    got = choice.fit(choices(spark, d), choice.Choice(5, 0.05), max_iter=1, grid=[0.3, 1.0, 3.0])
-    return spark.createDataFrame([(float(got.params.noise), float(got.params.temperature), float(got.log_likelihood))], "noise double, temperature double, log_likelihood double")
+_TRIED = (0.5, 1.0, 2.0, 4.0)
+
+
+@_query(lambda: "".join(f", {O.choice_filter(f'CF{k}', 'SERIES', 4, 0.05, b, 0.95, _ZERO4, _EYE4)}" for k, b in enumerate(_TRIED)) + ", N AS (SELECT count(*)::DOUBLE AS n FROM SERIES), E AS ("
+    + " UNION ALL ".join(f"SELECT {b}e0 AS temperature, sum(ll) AS ll FROM CF{k}" for k, b in enumerate(_TRIED))
+    + ") SELECT temperature, round(ll, 3) AS log_evidence, round(-2 * ll + 3 * ln(n), 3) AS bic, round(-2 * ll + 6, 3) AS aic, round(2 * n * ln(5) - (-2 * ll + 3 * ln(n)), 3) AS delta_bic, 2 * n * ln(5) - (-2 * ll + 3 * ln(n)) > 2 AS detected FROM E CROSS JOIN N")
+def choice_comparison(spark, d):
+    """Inverse temperatures by their evidence in one pass, with criteria against even choices."""
+    rows = choices(spark, d)
+    lls, n = choice.log_evidence(rows, [choice.Choice(5, 0.05, b, 0.95) for b in _TRIED]), rows.count()
+    null = choice.bic(-n * math.log(5), 0, n)
+    made = [(b, round(x, 3), round(choice.bic(x, 3, n), 3), round(choice.aic(x, 3), 3), round(null - choice.bic(x, 3, n), 3), null - choice.bic(x, 3, n) > 2) for b, x in zip(_TRIED, lls)]
+    return spark.createDataFrame(made, "temperature double, log_evidence double, bic double, aic double, delta_bic double, detected boolean")
 
 
 def _contingency():
@@ -742,37 +866,149 @@ def _contingency():
     return hidden_markov.Contingency(reward, reward, np.array([[2.0], [-2.0]]), np.array([0.5, 0.5]), 1.0, np.array([[[0.3], [-0.3]]]))
 
 
-@_query()
+def _pick(values) -> O.Cell:
+    """The value of the chosen option."""
+    return O.Cell("CASE choice " + " ".join(f"WHEN {k} THEN ({v.sql if isinstance(v, O.Cell) else repr(float(v))})" for k, v in enumerate(values)) + " END")
+
+
+def _contingency_sql(rows: str, tag: str, logits, reward, prior, weights=None) -> str:
+    """BF, the filter of beliefs, and BS, the smoother; the logits of a row move with `u`."""
+    c = _contingency()
+    value = np.log(np.exp(c.temperature * c.value) / np.exp(c.temperature * c.value).sum(1, keepdims=True))
+
+    def transition(s):
+        free = [logits[i][0] + (weights[i] * O.column("u") if weights else 0.0) for i in range(2)]
+        stay = [s.let(1.0 / (1.0 + O.call("exp", -x)) if isinstance(x, O.Cell) else O.number(1 / (1 + math.exp(-x)))) for x in free]
+        return np.array([[x, 1.0 - x] for x in stay], object)
+
+    def loglik(s):
+        out = []
+        for k in range(2):
+            p = s.let(O.call("least", O.call("greatest", _pick(reward[k]), 1e-10), 1 - 1e-10))
+            out.append(s.let(_pick(value[k]) + O.Cell(f"CASE WHEN reward > 0 THEN ln({p.sql}) ELSE ln(1 - {p.sql}) END", p.depth)))
+        return out
+
+    kept = ("choice", "reward")
+    return ", " + O.chain_filter(f"BF{tag}", rows, 2, prior, transition, loglik, kept) + ", " + O.chain_smoother(f"BS{tag}", f"BF{tag}", 2, (*kept, "lz"))
+
+
+@_query(lambda: ", BR AS (SELECT series_id, t, choice, reward, (t % 2)::DOUBLE AS u FROM SERIES)" + _contingency_sql("BR", "", _contingency().logits.tolist(), _contingency().reward, _contingency().prior, [0.3, -0.3])
+    + ", BC AS (SELECT *, CASE WHEN pair00 + pair01 + pair10 + pair11 > 0 THEN pair00 + pair11 ELSE 0 END AS stays FROM BS) SELECT series_id, t, round(lz, 6) + 0.0 AS lz, round(sp0, 6) + 0.0 AS sp0, round(sp1, 6) + 0.0 AS sp1, "
+    + ", ".join(f"round(pair{i}{j}, 6) + 0.0 AS pair{i}{j}" for i in (0, 1) for j in (0, 1)) + ", round(stays, 6) + 0.0 AS stays FROM BC")
 def contingency_belief(spark, d):
     rows = choices(spark, d).withColumn("u", F.array((F.col("t") % 2).cast("double")))
-    return hidden_markov.contingency_posterior(rows, _contingency(), "u").withColumn("change", 1 - uncertainty.change_point(F.col("pair")))
+    got = hidden_markov.contingency_posterior(rows, _contingency(), "u").withColumn("stays", 1 - uncertainty.change_point(F.col("pair")))
+    return _cells(got, 6, lz=(), sp=(2,), pair=(2, 2), stays=())
+
+
+def _contingency_em_sql():
+    c = _contingency()
+    sql, rows, lls = ", BR AS (SELECT series_id, t, choice, reward FROM SERIES)", "BR", []
+    logits, reward, prior = c.logits.tolist(), c.reward, c.prior
+    for n in range(3):
+        sql += _contingency_sql(rows, str(n), logits, reward, prior)
+        lls.append(f"SELECT {n}::INT AS iteration, round(sum(lz), 2) AS log_likelihood FROM BF{n}")
+        if n < 2:
+            won = ", ".join(f"least(greatest(sum(sp{k} * reward) FILTER (WHERE choice = {o}) / sum(sp{k}) FILTER (WHERE choice = {o}), 1e-6), 1 - 1e-6) AS r{k}{o}" for k in (0, 1) for o in range(5))
+            free = ", ".join(f"ln(sum(pair{i}0) / sum(pair{i}1)) AS f{i}" for i in (0, 1))
+            first = ", ".join(f"sum(sp{k}) FILTER (WHERE t = 0) / (count(*) FILTER (WHERE t = 0)) AS b{k}" for k in (0, 1))
+            sql += f", BP{n} AS (SELECT {won}, {free}, {first} FROM BS{n}), BR{n} AS (SELECT BR.*, BP{n}.* FROM BR CROSS JOIN BP{n})"
+            rows, logits, reward, prior = f"BR{n}", [[O.column("f0")], [O.column("f1")]], O.columns("r", 2, 5), [O.column("b0"), O.column("b1")]
+    return sql + " " + " UNION ALL ".join(lls)
 
 
-@_query()
+@_query(_contingency_em_sql)
 def contingency_em(spark, d):
-    got = hidden_markov.fit_contingency(choices(spark, d), _contingency(), max_iter=2)
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(got.log_likelihoods)], "iteration int, log_likelihood double")
+    return _fit_rows(spark, hidden_markov.fit_contingency(choices(spark, d), _contingency(), max_iter=2).log_likelihoods)
 
 
-@_query()
+def _attempts(spark, d):
+    return choices(spark, d).select("series_id", "t", F.col("reward").alias("n_correct"), F.lit(1).alias("n_possible"))
+
+
+def _learner_sql(tag: str, rows: str, sigma2, x0, v0) -> str:
+    """LF, the filter of learning states, and LS, the smoother."""
+    bias = _LEARNER.bias
+
+    def step(s, m, v):
+        pv, x = s.let(v + sigma2 if isinstance(v, O.Cell) or isinstance(sigma2, O.Cell) else O.number(v + sigma2)), m
+        pm, y = m, O.column("reward")
+        for _ in range(10):
+            p = s.let(1.0 / (1.0 + O.call("exp", -(x + bias if isinstance(x, O.Cell) else O.number(x + bias)))))
+            x = s.let(x + (y - p - (x - pm) / pv) / (p * (1.0 - p) + 1.0 / pv))
+        eta = s.let(x + bias)
+        p = s.let(1.0 / (1.0 + O.call("exp", -eta)))
+        V = s.let(1.0 / (p * (1.0 - p) + 1.0 / pv))
+        ll = s.let(y * eta - O.call("ln", 1.0 + O.call("exp", eta)) - 0.5 * (x - pm) * (x - pm) / pv - 0.5 * O.call("ln", pv) + 0.5 * O.call("ln", V))
+        return O.named(m=x, v=V, pm=pm if isinstance(pm, O.Cell) else O.number(pm), pv=pv, ll=ll)
+
+    def later(s):
+        sm, sv, pm, pv = O.back("ms"), O.back("vs"), O.back("hm"), O.back("hv")
+        g = s.let(O.column("v") / pv)
+        return O.named(ms=s.let(O.column("m") + g * (sm - pm)), vs=s.let(O.column("v") + g * g * (sv - pv)), g=g, nm=sm, nv=sv, hm=O.column("pm"), hv=O.column("pv"))
+
+    last = lambda s: O.named(ms=O.column("m"), vs=O.column("v"), g=1.0, nm=0.0, nv=0.0, hm=O.column("pm"), hv=O.column("pv"))
+    filtered = O.recursion(f"LF{tag}", rows, lambda s: step(s, x0, v0), lambda s: step(s, O.back("m"), O.back("v")))
+    return f", {filtered}, " + O.recursion(f"LS{tag}", f"LF{tag}", last, later, carry=("ll",), backward=True)
+
+
+def _learner_model_sql():
+    sql, at, rows = "", (_LEARNER.sigma**2, _LEARNER.x0, _LEARNER.start_variance), "SERIES"
+    for n in range(3):
+        sql += _learner_sql(str(n), rows, *at)
+        if n < 2:
+            last = "t = max(t) OVER (PARTITION BY series_id)"
+            sql += f", LP{n} AS (SELECT greatest(sum((nm - ms) ** 2 + nv + vs - 2 * g * nv) FILTER (WHERE NOT last) / (count(*) FILTER (WHERE NOT last)), 1e-12) AS sigma2, sum(ms) FILTER (WHERE t = 0) / (count(*) FILTER (WHERE t = 0)) AS xzero FROM (SELECT *, {last} AS last FROM LS{n}))"
+            sql += f", LR{n} AS (SELECT series_id, t, reward, LP{n}.* FROM SERIES CROSS JOIN LP{n})"
+            start = _LEARNER.start_variance if _LEARNER.v0 is not None else O.column("sigma2")
+            rows, at = f"LR{n}", (O.column("sigma2"), O.column("xzero"), start)
+    shown = ", ".join(f"round(1 / (1 + exp(-({_LEARNER.bias} + ms + {z!r} * sqrt(vs)))), 5) AS p{q}" for q, z in ((5, _quantile(0.05)), (50, 0.0), (95, _quantile(0.95))))
+    return sql + f" SELECT series_id, t, round(ms, 5) + 0.0 AS ms, round(vs, 5) AS vs, {shown}, ms / sqrt(vs) > {_quantile(0.95)!r} AS above FROM LS2"
+
+
+def _quantile(p: float) -> float:
+    return learning.normal_quantile(p)
+
+
+@_query(_learner_model_sql)
 def learner_model(spark, d):
-    rows = choices(spark, d).select("series_id", "t", F.col("reward").alias("n_correct"), F.lit(1).alias("n_possible"))
-    got = learning.fit(rows, _LEARNER, max_iter=2)
-    return learning.curve(learning.smoothed(learning.filtered(rows, got.params)), got.params)
+    got = learning.fit(_attempts(spark, d), _LEARNER, max_iter=2)
+    rows = learning.curve(learning.smoothed(learning.filtered(_attempts(spark, d), got.params)), got.params)
+    return _cells(rows.withColumn("above", F.col("above") > 0.95), given=("series_id", "t", "above"), ms=(), vs=(), p5=(), p50=(), p95=())
 
 
-@_query()
+@_query(lambda: _learner_sql("", "SERIES", _LEARNER.sigma**2, _LEARNER.x0, _LEARNER.start_variance) + f""", CT AS (SELECT series_id, max(t) AS last, max(t) FILTER (WHERE ms / sqrt(vs) < {_quantile(0.95)!r}) AS fail FROM LS GROUP BY 1)
+SELECT series_id, CASE WHEN fail = last THEN NULL ELSE coalesce(fail + 1, 0) END AS trial FROM CT""")
 def learner_criterion(spark, d):
-    rows = choices(spark, d).select("series_id", "t", F.col("reward").alias("n_correct"), F.lit(1).alias("n_possible"))
-    shown = learning.curve(learning.smoothed(learning.filtered(rows, _LEARNER)), _LEARNER)
+    shown = learning.curve(learning.smoothed(learning.filtered(_attempts(spark, d), _LEARNER)), _LEARNER)
     return learning.criterion_trial(shown)
 
 
-@_query()
+@_query(lambda: _learner_sql("", "SERIES", _LEARNER.sigma**2, _LEARNER.x0, _LEARNER.start_variance) + """, CG AS (SELECT *, coalesce(sum(ln(greatest(g, 1e-300))) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM LS),
+CD AS (SELECT b.series_id, b.t AS j, (a.ms - b.ms) / sqrt(greatest(a.vs + b.vs - 2 * exp(b.upto - a.upto) * b.vs, 1e-12)) AS z FROM CG a JOIN CG b ON a.series_id = b.series_id AND a.t = 0 AND b.t > 0)
+SELECT series_id, min(j) AS trial FROM CD WHERE z < """ + repr(_quantile(0.2)) + " GROUP BY 1")
 def learner_comparisons(spark, d):
-    rows = choices(spark, d).select("series_id", "t", F.col("reward").alias("n_correct"), F.lit(1).alias("n_possible"))
-    smooth = learning.smoothed(learning.filtered(rows, _LEARNER)).select("series_id", "t", F.col("ms").alias("m"), F.col("vs").alias("v"), "g")
-    return learning.first_better(statistics.trial_comparisons(smooth))
+    smooth = learning.smoothed(learning.filtered(_attempts(spark, d), _LEARNER)).select("series_id", "t", F.col("ms").alias("m"), F.col("vs").alias("v"), "g")
+    return learning.first_better(statistics.trial_comparisons(smooth, reference=0), level=0.4)
+
+
+_RUNS = _BOUTS.format(what="reward = 1", least=0).split("SELECT series_id, min")[0]
+
+
+@_query(lambda: _RUNS + f"""SELECT series_id, min(t) AS "start", (max(t) + 1)::INT AS "end", count(*) AS length FROM g WHERE i GROUP BY series_id, g HAVING count(*) >= {learning.critical_run(0.25, 60)}""")
+def learner_runs(spark, d):
+    """Runs of successes longer than chance allows in 60 trials."""
+    return learning.significant_runs(choices(spark, d), F.col("reward") == 1, 0.25, 60)
+
+
+@_query(lambda: f", LN AS (SELECT count(*)::DOUBLE AS n, sum(reward * ln(0.4) + (1 - reward) * ln(0.6)) AS chance FROM SERIES)" + _learner_sql("", "SERIES", _LEARNER.sigma**2, _LEARNER.x0, _LEARNER.start_variance)
+    + " SELECT round(chance, 4) AS null_log_likelihood, round((SELECT sum(ll) FROM LF), 3) AS log_likelihood, round(-2 * (SELECT sum(ll) FROM LF) + 2 * ln(n), 3) AS bic FROM LN")
+def learner_null(spark, d):
+    """The learning model against trials at chance level."""
+    rows = _attempts(spark, d)
+    ll = learning.filtered(rows, _LEARNER).agg(F.sum("ll").alias("ll"), F.count("*").cast("double").alias("n"))
+    null = learning.null_log_likelihood(rows, 0.4).withColumnRenamed("ll", "chance")
+    return ll.join(F.broadcast(null)).select(F.round("chance", 4).alias("null_log_likelihood"), F.round("ll", 3).alias("log_likelihood"), F.round(-2 * F.col("ll") + 2 * F.ln("n"), 3).alias("bic"))
 
 
 @_query()

@@ -84,6 +84,10 @@ def column(name: str) -> Cell:
     return Cell(name)
 
 
+def number(x: float) -> Cell:
+    return Cell(f"({float(x)!r}::DOUBLE)")
+
+
 def columns(name: str, *shape: int) -> np.ndarray:
     """name0, name1 ..., or name00, name01 ..."""
     out = np.empty(shape, object)
@@ -166,9 +170,9 @@ def _boost(a: np.ndarray):
     return call("greatest", 1e-9, 1e-12 * top)
 
 
-def eliminated(s: Sheet, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, object]:
-    """Solution of the boosted positive system a x = b, and ln of its determinant."""
-    n, up = len(a), s.let(_boost(a))
+def eliminated(s: Sheet, a: np.ndarray, b: np.ndarray, boost: bool = True) -> tuple[np.ndarray, object]:
+    """Solution of the positive system a x = b, boosted, and ln of its determinant."""
+    n, up = len(a), s.let(_boost(a)) if boost else 0.0
     a, b = np.array(a, object), np.array(b, object).reshape(n, -1)
     for k in range(n):
         a[k, k] = a[k, k] + up
@@ -192,8 +196,8 @@ def eliminated(s: Sheet, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, obje
     return x, s.let(logs)
 
 
-def solved(s: Sheet, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = eliminated(s, a, b)[0]
+def solved(s: Sheet, a: np.ndarray, b: np.ndarray, boost: bool = True) -> np.ndarray:
+    x = eliminated(s, a, b, boost)[0]
     return x[:, 0] if np.ndim(b) == 1 else x
 
 
