@@ -12,7 +12,7 @@ from driftline.sheets import (
 
 __all__ = [
     "Cell", "Sheet", "back", "call", "chain_filter", "chain_smoother", "choice_filter", "choice_smoother", "column", "columns", "counted", "eliminated", "linear_filter",
-    "linear_smoother", "linear_step", "linear_sums", "measured", "mixed", "named", "names", "number", "predicted", "recursion", "rounded", "softmax_update", "solved",
+    "linear_smoother", "linear_step", "linear_sums", "measured", "mixed", "named", "names", "number", "predicted", "recursion", "rounded", "smoothed_back", "softmax_update", "solved",
     "switching_filter", "switching_smoother", "switching_step", "switching_sums", "switching_values",
 ]
 

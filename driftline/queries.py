@@ -1011,11 +1011,48 @@ def learner_null(spark, d):
     return ll.join(F.broadcast(null)).select(F.round("chance", 4).alias("null_log_likelihood"), F.round("ll", 3).alias("log_likelihood"), F.round(-2 * F.col("ll") + 2 * F.ln("n"), 3).alias("bic"))
 
 
-@_query()
+_RATE = gaussian_process.RateProcess(1.0, 0.5, 5.0, 1.0)
+
+
+def _temporal_rate_sql():
+    k = links.matern32(_RATE.lengthscale, _RATE.variance, _RATE.dt)
+    A, Q, P = (np.array(k[c]) for c in ("A", "Q", "P"))
+    offset, y = _RATE.mean + math.log(_RATE.dt), O.column("n")
+    sql, rows = f", {_DAILY}, TR AS (SELECT unit_id, bin AS t, n::DOUBLE AS n, 0e0 AS g FROM DAILY)", "TR"
+
+    def ahead(s, m, V):
+        g = O.column("g")
+        rate = s.let(O.call("exp", O.call("least", g + offset, 50.0)))
+        w = s.let(O.call("greatest", rate, gaussian_process.LEAST_WEIGHT))
+        value, r = s.let(g + (y - rate) / w), s.let(1.0 / w)
+        total = s.let(V[0, 0] + r)
+        gain, off = s.let(V[:, 0] / total), s.let(value - m[0])
+        ll = -0.5 * (O.call("ln", 2 * math.pi * total) + off * off / total)
+        sites = -0.5 * (O.call("ln", 2 * math.pi * r) + (value - g) * (value - g) / r)
+        ev = s.let(ll + y * (g + offset) - rate - O.call("lgamma", y + 1.0) - sites)
+        new = s.let(V - gain[:, None] * V[0][None, :])
+        return O.named(m=s.let(m + gain * off), V=s.let(0.5 * (new + new.T)), ev=ev)
+
+    def later(s):
+        ms, Vs, _ = O.smoothed_back(s, O.columns("m", 2), O.columns("V", 2, 2), A, Q, O.back("gs", 2), O.back("Vs", 2, 2))
+        return O.named(gs=ms, Vs=Vs)
+
+    for n in range(4):
+        first = lambda s: ahead(s, np.array([O.number(0.0)] * 2, object), np.array([[O.number(x) for x in row] for row in P], object))
+        sql += ", " + O.recursion(f"TF{n}", rows, first, lambda s: ahead(s, *O.predicted(s, O.back("m", 2), O.back("V", 2, 2), A, Q)), ("unit_id",), carry=("n", "g"))
+        last = lambda s: O.named(gs=O.columns("m", 2), Vs=O.columns("V", 2, 2))
+        sql += ", " + O.recursion(f"TS{n}", f"TF{n}", last, later, ("unit_id",), carry=("n", "ev"), backward=True)
+        sql += f", TR{n} AS (SELECT unit_id, t, n, ev, gs0 AS g, Vs00 AS var FROM TS{n})"
+        rows = f"TR{n}"
+    z = _quantile(0.975)
+    return sql + f" SELECT unit_id, t, n, round(g, 4) + 0.0 AS g, round(var, 5) AS var, round(ev, 4) + 0.0 AS ev, round(exp(g + 1.0 + var / 2), 4) AS rate, round(exp(g + 1.0 - {z!r} * sqrt(var)), 4) AS low, round(exp(g + 1.0 + {z!r} * sqrt(var)), 4) AS high FROM {rows}"
+
+
+@_query(_temporal_rate_sql)
 def temporal_rate(spark, d):
-    rows = _daily(spark, d).withColumnRenamed("bin", "t")
-    model = gaussian_process.RateProcess(1.0, 0.5, 5.0, 1.0)
-    return gaussian_process.rates(gaussian_process.infer(rows, model, n_iter=4), model)
+    rows = _daily(spark, d).withColumnRenamed("bin", "t").withColumn("n", F.col("n").cast("double"))
+    got = gaussian_process.rates(gaussian_process.infer(rows, _RATE, n_iter=4), _RATE)
+    return got.select("unit_id", "t", "n", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("g", 4), ("var", 5), ("ev", 4), ("rate", 4), ("low", 4), ("high", 4))])
 
 
 @_query()
@@ -1047,23 +1084,50 @@ def _field(spark, d):
     return v.withColumnRenamed("y", "lfp").join(rows, ["series_id", "t"])
 
 
+_FIELD = _VECTORS + ", FLD AS (SELECT *, (raw > 50)::INT::DOUBLE AS s0, (coalesce(lead(raw) OVER (PARTITION BY series_id ORDER BY t), 0) > 50)::INT::DOUBLE AS s1 FROM VEC)"
+
+
 def _bands():
     return coupling.Field(np.array([0.1]), np.array([0.9]), np.array([0.3]), 1.0, 1.0)
 
 
-@_query()
+def _coupling_sql():
+    m = _bands().linear()
+    sql = _FIELD + _linear_sql("FLD", (m.A, m.Q, m.H, m.R, m.m0, m.P0), "", ("s0", "s1")) + ", CB0 AS (SELECT 0e0 AS b00, 0e0 AS b01, 0e0 AS b10, 0e0 AS b11)"
+    for n in range(3):
+        sums = []
+        for k in (0, 1):
+            p = f"p{k}"
+            sums += [f"sum((s{k} - {p}) * ms{i}) AS g{k}{i}" for i in (0, 1)] + [f"sum({p} * (1 - {p}) * ms{i} * ms{j}) AS h{k}{i}{j}" for i in (0, 1) for j in (0, 1)]
+        chance = ", ".join(f"1 / (1 + exp(-greatest(least(ms0 * b{k}0 + ms1 * b{k}1 - 0.5, 30), -30))) AS p{k}" for k in (0, 1))
+        held = ", ".join(f"any_value(b{k}{i}) AS b{k}{i}" for k in (0, 1) for i in (0, 1))
+        s, cells = O.Sheet(), {}
+        for k in (0, 1):
+            prec = s.let(O.columns(f"h{k}", 2, 2) + np.eye(2) / 25.0)
+            b = O.columns(f"b{k}", 2)
+            move = O.solved(s, prec, s.let(O.columns(f"g{k}", 2) - b / 25.0), boost=False)
+            cov = O.eliminated(s, prec, np.eye(2), boost=False)[0]
+            cells |= O.named(**{f"b{k}": s.let(b + move), f"v{k}": cov})
+        sql += f", CB{n + 1} AS ({s.over(f'(SELECT {held}, {chr(44).join(sums)} FROM (SELECT *, {chance} FROM LS CROSS JOIN CB{n}))', (), cells)})"
+    each = " UNION ALL ".join(f"SELECT {k}::INT AS neuron, 0::INT AS band, b{k}0 AS re, b{k}1 AS im, v{k}00 AS var_re, v{k}11 AS var_im, v{k}01 AS cov FROM CB3" for k in (0, 1))
+    w = "(re * re * var_im - 2 * re * im * cov + im * im * var_re) / (var_re * var_im - cov * cov)"
+    return sql + f", CE AS ({each}) SELECT neuron, band, round(re, 6) AS re, round(im, 6) AS im, round(var_re, 8) AS var_re, round(var_im, 8) AS var_im, round(cov, 8) + 0.0 AS cov, round({w}, 4) AS w, round(exp(-{w} / 2), 6) AS p FROM CE"
+
+
+@_query(_coupling_sql)
 def coupling_laplace(spark, d):
     rows = coupling.smoothed_field(_field(spark, d), _bands(), keep=("spikes",))
     mean, cov = coupling.laplace_couplings(rows, np.array([-0.5, -0.5]), max_iter=3)
     made = spark.createDataFrame(coupling.coupling_rows(mean, cov), "neuron int, band int, re double, im double, var_re double, var_im double, cov double")
     w, p = statistics.wald(*[F.col(c) for c in ("re", "im", "var_re", "var_im", "cov")])
-    return made.withColumns({"w": w, "p": p})
+    shown = {"re": 6, "im": 6, "var_re": 8, "var_im": 8, "cov": 8, "w": 4, "p": 6}
+    return made.withColumns({"w": w, "p": p}).select("neuron", "band", *[(F.round(c, k) + 0.0).alias(c) for c, k in shown.items()])
 
 
 @_query()
 def coupling_gibbs(spark, d):
     rows = coupling.smoothed_field(_field(spark, d), _bands(), keep=("spikes",))
-    mean, cov, _ = coupling.gibbs_couplings(rows, np.array([-0.5, -0.5]), 6, 2)
+    mean, cov, _ = coupling.gibbs_couplings(rows, np.array([-0.5, -0.5]), 20, 5)
     return spark.createDataFrame(coupling.coupling_rows(mean, cov), "neuron int, band int, re double, im double, var_re double, var_im double, cov double")
 
 
@@ -1071,21 +1135,133 @@ def _hamiltonian(seed=0):
     return hamiltonian.made(1, 0.5, 4, seed, 0.05, C=np.eye(2), offset=np.zeros(2), R=np.eye(2), W=np.array([[0.3, 0.0], [0.0, 0.3]]), baseline=np.array([-1.0, -1.0]))
 
 
-@_query()
+_SPIKES = O.columns("s", 2)
+
+
+def _leapfrog(s, x, h, omega):
+    """Kick, drift, kick of one oscillator with a net of tanh units, and the Jacobian."""
+    dt, w2 = h.dt, omega * omega
+
+    def force(q):
+        g, k = w2 * q, w2
+        for w, b, v in zip(h.w[:, 0], h.b, h.v):
+            e = s.let(O.call("exp", 2.0 * (q * float(w) + float(b))))
+            t = s.let((e - 1.0) / (e + 1.0))
+            g = g + float(v * w) * (1.0 - t * t)
+            k = k + float(-2 * v * w * w) * (t * (1.0 - t * t))
+        return s.let(g), s.let(k)
+
+    q, p = x
+    g0, k0 = force(q)
+    half = s.let(p - dt / 2 * g0)
+    q1 = s.let(q + dt * half)
+    g1, k1 = force(q1)
+    a = s.let(1.0 - dt * dt / 2 * k0)
+    F_ = np.array([[a, dt], [s.let(-dt / 2 * k0 - dt / 2 * (k1 * a)), s.let(1.0 - dt * dt / 2 * k1)]], object)
+    return np.array([q1, s.let(half - dt / 2 * g1)], object), F_
+
+
+def _hamiltonian_update(s, m, P, h):
+    m, P, one = O.measured(s, m, P, _Y, h.C, h.R)
+    m, P, two = O.counted(s, m, P, _SPIKES, h.W, h.baseline, math.log(h.dt))
+    return m, P, s.let(one + two)
+
+
+def _hamiltonian_start(h):
+    m, P = h.prior()
+    return np.array([O.number(x) for x in m], object), np.array([[O.number(x) for x in row] for row in P], object)
+
+
+def _hamiltonian_sql(rows: str, tag: str = "", keys=("series_id",), omega=None) -> str:
+    h = _hamiltonian()
+    omega = O.number(float(h.omega[0])) if omega is None else omega
+
+    def step(s, m, P):
+        pm, J = _leapfrog(s, m, h, omega)
+        raw = s.let(s.let(J @ P) @ J.T + h.Q)
+        pV = s.let(0.5 * (raw + raw.T))
+        m, P, ll = _hamiltonian_update(s, pm, pV, h)
+        return O.named(m=m, V=P, pm=pm, pV=pV, J=J, ll=ll)
+
+    return ", " + O.recursion(f"HM{tag}", rows, lambda s: step(s, *_hamiltonian_start(h)), lambda s: step(s, O.back("m", 2), O.back("V", 2, 2)), keys)
+
+
+def _hamiltonian_smoother_sql():
+    hidden = lambda: O.named(hm=O.columns("pm", 2), hV=O.columns("pV", 2, 2), hJ=O.columns("J", 2, 2))
+    m, V = O.columns("m", 2), O.columns("V", 2, 2)
+
+    def later(s):
+        G = O.solved(s, O.back("hV", 2, 2), s.let(O.back("hJ", 2, 2) @ V)).T
+        ms = s.let(m + G @ s.let(O.back("ms", 2) - O.back("hm", 2)))
+        Vs = s.let(V + s.let(G @ s.let(O.back("Vs", 2, 2) - O.back("hV", 2, 2))) @ G.T)
+        return O.named(ms=ms, Vs=s.let(0.5 * (Vs + Vs.T))) | hidden()
+
+    back = O.recursion("HS", "HM", lambda s: O.named(ms=m, Vs=V) | hidden(), later, carry=("ll",), backward=True)
+    return _FIELD + _hamiltonian_sql("FLD") + f", {back} " + O.rounded("HS", O.names(ll=(), ms=(2,), Vs=(2, 2)))
+
+
+@_query(_hamiltonian_smoother_sql)
 def hamiltonian_smoother(spark, d):
-    return hamiltonian.smoothed(hamiltonian.filtered(_field(spark, d), _hamiltonian(), "lfp", "spikes"), 1)
+    got = hamiltonian.smoothed(hamiltonian.filtered(_field(spark, d), _hamiltonian(), "lfp", "spikes"), 1)
+    return _cells(got, ll=(), ms=(2,), Vs=(2, 2))
 
 
-@_query()
+def _hamiltonian_fit_sql():
+    h, width = _hamiltonian(), 1e-4
+    pull, free = 1e-4 * float((h.w**2).sum() + (h.v**2).sum()), math.log(math.expm1(1.0))
+    tried = " UNION ALL ".join(f"SELECT {k}::INT AS v, ln(1 + exp({free!r} + {e!r})) AS omega" for k, e in enumerate((0.0, width, -width)))
+    sql = _FIELD + f", TRY AS ({tried}), FLV AS (SELECT FLD.*, v, omega FROM FLD CROSS JOIN TRY)" + _hamiltonian_sql("FLV", "0", ("series_id", "v"), O.column("omega"))
+    sql += f", HL AS (SELECT v, -sum(ll) / count(*) + {pull!r} AS loss FROM HM0 GROUP BY 1), HG AS (SELECT (max(loss) FILTER (WHERE v = 1) - max(loss) FILTER (WHERE v = 2)) / {2 * width!r} AS g FROM HL)"
+    sql += f", HN AS (SELECT ln(1 + exp({free!r} - 0.01 * g / (abs(g) + 1e-8))) AS omega FROM HG), FLN AS (SELECT FLD.*, omega FROM FLD CROSS JOIN HN)" + _hamiltonian_sql("FLN", "1", omega=O.column("omega"))
+    return sql + f" SELECT 0::INT AS step, round(-loss, 6) AS mean_log_likelihood, 1e0 AS omega FROM HL WHERE v = 0 UNION ALL SELECT 1::INT, round(sum(ll) / count(*) - {pull!r}, 6), (SELECT round(omega, 6) FROM HN) FROM HM1"
+
+
+@_query(_hamiltonian_fit_sql)
 def hamiltonian_fit(spark, d):
     got = hamiltonian.fit(_field(spark, d), _hamiltonian(), steps=2, spikes="spikes", learn=("omega",))
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(got.log_likelihoods)], "step int, mean_log_likelihood double")
+    at = [1.0, round(float(got.params.omega[0]), 6)]
+    return spark.createDataFrame([(k, round(float(x), 6), at[k]) for k, x in enumerate(got.log_likelihoods)], "step int, mean_log_likelihood double, omega double")
 
 
-@_query()
+def _switching_hamiltonian_sql():
+    models, Z = [_hamiltonian(0), _hamiltonian(1)], [[0.95, 0.05], [0.05, 0.95]]
+
+    def shown(s, lj, ms, Ps):
+        top = s.let(O.call("greatest", *lj))
+        z = s.let(top + O.call("ln", sum(O.call("exp", x - top) for x in lj)))
+        out = O.named(p=np.array([s.let(O.call("exp", x - z)) for x in lj], object), ll=z)
+        for j in (0, 1):
+            out |= O.named(**{f"m{j}": ms[j], f"V{j}": Ps[j]})
+        return out
+
+    def moved(s, m, P, h):
+        pm, J = _leapfrog(s, m, h, O.number(float(h.omega[0])))
+        raw = s.let(s.let(J @ P) @ J.T + h.Q)
+        return pm, s.let(0.5 * (raw + raw.T))
+
+    def first(s):
+        got = [_hamiltonian_update(s, *moved(s, *_hamiltonian_start(h), h), h) for h in models]
+        return shown(s, [s.let(g[2] + math.log(0.5)) for g in got], [g[0] for g in got], [g[1] for g in got])
+
+    def later(s):
+        ms, Ps, p = [O.back(f"m{k}", 2) for k in (0, 1)], [O.back(f"V{k}", 2, 2) for k in (0, 1)], O.back("p", 2)
+        lj, out = [], []
+        for j, h in enumerate(models):
+            pred = s.let(p[0] * Z[0][j] + p[1] * Z[1][j])
+            each = [moved(s, ms[i], Ps[i], h) for i in (0, 1)]
+            m, P = O.mixed(s, [e[0] for e in each], [e[1] for e in each], [s.let(p[i] * Z[i][j] / pred) for i in (0, 1)])
+            got = _hamiltonian_update(s, m, P, h)
+            out.append(got)
+            lj.append(s.let(O.call("ln", pred) + got[2]))
+        return shown(s, lj, [g[0] for g in out], [g[1] for g in out])
+
+    return _FIELD + ", " + O.recursion("HW", "FLD", first, later) + " " + O.rounded("HW", O.names(m=(2, 2), p=(2,), ll=()))
+
+
+@_query(_switching_hamiltonian_sql)
 def switching_hamiltonian(spark, d):
     got = hamiltonian.switching_filtered(_field(spark, d), [_hamiltonian(0), _hamiltonian(1)], np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5]), "lfp", "spikes")
-    return got.select("series_id", "t", "m", "p", "ll")
+    return _cells(got, m=(2, 2), p=(2,), ll=())
 
 
 def _oscillators():
