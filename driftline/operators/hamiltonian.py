@@ -15,7 +15,7 @@ from driftline.operators.kalman import measured
 from driftline.operators.matrices import mv, psd_solve, symmetric, transposed
 from driftline.operators.point_process import laplace, poisson
 from driftline.plans import fitting
-from driftline.plans.fold import fold, totals
+from driftline.plans.fold import evidence, fold, totals
 
 
 @dataclass(frozen=True)
@@ -149,26 +149,29 @@ def fit(series: DataFrame, model: Hamiltonian, steps: int = 20, lfp: str | None
     return fitting.Fit(replace(model, **got.params), got.log_likelihoods, got.converged)
 
 
-def switching_filtered(series: DataFrame, models: list[Hamiltonian], Z: np.ndarray, prior: np.ndarray, lfp: str | None = "lfp", spikes: str | None = None, key: str = "series_id", order: str = "t") -> DataFrame:
-    """(key, order, m, P, p, ll) of several Hamiltonians: states are mixed after the prediction, so that each row takes K updates."""
+def _moved(m, P, h: Hamiltonian):
+    pm, F = leapfrog(m, h)
+    return pm, symmetric(F @ P @ transposed(F) + h.Q), F
+
+
+def _switching_steps(models: list[Hamiltonian], Z: np.ndarray, prior: np.ndarray, lfp: str | None, spikes: str | None):
+    """start and step of the filter: states are mixed after the prediction, so that each row takes K updates; the chain moves into the first row too."""
     from driftline.operators.matrices import log_sum_exp, safe_log
     from driftline.operators.switching import collapse
 
-    K, d = len(models), 2 * models[0].n
-    given = [c for c in (lfp, spikes) if c]
+    K = len(models)
 
     def start(n):
         m, P = models[0].prior()
         return {"m": np.tile(m, (n, K, 1)), "V": np.tile(P, (n, K, 1, 1)), "p": np.repeat(np.asarray(prior, float)[None], n, 0)}
 
     def step(s, x, fresh):
-        joint = np.where(fresh[:, None, None], s["p"][:, :, None] * np.eye(K), s["p"][:, :, None] * Z)
+        joint = s["p"][:, :, None] * Z
         pred = joint.sum(1)
         w = np.where(pred[:, None] > 0, joint / np.where(pred > 0, pred, 1)[:, None], 1 / K)
         out_m, out_P, lls = [], [], []
         for j, h in enumerate(models):
-            pm, F = leapfrog(s["m"], h)
-            pv = symmetric(F @ s["V"] @ transposed(F) + h.Q)
+            pm, pv, _ = _moved(s["m"], s["V"], h)
             m, P = collapse(pm, pv, w[:, :, j], 1)
             m, P, ll = updated(m, P, h, x[lfp] if lfp else None, x[spikes] if spikes else None)
             out_m.append(m)
@@ -179,5 +182,62 @@ def switching_filtered(series: DataFrame, models: list[Hamiltonian], Z: np.ndarr
         m, P, p = np.stack(out_m, 1), np.stack(out_P, 1), np.exp(lj - z[:, None])
         return {"m": m, "V": P, "p": p}, {"m": m, "V": P, "p": p, "ll": z}
 
-    assert d == models[0].Q.shape[0]
-    return fold(series, key, order, start, step, {"m": 2, "V": 3, "p": 1, "ll": 0}, given)
+    return start, step
+
+
+def switching_filtered(series: DataFrame, models: list[Hamiltonian], Z: np.ndarray, prior: np.ndarray, lfp: str | None = "lfp", spikes: str | None = None, key: str = "series_id", order: str = "t") -> DataFrame:
+    """(key, order, m, V, p, ll) of several Hamiltonians."""
+    given = [c for c in (lfp, spikes) if c]
+    return fold(series, key, order, *_switching_steps(models, np.asarray(Z, float), prior, lfp, spikes), {"m": 2, "V": 3, "p": 1, "ll": 0}, given)
+
+
+def switching_smoothed(rows: DataFrame, models: list[Hamiltonian], Z: np.ndarray, key: str = "series_id", order: str = "t", keep=("ll",)) -> DataFrame:
+    """(key, order, keep, ms, Vs, ps): backward over pairs of a state and the next, collapsed over the next."""
+    from driftline.operators.switching import collapse
+
+    K, d = len(models), 2 * models[0].n
+    Z = np.asarray(Z, float)
+
+    def start(n):
+        return {"m": np.zeros((n, K, d)), "V": np.zeros((n, K, d, d)), "p": np.zeros((n, K))}
+
+    def step(s, x, fresh):
+        joint = x["p"][:, :, None] * Z
+        pred = joint.sum(1, keepdims=True)
+        joint = np.where(pred > 0, joint / np.where(pred > 0, pred, 1), 0) * s["p"][:, None, :]
+        ps = joint.sum(2)
+        w = np.where(ps[:, :, None] > 0, joint / np.where(ps > 0, ps, 1)[:, :, None], 1 / K)
+        pairs_m, pairs_P = [], []
+        for k, h in enumerate(models):
+            pm, pv, F = _moved(x["m"], x["V"], h)
+            j = transposed(psd_solve(pv, F @ x["V"]))
+            pairs_m.append(x["m"] + mv(j, s["m"][:, None, k] - pm))
+            pairs_P.append(symmetric(x["V"] + j @ (s["V"][:, None, k] - pv) @ transposed(j)))
+        m, P = collapse(np.stack(pairs_m, 2), np.stack(pairs_P, 2), w, 2)
+        total = ps.sum(1, keepdims=True)
+        ps = ps / np.where(total > 0, total, 1)
+        e = fresh[:, None]
+        m, P, ps = np.where(e[..., None], x["m"], m), np.where(e[..., None, None], x["V"], P), np.where(e, x["p"], ps)
+        return {"m": m, "V": P, "p": ps}, {"ms": m, "Vs": P, "ps": ps}
+
+    return fold(rows, key, order, start, step, {"ms": 2, "Vs": 3, "ps": 1}, ["m", "V", "p"], keep, backward=True)
+
+
+def fit_switching(series: DataFrame, models: list[Hamiltonian], Z: np.ndarray, prior: np.ndarray, steps: int = 20, lfp: str | None = "lfp", spikes: str | None = None, ridge: float = 1e-4, rate: float = 1e-2, learn: tuple[str, ...] = ("omega", "w", "b", "v", "Z", "prior"), key: str = "series_id", order: str = "t") -> fitting.Fit:
+    """Adam over the chain and each state's Hamiltonian by the filter's evidence less an L2 pull on the nets; params: (models, Z, prior)."""
+    own = [c for c in learn if c not in ("Z", "prior")]
+    at = {f"{c}{k}": np.asarray(getattr(h, c), float) for k, h in enumerate(models) for c in own}
+    at |= {c: np.asarray(x, float) for c, x in (("Z", Z), ("prior", prior)) if c in learn}
+    spec = {c: fitting.STOCHASTIC_ROW if c in ("Z", "prior") else fitting.POSITIVE if c.startswith("omega") else fitting.UNCONSTRAINED for c in at}
+
+    def build(p):
+        made = [replace(h, **{c: p[f"{c}{k}"] for c in own}) for k, h in enumerate(models)]
+        return made, p.get("Z", np.asarray(Z, float)), p.get("prior", np.asarray(prior, float))
+
+    def pull(p):
+        return ridge * sum(float((h.w**2).sum() + (h.v**2).sum()) for h in build(p)[0])
+
+    given = [c for c in (lfp, spikes) if c]
+    values = lambda ps: evidence(series, [_switching_steps(*build(p), lfp, spikes) for p in ps], given, key, order)
+    got = fitting.by_gradient(at, spec, values, series.count(), steps, rate, pull)
+    return fitting.Fit(build(got.params), got.log_likelihoods, got.converged)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 
 from driftline.operators.matrices import log_sum_exp, safe_log, softmax
 from driftline.plans import scan
-from driftline.plans.fitting import Fit, bfgs, em
-from driftline.plans.fold import fold, totals
+from driftline.plans.fitting import POSITIVE, STOCHASTIC_ROW, UNCONSTRAINED, UNIT_INTERVAL, Fit, bfgs, by_gradient, em
+from driftline.plans.fold import evidence, fold, totals
 
 # ---------------------------------------------------------------- two states, in SQL
 
@@ -169,10 +169,9 @@ def trial_log_likelihood(choice: np.ndarray, reward: np.ndarray, c: Contingency)
     return chosen + np.where(reward[:, None] > 0, np.log(p), np.log1p(-p))
 
 
-def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t") -> DataFrame:
-    """(key, order, choice, reward, lz, sp, pair, last): smoothed belief of every trial."""
+def contingency_steps(c: Contingency, covariates: str | None = None):
+    """start and step of the forward pass over trials."""
     n = len(c.prior)
-    moves = [covariates] if covariates else []
 
     def start(m):
         return {"p": np.repeat(np.asarray(c.prior, float)[None], m, 0)}
@@ -184,16 +183,38 @@ def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | N
         joint = np.log(np.maximum(pred, 1e-30)) + trial_log_likelihood(x["choice"], x["reward"], c)
         z = log_sum_exp(joint, -1)
         p = np.exp(joint - z[:, None])
-        return {"p": p}, {"p": p, "pred": pred, "lz": z, "moves": T}
+        return {"p": p}, {"p": p, "pred": pred, "lz": z, "ll": z, "moves": T}
+
+    return start, step
+
+
+def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t") -> DataFrame:
+    """(key, order, choice, reward, lz, sp, pair, last): smoothed belief of every trial."""
+    given = ["choice", "reward", *([covariates] if covariates else [])]
+    got = fold(trials, key, order, *contingency_steps(c, covariates), {"p": 1, "pred": 1, "lz": 0, "moves": 2}, given, given)
+    return backward(got, None, len(c.prior), "moves", key, order, given)
+
 
-    given = ["choice", "reward", *moves]
-    got = fold(trials, key, order, start, step, {"p": 1, "pred": 1, "lz": 0, "moves": 2}, given, given)
-    return backward(got, None, n, "moves", key, order, given)
+def fit_contingency_gradient(trials: DataFrame, c: Contingency, covariates: str | None = None, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("reward", "logits", "weights", "prior", "temperature"), key: str = "series_id", order: str = "t") -> Fit:
+    """Adam over any of the parameters by the evidence; weights only with covariates."""
+    spec = {"reward": UNIT_INTERVAL, "value": UNCONSTRAINED, "logits": UNCONSTRAINED, "weights": UNCONSTRAINED, "prior": STOCHASTIC_ROW, "temperature": POSITIVE}
+    learn = tuple(x for x in learn if x != "weights" or (covariates and c.weights is not None))
+    at = {x: np.atleast_1d(np.asarray(getattr(c, x), float)) for x in learn}
+    put = lambda p: replace(c, **{x: float(v[0]) if x == "temperature" else v for x, v in p.items()})
+    given = ["choice", "reward", *([covariates] if covariates else [])]
+    values = lambda ps: evidence(trials, [contingency_steps(put(p), covariates) for p in ps], given, key, order)
+    got = by_gradient(at, {x: spec[x] for x in learn}, values, trials.count(), steps, rate)
+    return Fit(put(got.params), got.log_likelihoods, got.converged)
 
 
-def fit_contingency(trials: DataFrame, c: Contingency, max_iter: int = 20, tolerance: float = 1e-4, concentration: float = 1.0, stickiness: float = 0.0, ridge: float = 1e-5, key: str = "series_id", order: str = "t") -> Fit:
-    """EM: reward chances by weighted counts, transition rows by the expected counts with a Dirichlet prior."""
+def fit_contingency(trials: DataFrame, c: Contingency, max_iter: int = 20, tolerance: float = 1e-4, concentration: float = 1.0, stickiness: float = 0.0, ridge: float = 1e-5, key: str = "series_id", order: str = "t", covariates: str | None = None) -> Fit:
+    """EM: reward chances by weighted counts, transition rows by the expected counts with a Dirichlet prior.
+
+    With covariates, a row's logits and its weights are fitted together by quasi-Newton steps, whose values and
+    gradients are summed over all steps in one job each; `ridge` holds the weights.
+    """
     k, n_options = c.reward.shape
+    moved = bool(covariates and c.weights is not None)
 
     def e_step(c):
         def make(x):
@@ -204,8 +225,39 @@ def fit_contingency(trials: DataFrame, c: Contingency, max_iter: int = 20, toler
                 "pair": x["pair"].sum(0), "first": x["sp"][first].sum(0), "n": np.array([len(first), first.sum()], float), "ll": np.array(x["lz"].sum()),
             }
 
-        got = totals(contingency_posterior(trials, c, None, key, order), [order, "choice", "reward", "lz", "sp", "pair"], make)
-        return float(got["ll"]), got
+        rows = contingency_posterior(trials, c, covariates if moved else None, key, order)
+        got = totals(rows, [order, "choice", "reward", "lz", "sp", "pair"], make)
+        return float(got["ll"]), got | ({"rows": rows} if moved else {})
+
+    def refit(c, rows):
+        """Logits and weights: Newton steps of a multinomial regression of the expected moves on the next trial's covariates."""
+        from pyspark.sql import functions as F
+        from pyspark.sql.window import Window
+
+        ahead = F.lead(covariates).over(Window.partitionBy(key).orderBy(order))
+        moves = rows.select(ahead.alias("__u"), "pair").filter("__u IS NOT NULL")
+        d = c.weights.shape[0]
+        logits, weights = c.logits.copy(), c.weights.copy()
+        for _ in range(8):
+            def make(x, logits=logits, weights=weights):
+                v = np.concatenate([np.ones((len(x["__u"]), 1)), x["__u"]], 1)
+                p = centred_softmax(logits + np.einsum("sd,dij->sij", x["__u"], weights))
+                row = x["pair"].sum(2)
+                g = np.einsum("sij,sd->ijd", (x["pair"] - row[..., None] * p)[..., :-1], v)
+                q = p[..., :-1]
+                h = np.einsum("si,sij,jk,sd,se->ijdke", row, q, np.eye(k - 1), v, v) - np.einsum("si,sij,sik,sd,se->ijdke", row, q, q, v, v)
+                return {"g": g, "h": h}
+
+            s = totals(moves, ["__u", "pair"], make)
+            for i in range(k):
+                size = (k - 1) * (d + 1)
+                hold = np.tile([0.0, *[ridge] * d], k - 1)
+                now = np.concatenate([logits[i][:, None], weights[:, i].T], 1)
+                pull = s["g"][i].ravel() - hold * now.ravel()
+                step = np.linalg.solve(s["h"][i].reshape(size, size) + np.diag(hold + 1e-9), pull).reshape(k - 1, d + 1)
+                step = step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+                logits[i], weights[:, i] = now[:, 0] + step[:, 0], (now[:, 1:] + step[:, 1:]).T
+        return logits, weights
 
     def m_step(c, s):
         reward = np.where(s["count"] > 0, s["won"] / np.where(s["count"] > 0, s["count"], 1), c.reward)
@@ -216,7 +268,10 @@ def fit_contingency(trials: DataFrame, c: Contingency, max_iter: int = 20, toler
             lp = np.log(np.maximum(centred_softmax(free), 1e-300))
             return -(s["pair"][i] * lp).sum() / steps - ((alpha[i] - 1) * lp).sum() / steps
 
-        logits = np.stack([bfgs(lambda f, i=i: row_loss(f, i), c.logits[i]) for i in range(k)])
-        return replace(c, reward=np.clip(reward, 1e-6, 1 - 1e-6), logits=logits, prior=s["first"] / max(s["n"][1], 1))
+        new = replace(c, reward=np.clip(reward, 1e-6, 1 - 1e-6), prior=s["first"] / max(s["n"][1], 1))
+        if moved:
+            logits, weights = refit(c, s["rows"])
+            return replace(new, logits=logits, weights=weights)
+        return replace(new, logits=np.stack([bfgs(lambda f, i=i: row_loss(f, i), c.logits[i]) for i in range(k)]))
 
     return em(c, e_step, m_step, max_iter, tolerance)

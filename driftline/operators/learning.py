@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from driftline.functions.links import normal_cdf, sigmoid
 from driftline.operators.matrices import log_gamma, normal_quantile
 from driftline.operators.preprocessing import runs
-from driftline.plans.fitting import Fit, em
-from driftline.plans.fold import fold, totals
+from driftline.plans.fitting import POSITIVE, UNCONSTRAINED, Fit, by_gradient, em
+from driftline.plans.fold import evidence, fold, totals
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,8 @@ class Learner:
         return self.sigma**2 if self.v0 is None else self.v0
 
 
-def filtered(trials: DataFrame, model: Learner, key: str = "series_id", order: str = "t", correct: str = "n_correct", possible: str = "n_possible", steps: int = 10) -> DataFrame:
-    """(key, order, correct, possible, m, v, pm, pv, ll): mode by Newton steps, variance by its curvature."""
+def steps_of(model: Learner, correct: str = "n_correct", possible: str = "n_possible", steps: int = 10):
+    """start and step of the filter."""
 
     def start(n):
         return {"m": np.full(n, model.x0), "v": np.full(n, model.start_variance)}
@@ -58,7 +58,12 @@ def filtered(trials: DataFrame, model: Learner, key: str = "series_id", order: s
         ll = ways + y * eta - n * np.logaddexp(0, eta) - 0.5 * (m - pm) ** 2 / pv - 0.5 * np.log(pv) + 0.5 * np.log(v)
         return {"m": m, "v": v}, {"m": m, "v": v, "pm": pm, "pv": pv, "ll": ll}
 
-    return fold(trials, key, order, start, step, {"m": 0, "v": 0, "pm": 0, "pv": 0, "ll": 0}, [correct, possible], [correct, possible])
+    return start, step
+
+
+def filtered(trials: DataFrame, model: Learner, key: str = "series_id", order: str = "t", correct: str = "n_correct", possible: str = "n_possible", steps: int = 10) -> DataFrame:
+    """(key, order, correct, possible, m, v, pm, pv, ll): mode by Newton steps, variance by its curvature."""
+    return fold(trials, key, order, *steps_of(model, correct, possible, steps), {"m": 0, "v": 0, "pm": 0, "pv": 0, "ll": 0}, [correct, possible], [correct, possible])
 
 
 def smoothed(rows: DataFrame, key: str = "series_id", order: str = "t", keep=("ll",)) -> DataFrame:
@@ -96,6 +101,15 @@ def fit(trials: DataFrame, model: Learner, max_iter: int = 20, tolerance: float
     return em(model, e_step, m_step, max_iter, tolerance)
 
 
+def fit_gradient(trials: DataFrame, model: Learner, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("sigma", "x0"), key: str = "series_id", order: str = "t") -> Fit:
+    """Adam over sigma and the initial state by the filter's evidence."""
+    spec = {"sigma": POSITIVE, "x0": UNCONSTRAINED}
+    put = lambda p: replace(model, **{c: float(p[c][0]) for c in learn})
+    values = lambda ps: evidence(trials, [steps_of(put(p)) for p in ps], ["n_correct", "n_possible"], key, order)
+    got = by_gradient({c: np.array([getattr(model, c)], float) for c in learn}, {c: spec[c] for c in learn}, values, trials.count(), steps, rate)
+    return Fit(put(got.params), got.log_likelihoods, got.converged)
+
+
 def curve(rows: DataFrame, model: Learner, percentiles: tuple[float, ...] = (5.0, 50.0, 95.0)) -> DataFrame:
     """Adds p<percentile> of the chance of success, and above: the chance that it exceeds chance level.
 

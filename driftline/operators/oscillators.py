@@ -5,6 +5,8 @@ An oscillator is two numbers; a 2 x 2 block of a matrix says how one turns anoth
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from driftline.operators.matrices import block_diagonal, project_psd, shift_to_psd
@@ -243,3 +245,54 @@ def refit_directed(gamma1: np.ndarray, beta: np.ndarray, start: dict[str, np.nda
 def couplings(A: np.ndarray) -> list[tuple[int, int, int, float]]:
     """Edge rows (state, i, j, c) of transitions (states, 2n, 2n), for the penalties."""
     return [(k, i, j, scale_and_angle(b[i, j])[0]) for k, a in enumerate(A) for b in [to_blocks(a)] for i in range(len(b)) for j in range(len(b))]
+
+
+# ---------------------------------------------------------------- gradient fits
+
+
+@dataclass(frozen=True)
+class Penalty:
+    """Weights of the pulls on couplings (states, n, n): edge by edge, by blocks of areas in each state, and by blocks over all states."""
+
+    edge: float = 0.0
+    area: float = 0.0
+    shared: float = 0.0
+    areas: tuple[int, ...] | None = None
+    eps: float = 1e-8
+
+    def __post_init__(self):
+        if min(self.edge, self.area, self.shared) < 0 or self.eps <= 0:
+            raise ValueError("weights of penalties are not negative, eps is positive")
+        if (self.area or self.shared) and self.areas is None:
+            raise ValueError("penalties of areas need the area of each oscillator")
+
+    def of(self, strength: np.ndarray) -> float:
+        s = np.asarray(strength, float) * (1 - np.eye(np.shape(strength)[-1]))
+        norm = lambda q: np.sqrt(q + self.eps) - np.sqrt(self.eps)
+        off = ~np.eye(s.shape[-1], dtype=bool)
+        total = self.edge * norm(s[:, off] ** 2).sum()
+        if self.areas is not None:
+            who = (np.unique(self.areas)[:, None] == np.asarray(self.areas)).astype(float)
+            blocks = np.einsum("ai,sij,bj->sab", who, s**2, who)
+            some = np.einsum("ai,ij,bj->ab", who, off.astype(float), who) > 0
+            total += self.area * norm(blocks[:, some]).sum() + self.shared * norm(blocks.sum(0)[some]).sum()
+        return float(total)
+
+
+def gradient_family(kind: str, fs: float = 1.0, penalty: Penalty | None = None):
+    """spec, build and penalty for switching.fit_gradient: `common`, `correlated` or `directed` oscillators, by their own parameters.
+
+    Parameters: freqs, damping, variance, H and r, stay (common); variance, phase and strength of each state (correlated,
+    directed, whose variance is one for all). Whatever `at` holds of them is learned; the rest is passed to build in `fixed`.
+    """
+    from driftline.plans.fitting import POSITIVE, UNCONSTRAINED, UNIT_INTERVAL
+
+    spec = {"freqs": POSITIVE, "damping": UNIT_INTERVAL, "variance": POSITIVE, "H": UNCONSTRAINED, "r": POSITIVE, "stay": UNIT_INTERVAL, "phase": UNCONSTRAINED, "strength": UNCONSTRAINED}
+    make = {"common": common_model, "correlated": correlated_model, "directed": directed_model}[kind]
+
+    def build(fixed: dict):
+        one = lambda v: float(np.ravel(v)[0])
+        return lambda p: make(fs=fs, **{c: one(v) if c in ("r", "stay") else v for c, v in (fixed | p).items()})
+
+    pull = (lambda p: penalty.of(p["strength"])) if penalty else (lambda p: 0.0)
+    return spec, build, pull

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 
 from driftline.operators import kalman
 from driftline.operators.matrices import log_det, log_gamma, mv, project_psd, psd_solve, symmetric, transposed, vec_solve
-from driftline.plans.fitting import Fit, em
-from driftline.plans.fold import fold, totals
+from driftline.plans.fitting import PSD_MATRIX, UNCONSTRAINED, Fit, by_gradient, em
+from driftline.plans.fold import evidence, fold, totals
 
 MOST_LOG_COUNT = 20.0
 
@@ -103,11 +103,8 @@ class Counts:
     steps: int = 1
 
 
-def filtered(series: DataFrame, model: Counts, key: str = "unit_id", order: str = "t", y: str = "n", design: str = "z", family: Family | None = None, keep=()) -> DataFrame:
-    """(key, order, y, design, m, P, ll); `design` holds the row's weights of the state, y one count.
-
-    Units are independent given their own states, so each is a series: no dense state of all units is built.
-    """
+def steps_of(model: Counts, y: str = "n", design: str = "z", family: Family | None = None):
+    """start and step of the filter."""
     family = family or poisson(model.dt)
 
     def start(n):
@@ -119,7 +116,15 @@ def filtered(series: DataFrame, model: Counts, key: str = "unit_id", order: str
         m, P, ll = laplace(pm, pv, x[y][:, None].astype(float), Z, 0.0, family, model.steps)
         return {"m": m, "V": P}, {"m": m, "V": P, "ll": ll}
 
-    return fold(series, key, order, start, step, {"m": 1, "V": 2, "ll": 0}, [y, design], [y, design, *keep])
+    return start, step
+
+
+def filtered(series: DataFrame, model: Counts, key: str = "unit_id", order: str = "t", y: str = "n", design: str = "z", family: Family | None = None, keep=()) -> DataFrame:
+    """(key, order, y, design, m, P, ll); `design` holds the row's weights of the state, y one count.
+
+    Units are independent given their own states, so each is a series: no dense state of all units is built.
+    """
+    return fold(series, key, order, *steps_of(model, y, design, family), {"m": 1, "V": 2, "ll": 0}, [y, design], [y, design, *keep])
 
 
 def smoothed(rows: DataFrame, model: Counts, key: str = "unit_id", order: str = "t", keep=("n", "z", "ll")) -> DataFrame:
@@ -152,6 +157,16 @@ def fit(series: DataFrame, model: Counts, max_iter: int = 10, tolerance: float =
     return em(model, e_step, m_step, max_iter, tolerance)
 
 
+def fit_gradient(series: DataFrame, model: Counts, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("A", "Q", "m0"), key: str = "unit_id", order: str = "t", y: str = "n", design: str = "z", family: Family | None = None) -> Fit:
+    """Adam over any of A, Q, m0 and P0 by the filter's evidence; drifting place fields are such models too."""
+    from dataclasses import replace
+
+    spec = {"A": UNCONSTRAINED, "Q": PSD_MATRIX, "m0": UNCONSTRAINED, "P0": PSD_MATRIX}
+    values = lambda ps: evidence(series, [steps_of(replace(model, **p), y, design, family) for p in ps], [y, design], key, order)
+    got = by_gradient({c: np.asarray(getattr(model, c), float) for c in learn}, {c: spec[c] for c in learn}, values, series.count(), steps, rate)
+    return Fit(replace(model, **got.params), got.log_likelihoods, got.converged)
+
+
 def steepest_descent(series: DataFrame, start_at: np.ndarray, gain: float, dt: float, log_rate: Callable, gradient: Callable, key: str = "unit_id", order: str = "t", y: str = "n", position: str = "x") -> DataFrame:
     """(key, order, m): x += gain * grad log rate * (count - expected count), with given functions of position and state."""
 

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from driftline.operators.kalman import measured
 from driftline.operators.matrices import log_det, log_sum_exp, mv, project_psd, psd_solve, safe_log, symmetric, transposed
-from driftline.plans.fitting import Fit, em
-from driftline.plans.fold import fold, totals
+from driftline.plans.fitting import PSD_MATRIX, STOCHASTIC_ROW, UNCONSTRAINED, Fit, Transform, by_gradient, em, stacked
+from driftline.plans.fold import evidence, fold, totals
 
 #: Smoothed covariances are held to this many times the trace of the filter's.
 TRACE_CAP = 1e8
@@ -86,11 +86,8 @@ def discrete_update(ll: np.ndarray, Z: np.ndarray, p: np.ndarray) -> tuple[np.nd
     return post, w, z
 
 
-def filtered(series: DataFrame, model: Switching, inputs: list[str], key: str = "series_id", order: str = "t", pairs: bool = False, keep=()) -> DataFrame:
-    """(key, order, keep, m, P, p, ll): moments of each state and its chance; with `pairs` also those given the state before.
-
-    inputs: the observation columns; `observe` gets them as one array if there is one, else as a tuple.
-    """
+def steps_of(model: Switching, inputs: list[str], pairs: bool = False, scores: bool = False) -> tuple[Callable, Callable]:
+    """start and step of the filter."""
     K, d = model.m0.shape
 
     def start(n):
@@ -111,7 +108,7 @@ def filtered(series: DataFrame, model: Switching, inputs: list[str], key: str =
         z = log_sum_exp(joint, 1)
         p = np.exp(joint - z[:, None])
         rep = lambda x: np.repeat(x[:, None], K, 1)
-        return m, P, p, z, rep(m), rep(P), rep(p) / K
+        return m, P, p, z, rep(m), rep(P), rep(p) / K, np.zeros((len(m), K, K))
 
     def later(s, rows):
         pm = np.einsum("jab,sib->sija", model.A, s["m"])
@@ -119,7 +116,7 @@ def filtered(series: DataFrame, model: Switching, inputs: list[str], key: str =
         m, P, ll = observed(pm, symmetric(pv), rows)
         p, w, z = discrete_update(ll, model.Z, s["p"])
         cm, cP = collapse(m, P, w, 1)
-        return cm, cP, p, z, m, P, w * p[:, None, :]
+        return cm, cP, p, z, m, P, w * p[:, None, :], ll
 
     def step(s, x, fresh):
         rows = x[inputs[0]] if len(inputs) == 1 else tuple(x[c] for c in inputs)
@@ -135,14 +132,25 @@ def filtered(series: DataFrame, model: Switching, inputs: list[str], key: str =
                 both = np.zeros((len(fresh), *u.shape[1:]))
                 both[fresh], both[~fresh] = u, v
                 got.append(both)
-        m, P, p, z, pm, pP, pp = got
+        m, P, p, z, pm, pP, pp, pll = got
         out = {"m": m, "V": P, "p": p, "ll": z}
+        if scores:
+            out |= {"pll": pll}
         if pairs:
             out |= {"pm": pm, "pV": pP, "pp": pp}
         return {"m": m, "V": P, "p": p}, out
 
-    into = {"m": 2, "V": 3, "p": 1, "ll": 0} | ({"pm": 3, "pV": 4, "pp": 2} if pairs else {})
-    return fold(series, key, order, start, step, into, inputs, [*inputs, *keep])
+    return start, step
+
+
+def filtered(series: DataFrame, model: Switching, inputs: list[str], key: str = "series_id", order: str = "t", pairs: bool = False, keep=(), scores: bool = False) -> DataFrame:
+    """(key, order, keep, m, P, p, ll): moments of each state and its chance; with `pairs` also those given the state before.
+
+    inputs: the observation columns; `observe` gets them as one array if there is one, else as a tuple. With
+    `scores` also pll, the log density of the row given the state before and its own (zeros at first rows).
+    """
+    into = {"m": 2, "V": 3, "p": 1, "ll": 0} | ({"pm": 3, "pV": 4, "pp": 2} if pairs else {}) | ({"pll": 2} if scores else {})
+    return fold(series, key, order, *steps_of(model, inputs, pairs, scores), into, inputs, [*inputs, *keep])
 
 
 def _rts(m, P, A, Q, sm, sP):
@@ -158,7 +166,7 @@ def _capped(P: np.ndarray, most: np.ndarray) -> np.ndarray:
     return P * np.where(t > most, most / np.maximum(t, 1e-300), 1.0)[..., None, None]
 
 
-SMOOTHED = {"ms": 2, "Vs": 3, "ps": 1, "joint": 2, "pair_m": 3, "pair_P": 4, "cross": 4, "next_ms": 3, "last": 0}
+SMOOTHED = {"ms": 2, "Vs": 3, "ps": 1, "joint": 2, "pair_m": 3, "pair_P": 4, "cross": 4, "next_ms": 3, "next_Vs": 4, "last": 0}
 
 
 def smoothed(rows: DataFrame, model: Switching, key: str = "series_id", order: str = "t", second_order: bool = False, keep=()) -> DataFrame:
@@ -166,7 +174,8 @@ def smoothed(rows: DataFrame, model: Switching, key: str = "series_id", order: s
 
     First order: pairs (j, k) with the destination's dynamics, collapsed over k. Second order:
     from a filter with pairs, triples (i, j, k) that keep the middle state. pair_m, pair_P and
-    cross are those of this row given both states; they are zeros at a series' last row.
+    cross are those of this row given both states, next_ms and next_Vs those of the next row; they
+    are zeros at a series' last row.
     """
     K, d = model.m0.shape
     lay = {"sm": (K, K, d), "sP": (K, K, d, d), "joint": (K, K)}
@@ -182,7 +191,7 @@ def smoothed(rows: DataFrame, model: Switching, key: str = "series_id", order: s
         u = x["p"][:, :, None] * model.Z[None]
         total = u.sum(1, keepdims=True)
         joint = np.where(total > 0, u / np.where(total > 0, total, 1), 0) * ps[:, None, :]
-        return m, P, c, joint, np.broadcast_to(sm[:, None], m.shape)
+        return m, P, c, joint, np.broadcast_to(sm[:, None], m.shape), np.broadcast_to(sP[:, None], P.shape)
 
     def second_order_pairs(s, x):
         """Triples: x_t given i, j, k; returned also collapsed over i for the statistics."""
@@ -192,7 +201,7 @@ def smoothed(rows: DataFrame, model: Switching, key: str = "series_id", order: s
     def step(s, x, fresh):
         end = fresh[:, None]
         if not second_order:
-            m, P, c, joint, ahead = first_order(s, x)
+            m, P, c, joint, ahead, ahead_P = first_order(s, x)
             ps = np.where(end, x["p"], joint.sum(2))
             w = np.where(ps[:, :, None] > 0, joint / np.where(ps > 0, ps, 1)[:, :, None], 1 / K)
             ms, Ps = collapse(m, P, w, 2)
@@ -212,13 +221,13 @@ def smoothed(rows: DataFrame, model: Switching, key: str = "series_id", order: s
             m, P = collapse(m3, P3, vi, 1)
             # cross covariance of mixtures: the next mean does not depend on the source
             c = (vi[..., None, None] * c3).sum(1)
-            ahead = s["sm"]
+            ahead, ahead_P = s["sm"], s["sP"]
         e = fresh[:, None, None]
         ms, Ps = np.where(e, x["m"], ms), np.where(e[..., None], x["V"], Ps)
         most = TRACE_CAP * np.trace(x["V"], axis1=-2, axis2=-1).max(axis=-1)
         Ps = _capped(Ps, most)
         off = lambda a: np.where(fresh.reshape(-1, *[1] * (a.ndim - 1)), 0.0, a)
-        out = {"ms": ms, "Vs": Ps, "ps": ps, "joint": off(joint), "pair_m": off(m), "pair_P": off(P), "cross": off(c), "next_ms": off(ahead), "last": fresh.astype(float)}
+        out = {"ms": ms, "Vs": Ps, "ps": ps, "joint": off(joint), "pair_m": off(m), "pair_P": off(P), "cross": off(c), "next_ms": off(ahead), "next_Vs": off(ahead_P), "last": fresh.astype(float)}
         if second_order:
             carry = {"sm": pair_ms, "sP": pair_Ps, "joint": v * ps[:, None, :]}
         else:
@@ -238,6 +247,36 @@ def path_scores(filtered_rows: DataFrame) -> DataFrame:
     return filtered_rows.withColumn("state", best.cast("int"))
 
 
+def path(series: DataFrame, model: Switching, inputs: list[str], key: str = "series_id", order: str = "t") -> DataFrame:
+    """(key, order, state): the most likely joint path, with densities given the state before; ties go to the lower state.
+
+    Scores of what follows run backward, then the path forward.
+    """
+    K, lz = model.k, safe_log(np.asarray(model.Z, float))
+    rows = filtered(series, model, inputs, key, order, scores=True)
+
+    def start(n):
+        return {"s": np.zeros((n, K)), "e": np.zeros((n, K, K))}
+
+    def score(s, x, fresh):
+        after = lz[None] + s["e"] + s["s"][:, None, :]
+        value = np.where(fresh[:, None], 0.0, after.max(axis=2))
+        return {"s": value, "e": x["pll"]}, {"score": value, "to": np.where(fresh[:, None], 0, after.argmax(axis=2)).astype(float)}
+
+    scored = fold(rows, key, order, start, score, {"score": 1, "to": 1}, ["pll"], ["p"], backward=True)
+
+    def begin(n):
+        return {"z": np.zeros(n, np.int64), "to": np.zeros((n, K))}
+
+    def trace(s, x, fresh):
+        first = (safe_log(x["p"]) + x["score"]).argmax(axis=1)
+        z = np.where(fresh, first, s["to"][np.arange(len(fresh)), s["z"]].astype(np.int64))
+        return {"z": z, "to": x["to"]}, {"state": z.astype(float)}
+
+    got = fold(scored, key, order, begin, trace, {"state": 0}, ["p", "score", "to"])
+    return got.withColumn("state", got["state"].cast("int"))
+
+
 def _weighted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.einsum("nk,nka,nkb->kab", w, x, y)
 
@@ -307,6 +346,79 @@ def gaussian_entropy(P: np.ndarray) -> np.ndarray:
     return 0.5 * (d * (1 + np.log(2 * np.pi)) + log_det(P))
 
 
+def transition_value(A: np.ndarray, Q: np.ndarray, gamma1: np.ndarray, gamma2: np.ndarray, beta: np.ndarray, weight: float) -> float:
+    """Expected log density of one state's steps, from its sums."""
+    off = beta @ A.T
+    left = gamma2 - off - off.T + A @ gamma1 @ A.T
+    return float(-0.5 * (weight * (len(A) * np.log(2 * np.pi) + np.linalg.slogdet(Q)[1]) + np.trace(psd_solve(Q, left))))
+
+
+def expected_log_likelihood(model: Switching, s: dict[str, np.ndarray]) -> float:
+    """Expected log density of observations, states and chain under a first-order smoother, from `statistics`."""
+    K, d = model.m0.shape
+    xlogy = lambda w, p: float(np.where(w > 0, w * safe_log(np.where(w > 0, p, 1)), 0).sum())
+    total = xlogy(s["first"], model.prior) + xlogy(s["joint"], model.Z)
+    for k in range(K):
+        m0, P0 = model.m0[k], model.P0[k]
+        off = np.outer(s["m0"][k], m0)
+        left = s["P0"][k] - off - off.T + s["first"][k] * np.outer(m0, m0)
+        total -= 0.5 * (s["first"][k] * (d * np.log(2 * np.pi) + np.linalg.slogdet(P0)[1]) + np.trace(psd_solve(P0, left)))
+        total += transition_value(model.A[k], model.Q[k], s["gamma1"][k], s["gamma2"][k], s["beta"][k], s["weight2"][k])
+        H, R = model.obs.H[k], model.obs.R[k]
+        cross = H @ s["delta"][k].T
+        left = s["alpha"][k] - cross - cross.T + H @ s["gamma"][k] @ H.T
+        total -= 0.5 * (s["weight"][k] * (len(R) * np.log(2 * np.pi) + np.linalg.slogdet(R)[1]) + np.trace(psd_solve(R, left)))
+    return float(total)
+
+
+def trajectory_entropy(rows: DataFrame) -> float:
+    """Entropy of a first-order smoother's chain of states and Gaussians, summed over series; rows: of `smoothed`, with next_Vs."""
+
+    def make(x):
+        xlogx = lambda p: float(np.where(p > 0, p * safe_log(np.where(p > 0, p, 1)), 0).sum())
+        last, first = x["last"] > 0, x["__t"] == 0
+        joint, ps = x["joint"][~last], x["ps"][~last]
+        chain = -xlogx(x["ps"][first]) - (xlogx(joint) - xlogx(ps))
+        ends = (x["ps"][last] * gaussian_entropy(x["Vs"][last])).sum()
+        gain = transposed(psd_solve(x["next_Vs"][~last], transposed(x["cross"][~last])))
+        left = x["pair_P"][~last] - gain @ transposed(x["cross"][~last])
+        return {"h": np.array(chain + ends + (joint * gaussian_entropy(symmetric(left))).sum())}
+
+    return float(totals(rows, ["__t", "last", "ps", "Vs", "joint", "pair_P", "cross", "next_Vs"], make)["h"])
+
+
+def bound(series: DataFrame, model: Switching, key: str = "series_id", order: str = "t", y: str = "y") -> dict[str, float]:
+    """Evidence, expected log density, entropy and their sum, the bound; for one state it is the evidence itself."""
+    from pyspark.sql import functions as F
+
+    rows = smoothed(filtered(series, model, [y], key, order), model, key, order, keep=[y, "ll"])
+    s = statistics(rows, order, y)
+    expected, entropy = expected_log_likelihood(model, s), trajectory_entropy(rows.withColumn("__t", F.col(order)))
+    return {"log_likelihood": float(s["ll"]), "expected": expected, "entropy": entropy, "bound": expected + entropy}
+
+
+def evidences(series: DataFrame, models: list[Switching], inputs: list[str], key: str = "series_id", order: str = "t") -> list[float]:
+    """Log likelihoods of several models in one pass over the rows."""
+    return evidence(series, [steps_of(m, inputs) for m in models], inputs, key, order)
+
+
+def fit_gradient(series: DataFrame, at: dict[str, np.ndarray], spec: dict[str, Transform], build: Callable[[dict], Switching], inputs: list[str], steps: int = 50, key: str = "series_id", order: str = "t", **how) -> Fit:
+    """Adam over the parameters that `build` makes a model of; the result holds them."""
+    return by_gradient(at, spec, lambda ps: evidences(series, [build(p) for p in ps], inputs, key, order), series.count(), steps, **how)
+
+
+def matrices(model: Switching, learn: tuple[str, ...] = ("A", "Q", "Z", "prior", "m0", "P0", "H", "R")) -> tuple[dict, dict, Callable]:
+    """at, spec and build for fits of a Gaussian switching model's own matrices."""
+    kinds = {"A": UNCONSTRAINED, "Q": stacked(PSD_MATRIX), "Z": STOCHASTIC_ROW, "prior": STOCHASTIC_ROW, "m0": UNCONSTRAINED, "P0": stacked(PSD_MATRIX), "H": UNCONSTRAINED, "R": stacked(PSD_MATRIX)}
+    whole = {c: getattr(model, c) for c in ("A", "Q", "Z", "prior", "m0", "P0")} | {"H": model.obs.H, "R": model.obs.R}
+
+    def build(p):
+        v = whole | p
+        return replace(model, **{c: v[c] for c in ("A", "Q", "Z", "prior", "m0", "P0")}, obs=GaussianObs(v["H"], v["R"]))
+
+    return {c: np.asarray(whole[c], float) for c in learn}, {c: kinds[c] for c in learn}, build
+
+
 def fit(series: DataFrame, model: Switching, inputs: list[str], max_iter: int = 20, tolerance: float = 1e-4, key: str = "series_id", order: str = "t", second_order: bool = False, project: Callable[[Switching], Switching] = lambda m: m, m_step: Callable | None = None, **how) -> Fit:
     """EM over all series; `project` maps each step's parameters into the model's family."""
     y = inputs[0] if isinstance(model.obs, GaussianObs) else None

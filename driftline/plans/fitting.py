@@ -118,6 +118,25 @@ def _row_bound(x, shape):
 STOCHASTIC_ROW = Transform(_row_free, _row_bound)
 
 
+def stacked(t: Transform) -> Transform:
+    """The same transform for each entry along the leading axis."""
+
+    def bound(x, shape):
+        return np.stack([t.bound(part, shape[1:]) for part in np.split(np.asarray(x), shape[0])])
+
+    return Transform(lambda x: np.concatenate([t.free(part) for part in x]), bound, t.trained)
+
+
+def by_gradient(at: Params, spec: dict[str, Transform], evidences: Callable[[list[Params]], list[float]], n: int, steps: int = 50, rate: float = 1e-2, penalty: Callable[[Params], float] = lambda p: 0.0, **how) -> Fit:
+    """Adam on the log evidence per row less a penalty; evidences(candidates) values all of a step in one pass over the rows.
+
+    Log likelihoods of the result are sums again, with the penalty taken off.
+    """
+    losses = lambda ps: [-e / n + penalty(p) for e, p in zip(evidences(ps), ps)]
+    got = adam(at, spec, losses, steps, rate, **how)
+    return Fit(got.params, [x * n for x in got.log_likelihoods], got.converged)
+
+
 def positive_capped(most: float = 50.0) -> Transform:
     """Numbers between 0 and `most`."""
     return Transform(

@@ -115,6 +115,47 @@ def fold(
     return dealt.sortWithinPartitions(sort, key).mapInArrow(run, schema)
 
 
+def together(parts: Sequence[tuple[Callable, Callable]]) -> tuple[Callable, Callable]:
+    """start and step of several recursions over the same rows; their outputs `ll` become one array."""
+
+    def start(n):
+        return {f"{k} {name}": v for k, (begin, _) in enumerate(parts) for name, v in begin(n).items()}
+
+    def step(s, x, fresh):
+        carry, lls = {}, []
+        for k, (_, go) in enumerate(parts):
+            own, out = go({name.split(" ", 1)[1]: v for name, v in s.items() if name.startswith(f"{k} ")}, x, fresh)
+            carry |= {f"{k} {name}": v for name, v in own.items()}
+            lls.append(out["ll"])
+        return carry, {"ll": np.stack(lls, 1)}
+
+    return start, step
+
+
+def evidence(rows: DataFrame, parts: Sequence[tuple[Callable, Callable]], inputs: Sequence[str], key: str, order: str) -> list[float]:
+    """Sum of `ll` over all rows for each of several recursions, in one pass."""
+    got = fold(rows, key, order, *together(parts), {"ll": 1}, inputs)
+    return totals(got, ["ll"], lambda x: {"ll": x["ll"].sum(0)})["ll"].tolist()
+
+
+def mapped(rows: DataFrame, inputs: Sequence[str], into: dict[str, int], make: Callable[[Arrays], Arrays], keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, into): arrays that `make` gives for a batch of rows, one entry a row in front. into: names and how deep they nest."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = T.StructType([*[rows.schema[c] for c in keep], *[T.StructField(c, kind_of(d)) for c, d in into.items()]])
+    arrow = [to_arrow_type(schema[c].dataType) for c in into]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = make({c: to_numpy(batch.column(c)) for c in inputs})
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in keep], *[to_arrow(np.asarray(made[c], float), kind) for c, kind in zip(into, arrow)]], names=schema.names
+                )
+
+    return rows.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)
+
+
 def _rounds(at: np.ndarray) -> list[np.ndarray]:
     """Places in rounds that hold each series once."""
     if len(at) == 1 or len(np.unique(at)) == len(at):
