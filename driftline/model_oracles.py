@@ -13,7 +13,7 @@ from driftline.sheets import (
 __all__ = [
     "Cell", "Sheet", "back", "call", "chain_filter", "chain_smoother", "choice_filter", "choice_smoother", "column", "columns", "counted", "eliminated", "linear_filter",
     "linear_smoother", "linear_step", "linear_sums", "measured", "mixed", "named", "names", "number", "predicted", "recursion", "rounded", "smoothed_back", "softmax_update", "solved",
-    "switching_filter", "switching_smoother", "switching_step", "switching_sums", "switching_values",
+    "switching_filter", "switching_path", "switching_smoother", "switching_step", "switching_sums", "switching_values",
 ]
 
 
@@ -111,7 +111,8 @@ def switching_filter(name: str, rows: str, K: int, d: int, A, Q, m0, P0, Z, prio
         z = log_sum_exp(s, joint)
         p = [s.let(call("exp", x - z)) for x in joint]
         m, P = [g[0] for g in got], [g[1] for g in got]
-        return shown(m, P, p, z, pair_cells(s, [m] * K, [P] * K, [[p[j] / float(K) for j in range(K)]] * K))
+        more = pair_cells(s, [m] * K, [P] * K, [[p[j] / float(K) for j in range(K)]] * K)
+        return shown(m, P, p, z, more | named(pll=np.zeros((K, K))))
 
     def later(s):
         ms, Ps, ps = [back(f"m{k}", d) for k in range(K)], [back(f"V{k}", d, d) for k in range(K)], back("p", K)
@@ -130,6 +131,7 @@ def switching_filter(name: str, rows: str, K: int, d: int, A, Q, m0, P0, Z, prio
             m.append(a)
             P.append(b)
         more = pair_cells(s, [[g[0] for g in row] for row in got], [[g[1] for g in row] for row in got], [[w[i][j] * p[j] for j in range(K)] for i in range(K)])
+        more |= named(pll=np.array([[g[2] for g in row] for row in got], object))
         return shown(m, P, p, z, more)
 
     return recursion(name, rows, first, later, keys, carry=carry)
@@ -266,6 +268,32 @@ def switching_values(K: int, d: int, n: int) -> dict:
     }
 
 
+def switching_path(filtered: str, K: int, Z, path: str = "PATH", scores: str = "SCORE") -> str:
+    """CTEs of what may follow each state, and of the most likely joint path; `filtered` was made with pairs."""
+    hidden = lambda: named(held=columns("pll", K, K))
+
+    def later(s):
+        after = [[s.let(float(np.log(Z[i][j])) + back("held", K, K)[i, j] + back("score", K)[j]) for j in range(K)] for i in range(K)]
+        best = [s.let(call("greatest", *row)) for row in after]
+        to = [Cell("CASE " + " ".join(f"WHEN {after[i][j].sql} >= {best[i].sql} THEN {j}e0" for j in range(K)) + " END", best[i].depth) for i in range(K)]
+        return named(score=np.array(best, object), to_=np.array(to, object)) | hidden()
+
+    zero = np.zeros(K)
+    one = recursion(scores, filtered, lambda s: named(score=zero, to_=zero) | hidden(), later, carry=names(p=(K,)), backward=True)
+    total = [call("ln", column(f"p{k}")) + column(f"score{k}") for k in range(K)]
+
+    def first(s):
+        t = [s.let(x) for x in total]
+        top = s.let(call("greatest", *t))
+        return named(state=Cell("CASE " + " ".join(f"WHEN {x.sql} >= {top.sql} THEN {k}e0" for k, x in enumerate(t)) + " END", top.depth)) | named(next=columns("to_", K))
+
+    def follow(s):
+        at = Cell("CASE z_state " + " ".join(f"WHEN {k} THEN z_next{k}" for k in range(K)) + " END")
+        return named(state=at) | named(next=columns("to_", K))
+
+    return f"{one}, {recursion(path, scores, first, follow)}"
+
+
 # ---------------------------------------------------------------- choices
 
 

@@ -20,6 +20,7 @@ from driftline.operators import (
     hidden_markov,
     kalman,
     learning,
+    matrices,
     oscillators,
     point_process,
     spatial,
@@ -27,6 +28,7 @@ from driftline.operators import (
     switching,
 )
 from driftline.operators import preprocessing as prep
+from driftline.plans.fold import mapped
 from driftline.sources.tables import SQL as VIEWS
 from driftline.sources.tables import choices, seconds, series, spikes, table
 
@@ -420,6 +422,37 @@ def point_process_filter(spark, d):
     return got.select("unit_id", "bin", F.round(F.expr("m[0]"), 4).alias("m"), F.round(F.expr("V[0][0]"), 4).alias("v"))
 
 
+def _counts_gradient_sql():
+    def recur(tag, rows, keys):
+        a, q = O.column("a"), O.column("q")
+
+        def step(s, m, v):
+            y, pm, pv = O.column("n"), s.let(a * m), s.let(a * a * v + q)
+            held = lambda x: O.call("least", O.call("greatest", x, -20.0), 20.0)
+            mu = s.let(O.call("exp", held(pm)))
+            prec = s.let(1.0 / (pv + 1e-9))
+            info = s.let(prec + mu)
+            x, P = s.let(pm + (y - mu) / (info + 1e-9)), s.let(1.0 / (info + 1e-9))
+            eta = s.let(held(x))
+            ll = y * eta - O.call("exp", eta) - O.call("lgamma", y + 1.0) - 0.5 * (x - pm) * (x - pm) * prec - 0.5 * O.call("ln", pv + 1e-9) + 0.5 * O.call("ln", P + 1e-9)
+            return O.named(m=x, v=P, ll=s.let(ll))
+
+        return ", " + O.recursion(f"PG{tag}", rows, lambda s: step(s, O.column("start"), O.number(1.0)), lambda s: step(s, O.back("m"), O.back("v")), keys)
+
+    cells = lambda xs: {"a": xs[0], "q": f"ln(1 + exp({xs[1]})) ** 2", "start": xs[2]}
+    rows = f", {_DAILY}, PR AS (SELECT unit_id, bin AS t, n::DOUBLE AS n FROM DAILY)"
+    return rows + _ascent_sql("PR", [1.0, _soft(math.sqrt(0.05)), 0.0], cells, recur, "PG", "unit_id")
+
+
+@_query(_counts_gradient_sql)
+def point_process_gradient(spark, d):
+    rows = _daily(spark, d).withColumn("z", F.array(F.lit(1.0)))
+    m = point_process.Counts(np.eye(1), 0.05 * np.eye(1), np.zeros(1), np.eye(1), 1.0)
+    got = point_process.fit_gradient(rows, m, steps=2, order="bin")
+    of = lambda m: {"a": m.A[0, 0], "q": m.Q[0, 0], "start": m.m0[0]}
+    return _ascent(spark, got, of(m), of(got.params), rows.count())
+
+
 @_query(""", G(series_id, t, a, c, w) AS (SELECT DISTINCT series_id, -1, -1.0::DOUBLE, 60.0::DOUBLE, 40.0::DOUBLE FROM SERIES UNION ALL
 SELECT s.series_id, s.t, a + 0.05 * (s.reward - mu), c + 0.05 * (s.y - c) / w ** 2 * (s.reward - mu), w + 0.05 * (s.y - c) ** 2 / w ** 3 * (s.reward - mu) FROM
  (SELECT g.*, s.*, exp(greatest(least(a - (s.y - c) ** 2 / (2 * w ** 2), 20), -20)) AS mu FROM G g JOIN (SELECT series_id AS sid, t AS st, y AS sy, reward AS sr FROM SERIES) z ON z.sid = g.series_id AND z.st = g.t + 1
@@ -554,6 +587,168 @@ def matern_coefficients(spark, d):
     return _rounded(table(spark, d, "nation").select("n_nationkey").join(made, "n_nationkey"), "a00", "a10", "q00", "q11", to=9)
 
 
+_BANDS = """, OSC AS (SELECT n_nationkey::INT AS k, 0.05 + n_nationkey / 100.0e0 AS f0, 0.3 - n_nationkey / 200.0e0 AS f1, 0.9 + n_nationkey / 100.0e0 AS d0, 0.95 - n_nationkey / 50.0e0 AS d1, 0.2 + n_regionkey / 10.0e0 AS v0, 0.5e0 AS v1,
+ (n_nationkey - 12) / 40.0e0 AS s01, n_regionkey / 20.0e0 AS s10, n_nationkey / 5.0e0 - 2 AS a01, 1.0e0 - n_regionkey AS a10 FROM nation)"""
+
+
+def _bands_of(spark, d):
+    """Each nation's two oscillators: frequencies, dampings, variances, and strength and phase of their influence."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    arrays = {
+        "freqs": F.array(0.05 + n / 100, 0.3 - n / 200), "damping": F.array(0.9 + n / 100, 0.95 - n / 50), "variance": F.array(0.2 + r / 10, F.lit(0.5)),
+        "strength": F.array((n - 12) / 40, r / 20), "phase": F.array(n / 5 - 2.0, 1.0 - r.cast("double")),
+    }
+    return table(spark, d, "nation").select(n.cast("int").alias("k"), *[c.alias(name) for name, c in arrays.items()])
+
+
+def _square(pair):
+    return np.array([[0.0, pair[0]], [pair[1], 0.0]])
+
+
+def _one_by_one(make):
+    return lambda x: (lambda got: {c: np.stack([g[c] for g in got]) for c in got[0]})([make(*[v[i] for v in x.values()]) for i in range(len(x["freqs"]))])
+
+
+_BAND_INPUTS = ["freqs", "damping", "variance", "strength", "phase"]
+
+
+def _turn(s, angle):
+    a = s.let(angle)
+    c, n = s.let(O.call("cos", a)), s.let(O.call("sin", a))
+    return np.array([[c, -n], [n, c]], object)
+
+
+def _band_cells(s) -> dict:
+    """Blocks of the transitions and noise of two oscillators, in closed form."""
+    f, d, v = ([O.column(f"{x}{i}") for i in (0, 1)] for x in "fdv")
+    strength, phase = [O.column("s01"), O.column("s10")], [O.column("a01"), O.column("a10")]
+    zero, whole = np.zeros((2, 2)), lambda b: np.concatenate([np.concatenate(r, 1) for r in b], 0)
+    turn = [_turn(s, 2 * math.pi * x) for x in f]
+    held = [s.let(O.call("least", O.call("greatest", x, 0.0), 1.0)) for x in d]
+    common = whole([[held[0] * turn[0], zero], [zero, held[1] * turn[1]]])
+    across = [strength[i] * _turn(s, phase[i]) for i in (0, 1)]
+    own = [d[i] * turn[i] - strength[i] * np.eye(2) for i in (0, 1)]
+    directed = whole([[own[0], across[0]], [across[1], own[1]]])
+    norm = [s.let(O.call("sqrt", O.call("greatest", d[i] * d[i] + strength[i] * strength[i] - 2.0 * d[i] * strength[i] * O.call("cos", 2 * math.pi * f[i]), 0.0)) + O.call("abs", strength[i])) for i in (0, 1)]
+    scale = s.let(O.call("least", 1.0, 0.99 / O.call("greatest", *norm)))
+    shared = strength[0] * _turn(s, phase[0])
+    noise = whole([[v[0] * np.eye(2), shared], [shared.T, v[1] * np.eye(2)]])
+    radius = s.let(O.call("greatest", *held))
+    return {"common": common, "directed": directed, "scale": scale, "noise": noise, "stable": s.let(common * O.call("least", 1.0, 0.99 / radius)), "radius": radius}
+
+
+def _oscillator_matrices_sql():
+    s = O.Sheet()
+    c = _band_cells(s)
+    cells = O.named(common=c["common"], directed=c["directed"], noise=c["noise"], stable=c["stable"], scale=c["scale"], radius=c["radius"])
+    return _BANDS + f", MX AS ({s.over('OSC', ('k',), cells)}) " + O.rounded("MX", cells, 8, ("k",))
+
+
+@_query(_oscillator_matrices_sql)
+def oscillator_matrices(spark, d):
+    """Transitions, noise and stability of each parameter row."""
+
+    def make(freqs, damping, variance, strength, phase):
+        directed = oscillators.directed_transition(freqs, damping, _square(strength), _square(phase))
+        common = oscillators.common_transition(freqs, damping)
+        return {
+            "common": common, "directed": directed, "noise": oscillators.correlated_noise(variance, _square([phase[0], 0]), _square([strength[0], 0])), "stable": matrices.stabilised(common),
+            "scale": np.array(oscillators.stability_scale(freqs, damping, _square(strength), 1.0)), "radius": matrices.spectral_radius(common),
+        }
+
+    got = mapped(_bands_of(spark, d), _BAND_INPUTS, {"common": 2, "directed": 2, "noise": 2, "stable": 2, "scale": 0, "radius": 0}, _one_by_one(make), ["k"])
+    return _cells(got, 8, ("k",), common=(4, 4), directed=(4, 4), noise=(4, 4), stable=(4, 4), scale=(), radius=())
+
+
+def _projection_sql():
+    """Nearest scaled rotations of disturbed blocks, and the parameters that matrices were made of."""
+    s = O.Sheet()
+    c = _band_cells(s)
+    off = np.array([[0.05 * ((3 * i + 5 * j) % 7 - 3) for j in range(4)] for i in range(4)])
+    a, q = s.let(c["common"] + off), s.let(c["noise"] + off @ off.T)
+    blocks = lambda x: [[x[2 * i : 2 * i + 2, 2 * j : 2 * j + 2] for j in (0, 1)] for i in (0, 1)]
+
+    def parts(b):
+        return s.let((b[0, 0] + b[1, 1]) / 2.0), s.let((b[1, 0] - b[0, 1]) / 2.0)
+
+    def scaled(b):
+        x, y = parts(b)
+        return np.array([[x, -y], [y, x]], object)
+
+    def size_angle(b):
+        x, y = parts(b)
+        return s.let(O.call("sqrt", x * x + y * y)), s.let(O.call("atan2", y, x))
+
+    projected = np.concatenate([np.concatenate([scaled(b) for b in row], 1) for row in blocks(a)], 0)
+    qb = blocks(q)
+    v = [s.let((qb[i][i][0, 0] + qb[i][i][1, 1]) / 2.0) for i in (0, 1)]
+    x, y = parts(qb[0][1])
+    least = s.let((v[0] + v[1]) / 2.0 - O.call("sqrt", (v[0] - v[1]) * (v[0] - v[1]) / 4.0 + x * x + y * y))
+    lift = s.let(O.call("greatest", 1e-8 - least, 0.0))
+    top = np.array([[v[0] + lift, 0.0, x, -y], [0.0, v[0] + lift, y, x], [x, y, v[1] + lift, 0.0], [-y, x, 0.0, v[1] + lift]], object)
+    ns, na = size_angle(qb[0][1])
+    db = blocks(c["directed"])
+    influence = [size_angle(db[0][1]), size_angle(db[1][0])]
+    own = [size_angle(s.let(db[i][i] + influence[i][0] * np.eye(2))) for i in (0, 1)]
+    nearest = size_angle(qb[0][1])
+    rotation = s.let(np.array([[O.call("cos", nearest[1]), -O.call("sin", nearest[1])], [O.call("sin", nearest[1]), O.call("cos", nearest[1])]], object))
+    seen = [s.let(O.call("sqrt", a[i, 2 * j] * a[i, 2 * j] + a[i, 2 * j + 1] * a[i, 2 * j + 1])) for i in (0, 1) for j in (0, 1)]
+    angle = [s.let(O.call("atan2", a[i, 1], a[i, 0])) for i in (0, 1)]
+    apart = s.let(angle[0] - angle[1])
+    cells = O.named(projected=projected, lifted=top, variance=np.array(v, object), strength=ns, phase=na, freqs=np.array([o[1] / (2 * math.pi) for o in own], object), damping=np.array([o[0] for o in own], object),
+        edges=np.array([e[0] for e in influence], object), rotation=rotation, influence=np.array(seen, object).reshape(2, 2), apart=O.call("atan2", O.call("sin", apart), O.call("cos", apart)))
+    return _BANDS + f", MX AS ({s.over('OSC', ('k',), cells)}) " + O.rounded("MX", cells, 7, ("k",))
+
+
+@_query(_projection_sql)
+def oscillator_projections(spark, d):
+    off = np.array([[0.05 * ((3 * i + 5 * j) % 7 - 3) for j in range(4)] for i in range(4)])
+
+    def make(freqs, damping, variance, strength, phase):
+        a = oscillators.common_transition(freqs, damping) + off
+        q = oscillators.correlated_noise(variance, _square([phase[0], 0]), _square([strength[0], 0])) + off @ off.T
+        noise, directed = oscillators.noise_parameters(q), oscillators.directed_parameters(oscillators.directed_transition(freqs, damping, _square(strength), _square(phase)), 1.0)
+        return {
+            "projected": oscillators.project_blocks(a), "lifted": oscillators.project_noise(q), "variance": noise["variance"], "strength": noise["strength"][0, 1], "phase": noise["phase"][0, 1],
+            "freqs": directed["freqs"], "damping": directed["damping"], "edges": directed["strength"][[0, 1], [1, 0]], "rotation": oscillators.closest_rotation(oscillators.to_blocks(q)[0, 1]),
+            "influence": oscillators.influence(a[:2]), "apart": np.array(oscillators.phase_difference(a[:2], 0, 1, 0)),
+        }
+
+    shapes = {"projected": (4, 4), "lifted": (4, 4), "variance": (2,), "strength": (), "phase": (), "freqs": (2,), "damping": (2,), "edges": (2,), "rotation": (2, 2), "influence": (2, 2), "apart": ()}
+    got = mapped(_bands_of(spark, d), _BAND_INPUTS, {c: len(x) for c, x in shapes.items()}, _one_by_one(make), ["k"])
+    return _cells(got, 7, ("k",), **shapes)
+
+
+@_query(""", TF AS (SELECT l_orderkey, l_linenumber, l_quantity / 10 AS x, l_discount + 0.01 AS p, l_tax + 0.1 AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(x + ln(1 - exp(-x)), 8) AS positive, round(ln(1 + exp(p - 0.05)), 8) + 0.0 AS bound, round(ln(p / (1 - p)), 8) AS unit, round(1 / (1 + exp(-q)), 8) AS share, round(ln(x / (50 - x)), 8) AS capped,
+ round(50 / (1 + exp(-q)), 8) AS uncapped, round(ln(p) - ln(1 - p - q), 8) + 0.0 AS row0, round(ln(q) - ln(1 - p - q), 8) + 0.0 AS row1, round(exp(p) / (exp(p) + exp(q) + 1), 8) AS chance0, round(exp(q) / (exp(p) + exp(q) + 1), 8) AS chance1,
+ round(1 / (exp(p) + exp(q) + 1), 8) AS chance2, round(sqrt(x) + ln(1 - exp(-sqrt(x))), 8) AS root0, round(p / sqrt(x), 8) AS root1, round(sqrt(1 - p * p / x) + ln(1 - exp(-sqrt(1 - p * p / x))), 8) AS root2,
+ round(ln(1 + exp(p)) ** 2, 8) AS cov00, round(ln(1 + exp(p)) * q, 8) AS cov01, round(q * q + ln(1 + exp(x)) ** 2, 8) AS cov11 FROM TF""")
+def parameter_transforms(spark, d):
+    """Each transform to free numbers and back, on prices as parameters."""
+    from driftline.plans import fitting as fit
+
+    def make(v):
+        x, p, q = v["x"], v["p"], v["q"]
+        n = len(x)
+        rows, free = np.stack([p, q, 1 - p - q], 1), np.stack([p, q], 1)
+        cov = np.stack([np.stack([x, p], 1), np.stack([p, np.ones(n)], 1)], 1)
+        psd, back = np.stack([fit.PSD_MATRIX.free(c) for c in cov]), np.stack([fit.frozen(fit.PSD_MATRIX).bound(np.array([a, b, c]), (2, 2)) for a, b, c in zip(p, q, x)])
+        chance = fit.STOCHASTIC_ROW.bound(free, (n, 3))
+        row = fit.STOCHASTIC_ROW.free(rows).reshape(n, 2)
+        capped = fit.positive_capped(50.0)
+        return {
+            "positive": fit.POSITIVE.free(x), "bound": fit.POSITIVE.bound(p - 0.05, (n,)), "unit": fit.UNIT_INTERVAL.free(p), "share": fit.UNIT_INTERVAL.bound(q, (n,)), "capped": capped.free(x), "uncapped": capped.bound(q, (n,)),
+            "row": row, "chance": chance, "root": psd, "cov": np.stack([back[:, 0, 0], back[:, 0, 1], back[:, 1, 1]], 1),
+        }
+
+    into = {"positive": 0, "bound": 0, "unit": 0, "share": 0, "capped": 0, "uncapped": 0, "row": 1, "chance": 1, "root": 1, "cov": 1}
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10).alias("x"), (F.col("l_discount") + 0.01).alias("p"), (F.col("l_tax") + 0.1).alias("q"))
+    got = mapped(rows, ["x", "p", "q"], into, make, ["l_orderkey", "l_linenumber"])
+    got = _cells(got, 8, ("l_orderkey", "l_linenumber"), **{c: () for c in ("positive", "bound", "unit", "share", "capped", "uncapped")}, row=(2,), chance=(3,), root=(3,), cov=(3,))
+    return got.withColumnsRenamed({"cov0": "cov00", "cov1": "cov01", "cov2": "cov11"})
+
+
 @_query(""" SELECT l_shipdate, round(exp(m + v / 2), 4) AS rate, round(exp(m - 1.959963984540054 * sqrt(v)), 4) AS low, round(exp(m + 1.959963984540054 * sqrt(v)), 4) AS high
  FROM (SELECT strftime(l_shipdate, '%Y-%m') AS l_shipdate, avg(ln(l_quantity)) AS m, var_pop(ln(l_quantity)) AS v FROM lineitem GROUP BY 1)""")
 def log_rate_interval(spark, d):
@@ -695,6 +890,149 @@ def _switching_fit(spark, got) -> DataFrame:
     return spark.createDataFrame([(k, round(float(x), 2), *cells.values()) for k, x in enumerate(got.log_likelihoods)], schema)
 
 
+@_query(lambda: _regime_sql(smoother=False, second_order=True) + ", " + O.switching_path("SF", 2, _two_regimes().Z) + " SELECT series_id, t, state::INT AS state FROM PATH")
+def switching_path(spark, d):
+    """The most likely joint path of states."""
+    return switching.path(_vectors(spark, d), _two_regimes(), ["y"])
+
+
+def _switching_bound_sql():
+    m = _two_regimes()
+    K, dim = np.shape(m.m0)
+    n = m.obs.H.shape[1]
+    sql = _regime_sql() + ", " + O.switching_sums("SUM0", "SS", K, dim, ("y0", "y1"))
+    s, total = O.Sheet(), 0.0
+    xlogy = lambda w, p: O.column(w) * float(np.log(p))
+    trace = lambda inv, a: sum(float(inv[i, j]) * a[j, i] for i in range(len(a)) for j in range(len(a)))
+    boosted = lambda a: np.linalg.inv(a + max(1e-9, 1e-12 * np.abs(np.diag(a)).max()) * np.eye(len(a)))
+    c = O.columns
+    for k in range(K):
+        total = total + xlogy(f"first{k}", m.prior[k]) + sum(xlogy(f"moved{k}{j}", m.Z[k, j]) for j in range(K))
+        m0, w0 = m.m0[k], O.column(f"first{k}")
+        off = c(f"mzero{k}", dim)[:, None] * m0[None, :]
+        left = s.let(c(f"pzero{k}", dim, dim) - off - off.T + w0 * np.outer(m0, m0))
+        total = total - 0.5 * (w0 * float(dim * np.log(2 * np.pi) + np.linalg.slogdet(m.P0[k])[1]) + trace(boosted(m.P0[k]), left))
+        A, Q = m.A[k], m.Q[k]
+        ba = s.let(c(f"beta{k}", dim, dim) @ A.T)
+        left = s.let(c(f"gtwo{k}", dim, dim) - ba - ba.T + A @ c(f"gone{k}", dim, dim) @ A.T)
+        total = total - 0.5 * (O.column(f"later{k}") * float(dim * np.log(2 * np.pi) + np.linalg.slogdet(Q)[1]) + trace(boosted(Q), left))
+        H, R = m.obs.H[k], m.obs.R[k]
+        hd = s.let(H @ c(f"delta{k}", n, dim).T)
+        left = s.let(c(f"alpha{k}", n, n) - hd - hd.T + H @ c(f"gamma{k}", dim, dim) @ H.T)
+        total = total - 0.5 * (O.column(f"weight{k}") * float(n * np.log(2 * np.pi) + np.linalg.slogdet(R)[1]) + trace(boosted(R), left))
+    sql += f", EX AS ({s.over('SUM0', (), {'expected': s.let(total)})})"
+    nexts = ", ".join(f"lead(Vs{k}{i}{j}) OVER w AS nV{k}{i}{j}" for k in range(K) for i in range(dim) for j in range(dim))
+    sql += f", SN AS (SELECT *, {nexts}, t = max(t) OVER (PARTITION BY series_id) AS last FROM SS WINDOW w AS (PARTITION BY series_id ORDER BY t))"
+    e, const = O.Sheet(), float(dim * (1 + np.log(2 * np.pi)))
+    inner = 0.0
+    for j in range(K):
+        for k in range(K):
+            cross = c(f"cross{j}{k}", dim, dim)
+            gain = O.solved(e, c(f"nV{k}", dim, dim), cross.T).T
+            left = e.let(c(f"pairP{j}{k}", dim, dim) - gain @ cross.T)
+            left = e.let(0.5 * (left + left.T))
+            inner = inner + O.column(f"joint{j}{k}") * (0.5 * (const + O.eliminated(e, left, np.eye(dim))[1]))
+    ends = 0.0
+    for k in range(K):
+        ends = ends + O.column(f"ps{k}") * (0.5 * (const + O.eliminated(e, c(f"Vs{k}", dim, dim), np.eye(dim))[1]))
+    plog = lambda names: sum((O.Cell(f"(CASE WHEN {x} > 0 THEN {x} * ln({x}) ELSE 0 END)") for x in names), 0.0)
+    chain = plog([f"joint{j}{k}" for j in range(K) for k in range(K)]) - plog([f"ps{k}" for k in range(K)])
+    cells = {"inner_": e.let(inner), "ends": e.let(ends), "chain": chain, "begins": plog([f"ps{k}" for k in range(K)])}
+    sql += f", EN AS ({e.over('SN', ('t', 'last'), cells)}), EH AS (SELECT coalesce(sum(inner_ - chain) FILTER (WHERE NOT last), 0) + sum(ends) FILTER (WHERE last) - sum(begins) FILTER (WHERE t = 0) AS entropy FROM EN)"
+    return sql + " SELECT round((SELECT sum(ll) FROM SS), 2) AS log_likelihood, round(expected, 2) AS expected, round(entropy, 2) AS entropy, round(expected + entropy, 2) AS bound FROM EX CROSS JOIN EH"
+
+
+@_query(_switching_bound_sql)
+def switching_bound(spark, d):
+    """Evidence, and the bound of expected log density and trajectory entropy."""
+    got = switching.bound(_vectors(spark, d), _two_regimes())
+    return spark.createDataFrame([tuple(round(x, 2) for x in got.values())], ", ".join(f"{c} double" for c in got))
+
+
+def _ascent_sql(rows: str, free: list[float], cells: Callable[[list[str]], dict[str, str]], recur: Callable[[str, str, tuple], str], table: str, key: str = "series_id", rate: float = 0.01, ll: str = "ll", pull: float = 0.0) -> str:
+    """One gradient step by central differences of free numbers: mean log likelihoods and parameters before and after.
+
+    cells: parameters by name from names of the free numbers; recur(tag, rows, keys): the CTE table + tag.
+    """
+    width, p = 1e-4, len(free)
+    moved = [free, *[[x + s * width * (i == k) for i, x in enumerate(free)] for k in range(p) for s in (1, -1)]]
+    xs = [f"x{k}" for k in range(p)]
+    tried = " UNION ALL ".join(f"SELECT {v}::INT AS vt, " + ", ".join(f"({x!r})::DOUBLE AS x{k}" for k, x in enumerate(row)) for v, row in enumerate(moved))
+    made = ", ".join(f"{e} AS {c}" for c, e in cells(xs).items())
+    sql = f", TRY AS (SELECT vt, {made} FROM ({tried})), VAR AS (SELECT r.*, TRY.* FROM {rows} r CROSS JOIN TRY){recur('0', 'VAR', (key, 'vt'))}"
+    sql += f", LOSS AS (SELECT vt, -sum({ll}) / count(*) + {pull!r} AS loss FROM {table}0 GROUP BY 1), GRAD AS (SELECT " + ", ".join(
+        f"(max(loss) FILTER (WHERE vt = {2 * k + 1}) - max(loss) FILTER (WHERE vt = {2 * k + 2})) / {2 * width!r} AS g{k}" for k in range(p)) + " FROM LOSS)"
+    norm = "least(1, 10 / sqrt(" + " + ".join(f"g{k} * g{k}" for k in range(p)) + "))"
+    new = ", ".join(f"({x!r}) - {rate} * g{k} * {norm} / (abs(g{k} * {norm}) + 1e-8) AS x{k}" for k, x in enumerate(free))
+    sql += f", NEW AS (SELECT {made} FROM (SELECT {new} FROM GRAD)), NXT AS (SELECT r.*, NEW.* FROM {rows} r CROSS JOIN NEW){recur('1', 'NXT', (key,))}"
+    shown = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cells(xs))
+    return sql + f" SELECT 0::INT AS step, round((SELECT -loss FROM LOSS WHERE vt = 0), 6) AS mean_log_likelihood, {shown} FROM TRY WHERE vt = 0 UNION ALL SELECT 1::INT, round((SELECT sum({ll}) / count(*) - {pull!r} FROM {table}1), 6), {shown} FROM NEW"
+
+
+def _ascent(spark, got, before: dict[str, float], after: dict[str, float], n: int) -> DataFrame:
+    lls = [round(x / n, 6) for x in got.log_likelihoods]
+    rows = [(k, lls[k], *[round(float(x), 6) + 0.0 for x in v.values()]) for k, v in enumerate((before, after))]
+    return spark.createDataFrame(rows, "step int, mean_log_likelihood double, " + ", ".join(f"{c} double" for c in before))
+
+
+def _logit(p: float) -> float:
+    return float(np.log(p) - np.log1p(-p))
+
+
+def _soft(x: float) -> float:
+    """The number whose softplus is x."""
+    return float(x + np.log(-np.expm1(-x)))
+
+
+_Z_CELLS = lambda xs: {"Z00": f"1 / (1 + exp(-{xs[0]}))", "Z01": f"1 - 1 / (1 + exp(-{xs[0]}))", "Z10": f"1 / (1 + exp(-{xs[1]}))", "Z11": f"1 - 1 / (1 + exp(-{xs[1]}))"}
+
+
+def _z_cells(Z) -> dict[str, float]:
+    return {f"Z{i}{j}": Z[i, j] for i in (0, 1) for j in (0, 1)}
+
+
+def _switching_gradient_sql():
+    m = _two_regimes()
+
+    def recur(tag, rows, keys):
+        v = _numbers(m) | {"Z": O.columns("Z", 2, 2)}
+        observe = lambda s, x, P, j: O.measured(s, x, P, _Y, v["H"][j], v["R"][j])
+        return ", " + O.switching_filter(f"SG{tag}", rows, 2, 2, *[v[c] for c in ("A", "Q", "m0", "P0", "Z", "prior")], observe, (), keys)
+
+    return _VECTORS + _ascent_sql("VEC", [float(np.log(r[0]) - np.log(r[1])) for r in m.Z], _Z_CELLS, recur, "SG")
+
+
+@_query(_switching_gradient_sql)
+def switching_gradient(spark, d):
+    m, rows = _two_regimes(), _vectors(spark, d)
+    got = switching.fit_gradient(rows, *switching.matrices(m, ("Z",)), ["y"], steps=2)
+    return _ascent(spark, got, _z_cells(m.Z), _z_cells(got.params["Z"]), rows.count())
+
+
+def _oscillator_gradient_sql():
+    m, c, s = _oscillators(), math.cos(2 * math.pi * 0.1), math.sin(2 * math.pi * 0.1)
+
+    def recur(tag, rows, keys):
+        d, q = O.column("damping"), O.column("variance")
+        A = np.array([[c * d, -s * d], [s * d, c * d]], object)
+        Q = np.array([[q, 0.0], [0.0, q]], object)
+        observe = lambda t, x, P, j: O.measured(t, x, P, _Y, m.obs.H[j], m.obs.R[j])
+        return ", " + O.switching_filter(f"OG{tag}", rows, 2, 2, [A, A], [Q, Q], m.m0, m.P0, m.Z, m.prior, observe, (), keys)
+
+    cells = lambda xs: {"damping": f"1 / (1 + exp(-{xs[0]}))", "variance": f"ln(1 + exp({xs[1]}))"}
+    return _VECTORS + _ascent_sql("VEC", [_logit(0.9), _soft(0.3)], cells, recur, "OG")
+
+
+@_query(_oscillator_gradient_sql)
+def oscillator_gradient(spark, d):
+    spec, build, _ = oscillators.gradient_family("common")
+    at = {"damping": np.array([0.9]), "variance": np.array([0.3])}
+    fixed = {"freqs": [0.1], "H": np.array([np.eye(2), 0.5 * np.eye(2)]), "r": 1.0}
+    rows = _vectors(spark, d)
+    got = switching.fit_gradient(rows, at, {c: spec[c] for c in at}, build(fixed), ["y"], steps=2)
+    return _ascent(spark, got, {c: v[0] for c, v in at.items()}, {c: v[0] for c, v in got.params.items()}, rows.count())
+
+
 _ALL = ("A", "Q", "Z", "prior", "init", "obs")
 
 
@@ -846,6 +1184,15 @@ def choice_em(spark, d):
     return spark.createDataFrame([tuple(values)], ", ".join(f"{c} double" for c in [*cells, "before", "after"]))
 
 
+@_query(lambda: _ascent_sql("SERIES", [_soft(0.05), _soft(1.5), _logit(0.9)], lambda xs: {"noise": f"ln(1 + exp({xs[0]}))", "temperature": f"ln(1 + exp({xs[1]}))", "decay": f"1 / (1 + exp(-{xs[2]}))"},
+    lambda tag, rows, keys: ", " + O.choice_filter(f"CK{tag}", rows, 4, O.column("noise"), O.column("temperature"), O.column("decay"), _ZERO4, _EYE4, keys=keys), "CK"))
+def choice_gradient(spark, d):
+    rows, m = choices(spark, d), choice.Choice(5, 0.05, 1.5, 0.9)
+    got = choice.fit_gradient(rows, m, steps=2)
+    of = lambda m: {"noise": m.noise, "temperature": m.temperature, "decay": m.decay}
+    return _ascent(spark, got, of(m), of(got.params), rows.count())
+
+
 _TRIED = (0.5, 1.0, 2.0, 4.0)
 
 
@@ -871,7 +1218,7 @@ def _pick(values) -> O.Cell:
     return O.Cell("CASE choice " + " ".join(f"WHEN {k} THEN ({v.sql if isinstance(v, O.Cell) else repr(float(v))})" for k, v in enumerate(values)) + " END")
 
 
-def _contingency_sql(rows: str, tag: str, logits, reward, prior, weights=None) -> str:
+def _contingency_sql(rows: str, tag: str, logits, reward, prior, weights=None, keys=("series_id",), smoother: bool = True) -> str:
     """BF, the filter of beliefs, and BS, the smoother; the logits of a row move with `u`."""
     c = _contingency()
     value = np.log(np.exp(c.temperature * c.value) / np.exp(c.temperature * c.value).sum(1, keepdims=True))
@@ -889,7 +1236,8 @@ def _contingency_sql(rows: str, tag: str, logits, reward, prior, weights=None) -
         return out
 
     kept = ("choice", "reward")
-    return ", " + O.chain_filter(f"BF{tag}", rows, 2, prior, transition, loglik, kept) + ", " + O.chain_smoother(f"BS{tag}", f"BF{tag}", 2, (*kept, "lz"))
+    sql = ", " + O.chain_filter(f"BF{tag}", rows, 2, prior, transition, loglik, kept, keys)
+    return sql if not smoother else sql + ", " + O.chain_smoother(f"BS{tag}", f"BF{tag}", 2, (*kept, "lz"))
 
 
 @_query(lambda: ", BR AS (SELECT series_id, t, choice, reward, (t % 2)::DOUBLE AS u FROM SERIES)" + _contingency_sql("BR", "", _contingency().logits.tolist(), _contingency().reward, _contingency().prior, [0.3, -0.3])
@@ -922,11 +1270,51 @@ def contingency_em(spark, d):
     return _fit_rows(spark, hidden_markov.fit_contingency(choices(spark, d), _contingency(), max_iter=2).log_likelihoods)
 
 
+@_query(lambda: ", BR AS (SELECT series_id, t, choice, reward FROM SERIES)" + _ascent_sql("BR", [2.0, -2.0], lambda xs: {"f0": xs[0], "f1": xs[1]},
+    lambda tag, rows, keys: _contingency_sql(rows, tag, [[O.column("f0")], [O.column("f1")]], _contingency().reward, _contingency().prior, keys=keys, smoother=False), "BF", ll="lz"))
+def contingency_gradient(spark, d):
+    rows, c = choices(spark, d), _contingency()
+    got = hidden_markov.fit_contingency_gradient(rows, c, steps=2, learn=("logits",))
+    return _ascent(spark, got, {f"f{i}": c.logits[i, 0] for i in (0, 1)}, {f"f{i}": got.params.logits[i, 0] for i in (0, 1)}, rows.count())
+
+
+def _contingency_covariates_sql():
+    """One EM step with a covariate of the moves: Newton steps of both logits and weights."""
+    c = _contingency()
+    sql = ", BR AS (SELECT series_id, t, choice, reward, (t % 2)::DOUBLE AS u FROM SERIES)" + _contingency_sql("BR", "", c.logits.tolist(), c.reward, c.prior, [0.3, -0.3])
+    sql += ", MV AS (SELECT * FROM (SELECT pair00, pair01, pair10, pair11, lead((t % 2)::DOUBLE) OVER (PARTITION BY series_id ORDER BY t) AS nu FROM BS) WHERE nu IS NOT NULL)"
+    sql += ", NW0 AS (SELECT 2e0 AS a0, 0.3e0 AS w0, -2e0 AS a1, -0.3e0 AS w1)"
+    for n in range(8):
+        parts, s, cells = [], O.Sheet(), {}
+        for i in (0, 1):
+            row, p = f"(pair{i}0 + pair{i}1)", f"(1 / (1 + exp(-(a{i} + w{i} * nu))))"
+            g, q = f"(pair{i}0 - {row} * {p})", f"({row} * {p} * (1 - {p}))"
+            parts += [f"sum({g}) AS g{i}0", f"sum({g} * nu) AS g{i}1", f"sum({q}) AS h{i}00", f"sum({q} * nu) AS h{i}01", f"sum({q} * nu * nu) AS h{i}11", f"any_value(a{i}) AS a{i}", f"any_value(w{i}) AS w{i}"]
+            h = [O.column(f"h{i}{x}") for x in ("00", "01", "11")]
+            a, b = s.let(h[0] + 1e-9), s.let(h[2] + (1e-5 + 1e-9))
+            one, two = O.column(f"g{i}0"), s.let(O.column(f"g{i}1") - 1e-5 * O.column(f"w{i}"))
+            det = s.let(a * b - h[1] * h[1])
+            x, y = s.let((b * one - h[1] * two) / det), s.let((a * two - h[1] * one) / det)
+            scale = s.let(O.call("least", 1.0, 2.0 / O.call("greatest", O.call("abs", x), O.call("abs", y), 1e-12)))
+            cells |= {f"a{i}": s.let(O.column(f"a{i}") + scale * x), f"w{i}": s.let(O.column(f"w{i}") + scale * y)}
+        sql += f", NW{n + 1} AS ({s.over(f'(SELECT {chr(44).join(parts)} FROM MV CROSS JOIN NW{n})', (), cells)})"
+    shown = ", ".join(f"round({x}, 4) AS {x}" for x in ("a0", "w0", "a1", "w1"))
+    return sql + f" SELECT {shown} FROM NW8"
+
+
+@_query(_contingency_covariates_sql)
+def contingency_covariates(spark, d):
+    rows = choices(spark, d).withColumn("u", F.array((F.col("t") % 2).cast("double")))
+    c = hidden_markov.fit_contingency(rows, _contingency(), max_iter=1, tolerance=1e9, covariates="u").params
+    made = [x for i in (0, 1) for x in (c.logits[i, 0], c.weights[0, i, 0])]
+    return spark.createDataFrame([tuple(round(float(x), 4) for x in made)], "a0 double, w0 double, a1 double, w1 double")
+
+
 def _attempts(spark, d):
     return choices(spark, d).select("series_id", "t", F.col("reward").alias("n_correct"), F.lit(1).alias("n_possible"))
 
 
-def _learner_sql(tag: str, rows: str, sigma2, x0, v0) -> str:
+def _learner_sql(tag: str, rows: str, sigma2, x0, v0, keys=("series_id",), smoother: bool = True) -> str:
     """LF, the filter of learning states, and LS, the smoother."""
     bias = _LEARNER.bias
 
@@ -948,8 +1336,8 @@ def _learner_sql(tag: str, rows: str, sigma2, x0, v0) -> str:
         return O.named(ms=s.let(O.column("m") + g * (sm - pm)), vs=s.let(O.column("v") + g * g * (sv - pv)), g=g, nm=sm, nv=sv, hm=O.column("pm"), hv=O.column("pv"))
 
     last = lambda s: O.named(ms=O.column("m"), vs=O.column("v"), g=1.0, nm=0.0, nv=0.0, hm=O.column("pm"), hv=O.column("pv"))
-    filtered = O.recursion(f"LF{tag}", rows, lambda s: step(s, x0, v0), lambda s: step(s, O.back("m"), O.back("v")))
-    return f", {filtered}, " + O.recursion(f"LS{tag}", f"LF{tag}", last, later, carry=("ll",), backward=True)
+    filtered = O.recursion(f"LF{tag}", rows, lambda s: step(s, x0, v0), lambda s: step(s, O.back("m"), O.back("v")), keys)
+    return f", {filtered}" if not smoother else f", {filtered}, " + O.recursion(f"LS{tag}", f"LF{tag}", last, later, carry=("ll",), backward=True)
 
 
 def _learner_model_sql():
@@ -992,6 +1380,14 @@ def learner_comparisons(spark, d):
     return learning.first_better(statistics.trial_comparisons(smooth, reference=0), level=0.4)
 
 
+@_query(lambda: _ascent_sql("SERIES", [_soft(_LEARNER.sigma), _LEARNER.x0], lambda xs: {"sigma": f"ln(1 + exp({xs[0]}))", "xzero": xs[1]},
+    lambda tag, rows, keys: _learner_sql(tag, rows, O.column("sigma") * O.column("sigma"), O.column("xzero"), O.number(_LEARNER.start_variance), keys, False), "LF"))
+def learner_gradient(spark, d):
+    rows = _attempts(spark, d)
+    got = learning.fit_gradient(rows, _LEARNER, steps=2)
+    return _ascent(spark, got, {"sigma": _LEARNER.sigma, "xzero": _LEARNER.x0}, {"sigma": got.params.sigma, "xzero": got.params.x0}, rows.count())
+
+
 _RUNS = _BOUTS.format(what="reward = 1", least=0).split("SELECT series_id, min")[0]
 
 
@@ -1066,15 +1462,96 @@ def place_field(spark, d):
     return spatial.rate_map(smooth, basis, grid, key="series_id")
 
 
-@_query()
-def position_decoder(spark, d):
+_DECODE = {"dt": 1.0, "q": 20.0, "m0": (60.0, 12.0), "P0": (900.0, 40.0), "gain": 0.1, "most": 3.0, "sigma": 5.0}
+
+
+def _decoder_sql() -> str:
+    """PD, the decoder; its maps and the pull toward visited cells are lists in each row."""
+    ex, ey = _CELL
+    nx, ny, dx, dy = ex[2], ey[2], (ex[1] - ex[0]) / ex[2], (ey[1] - ey[0]) / ey[2]
+    x0, y0 = ex[0] + dx / 2, ey[0] + dy / 2
+    sql = _MAPS + f""", HITS AS (SELECT choice AS unit, ix, iy, count(*) AS n FROM C GROUP BY 1, 2, 3), BASE AS (SELECT choice AS unit, count(*) / (SELECT sum(occ) FROM OCC) AS base FROM C GROUP BY 1), WM AS (SELECT median(occ) AS w FROM OCC),
+RATE AS (SELECT b.unit, o.ix, o.iy, ln(greatest((coalesce(h.n, 0) + w * base) / (occ + w), 1e-10)) AS lr FROM BASE b CROSS JOIN OCC o CROSS JOIN WM LEFT JOIN HITS h ON h.unit = b.unit AND h.ix = o.ix AND h.iy = o.iy),
+GRID AS (SELECT u.u, i.i, j.j FROM range(5) u(u) CROSS JOIN range({nx}) i(i) CROSS JOIN range({ny}) j(j)),
+LR AS (SELECT list(coalesce(lr, ln(1e-10)) ORDER BY u, i, j) AS lr FROM GRID LEFT JOIN RATE ON unit = u AND ix = i AND iy = j),
+FAR AS (SELECT i.i, j.j, min(({dx} * (i.i - ix)) ** 2 + ({dy} * (j.j - iy)) ** 2) / {2 * _DECODE['sigma'] ** 2} AS d FROM range({nx}) i(i) CROSS JOIN range({ny}) j(j) CROSS JOIN OCC GROUP BY 1, 2),
+PN AS (SELECT list(d ORDER BY i, j) AS pen FROM FAR), DR AS (SELECT series_id, t, choice, lr, pen FROM SERIES CROSS JOIN LR CROSS JOIN PN)"""
+    counts = [O.Cell(f"(CASE WHEN choice = {k} THEN 1e0 ELSE 0e0 END)") for k in range(5)]
+
+    def at(s, p, maps: str, units: int):
+        """Values and gradients of the maps at a position."""
+        fx = s.let(O.call("least", O.call("greatest", (p[0] - x0) / dx, 0.0), float(nx - 1)))
+        fy = s.let(O.call("least", O.call("greatest", (p[1] - y0) / dy, 0.0), float(ny - 1)))
+        i = s.let(O.call("least", O.call("floor", fx), float(nx - 2)))
+        j = s.let(O.call("least", O.call("floor", fy), float(ny - 2)))
+        u, v = s.let(fx - i), s.let(fy - j)
+        inside = lambda x, low, high: s.let(O.Cell(f"CASE WHEN {x.sql} BETWEEN {low!r} AND {high!r} THEN 1e0 ELSE 0e0 END", x.depth))
+        sx, sy = inside(p[0], x0, x0 + dx * (nx - 1)), inside(p[1], y0, y0 + dy * (ny - 1))
+        values, grads = [], []
+        for k in range(units):
+            c = [[s.let(O.Cell(f"{maps}[({k * nx * ny} + ({i.sql} + {a}) * {ny} + {j.sql} + {b} + 1)::INT]", max(i.depth, j.depth))) for b in (0, 1)] for a in (0, 1)]
+            values.append(s.let((1.0 - u) * (1.0 - v) * c[0][0] + (1.0 - u) * v * c[0][1] + u * (1.0 - v) * c[1][0] + u * v * c[1][1]))
+            grads.append([s.let(sx * ((1.0 - v) * (c[1][0] - c[0][0]) + v * (c[1][1] - c[0][1])) / dx), s.let(sy * ((1.0 - u) * (c[0][1] - c[0][0]) + u * (c[1][1] - c[1][0])) / dy)])
+        return np.array(values, object), np.array(grads, object)
+
+    def local(s, p):
+        eta, J = at(s, p, "lr", 5)
+        held = s.let(np.array([O.call("least", O.call("greatest", e + math.log(_DECODE["dt"]), -20.0), 20.0) for e in eta], object))
+        mu = s.let(np.array([O.call("exp", e) for e in held], object))
+        return held, mu, J
+
+    def update(s, pm, pV):
+        y, eye = np.array(counts, object), np.eye(2)
+        _, mu, J = local(s, pm)
+        info, score = s.let(J.T @ (mu[:, None] * J)), s.let(J.T @ (y - mu))
+        quad = s.let(0.5 * (score @ O.solved(s, info + 1e-6 * eye, score)))
+        wide = O.call("least", O.call("greatest", 1.0 + _DECODE["gain"] * (quad - 1.0), 1.0), _DECODE["most"])
+        trace = s.let(info[0, 0] + info[1, 1])
+        pV = s.let(pV * s.let(O.Cell(f"CASE WHEN {trace.sql} > 1e-8 THEN {s.let(wide).sql} ELSE 1e0 END", max(trace.depth, wide.depth + 1))))
+        prec, log_v = O.eliminated(s, pV, eye)
+        m = pm
+        for k in range(3):
+            _, mu, J = local(s, m)
+            pull = s.let(J.T @ (y - mu) + (prec @ s.let(pm - m) if k else 0.0))
+            m = s.let(m + O.solved(s, s.let(prec + J.T @ (mu[:, None] * J)), pull))
+        held, mu, J = local(s, m)
+        P = O.eliminated(s, s.let(prec + J.T @ (mu[:, None] * J)), eye)[0]
+        P = s.let(0.5 * (P + P.T))
+        off = s.let(m - pm)
+        ll = s.let(sum(y[k] * held[k] - mu[k] for k in range(5)) - 0.5 * (off @ s.let(prec @ off)) - 0.5 * log_v + 0.5 * O.eliminated(s, P, eye)[1])
+        value, g = at(s, m, "pen", 1)
+        Pg = s.let(P @ g[0])
+        under = s.let(2.0 * value[0] + g[0] @ Pg + 1e-12)
+        m = s.let(m - Pg * (2.0 * value[0] / under))
+        Q = P - Pg[:, None] * Pg[None, :] / under
+        return O.named(m=m, V=s.let(0.5 * (Q + Q.T)), ll=ll)
+
+    first = lambda s: update(s, np.array([O.number(x) for x in _DECODE["m0"]], object), np.array([[O.number(_DECODE["P0"][i] if i == j else 0.0) for j in (0, 1)] for i in (0, 1)], object))
+    later = lambda s: update(s, *O.predicted(s, O.back("m", 2), O.back("V", 2, 2), np.eye(2), _DECODE["q"] * np.eye(2)))
+    return sql + ", " + O.recursion("PD", "DR", first, later)
+
+
+def _decoded(spark, d):
     track = _track(spark, d)
     occ, hits = spatial.occupancy(track, *_CELL, 0.5), spatial.spike_map(track, *_CELL)
-    base = hits.groupBy("unit_id").agg((F.sum("spikes") / 1000.0).alias("base"))
+    total = occ.agg(F.sum("occ").alias("__t"))
+    base = hits.groupBy("unit_id").agg(F.sum("spikes").alias("s")).join(F.broadcast(total)).select("unit_id", (F.col("s") / F.col("__t")).alias("base"))
     maps = spatial.maps_from(spatial.shrunk_rates(hits, occ, 1.0, base), *_CELL, list(range(5)), occ=occ)
     counts = track.select("series_id", "t", F.transform(F.array(*[F.lit(k) for k in range(5)]), lambda k: (k == F.col("unit_id")).cast("double")).alias("counts"))
-    A, Q = spatial.motion(1.0, 20.0, velocity=False)
-    return spatial.decoded(counts, maps, 1.0, A, Q, np.array([60.0, 12.0]), np.diag([900.0, 40.0]), penalty=spatial.track_penalty(maps, 5.0), gain=0.1)
+    A, Q = spatial.motion(_DECODE["dt"], _DECODE["q"], velocity=False)
+    got = spatial.decoded(counts, maps, _DECODE["dt"], A, Q, np.array(_DECODE["m0"]), np.diag(_DECODE["P0"]), penalty=spatial.track_penalty(maps, _DECODE["sigma"]), gain=_DECODE["gain"], most=_DECODE["most"])
+    return got, A, Q
+
+
+@_query(lambda: _decoder_sql() + " " + O.rounded("PD", O.names(m=(2,), V=(2, 2), ll=()), 4))
+def position_decoder(spark, d):
+    return _cells(_decoded(spark, d)[0], 4, m=(2,), V=(2, 2), ll=())
+
+
+@_query(lambda: _decoder_sql() + ", " + O.linear_smoother("PS", "PD", np.eye(2), _DECODE["q"] * np.eye(2), 2, carry=("ll",)) + " " + O.rounded("PS", O.names(ms=(2,), Vs=(2, 2)), 4))
+def position_smoother(spark, d):
+    got, A, Q = _decoded(spark, d)
+    return _cells(kalman.smoothed(got, A, Q, keep=("ll",)), 4, ms=(2,), Vs=(2, 2))
 
 
 def _field(spark, d):
@@ -1223,47 +1700,95 @@ def hamiltonian_fit(spark, d):
     return spark.createDataFrame([(k, round(float(x), 6), at[k]) for k, x in enumerate(got.log_likelihoods)], "step int, mean_log_likelihood double, omega double")
 
 
-def _switching_hamiltonian_sql():
-    models, Z = [_hamiltonian(0), _hamiltonian(1)], [[0.95, 0.05], [0.05, 0.95]]
+_PAIR_Z = np.array([[0.95, 0.05], [0.1, 0.9]])
 
-    def shown(s, lj, ms, Ps):
-        top = s.let(O.call("greatest", *lj))
-        z = s.let(top + O.call("ln", sum(O.call("exp", x - top) for x in lj)))
-        out = O.named(p=np.array([s.let(O.call("exp", x - z)) for x in lj], object), ll=z)
-        for j in (0, 1):
-            out |= O.named(**{f"m{j}": ms[j], f"V{j}": Ps[j]})
-        return out
 
-    def moved(s, m, P, h):
-        pm, J = _leapfrog(s, m, h, O.number(float(h.omega[0])))
-        raw = s.let(s.let(J @ P) @ J.T + h.Q)
-        return pm, s.let(0.5 * (raw + raw.T))
+def _hamiltonian_moved(s, m, P, h):
+    pm, J = _leapfrog(s, m, h, O.number(float(h.omega[0])))
+    raw = s.let(s.let(J @ P) @ J.T + h.Q)
+    return pm, s.let(0.5 * (raw + raw.T)), J
 
-    def first(s):
-        got = [_hamiltonian_update(s, *moved(s, *_hamiltonian_start(h), h), h) for h in models]
-        return shown(s, [s.let(g[2] + math.log(0.5)) for g in got], [g[0] for g in got], [g[1] for g in got])
 
-    def later(s):
-        ms, Ps, p = [O.back(f"m{k}", 2) for k in (0, 1)], [O.back(f"V{k}", 2, 2) for k in (0, 1)], O.back("p", 2)
+def _switching_hamiltonian_filter(name: str, rows: str, keys=("series_id",), Z=_PAIR_Z) -> str:
+    models = [_hamiltonian(0), _hamiltonian(1)]
+
+    def step(s, ms, Ps, p):
         lj, out = [], []
         for j, h in enumerate(models):
             pred = s.let(p[0] * Z[0][j] + p[1] * Z[1][j])
-            each = [moved(s, ms[i], Ps[i], h) for i in (0, 1)]
+            each = [_hamiltonian_moved(s, ms[i], Ps[i], h) for i in (0, 1)]
             m, P = O.mixed(s, [e[0] for e in each], [e[1] for e in each], [s.let(p[i] * Z[i][j] / pred) for i in (0, 1)])
             got = _hamiltonian_update(s, m, P, h)
             out.append(got)
             lj.append(s.let(O.call("ln", pred) + got[2]))
-        return shown(s, lj, [g[0] for g in out], [g[1] for g in out])
+        top = s.let(O.call("greatest", *lj))
+        z = s.let(top + O.call("ln", sum(O.call("exp", x - top) for x in lj)))
+        shown = O.named(p=np.array([s.let(O.call("exp", x - z)) for x in lj], object), ll=z)
+        for j in (0, 1):
+            shown |= O.named(**{f"m{j}": out[j][0], f"V{j}": out[j][1]})
+        return shown
 
-    return _FIELD + ", " + O.recursion("HW", "FLD", first, later) + " " + O.rounded("HW", O.names(m=(2, 2), p=(2,), ll=()))
+    def first(s):
+        m, P = _hamiltonian_start(models[0])
+        return step(s, [m, m], [P, P], [O.number(0.5), O.number(0.5)])
 
+    later = lambda s: step(s, [O.back(f"m{k}", 2) for k in (0, 1)], [O.back(f"V{k}", 2, 2) for k in (0, 1)], O.back("p", 2))
+    return O.recursion(name, rows, first, later, keys)
 
-@_query(_switching_hamiltonian_sql)
+
+@_query(lambda: _FIELD + ", " + _switching_hamiltonian_filter("HW", "FLD") + " " + O.rounded("HW", O.names(m=(2, 2), p=(2,), ll=())))
 def switching_hamiltonian(spark, d):
-    got = hamiltonian.switching_filtered(_field(spark, d), [_hamiltonian(0), _hamiltonian(1)], np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5]), "lfp", "spikes")
+    got = hamiltonian.switching_filtered(_field(spark, d), [_hamiltonian(0), _hamiltonian(1)], _PAIR_Z, np.array([0.5, 0.5]), "lfp", "spikes")
     return _cells(got, m=(2, 2), p=(2,), ll=())
 
 
+def _switching_hamiltonian_smoother_sql():
+    models, Z = [_hamiltonian(0), _hamiltonian(1)], _PAIR_Z
+    m, V, p = [O.columns(f"m{k}", 2) for k in (0, 1)], [O.columns(f"V{k}", 2, 2) for k in (0, 1)], O.columns("p", 2)
+
+    def shown(ms, Ps, ps):
+        out = O.named(ps=np.array(ps, object))
+        for k in (0, 1):
+            out |= O.named(**{f"ms{k}": ms[k], f"Vs{k}": Ps[k]})
+        return out
+
+    def later(s):
+        sm, sV, sp = [O.back(f"ms{k}", 2) for k in (0, 1)], [O.back(f"Vs{k}", 2, 2) for k in (0, 1)], O.back("ps", 2)
+        pred = [s.let(p[0] * Z[0, k] + p[1] * Z[1, k]) for k in (0, 1)]
+        joint = [[s.let(p[i] * Z[i, k] / pred[k] * sp[k]) for k in (0, 1)] for i in (0, 1)]
+        raw = [s.let(joint[i][0] + joint[i][1]) for i in (0, 1)]
+        total, ms, Ps = s.let(raw[0] + raw[1]), [], []
+        for i in (0, 1):
+            pair = []
+            for k, h in enumerate(models):
+                pm, pV, J = _hamiltonian_moved(s, m[i], V[i], h)
+                G = O.solved(s, pV, s.let(J @ V[i])).T
+                P = s.let(V[i] + s.let(G @ s.let(sV[k] - pV)) @ G.T)
+                pair.append((s.let(m[i] + G @ s.let(sm[k] - pm)), s.let(0.5 * (P + P.T))))
+            a, b = O.mixed(s, [x[0] for x in pair], [x[1] for x in pair], [s.let(joint[i][k] / raw[i]) for k in (0, 1)])
+            ms.append(a)
+            Ps.append(b)
+        return shown(ms, Ps, [s.let(x / total) for x in raw])
+
+    back = O.recursion("HB", "HW", lambda s: shown(m, V, list(p)), later, carry=("ll",), backward=True)
+    return _FIELD + ", " + _switching_hamiltonian_filter("HW", "FLD") + f", {back} " + O.rounded("HB", O.names(ms=(2, 2), Vs=(2, 2, 2), ps=(2,)))
+
+
+@_query(_switching_hamiltonian_smoother_sql)
+def switching_hamiltonian_smoother(spark, d):
+    models = [_hamiltonian(0), _hamiltonian(1)]
+    got = hamiltonian.switching_filtered(_field(spark, d), models, _PAIR_Z, np.array([0.5, 0.5]), "lfp", "spikes")
+    return _cells(hamiltonian.switching_smoothed(got, models, _PAIR_Z), ms=(2, 2), Vs=(2, 2, 2), ps=(2,))
+
+
+@_query(lambda: _FIELD + _ascent_sql("FLD", [float(np.log(r[0]) - np.log(r[1])) for r in _PAIR_Z], _Z_CELLS,
+    lambda tag, rows, keys: ", " + _switching_hamiltonian_filter(f"HZ{tag}", rows, keys, O.columns("Z", 2, 2)), "HZ", pull=1e-4 * sum(float((h.w**2).sum() + (h.v**2).sum()) for h in (_hamiltonian(0), _hamiltonian(1)))))
+def switching_hamiltonian_fit(spark, d):
+    rows = _field(spark, d)
+    got = hamiltonian.fit_switching(rows, [_hamiltonian(0), _hamiltonian(1)], _PAIR_Z, np.array([0.5, 0.5]), steps=2, spikes="spikes", learn=("Z",))
+    return _ascent(spark, got, _z_cells(_PAIR_Z), _z_cells(got.params[1]), rows.count())
+
+
 def _oscillators():
     return oscillators.common_model([0.1], [0.9], [0.3], np.array([np.eye(2), 0.5 * np.eye(2)]), 1.0)
 
