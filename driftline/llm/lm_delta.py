@@ -31,7 +31,7 @@ ADDED, ADDED_PAIR = 1.0, 0.01
 #: An n-gram of so large a share of all tokens is hot.
 SHARE = 1e-5
 #: N-grams of a bucket, on average; tokens that are counted or dealt out together.
-BUCKET, CHUNK = 2_000_000, 2_000_000
+BUCKET, CHUNK = 2_000_000, 1_000_000
 #: Target ids that may be broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 200_000
 #: Documents of a chunk at most: their number and the target mark share 16 bits.

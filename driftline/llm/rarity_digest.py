@@ -275,9 +275,12 @@ def edited(text: str, after: str) -> str:
 def compare(documents: DataFrame) -> DataFrame:
     """Per row: fingerprints of its text and of its edited text, and likeness to that and to the next text.
 
-    The next document is the one of the next smaller doc_id; after the last comes the first, and
-    a single document is its own next one. Null texts count as empty.
+    doc_id is a whole number. The next document is the one of the next smaller doc_id; after the last comes
+    the first, and a single document is its own next one. Null texts count as empty, a null doc_id comes
+    last; repeated rows stay and follow one another. Other columns are not looked at; an empty table gives none.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     rank = fit(documents)
     schema = T.StructType(
         [
@@ -300,7 +303,7 @@ def compare(documents: DataFrame) -> DataFrame:
         own, other = prints[: len(texts)], prints[len(texts) :]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([r[0] for r in rows], id_type),
                 pa.array([len(t) for t in texts[:-1]], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in raw[len(texts) :]]),
                 pa.array([to_string(p) for p in own[:-1]]),
@@ -323,5 +326,8 @@ def compare(documents: DataFrame) -> DataFrame:
                     part = number
                     rows.append((doc_id, text))
                     size += len(text)
+        if rows:
+            raise RuntimeError(f"partition {part} of rows lacks the one that comes next")
 
+    id_type = to_arrow_type(documents.schema["doc_id"].dataType)
     return with_next(documents).mapInArrow(run, schema)
