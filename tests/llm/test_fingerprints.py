@@ -67,3 +67,61 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert rd.compare(no_documents).count() == 0
     one = spark.createDataFrame([(9, "alone here")], "doc_id long, text string")
     assert rd.compare(one).first()["near_next"] == 1
+
+
+def plain_print(text: bytes, rank):
+    """Filters and features of one text, window by window."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    found = []
+    for row, (window, stretch, points) in enumerate((rd.COARSE, rd.FINE)):
+        n = len(text) - window + 1
+        if n <= 0 or (row and len(text) >= rd.SHORT):
+            continue
+        level = rd.entropies(np.frombuffer(text, np.uint8), window)
+        point = Counter(min(range(s, min(s + stretch, n)), key=lambda i: (rank[row, level[i]], i)) for s in range(n))
+        spots = [i for i in range(n) if point[i] >= points] or [max(range(n), key=lambda i: (point[i], -i))]
+        for i in spots:
+            h = 0
+            for k in range(window // 8):
+                h = mix((h * int(rd._ODD[k]) + int.from_bytes(text[i + 8 * k : i + 8 * k + 8], "little")) & mask)
+            found.append(mix((h + 1) & mask) if row else h)
+    if 0 < len(text) < rd.BRIEF:
+        found += [mix((int.from_bytes(text[k : k + rd.SCRAP], "little") + 2) & mask) for k in range(max(1, len(text) - rd.SCRAP + 1))]
+    found = list(dict.fromkeys(found))
+    filters = []
+    for k in range(0, len(found), rd.FULL):
+        bits = np.zeros(rd.BITS, bool)
+        for h in found[k : k + rd.FULL]:
+            for i in range(rd.HASHES):
+                bits[(h >> 11 * i) & (rd.BITS - 1)] = True
+        filters.append(np.packbits(bits))
+    return filters, len(found)
+
+
+def test_the_whole_query_as_window_by_window(spark):
+    r = random.Random(9)
+    rows = [(i, words(r, r.choice([0, 1, 4, 20, 150, 900]))) for i in range(40)] + [(40, None), (41, "é梦" * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rank = rd.fit(frame)
+    down = [(i, t or "") for i, t in sorted(rows, reverse=True)]
+    prints = {}
+
+    def of(text):
+        if text not in prints:
+            filters, n = plain_print(text.encode(), rank)
+            prints[text] = (np.array(filters).reshape(-1, rd.BITS // 8), n)
+        return prints[text]
+
+    got = {x["doc_id"]: x for x in rd.compare(frame).collect()}
+    for (i, text), (_, after) in zip(down, down[1:] + down[:1]):
+        changed = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        assert got[i]["fingerprint"] == rd.to_string(of(text)), i
+        assert got[i]["edited_fingerprint"] == rd.to_string(of(changed)), i
+        assert got[i]["near_edited"] == rd.likeness(of(text), of(changed))
+        assert got[i]["near_next"] == rd.likeness(of(text), of(after))
