@@ -66,19 +66,23 @@ def normal_cdf(x: Column) -> Column:
 
 def matern32(lengthscale: float, variance: float, dt: float) -> dict[str, tuple]:
     """Transition, process noise and stationary covariance of a Matern-3/2 process as nested tuples."""
-    lam = math.sqrt(3) / lengthscale
+    return _matern32(lengthscale, variance, dt, math.exp, lambda small, near, far: near() if small else far(), math.sqrt)
+
+
+def matern32_columns(lengthscale: Column, variance: Column, dt: float) -> dict[str, tuple]:
+    """The same with columns."""
+    return _matern32(lengthscale, variance, dt, F.exp, lambda small, near, far: F.when(small, near()).otherwise(far()), math.sqrt)
+
+
+def _matern32(lengthscale, variance, dt, exp, either, sqrt):
+    lam = sqrt(3) / lengthscale
     x = lam * dt
-    e = math.exp(-x)
+    e, e2 = exp(-x), exp(-2 * x)
+    small = x <= 0.05  # leading terms of the same closed form, which cancels near 0
+    q11 = either(small, lambda: variance * (4 / 3 * x**3 - 2 * x**4 + 8 / 5 * x**5), lambda: variance * (1 - e2 * ((1 + x) ** 2 + x**2)))
+    q12 = either(small, lambda: variance * lam * (2 * x**2 - 4 * x**3 + 4 * x**4), lambda: variance * lam * (2 * x**2 * e2))
+    q22 = either(small, lambda: variance * lam**2 * (4 * x - 8 * x**2 + 28 / 3 * x**3), lambda: variance * lam**2 * (1 - e2 * ((1 - x) ** 2 + x**2)))
     a = ((e * (1 + x), e * dt), (-e * lam * lam * dt, e * (1 - x)))
-    if x <= 0.05:  # leading terms of the same closed form, which cancels near 0
-        q11 = variance * (4 / 3 * x**3 - 2 * x**4 + 8 / 5 * x**5)
-        q12 = variance * lam * (2 * x**2 - 4 * x**3 + 4 * x**4)
-        q22 = variance * lam**2 * (4 * x - 8 * x**2 + 28 / 3 * x**3)
-    else:
-        e2 = math.exp(-2 * x)
-        q11 = variance * (1 - e2 * ((1 + x) ** 2 + x**2))
-        q12 = variance * lam * (2 * x**2 * e2)
-        q22 = variance * lam**2 * (1 - e2 * ((1 - x) ** 2 + x**2))
     return {"A": a, "Q": ((q11, q12), (q12, q22)), "P": ((variance, 0.0), (0.0, lam * lam * variance))}
 
 

@@ -74,30 +74,42 @@ def polya_gamma_mean(eta: np.ndarray) -> np.ndarray:
     return np.where(e < 1e-6, 0.25, np.tanh(e / 2) / (2 * np.maximum(e, 1e-12)))
 
 
-def draw_polya_gamma(rng: np.random.Generator, eta: np.ndarray, terms: int = 60) -> np.ndarray:
-    """Draws of PG(1, eta): a sum of gamma variables over growing denominators, its tail replaced by the mean."""
+def _uniform(counter: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from whole ones, by the finaliser of SplitMix64."""
+    x = counter * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = x ^ (x >> np.uint64(31))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def draw_polya_gamma(eta: np.ndarray, seeds: np.ndarray, terms: int = 60) -> np.ndarray:
+    """Draws of PG(1, eta), one for each seed: a sum of exponentials over growing denominators, its tail replaced by the mean."""
     k = np.arange(1, terms + 1)
     under = (k - 0.5) ** 2 + (eta[..., None] / (2 * np.pi)) ** 2
-    head = (rng.standard_gamma(1.0, under.shape) / under).sum(-1) / (2 * np.pi**2)
-    return head + polya_gamma_mean(eta) - (1 / under).sum(-1) / (2 * np.pi**2)
+    with np.errstate(over="ignore"):
+        drawn = -np.log(_uniform(seeds[..., None] * np.uint64(terms + 1) + k.astype(np.uint64)))
+    return (drawn / under).sum(-1) / (2 * np.pi**2) + polya_gamma_mean(eta) - (1 / under).sum(-1) / (2 * np.pi**2)
 
 
-def gibbs_couplings(rows: DataFrame, baseline: np.ndarray, n_iter: int = 60, burn_in: int = 20, sigma: float = 5.0, seed: int = 0, x: str = "x", spikes: str = "spikes", t: str = "t") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gibbs_couplings(rows: DataFrame, baseline: np.ndarray, n_iter: int = 60, burn_in: int = 20, sigma: float = 5.0, seed: int = 0, x: str = "x", spikes: str = "spikes", t: str = "t", key: str = "series_id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, covariances and kept draws (draws, neurons, 2 bands): each sweep draws one Polya-Gamma variable for every row and neuron in one job.
 
-    A batch's draws depend on the seed, the sweep and the batch's first row, so a lost task draws the same again.
+    A row's draws come from a hash of seed, sweep, series, time and neuron, so they do not depend on batches or on lost tasks.
     """
+    rows = rows.withColumn("__seed", F.xxhash64(F.lit(seed), key, t))
     S, d = len(baseline), len(rows.select(x).first()[0])
     driver = np.random.default_rng(seed)
     b, kept = np.zeros((S, d)), []
     for sweep in range(n_iter):
         def make(v, b=b, sweep=sweep):
-            rng = np.random.default_rng([seed, sweep, int(v[t][0]), len(v[t])])
-            w = draw_polya_gamma(rng, v[x] @ b.T + baseline)
+            with np.errstate(over="ignore"):
+                each = (v["__seed"].view(np.uint64)[:, None] + np.uint64(sweep)) * np.uint64(2 * S + 1) + np.arange(S, dtype=np.uint64)
+            w = draw_polya_gamma(v[x] @ b.T + baseline, each)
             k = v[spikes] - 0.5 - w * baseline
             return {"h": np.einsum("ns,na,nb->sab", w, v[x], v[x]), "g": k.T @ v[x]}
 
-        s = totals(rows, [x, spikes, t], make)
+        s = totals(rows, [x, spikes, "__seed"], make)
         cov = np.linalg.inv(s["h"] + np.eye(d) / sigma**2)
         mean = np.einsum("sab,sb->sa", cov, s["g"])
         b = mean + np.einsum("sab,sb->sa", np.linalg.cholesky(cov), driver.standard_normal((S, d)))

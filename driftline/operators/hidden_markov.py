@@ -23,7 +23,7 @@ def _pairs(of: str) -> str:
     return ", ".join(f"'m{i}{j}', {of.format(i=i, j=j)}" for i in (0, 1) for j in (0, 1))
 
 
-def two_state_filter(series: DataFrame, stay: tuple[float, float], prior: tuple[float, float], longest: int, key: str = "series_id", order: str = "t", block: int = scan.BLOCK) -> DataFrame:
+def two_state_filter(series: DataFrame, stay: tuple[float, float], prior: tuple[float, float], longest: int | None = None, key: str = "series_id", order: str = "t", block: int = scan.BLOCK) -> DataFrame:
     """(key, order, l0, l1, p0, p1, ll): posterior of each row from likelihoods l0 and l1, and the log of what it was expected with."""
     t = {(0, 0): stay[0], (0, 1): 1 - stay[0], (1, 0): 1 - stay[1], (1, 1): stay[1]}
     element = "named_struct(" + ", ".join(
@@ -40,7 +40,7 @@ def two_state_filter(series: DataFrame, stay: tuple[float, float], prior: tuple[
     return scan.run(series.select(key, order, "l0", "l1"), key, order, scan.Scan(element, compose, identity, start, step), longest, block)
 
 
-def two_state_smoother(filtered: DataFrame, stay: tuple[float, float], longest: int, key: str = "series_id", order: str = "t", block: int = scan.BLOCK) -> DataFrame:
+def two_state_smoother(filtered: DataFrame, stay: tuple[float, float], longest: int | None = None, key: str = "series_id", order: str = "t", block: int = scan.BLOCK) -> DataFrame:
     """Adds s0, s1, the posterior given the whole series: a backward scan of likelihood products, times the filter."""
     t = {(0, 0): stay[0], (0, 1): 1 - stay[0], (1, 0): 1 - stay[1], (1, 1): stay[1]}
     # beta before a row from beta after it: column b <- T diag(l) b

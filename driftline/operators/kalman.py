@@ -61,7 +61,7 @@ def _scalar_filter(k: Scalar) -> scan.Scan:
     return scan.Scan(element, compose, identity, start, step)
 
 
-def scalar_filter(series: DataFrame, model: Scalar, longest: int, key: str = "series_id", order: str = "t", block: int = scan.BLOCK) -> DataFrame:
+def scalar_filter(series: DataFrame, model: Scalar, longest: int | None = None, key: str = "series_id", order: str = "t", block: int = scan.BLOCK) -> DataFrame:
     """(key, order, y, m, v, pm, pv, ll): filtered and predicted moments and the log density of each observation."""
     got = scan.run(series.select(key, order, "y"), key, order, _scalar_filter(model), longest, block)
     s = F.lit(model.h**2) * F.col("pv") + model.r
@@ -69,7 +69,7 @@ def scalar_filter(series: DataFrame, model: Scalar, longest: int, key: str = "se
     return got.withColumn("ll", -0.5 * (F.ln(2 * np.pi * s) + off * off / s))
 
 
-def scalar_smoother(filtered: DataFrame, model: Scalar, longest: int, key: str = "series_id", order: str = "t", block: int = scan.BLOCK) -> DataFrame:
+def scalar_smoother(filtered: DataFrame, model: Scalar, longest: int | None = None, key: str = "series_id", order: str = "t", block: int = scan.BLOCK) -> DataFrame:
     """(key, order, ..., sm, sv, cross): smoothed moments and the covariance with the next state, 0 at the last row.
 
     Every row but the last of a series is affine in the one after it: gain j, offset g, spread l.

@@ -127,6 +127,54 @@ def filtered(series: DataFrame, model: Counts, key: str = "unit_id", order: str
     return fold(series, key, order, *steps_of(model, y, design, family), {"m": 1, "V": 2, "ll": 0}, [y, design], [y, design, *keep])
 
 
+def blocks_of(model: Counts, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(state numbers, unit numbers) of each part of a dense model that shares nothing with the others; weights: (units, d)."""
+    d = len(model.m0)
+    joined = (model.A != 0) | (model.A.T != 0) | (model.Q != 0) | (model.P0 != 0) | (np.abs(weights.T) @ np.abs(weights) > 0)
+    label = np.arange(d)
+    for _ in range(d):
+        label = np.where(joined, label[None, :], d).min(axis=1).clip(max=label)
+    seen = [np.flatnonzero(label == k) for k in np.unique(label)]
+    return [(own, np.flatnonzero(np.abs(weights[:, own]).sum(1) > 0)) for own in seen]
+
+
+def filtered_blocks(series: DataFrame, model: Counts, weights: np.ndarray, key: str = "series_id", order: str = "t", y: str = "counts") -> DataFrame:
+    """(key, order, block, m, V, ll) of a dense model of many units, block by block: rows hold an array of all units' counts.
+
+    Each block is a series of its own, of its own size; blocks of one shape go in one pass. The
+    dense filter's evidence is the sum over blocks.
+    """
+    from pyspark.sql import functions as F
+
+    parts = blocks_of(model, weights)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, (own, units) in enumerate(parts):
+        shapes.setdefault((len(own), len(units)), []).append(k)
+    family, out = poisson(model.dt), None
+    for (d, _), which in shapes.items():
+        pick = lambda f: np.stack([f(*parts[k]) for k in which])
+        A, Q = pick(lambda o, u: model.A[np.ix_(o, o)]), pick(lambda o, u: model.Q[np.ix_(o, o)])
+        P0, m0 = pick(lambda o, u: model.P0[np.ix_(o, o)]), pick(lambda o, u: model.m0[o])
+        Z = pick(lambda o, u: weights[np.ix_(u, o)])
+        each = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("block"), F.array(*[F.get(y, F.lit(int(u))).cast("double") for u in parts[k][1]]).alias("own")) for n, k in enumerate(which)])
+        rows = series.select(key, order, F.explode(each).alias("b")).select(key, order, "b.*")
+        rows = rows.withColumn("__series", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), "block"))
+
+        def start(n, d=d):
+            return {"m": np.zeros((n, d)), "V": np.repeat(np.eye(d)[None], n, 0)}
+
+        def step(s, x, fresh, A=A, Q=Q, P0=P0, m0=m0, Z=Z):
+            b, e = x["n"].astype(int), fresh[:, None]
+            m, V = np.where(e, m0[b], s["m"]), np.where(e[..., None], P0[b], s["V"])
+            pm, pv = mv(A[b], m), symmetric(A[b] @ V @ transposed(A[b]) + Q[b])
+            m, V, ll = laplace(pm, pv, x["own"], Z[b], 0.0, family, model.steps)
+            return {"m": m, "V": V}, {"m": m, "V": V, "ll": ll}
+
+        got = fold(rows, "__series", order, start, step, {"m": 1, "V": 2, "ll": 0}, ["n", "own"], [key, "block"]).drop("__series")
+        out = got if out is None else out.union(got)
+    return out.select(key, order, "block", "m", "V", "ll")
+
+
 def smoothed(rows: DataFrame, model: Counts, key: str = "unit_id", order: str = "t", keep=("n", "z", "ll")) -> DataFrame:
     return kalman.smoothed(rows, model.A, model.Q, key, order, keep)
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,10 +166,13 @@ def nearest(samples: DataFrame, at: DataFrame, key: str | None, time: str, value
 
 
 def interpolate(samples: DataFrame, at: DataFrame, key: str | None, time: str, value: str, kind: str = "linear", bucket: float | None = None) -> DataFrame:
-    """Rows of `at` with `value` taken between the samples beside them: linear or nearest; beyond the ends the line of the last two samples goes on.
+    """Rows of `at` with `value` taken between the samples beside them: linear, cubic or nearest; beyond the ends the last piece goes on.
 
-    Samples need distinct times within a key.
+    Samples need distinct times within a key. cubic: a spline without knots at the second and the last but one
+    sample of a key; null with fewer than four samples.
     """
+    if kind == "cubic":
+        return _cubic(samples, at, key, time, value, bucket)
     if kind not in ("linear", "nearest"):
         raise ValueError(f"unknown kind: {kind}")
     own = Window.partitionBy(*([key] if key else [])).orderBy(time)
@@ -187,3 +191,64 @@ def interpolate(samples: DataFrame, at: DataFrame, key: str | None, time: str, v
     v1 = F.when(inside, F.col(f"after.{value}")).otherwise(F.coalesce("before.__prev.v", "after.__next.v"))
     line = F.when(t1 == t0, v0).otherwise(v0 + (v1 - v0) * (F.col(time) - t0) / (t1 - t0))
     return found.withColumn(value, F.coalesce(line, v0)).drop("before", "after")
+
+
+def second_derivatives(samples: DataFrame, key: str | None, time: str, value: str) -> DataFrame:
+    """(key, __n, time, value, __m): samples numbered by time, with the spline's second derivative at each; null with fewer than four.
+
+    The three-term system is eliminated forward and solved backward, a row at a time.
+    """
+    from driftline.plans.fold import fold
+
+    named = key or "__key"
+    rows = samples.select(F.col(key).alias(named) if key else F.lit(0).alias(named), F.col(time).cast("double").alias("__t"), F.col(value).cast("double").alias("__y"))
+    own = Window.partitionBy(named).orderBy("__t")
+    rows = rows.withColumn("__n", F.row_number().over(own).cast("long"))
+    h0, h1 = F.col("__t") - F.lag("__t").over(own), F.lead("__t").over(own) - F.col("__t")
+    slope = (F.lead("__y").over(own) - F.col("__y")) / h1 - (F.col("__y") - F.lag("__y").over(own)) / h0
+    inner = rows.withColumns({"h0": h0, "h1": h1, "rhs": 6 * slope, "first": F.lag("__t", 2).over(own).isNull(), "final": F.lead("__t", 2).over(own).isNull()})
+    inner = inner.filter("h0 IS NOT NULL AND h1 IS NOT NULL")
+    both = F.col("h0") + F.col("h1")
+    diagonal = 2 * both + F.when(F.col("first"), F.col("h0") * both / F.col("h1")).otherwise(0) + F.when(F.col("final"), F.col("h1") * both / F.col("h0")).otherwise(0)
+    lower = F.when(F.col("first"), 0.0).when(F.col("final"), F.col("h0") - F.col("h1") ** 2 / F.col("h0")).otherwise(F.col("h0"))
+    upper = F.when(F.col("final"), 0.0).when(F.col("first"), F.col("h1") - F.col("h0") ** 2 / F.col("h1")).otherwise(F.col("h1"))
+    system = inner.select(named, "__n", lower.alias("low"), diagonal.alias("mid"), upper.alias("up"), "rhs")
+
+    def start(n):
+        return {"c": np.zeros(n), "d": np.zeros(n)}
+
+    def ahead(s, x, fresh):
+        under = x["mid"] - x["low"] * s["c"]
+        c, d = x["up"] / under, (x["rhs"] - x["low"] * s["d"]) / under
+        return {"c": c, "d": d}, {"c": c, "d": d}
+
+    def back(s, x, fresh):
+        m = x["d"] - x["c"] * s["m"]
+        return {"m": m}, {"m": m}
+
+    swept = fold(system, named, "__n", start, ahead, {"c": 0, "d": 0}, ["low", "mid", "up", "rhs"])
+    solved = fold(swept, named, "__n", lambda n: {"m": np.zeros(n)}, back, {"m": 0}, ["c", "d"], backward=True)
+    got = rows.join(solved, [named, "__n"], "left")
+    own = Window.partitionBy(named).orderBy("__n")
+    step = lambda a, b: F.lead("__t", b).over(own) - (F.lead("__t", a).over(own) if a else F.col("__t"))
+    first = ((step(0, 1) + step(1, 2)) * F.lead("m").over(own) - step(0, 1) * F.lead("m", 2).over(own)) / step(1, 2)
+    down = lambda a, b: (F.lag("__t", a).over(own) if a else F.col("__t")) - F.lag("__t", b).over(own)
+    last = ((down(0, 1) + down(1, 2)) * F.lag("m").over(own) - down(0, 1) * F.lag("m", 2).over(own)) / down(1, 2)
+    whole = F.count("*").over(Window.partitionBy(named)) >= 4
+    made = F.when(F.col("__n") == 1, first).when(F.lead("__t").over(own).isNull(), last).otherwise(F.col("m"))
+    return got.select(*([named] if key else []), "__n", F.col("__t").alias(time), F.col("__y").alias(value), F.when(whole, made).alias("__m"))
+
+
+def _cubic(samples, at, key, time, value, bucket):
+    known = second_derivatives(samples, key, time, value)
+    own = Window.partitionBy(*([key] if key else [])).orderBy("__n")
+    here = F.struct(F.col(time).alias("t0"), F.col(value).alias("y0"), F.col("__m").alias("m0"))
+    pair = F.struct(here.alias("a"), F.lead(here).over(own).alias("b"))
+    before = F.struct(F.lag(here).over(own).alias("a"), here.alias("b"))
+    known = known.withColumn("__piece", F.when(F.lead(time).over(own).isNotNull(), pair).otherwise(before))
+    found = beside(known, at, key, time, ["__piece"], bucket).withColumn("__p", F.coalesce("before.__piece", "after.__piece"))
+    a, b, t = F.col("__p.a"), F.col("__p.b"), F.col(time)
+    h = b["t0"] - a["t0"]
+    left, right = b["t0"] - t, t - a["t0"]
+    curve = (a["m0"] * left**3 + b["m0"] * right**3) / (6 * h) + (a["y0"] / h - a["m0"] * h / 6) * left + (b["y0"] / h - b["m0"] * h / 6) * right
+    return found.withColumn(value, curve).drop("before", "after", "__p")

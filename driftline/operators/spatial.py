@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from driftline.operators.matrices import log_det, mv, psd_solve, symmetric, transposed, vec_solve
 from driftline.operators.point_process import Counts, poisson
@@ -62,6 +63,43 @@ def centroid(rates: DataFrame, by: str = "unit_id", x: str = "x", y: str = "y",
     return rates.groupBy(by).agg((F.sum(F.col(rate) * F.col(x)) / w).alias("cx"), (F.sum(F.col(rate) * F.col(y)) / w).alias("cy"))
 
 
+def drift(rates: DataFrame, by: str = "unit_id", block: str = "block", x: str = "x", y: str = "y", rate: str = "rate") -> DataFrame:
+    """(by, blocks, total, path, peak): distance of the first and last block's middles, length of the way over all, and the largest rate.
+
+    A block whose rates sum to 0 has the plain middle of its places.
+    """
+    w = F.sum(rate)
+    middle = lambda c: F.when(w > 0, F.sum(F.col(rate) * F.col(c)) / w).otherwise(F.avg(c))
+    blocks = rates.groupBy(by, block).agg(middle(x).alias("cx"), middle(y).alias("cy"), F.max(rate).alias("peak"))
+    own = Window.partitionBy(by).orderBy(block)
+    stepped = blocks.withColumn("step", F.hypot(F.col("cx") - F.lag("cx").over(own), F.col("cy") - F.lag("cy").over(own)))
+    ends = lambda f, c: f(c, block)
+    got = stepped.groupBy(by).agg(
+        F.count("*").alias("blocks"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"), F.max("peak").alias("peak"),
+        *[ends(f, c).alias(n) for n, f, c in (("ax", F.min_by, "cx"), ("ay", F.min_by, "cy"), ("bx", F.max_by, "cx"), ("by_", F.max_by, "cy"))],
+    )
+    return got.select(by, "blocks", F.hypot(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")).alias("total"), "path", "peak")
+
+
+def grid(low: tuple[float, float], high: tuple[float, float], n: int = 50) -> np.ndarray:
+    """(n * n, 2) places at even steps, x running fastest."""
+    X, Y = np.meshgrid(np.linspace(low[0], high[0], n), np.linspace(low[1], high[1], n))
+    return np.column_stack([X.ravel(), Y.ravel()])
+
+
+def knots_for_width(width: float, range_x: tuple[float, float], range_y: tuple[float, float]) -> int:
+    """Inner knots of each coordinate for fields of that width: three to a field, over the mean extent, three at least."""
+    extent = (range_x[1] - range_x[0] + range_y[1] - range_y[0]) / 2
+    return max(3, int(np.round(extent / (width / 3))))
+
+
+def score(rows: DataFrame, model: Counts, key: str = "series_id", order: str = "t") -> DataFrame:
+    """One row, ll: log likelihood of held-out rows with their design under a fitted field, without smoothing."""
+    from driftline.operators.point_process import filtered
+
+    return filtered(rows, model, key, order).agg(F.sum("ll").alias("ll"))
+
+
 # ---------------------------------------------------------------- splines
 
 
@@ -310,6 +348,32 @@ def kernel_log_rate(at: np.ndarray, where: np.ndarray, spikes: np.ndarray, weigh
     return np.log(np.maximum((k @ spikes + tau * base) / np.maximum(k @ weights[:, None] + tau, 1e-300), 1e-10))
 
 
+@dataclass(frozen=True)
+class Kernels:
+    """Log rates from an encoding set as maps that `decoded` takes: positions (n, 2), spikes (n, units) and occupancy weights (n)."""
+
+    where: np.ndarray
+    spikes: np.ndarray
+    weights: np.ndarray
+    sigma2: float
+    base: np.ndarray
+    tau: float
+
+    def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log rates (rows, units) and their gradients (rows, units, 2)."""
+        off = p[:, None, :2] - self.where[None]
+        k = np.exp(-(off**2).sum(-1) / (2 * self.sigma2))
+        dk = -off / self.sigma2 * k[..., None]
+        top = k @ self.spikes + self.tau * self.base
+        under = np.maximum(k @ self.weights + self.tau, 1e-300)[:, None]
+        d_top = np.einsum("rnc,nu->ruc", dk, self.spikes)
+        d_under = np.einsum("rnc,n->rc", dk, self.weights)[:, None]
+        rate = top / under
+        live = (rate > 1e-10)[..., None]
+        slope = np.where(live, d_top / np.maximum(top, 1e-300)[..., None] - d_under / under[..., None], 0.0)
+        return np.log(np.maximum(rate, 1e-10)), slope
+
+
 # ---------------------------------------------------------------- graphs
 
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from driftline.functions.circular import angular_distance
+from driftline.plans.fold import to_numpy
 
 TINY = 1e-12
 
@@ -41,12 +46,28 @@ def transition_matrix(counts: DataFrame, concentration: float = 1.0, stickiness:
 
 
 def outer_sums(vectors: DataFrame, x: str, y: str, by: str | None = None, weight: str | None = None) -> DataFrame:
-    """(by, i, j, s): sums of w * x_i * y_j over all rows, for arrays x and y; summed within a row's partition before any shuffle."""
-    keys = [by] if by else []
-    w = F.col(weight) if weight else F.lit(1.0)
-    left = vectors.select(*keys, w.alias("w"), F.posexplode(x).alias("i", "xi"), F.col(y).alias("__y"))
-    each = left.select(*keys, "w", "i", "xi", F.posexplode("__y").alias("j", "yj"))
-    return each.groupBy(*keys, "i", "j").agg(F.sum(F.col("w") * F.col("xi") * F.col("yj")).alias("s"))
+    """(by, i, j, s): sums of w * x_i * y_j over all rows, for arrays x and y: matrix products of each batch by group, then sums."""
+    names = ([by] if by else []) + ["i", "j", "s"]
+    kinds = ([vectors.schema[by]] if by else []) + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("s", T.DoubleType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = to_numpy(batch.column(x)), to_numpy(batch.column(y))
+            if weight:
+                u = u * to_numpy(batch.column(weight))[:, None]
+            groups = batch.column(by).dictionary_encode() if by else None
+            at = groups.indices.fill_null(len(groups.dictionary)).to_numpy(zero_copy_only=False) if by else np.zeros(len(u), int)
+            i, j = np.divmod(np.arange(u.shape[1] * v.shape[1]), v.shape[1])
+            for k in np.unique(at).tolist():
+                own = at == k
+                made = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array((u[own].T @ v[own]).ravel())]
+                key = [pa.repeat(groups.dictionary[k], len(i)) if k < len(groups.dictionary) else pa.nulls(len(i), groups.dictionary.type)] if by else []
+                yield pa.RecordBatch.from_arrays([*key, *made], names=names)
+
+    used = list(dict.fromkeys([*([by] if by else []), x, y, *([weight] if weight else [])]))
+    return vectors.select(*used).mapInArrow(run, T.StructType(kinds)).groupBy(*names[:-1]).agg(F.sum("s").alias("s"))
 
 
 def lag_products(series: DataFrame, key: str, order: str, x: str) -> DataFrame:
@@ -87,30 +108,45 @@ def confusion(rows: DataFrame, predicted: Column, truth: Column, by: str | None
     return got.withColumn("f1", f1)
 
 
-def ranked(rows: DataFrame, x: str, into: str) -> DataFrame:
-    """rows with the mean rank of x: by counts of equal values, so that one task holds distinct values only.
+def _stretches(counts: DataFrame, x: str) -> DataFrame:
+    """counts with __part, a stretch of the order of x, by cut points at even ranks: a function of x alone, whatever the plan."""
+    n = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = [k / n for k in range(1, n)]
+    cuts = counts.agg(F.percentile_approx(x, at, max(10_000, 10 * n))).first()[0] or []
+    points = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    return counts.withColumn("__part", F.size(F.filter(points, lambda c: c < F.col(x))))
 
-    Values are dealt into as many stretches as there are partitions by their sorted order; a
-    stretch begins where the rows before it end.
-    """
+
+def _before(counts: DataFrame, x: str, n: str, into: str) -> DataFrame:
+    """counts with the sum of n over all smaller x: within the stretch by a window, over stretches by one row each."""
+    parted = _stretches(counts, x)
+    sizes = parted.groupBy("__part").agg(F.sum(n).alias("__size"))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    begins = sizes.select("__part", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__begin"))
+    own = Window.partitionBy("__part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parted.withColumn("__own", F.coalesce(F.sum(n).over(own), F.lit(0))).join(F.broadcast(begins), "__part")
+    return placed.withColumn(into, F.col("__begin") + F.col("__own")).drop("__part", "__own", "__begin")
+
+
+def ranked(rows: DataFrame, x: str, into: str) -> DataFrame:
+    """rows with the mean rank of x: by counts of equal values, so that one task holds distinct values only."""
     counts = rows.groupBy(x).agg(F.count("*").alias("__n"))
-    parted = counts.repartitionByRange(x).withColumn("__part", F.spark_partition_id())
-    sizes = parted.groupBy("__part").agg(F.sum("__n").alias("__size"))
-    begins = sizes.withColumn("__begin", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = Window.partitionBy("__part").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    placed = parted.withColumn("__upto", F.sum("__n").over(own)).join(F.broadcast(begins), "__part")  # a row for each partition
-    rank = F.col("__begin") + F.col("__upto") - (F.col("__n") - 1) / 2.0
-    return rows.join(placed.select(x, rank.alias(into)), x)
+    rank = F.col("__b") + (F.col("__n") + 1) / 2.0
+    return rows.join(_before(counts, x, "__n", "__b").select(x, rank.alias(into)), x)
 
 
 def roc_auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
-    """One row, auc: chance that a true row scores above a false one, ties half; null for one class."""
-    got = ranked(rows.filter(F.col(score).isNotNull()), score, "__rank").agg(
-        F.sum(F.when(F.col(truth) == 1, F.col("__rank"))).alias("s"),
-        F.count_if(F.col(truth) == 1).cast("double").alias("p"),
-        F.count_if(F.col(truth) != 1).cast("double").alias("q"),
+    """One row, auc: chance that a true row scores above a false one, ties half; null for one class.
+
+    Taken from counts of each distinct score; rows are never joined.
+    """
+    counts = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(
+        F.count_if(F.col(truth) == 1).alias("__p"), F.count_if(F.col(truth) != 1).alias("__q")
+    )
+    got = _before(counts, score, "__q", "__below").agg(
+        F.sum(F.col("__p") * (F.col("__below") + F.col("__q") / 2.0)).alias("wins"), F.sum("__p").cast("double").alias("p"), F.sum("__q").cast("double").alias("q")
     )
-    return got.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+    return got.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("wins") / (F.col("p") * F.col("q"))).alias("auc"))
 
 
 def detection_score(p_value: Column) -> Column:

@@ -436,3 +436,62 @@ def fit(series: DataFrame, model: Switching, inputs: list[str], max_iter: int =
         return project(new)
 
     return em(model, e_step, step, max_iter, tolerance)
+
+
+def window_moments(series: DataFrame, key: str = "series_id", order: str = "t", y: str = "y", window: int = 50) -> DataFrame:
+    """(key, window, n, mean, cov) of whole stretches of rows: what tells states apart before any fit."""
+    from pyspark.sql import functions as F
+
+    n = len(series.select(y).first()[0])
+    stretch = F.floor(F.col(order) / window).cast("long")
+    sums = [F.sum(F.col(y)[i]).alias(f"s{i}") for i in range(n)] + [F.sum(F.col(y)[i] * F.col(y)[j]).alias(f"q{i}{j}") for i in range(n) for j in range(i, n)]
+    got = series.groupBy(key, stretch.alias("window")).agg(F.count("*").alias("n"), *sums).filter(F.col("n") == window)
+    cov = [[(F.col(f"q{min(i, j)}{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}") / window) / (window - 1) for j in range(n)] for i in range(n)]
+    return got.select(key, "window", "n", F.array(*[F.col(f"s{i}") / window for i in range(n)]).alias("mean"), F.array(*[F.array(*r) for r in cov]).alias("cov"))
+
+
+def warm_start(series: DataFrame, model: Switching, key: str = "series_id", order: str = "t", y: str = "y", window: int = 50, rounds: int = 20, seed: int = 0) -> Switching:
+    """The model with a prior, first means and spread from a mixture over windows' covariances; unchanged with too few windows.
+
+    The mixture (one diagonal Gaussian a state) is fitted by sums over all windows, one job a round.
+    """
+    K, d = model.m0.shape
+    rows = window_moments(series, key, order, y, window)
+    n = len(series.select(y).first()[0])
+    upper = np.triu_indices(n)
+    every = totals(rows, ["mean", "cov"], lambda x: {"f": x["cov"][:, upper[0], upper[1]].sum(0), "ff": (x["cov"][:, upper[0], upper[1]] ** 2).sum(0), "n": np.array(float(len(x["mean"]))), "m": x["mean"].sum(0), "mm": (x["mean"] ** 2).sum(0), "v": np.einsum("waa->a", x["cov"])})
+    if not every or every["n"] < 2 * K or K < 2:
+        return model
+    mean, spread = every["f"] / every["n"], np.maximum(every["ff"] / every["n"] - (every["f"] / every["n"]) ** 2, 1e-12)
+    rng = np.random.default_rng(seed)
+    centre, var, share = mean + np.sqrt(spread) * rng.normal(size=(K, len(mean))), np.tile(spread, (K, 1)), np.full(K, 1 / K)
+    for _ in range(rounds):
+        def make(x, centre=centre, var=var, share=share):
+            f = x["cov"][:, upper[0], upper[1]]
+            lp = np.log(share) - 0.5 * ((f[:, None] - centre) ** 2 / var + np.log(var)).sum(-1)
+            r = np.exp(lp - log_sum_exp(lp, 1)[:, None])
+            return {"r": r.sum(0), "f": r.T @ f, "ff": r.T @ f**2, "m": r.T @ x["mean"]}
+
+        s = totals(rows, ["mean", "cov"], make)
+        w = np.maximum(s["r"], 1e-10)[:, None]
+        centre, var, share = s["f"] / w, np.maximum(s["ff"] / w - (s["f"] / w) ** 2, 1e-6 * spread), np.maximum(s["r"], 1e-10) / max(s["r"].sum(), 1e-10)
+    prior = share * 0.9 + 0.1 / K
+    total = every["v"] / every["n"] + every["mm"] / every["n"] - (every["m"] / every["n"]) ** 2
+    new = replace(model, prior=prior / prior.sum(), P0=np.repeat(max(float(total.mean()), 1e-6) * np.eye(d)[None], K, 0))
+    H = model.obs.H
+    if np.allclose(H, H[:1]):  # only where all states see alike do means of windows say where they begin
+        new = replace(new, m0=(s["m"] / w) @ np.linalg.pinv(H[0]).T)
+    return new
+
+
+def best_of(starts: list[Switching], run: Callable[[Switching], Fit]) -> Fit:
+    """The fit of the largest likelihood from several starts; starts that break down are passed over."""
+    got = []
+    for start in starts:
+        try:
+            got.append(run(start))
+        except (np.linalg.LinAlgError, FloatingPointError):
+            continue
+    if not got:
+        raise FloatingPointError("no start led to a fit")
+    return max(got, key=lambda f: f.log_likelihood)

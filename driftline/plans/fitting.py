@@ -283,3 +283,17 @@ def assignment(gain: np.ndarray) -> np.ndarray:
     out = np.zeros(n, int)
     out[match[1:] - 1] = np.arange(n)
     return out
+
+
+def summary(spark, fit: Fit, n_params: int, n_rows: int):
+    """(name, value) of a fit: likelihood, criteria, steps, and every number of its parameters."""
+    ll = fit.log_likelihood
+    rows = [("log_likelihood", ll), ("bic", -2 * ll + n_params * float(np.log(n_rows))), ("aic", -2 * ll + 2 * n_params), ("n_params", n_params), ("steps", len(fit.log_likelihoods)), ("converged", float(fit.converged))]
+    values = fit.params if isinstance(fit.params, dict) else getattr(fit.params, "__dict__", {})
+    for name, x in values.items():
+        try:
+            x = np.asarray(x, float)
+        except (TypeError, ValueError):
+            continue  # functions, families, nested models
+        rows += [(name + "".join(f"[{k}]" for k in at), x[at]) for at in np.ndindex(*x.shape)]
+    return spark.createDataFrame([(a, float(b)) for a, b in rows], "name string, value double")

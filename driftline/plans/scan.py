@@ -75,11 +75,17 @@ def carried(summaries: DataFrame, key: str, scan: Scan, block: int, depth: int)
     )
 
 
-def run(items: DataFrame, key: str, order: str, scan: Scan, longest: int, block: int = BLOCK, backward: bool = False) -> DataFrame:
+def bound(items: DataFrame, order: str) -> int:
+    """The largest value of the order column, one number from each task."""
+    return int(items.agg(F.max(order)).first()[0] or 0)
+
+
+def run(items: DataFrame, key: str, order: str, scan: Scan, longest: int | None = None, block: int = BLOCK, backward: bool = False) -> DataFrame:
     """The items with the fields of the state after each; `longest` bounds the order column, which counts from 0.
 
-    Series of at most one block take one shuffle and no composition.
+    Without it the bound is taken from the items. Series of at most one block take one shuffle and no composition.
     """
+    longest = bound(items, order) if longest is None else longest
     blocks = _blocks(items, key, order, block, backward)
     depth, reach = 0, block
     while reach <= longest:

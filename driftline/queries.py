@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from driftline import model_oracles as O
 from driftline.functions import circular, links, uncertainty
 from driftline.operators import (
+    checks,
     choice,
     coupling,
     gaussian_process,
@@ -35,8 +36,6 @@ from driftline.sources.tables import choices, seconds, series, spikes, table
 DAY, HOUR, DAYS = 86400.0, 3600.0, 30
 LEVEL = kalman.Scalar(a=0.95, q=400.0, h=1.0, r=900.0, m0=50.0, p0=1000.0)
 STAY, PRIOR = (0.9, 0.8), (0.6, 0.4)
-#: Bound of the events of one user; the scans need one, and cut a series longer than a block into blocks.
-LONGEST = 10_000
 
 Queries = dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | Callable[[], str] | None]]
 _all: Queries = {}
@@ -62,6 +61,11 @@ def _cells(df: DataFrame, to: int = 5, given=("series_id", "t"), **shapes: tuple
     return df.select(*given, *out)
 
 
+def _longest(spark, d) -> int:
+    """Events of the user with most: a count for each, and their maximum."""
+    return table(spark, d, "events").groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+
+
 def _rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, to) for n in names})
 
@@ -161,6 +165,28 @@ def interpolate_linear(spark, d):
     return _rounded(prep.interpolate(samples, at, "user_id", "s", "value", bucket=7 * DAY), "value", to=4)
 
 
+@_query(""", K AS (SELECT user_id, s AS t, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY s) AS n FROM (SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS s, value FROM events WHERE event_type = 'view')),
+H AS (SELECT *, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1, 6 * ((lead(y) OVER w - y) / (lead(t) OVER w - t) - (y - lag(y) OVER w) / (t - lag(t) OVER w)) AS rhs, count(*) OVER (PARTITION BY user_id) AS size FROM K WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+T3 AS (SELECT *, CASE WHEN n = 2 THEN 0 WHEN n = size - 1 THEN h0 - h1 * h1 / h0 ELSE h0 END AS low, CASE WHEN n = size - 1 THEN 0 WHEN n = 2 THEN h1 - h0 * h0 / h1 ELSE h1 END AS up,
+ 2 * (h0 + h1) + CASE WHEN n = 2 THEN h0 * (h0 + h1) / h1 ELSE 0 END + CASE WHEN n = size - 1 THEN h1 * (h0 + h1) / h0 ELSE 0 END AS mid FROM H WHERE n BETWEEN 2 AND size - 1 AND size >= 4),
+FW(user_id, n, c, d) AS (SELECT user_id, n, up / mid, rhs / mid FROM T3 WHERE n = 2 UNION ALL SELECT t.user_id, t.n, up / (mid - low * c), (rhs - low * d) / (mid - low * c) FROM FW f JOIN T3 t ON t.user_id = f.user_id AND t.n = f.n + 1),
+FX AS (SELECT FW.*, size FROM FW JOIN (SELECT DISTINCT user_id, size FROM T3) USING (user_id)),
+BK(user_id, n, m) AS (SELECT user_id, n, d FROM FX WHERE n = size - 1 UNION ALL SELECT x.user_id, x.n, x.d - x.c * b.m FROM BK b JOIN FX x ON x.user_id = b.user_id AND x.n = b.n - 1),
+ME AS (SELECT K.*, m FROM K LEFT JOIN BK USING (user_id, n)),
+MM AS (SELECT *, CASE WHEN n = 1 THEN ((lead(t, 2) OVER w - t) * lead(m) OVER w - (lead(t) OVER w - t) * lead(m, 2) OVER w) / (lead(t, 2) OVER w - lead(t) OVER w)
+ WHEN lead(n) OVER w IS NULL THEN ((t - lag(t, 2) OVER w) * lag(m) OVER w - (t - lag(t) OVER w) * lag(m, 2) OVER w) / (lag(t) OVER w - lag(t, 2) OVER w) ELSE m END AS mm FROM ME WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+PC AS (SELECT *, lead(t) OVER w AS t1, lead(y) OVER w AS y1, lead(mm) OVER w AS m1 FROM MM WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+PD AS (SELECT user_id, t AS at, CASE WHEN t1 IS NULL THEN lag(t) OVER w ELSE t END AS t0, CASE WHEN t1 IS NULL THEN lag(y) OVER w ELSE y END AS y0, CASE WHEN t1 IS NULL THEN lag(mm) OVER w ELSE mm END AS m0, coalesce(t1, t) AS t1, coalesce(y1, y) AS y1, coalesce(m1, mm) AS m1, n FROM PC WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+AT_ AS (SELECT event_id, user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS s FROM events WHERE event_type <> 'view'),
+J AS (SELECT a.*, coalesce(p.t0, q.t0) AS t0, coalesce(p.y0, q.y0) AS y0, coalesce(p.m0, q.m0) AS m0, coalesce(p.t1, q.t1) AS t1, coalesce(p.y1, q.y1) AS y1, coalesce(p.m1, q.m1) AS m1 FROM AT_ a ASOF LEFT JOIN PD p ON a.user_id = p.user_id AND a.s >= p.at LEFT JOIN PD q ON q.user_id = a.user_id AND q.n = 1),
+V AS (SELECT *, (m0 * (t1 - s) ** 3 + m1 * (s - t0) ** 3) / (6 * (t1 - t0)) + (y0 / (t1 - t0) - m0 * (t1 - t0) / 6) * (t1 - s) + (y1 / (t1 - t0) - m1 * (t1 - t0) / 6) * (s - t0) AS v FROM J)
+SELECT event_id, user_id, s, CASE WHEN abs(v) < 1e6 THEN round(v, 2) + 0.0 ELSE round(v / 1e6, 2) END AS value FROM V""")
+def interpolate_cubic(spark, d):
+    samples, at = _samples(spark, d)
+    got = prep.interpolate(samples, at, "user_id", "s", "value", kind="cubic", bucket=7 * DAY)
+    return got.withColumn("value", F.when(F.abs("value") < 1e6, F.round("value", 2) + 0.0).otherwise(F.round(F.col("value") / 1e6, 2)))
+
+
 @_query(_SAMPLES + "SELECT event_id, user_id, s, CASE WHEN s - bs <= cs - s THEN bv ELSE cv END AS value FROM m WHERE bs IS NOT NULL AND cs IS NOT NULL")
 def nearest_lookup(spark, d):
     samples, at = _samples(spark, d)
@@ -251,6 +277,25 @@ def surprise(spark, d):
 # ---------------------------------------------------------------- states and moments
 
 
+@_query(""" SELECT count(*) FILTER (WHERE NOT (choice BETWEEN 0 AND 2)) AS options, count(*) FILTER (WHERE NOT (t >= 0)) AS counts, count(*) FILTER (WHERE NOT (y = 0 OR y = 1)) AS binary, count(*) FILTER (WHERE NOT (y BETWEEN 5 AND 100)) AS range,
+ 0::BIGINT AS finite, count(*) FILTER (WHERE NOT (y - 3 >= 0)) AS sign, count(*) FILTER (WHERE NOT (abs(y / 100 + (1 - y / 100) - 1) <= 1e-6 AND y <= 100)) AS shares FROM SERIES""")
+def data_checks(spark, d):
+    """How many rows break each rule."""
+    rows = series(spark, d, F.array_position(F.array(*[F.lit(c) for c in ("click", "error", "purchase", "signup", "view")]), F.col("event_type")).alias("place"))
+    y = F.col("y")
+    return checks.violations(
+        rows, options=checks.option_index(F.col("place") - 1, 3), counts=checks.count(F.col("t")), binary=checks.binary(y), range=checks.inside(y, 5.0, 100.0), finite=checks.finite_array(F.array(y, F.col("s"))),
+        sign=checks.nonnegative(y - 3), shares=checks.distribution(F.array(y / 100, 1 - y / 100)),
+    )
+
+
+@_query(lambda: _VECTORS + """, W AS (SELECT series_id, t // 20 AS "window", count(*) AS n, avg(y0) AS m0, avg(y1) AS m1, var_samp(y0) AS c00, covar_samp(y0, y1) AS c01, var_samp(y1) AS c11 FROM VEC GROUP BY 1, 2 HAVING count(*) = 20)
+SELECT series_id, "window"::BIGINT AS "window", n, round(m0, 6) + 0.0 AS mean0, round(m1, 6) + 0.0 AS mean1, round(c00, 6) AS cov00, round(c01, 6) + 0.0 AS cov01, round(c01, 6) + 0.0 AS cov10, round(c11, 6) AS cov11 FROM W""")
+def window_moments(spark, d):
+    got = switching.window_moments(_vectors(spark, d), window=20)
+    return _cells(got, 6, ("series_id", "window", "n"), mean=(2,), cov=(2, 2))
+
+
 @_query(" SELECT choice, reward, count(*) AS n FROM SERIES GROUP BY 1, 2")
 def state_overlap(spark, d):
     return statistics.state_overlap(choices(spark, d), "choice", "reward")
@@ -313,7 +358,7 @@ FROM (SELECT *, {LEVEL.a ** 2}::DOUBLE * v + {LEVEL.q} AS pv FROM KF) k JOIN SER
 
 
 def _filtered(spark, d):
-    return kalman.scalar_filter(series(spark, d).select("series_id", "t", "y"), LEVEL, LONGEST)
+    return kalman.scalar_filter(series(spark, d).select("series_id", "t", "y"), LEVEL, _longest(spark, d))
 
 
 @_query(_FILTER + " SELECT series_id, t, round(m, 6) AS m, round(v, 6) AS v, round(ll, 6) AS ll FROM KF WHERE t >= 0")
@@ -335,7 +380,7 @@ SELECT e.series_id, e.t, e.y, e.m, e.m + j * (sm - {LEVEL.a} * e.m), e.v + j * j
 
 @_query(_SMOOTHER + " SELECT series_id, t, round(sm, 5) AS sm, round(sv, 5) AS sv, round(crosscov, 5) AS crosscov FROM KS")
 def kalman_smoother(spark, d):
-    got = kalman.scalar_smoother(_filtered(spark, d), LEVEL, LONGEST)
+    got = kalman.scalar_smoother(_filtered(spark, d), LEVEL, _longest(spark, d))
     return got.select("series_id", "t", F.round("sm", 5).alias("sm"), F.round("sv", 5).alias("sv"), F.round("cross", 5).alias("crosscov"))
 
 
@@ -344,7 +389,7 @@ S AS (SELECT sum(q) AS g, sum(q) FILTER (WHERE nm IS NOT NULL) AS g1, sum(q) FIL
  sum(y * sm) AS d, sum(y * y) AS a, count(*) AS n, count(nm) AS steps FROM P)
 SELECT round(b / g1, 5) AS a, round((g2 - b / g1 * b) / steps, 2) AS q, round(d / g, 5) AS h, round((a - d / g * d) / n, 2) AS r FROM S""")
 def kalman_em_step(spark, d):
-    rows = kalman.scalar_smoother(_filtered(spark, d), LEVEL, LONGEST)
+    rows = kalman.scalar_smoother(_filtered(spark, d), LEVEL, _longest(spark, d))
     own = Window.partitionBy("series_id").orderBy("t")
     q, nm = F.col("sv") + F.col("sm") ** 2, F.lead("sm").over(own)
     p = rows.select("t", "y", "sm", q.alias("q"), nm.alias("nm"), "cross")
@@ -369,7 +414,7 @@ def _likelihoods(spark, d):
 
 @_query(_HMM + " SELECT series_id, t, round(p0, 6) AS p0, round(p1, 6) AS p1, round(ll, 6) AS ll FROM HF")
 def hmm_filter(spark, d):
-    got = hidden_markov.two_state_filter(_likelihoods(spark, d), STAY, PRIOR, LONGEST)
+    got = hidden_markov.two_state_filter(_likelihoods(spark, d), STAY, PRIOR, _longest(spark, d))
     return _rounded(got, "p0", "p1", "ll").select("series_id", "t", "p0", "p1", "ll")
 
 
@@ -379,8 +424,8 @@ SELECT series_id, t, l0, l1, p0, p1, n0 / (n0 + n1), n1 / (n0 + n1) FROM (SELECT
  FROM HS h JOIN HE e ON e.series_id = h.series_id AND e.t = h.t - 1))
 SELECT series_id, t, round(p0 * b0 / (p0 * b0 + p1 * b1), 6) AS s0, round(p1 * b1 / (p0 * b0 + p1 * b1), 6) AS s1 FROM HS""")
 def hmm_smoother(spark, d):
-    got = hidden_markov.two_state_filter(_likelihoods(spark, d), STAY, PRIOR, LONGEST)
-    got = hidden_markov.two_state_smoother(got, STAY, LONGEST)
+    got = hidden_markov.two_state_filter(_likelihoods(spark, d), STAY, PRIOR, _longest(spark, d))
+    got = hidden_markov.two_state_smoother(got, STAY, _longest(spark, d))
     return _rounded(got, "s0", "s1").select("series_id", "t", "s0", "s1")
 
 
@@ -564,6 +609,17 @@ def rate_map_shrunk(spark, d):
     return _rounded(spatial.shrunk_rates(hits, occ, 2.0, base), "rate")
 
 
+@_query(""", R AS (SELECT choice AS unit_id, t // 20 AS block, least(floor(y / 20), 9)::INT AS x, least(floor((s / 3600 - 24 * floor(s / 86400)) / 2), 11)::INT AS y, count(*) AS rate FROM SERIES WHERE y BETWEEN 0 AND 200 GROUP BY ALL),
+B AS (SELECT unit_id, block, sum(rate * x) / sum(rate) AS cx, sum(rate * y) / sum(rate) AS cy, max(rate) AS peak FROM R GROUP BY 1, 2),
+D AS (SELECT *, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2) AS step FROM B WINDOW w AS (PARTITION BY unit_id ORDER BY block))
+SELECT unit_id, count(*) AS blocks, round(sqrt((arg_max(cx, block) - arg_min(cx, block)) ** 2 + (arg_max(cy, block) - arg_min(cy, block)) ** 2), 6) AS total, round(coalesce(sum(step), 0), 6) AS path, max(peak) AS peak FROM D GROUP BY 1""")
+def field_drift(spark, d):
+    track = _track(spark, d).withColumn("block", F.floor(F.col("t") / 20))
+    cells = spatial.spike_map(track.withColumn("unit_block", F.struct("unit_id", "block")), *_CELL, by="unit_block")
+    rates = cells.select("unit_block.*", F.col("ix").alias("x"), F.col("iy").alias("y"), F.col("spikes").alias("rate"))
+    return _rounded(spatial.drift(rates), "total", "path")
+
+
 @_query(_MAPS + """, K AS (SELECT o.ix + dx AS ix, o.iy + dy AS iy, occ * exp(-dx * dx / 2.0) * exp(-dy * dy / 2.0) AS v FROM OCC o CROSS JOIN range(-4, 5) a(dx) CROSS JOIN range(-4, 5) b(dy)),
 Z AS (SELECT sum(exp(-dx * dx / 2.0)) AS z FROM range(-4, 5) a(dx))
 SELECT ix::INT AS ix, iy::INT AS iy, round(sum(v) / any_value(z) ** 2, 6) AS occ FROM K CROSS JOIN Z WHERE ix BETWEEN 0 AND 9 AND iy BETWEEN 0 AND 11 GROUP BY 1, 2""")
@@ -579,12 +635,9 @@ def spectral_shape(spark, d):
 @_query(""" SELECT n_nationkey, round(exp(-x) * (1 + x), 9) AS a00, round(-exp(-x) * l * l * 0.5, 9) AS a10, round(2.0 * (1 - exp(-2 * x) * ((1 + x) ** 2 + x ** 2)), 9) AS q00, round(2.0 * l ** 2 * (1 - exp(-2 * x) * ((1 - x) ** 2 + x ** 2)), 9) AS q11
  FROM (SELECT n_nationkey, sqrt(3) / (1 + n_nationkey / 10.0) AS l, sqrt(3) / (1 + n_nationkey / 10.0) * 0.5 AS x FROM nation)""")
 def matern_coefficients(spark, d):
-    rows = []
-    for n in range(25):  # parameters, not data
-        k = links.matern32(1 + n / 10, 2.0, 0.5)
-        rows.append((n, k["A"][0][0], k["A"][1][0], k["Q"][0][0], k["Q"][1][1]))
-    made = spark.createDataFrame(rows, "n_nationkey long, a00 double, a10 double, q00 double, q11 double")
-    return _rounded(table(spark, d, "nation").select("n_nationkey").join(made, "n_nationkey"), "a00", "a10", "q00", "q11", to=9)
+    k = links.matern32_columns(1 + F.col("n_nationkey") / 10, F.lit(2.0), 0.5)
+    shown = {"a00": k["A"][0][0], "a10": k["A"][1][0], "q00": k["Q"][0][0], "q11": k["Q"][1][1]}
+    return _rounded(table(spark, d, "nation").select("n_nationkey", *[c.alias(n) for n, c in shown.items()]), *shown, to=9)
 
 
 _BANDS = """, OSC AS (SELECT n_nationkey::INT AS k, 0.05 + n_nationkey / 100.0e0 AS f0, 0.3 - n_nationkey / 200.0e0 AS f1, 0.9 + n_nationkey / 100.0e0 AS d0, 0.95 - n_nationkey / 50.0e0 AS d1, 0.2 + n_regionkey / 10.0e0 AS v0, 0.5e0 AS v1,
@@ -1041,6 +1094,32 @@ def switching_em(spark, d):
     return _switching_fit(spark, switching.fit(_vectors(spark, d), _two_regimes(), ["y"], max_iter=2))
 
 
+_BLOCKS = point_process.Counts(np.diag([0.95, 0.8]), np.diag([0.05, 0.2]), np.array([0.0, 0.5]), np.eye(2), 1.0)
+
+
+def _block_sql():
+    parts = []
+    for k in (0, 1):
+        def step(s, m, v, k=k):
+            y, a = O.column(f"y{k}"), float(_BLOCKS.A[k, k])
+            pm = s.let(a * m if isinstance(m, O.Cell) else O.number(a * m))
+            pv = s.let(a * a * v + float(_BLOCKS.Q[k, k]) if isinstance(v, O.Cell) else O.number(a * a * v + float(_BLOCKS.Q[k, k])))
+            x, P, ll = O.counted(s, np.array([pm], object), np.array([[pv]], object), np.array([y], object), np.eye(1), np.zeros(1))
+            return O.named(m=x[0], v=P[0, 0], ll=ll)
+
+        parts.append(O.recursion(f"BL{k}", "DC", lambda s, k=k, step=step: step(s, float(_BLOCKS.m0[k]), 1.0), lambda s, step=step: step(s, O.back("m"), O.back("v"))))
+    each = " UNION ALL ".join(f"SELECT series_id, t, {k}::INT AS block, round(m, 4) + 0.0 AS m, round(v, 5) AS v, round(ll, 4) + 0.0 AS ll FROM BL{k}" for k in (0, 1))
+    return f", {_DAILY}{_PAIRED}, {', '.join(parts)} {each}"
+
+
+@_query(_block_sql)
+def block_filter(spark, d):
+    """Two units of a dense model that share nothing, block by block."""
+    rows = _spike_counts(spark, d).withColumnRenamed("y", "counts")
+    got = point_process.filtered_blocks(rows, _BLOCKS, np.eye(2))
+    return got.select("series_id", "t", "block", (F.round(F.expr("m[0]"), 4) + 0.0).alias("m"), F.round(F.expr("V[0][0]"), 5).alias("v"), (F.round("ll", 4) + 0.0).alias("ll"))
+
+
 _PAIRED = """, DC AS (SELECT unit_id AS series_id, bin AS t, n::DOUBLE AS y0, coalesce(lag(n) OVER (PARTITION BY unit_id ORDER BY bin), 0)::DOUBLE AS y1 FROM DAILY)"""
 
 
