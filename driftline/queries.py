@@ -1530,15 +1530,21 @@ def temporal_rate(spark, d):
     return got.select("unit_id", "t", "n", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("g", 4), ("var", 5), ("ev", 4), ("rate", 4), ("low", 4), ("high", 4))])
 
 
+_PLACES = np.array([(x, y) for x in (20.0, 60.0, 120.0) for y in (4.0, 12.0, 20.0)])
+
+
 @_query()
 def place_field(spark, d):
-    track = _track(spark, d).withColumn("n", (F.col("unit_id") == 4).cast("int")).select("series_id", "t", "x", "y", "n")
+    """Drifting fields of all units: each unit's own regression begins its filter."""
+    track, got = _track(spark, d), None
     basis = spatial.spline_basis(track, 1)
-    rows = spatial.with_design(track, basis)
-    model = spatial.place_field_model(rows, 1.0, basis.size + 1, 1e-4)
-    smooth = point_process.smoothed(point_process.filtered(rows, model, key="series_id"), model, key="series_id", keep=("n", "ll"))
-    grid = np.array([(x, y) for x in (20.0, 60.0, 120.0) for y in (4.0, 12.0, 20.0)])
-    return spatial.rate_map(smooth, basis, grid, key="series_id")
+    for unit in range(5):
+        rows = spatial.with_design(track.withColumn("n", (F.col("unit_id") == unit).cast("int")).select("series_id", "t", "x", "y", "n"), basis)
+        model = spatial.place_field_model(rows, 1.0, basis.size + 1, 1e-4)
+        smooth = point_process.smoothed(point_process.filtered(rows, model, key="series_id"), model, key="series_id", keep=("n", "ll"))
+        made = spatial.rate_map(smooth, basis, _PLACES, key="series_id").withColumn("unit_id", F.lit(unit))
+        got = made if got is None else got.union(made)
+    return got
 
 
 _DECODE = {"dt": 1.0, "q": 20.0, "m0": (60.0, 12.0), "P0": (900.0, 40.0), "gain": 0.1, "most": 3.0, "sigma": 5.0}

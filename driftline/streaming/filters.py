@@ -1,7 +1,8 @@
 """Online forms of the folds: keyed state in Structured Streaming, and windowed counts.
 
 A batch fold and its online form share one step. State is a fixed number of doubles for each
-key; rows at or before the last one taken are late and dropped.
+key, and may go when a key has been idle. Rows before the last one taken are late and dropped;
+rows of the same order are taken one after another, as in a batch.
 """
 
 from __future__ import annotations
@@ -18,43 +19,55 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from driftline.plans.fold import kind_of
 
 
-def online(stream: DataFrame, key: str, order: str, start: Callable, step: Callable, into: dict[str, int], inputs: Sequence[str]) -> DataFrame:
+def taker(order: str, start: Callable, step: Callable, into: dict[str, int], inputs: Sequence[str]) -> Callable:
+    """f(rows of one key, held) -> (outputs, held): rows in order from the last one taken on; held: carry and last order, or None."""
+    shapes = {k: v.shape[1:] for k, v in start(1).items()}
+    sizes = [int(np.prod(s, dtype=int)) for s in shapes.values()]
+
+    def take(rows: pd.DataFrame, held):
+        carry, last = start(1), -np.inf
+        if held is not None:
+            parts = np.split(np.asarray(held[0], float), np.cumsum(sizes)[:-1])
+            carry, last = {k: x.reshape(1, *s) for (k, s), x in zip(shapes.items(), parts)}, held[1]
+        rows = rows[rows[order] >= last].sort_values(order, kind="stable")
+        given = {c: np.stack([np.asarray(v, float) for v in rows[c]]) if len(rows) else np.zeros((0,)) for c in inputs}
+        made: dict[str, list] = {c: [] for c in into}
+        for n in range(len(rows)):
+            carry, got = step(carry, {c: v[n : n + 1] for c, v in given.items()}, np.array([held is None and n == 0]))
+            for c in into:
+                made[c].append(got[c][0].tolist() if into[c] else float(got[c][0]))
+        if len(rows):
+            held = (np.concatenate([np.ravel(carry[k]) for k in shapes]).tolist(), float(rows[order].iloc[-1]))
+        return pd.DataFrame({order: rows[order].to_numpy(), **made}), held
+
+    return take
+
+
+def online(stream: DataFrame, key: str, order: str, start: Callable, step: Callable, into: dict[str, int], inputs: Sequence[str], idle: int | None = None) -> DataFrame:
     """(key, order, into) of a fold over a stream: `start` and `step` as in plans.fold.
 
-    Rows of one micro-batch are taken in order; the carry goes on from batch to batch.
+    Rows of one micro-batch are taken in order; the carry goes on from batch to batch. idle: milliseconds
+    after which a key without rows is forgotten, and begins anew; never, without it.
     """
     out = T.StructType([stream.schema[key], stream.schema[order], *[T.StructField(c, kind_of(d)) for c, d in into.items()]])
-    held = T.StructType([T.StructField("carry", T.ArrayType(T.DoubleType())), T.StructField("last", T.DoubleType())])
-    shapes = {k: v.shape[1:] for k, v in start(1).items()}
-
-    def pack(carry):
-        return np.concatenate([np.ravel(carry[k]) for k in shapes]).tolist()
-
-    def unpack(flat):
-        carry, at = {}, 0
-        for k, s in shapes.items():
-            n = int(np.prod(s, dtype=int))
-            carry[k], at = np.reshape(flat[at : at + n], (1, *s)), at + n
-        return carry
+    kept = T.StructType([T.StructField("carry", T.ArrayType(T.DoubleType())), T.StructField("last", T.DoubleType())])
+    take = taker(order, start, step, into, inputs)
 
     def run(ids: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        fresh, last = not state.exists, -np.inf
-        carry = start(1)
-        if state.exists:
-            flat, last = state.get
-            carry = unpack(np.array(flat, float))
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        made = []
-        for r in rows[rows[order] > last].itertuples(index=False):
-            x = {c: np.array(getattr(r, c), float)[None] for c in inputs}
-            carry, got = step(carry, x, np.array([fresh]))
-            fresh, last = False, float(getattr(r, order))
-            made.append((ids[0], getattr(r, order), *[got[c][0].tolist() if into[c] else float(got[c][0]) for c in into]))
-        state.update((pack(carry), last))
-        yield pd.DataFrame(made, columns=out.names)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        made, held = take(pd.concat(list(frames)), tuple(state.get) if state.exists else None)
+        if held is not None:
+            state.update(held)
+            if idle is not None:
+                state.setTimeoutDuration(idle)
+        made.insert(0, key, ids[0])
+        yield made[out.names]
 
     used = stream.select(*dict.fromkeys([key, order, *inputs]))
-    return used.groupBy(key).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return used.groupBy(key).applyInPandasWithState(run, out, kept, "append", timeout)
 
 
 def local_level(model) -> tuple[Callable, Callable, dict[str, int]]:

@@ -5,14 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import (
+    checks,
     choice,
     coupling,
     gaussian_process,
     hamiltonian,
+    hidden_markov,
     kalman,
     learning,
     oscillators,
     point_process,
+    preprocessing,
     spatial,
     statistics,
     switching,
@@ -269,3 +272,177 @@ def test_graph_basis(spark):
     seen = spark.createDataFrame([(0,), (4,), (-1,)], "bin int")
     got = {r["bin"]: r["valid"] for r in spatial.graph_design(seen, v[:, :3]).collect()}
     assert got == {0: True, 4: True, -1: False}
+
+
+def test_the_joint_path_as_by_enumeration(spark):
+    model = two_states()
+    rows = simulated.switching(spark, 5, 7, model, seed=4)
+    K, n = 2, 7
+    first = switching.filtered(rows, model, ["y"], scores=True).orderBy("series_id", "t").collect()
+    got = {(r["series_id"], r["t"]): r["state"] for r in switching.path(rows, model, ["y"]).collect()}
+    for i in range(5):
+        own = [r for r in first if r["series_id"] == i]
+        p, pll = np.array(own[0]["p"]), np.array([r["pll"] for r in own])
+        value = lambda z: np.log(p[z[0]]) + sum(np.log(model.Z[z[t - 1], z[t]]) + pll[t, z[t - 1], z[t]] for t in range(1, n))
+        best = max(itertools.product(range(K), repeat=n), key=value)
+        assert tuple(got[i, t] for t in range(n)) == best
+
+
+def test_the_bound_of_one_state_is_the_evidence(spark):
+    two = two_states()
+    one = switching.Switching(two.A[:1], two.Q[:1], two.m0[:1], two.P0[:1], np.ones((1, 1)), np.ones(1), switching.gaussian, switching.GaussianObs(two.obs.H[:1], two.obs.R[:1]))
+    rows = simulated.switching(spark, 6, 40, two, seed=5)
+    got = switching.bound(rows, one)
+    assert got["bound"] == pytest.approx(got["log_likelihood"], abs=1e-4)
+    assert switching.bound(rows, two)["bound"] < switching.bound(rows, two)["log_likelihood"] + 1.0
+
+
+def test_warm_starts_and_restarts(spark):
+    model = two_states()
+    rows = simulated.switching(spark, 4, 200, model, seed=6)
+    warm = switching.warm_start(rows, model, window=20)
+    assert warm.prior.sum() == pytest.approx(1) and (warm.prior >= 0.05).all() and not np.allclose(warm.P0, model.P0)
+    assert np.allclose(warm.m0, model.m0)  # states that see differently keep their means
+    assert switching.warm_start(rows.filter("t < 30"), model, window=20) is not None
+    assert switching.warm_start(rows.filter("series_id = 0 AND t < 20"), model, window=20) is model
+    worse = switching.Switching(model.A, 100 * model.Q, model.m0, model.P0, model.Z, model.prior, model.observe, model.obs)
+    run = lambda m: switching.fit(rows, m, ["y"], max_iter=1)
+    best = switching.best_of([worse, model], run)
+    assert best.log_likelihood == pytest.approx(max(run(worse).log_likelihood, run(model).log_likelihood))
+    shown = {r["name"]: r["value"] for r in fitting.summary(spark, best, 9, 800).collect()}
+    assert shown["log_likelihood"] == best.log_likelihood and shown["Z[0][1]"] == best.params.Z[0, 1]
+
+
+def test_checks_find_what_is_broken(spark):
+    rows = spark.createDataFrame([(0, 1.0, [0.5, 0.5]), (3, -1.0, [0.5, 0.6]), (None, float("nan"), [1.0, None])], "k int, x double, p array<double>")
+    found = checks.violations(rows, option=checks.option_index(F.col("k"), 3), sign=checks.nonnegative(F.col("x")), share=checks.distribution(F.col("p"))).first()
+    assert tuple(found) == (2, 2, 2)
+    with pytest.raises(ValueError, match="option"):
+        checks.require(rows, option=checks.option_index(F.col("k"), 3))
+    assert checks.require(rows.limit(1), ok=checks.count(F.col("k"))).count() == 1
+    for broken in (np.diag([1.0, -1.0]), np.array([[1.0, 0.5], [0.1, 1.0]]), np.zeros((2, 3)), np.diag([1.0, np.inf])):
+        with pytest.raises(ValueError):
+            checks.covariance(broken)
+    with pytest.raises(ValueError, match="sum to 1"):
+        checks.chain([[0.5, 0.4], [0.1, 0.9]])
+    with pytest.raises(ValueError):
+        checks.scalar(-1.0, "dt", positive=True)
+    checks.switching(two_states())
+    with pytest.raises(ValueError):
+        oscillators.Penalty(edge=-1.0)
+    with pytest.raises(ValueError):
+        oscillators.Penalty(area=1.0)
+
+
+def test_choice_weights_and_contingency_covariates_are_recovered(spark):
+    r = np.random.default_rng(7)
+    z = r.integers(0, 2, 3000)
+    logits = np.stack([np.zeros(3000), 0.3 + 1.5 * z, -0.5 * z], 1)
+    pick = (logits + r.gumbel(size=logits.shape)).argmax(1)
+    trials = spark.createDataFrame([(0, int(t), int(pick[t]), [float(z[t])]) for t in range(3000)], "series_id long, t long, choice int, z array<double>")
+    start = choice.Choice(3, 1e-5, 1.0, 1.0, weights=np.zeros((3, 1)))
+    got = choice.fit(trials, start, max_iter=6, learn=("weights",), features="z").params.weights[:, 0]
+    assert got[1] - got[0] == pytest.approx(1.5, abs=0.3) and got[2] - got[0] == pytest.approx(-0.5, abs=0.3)
+
+    rows = []
+    for i in range(40):
+        s = 0
+        for t in range(60):
+            u = float(r.integers(0, 2))
+            if t:
+                stay = 1 / (1 + np.exp(-(3.0 - 2.5 * u)))
+                s = s if r.random() < stay else 1 - s
+            k = int(r.random() < (0.9 if s else 0.1))
+            rows.append((i, t, k, int(r.random() < 0.9), [u]))
+    trials = spark.createDataFrame(rows, "series_id long, t long, choice int, reward int, u array<double>")
+    value = np.array([[2.2, 0.0], [0.0, 2.2]])
+    start = hidden_markov.Contingency(np.full((2, 2), 0.9), value, np.array([[1.0], [-1.0]]), np.array([0.9, 0.1]), 1.0, np.zeros((1, 2, 1)))
+    fit = hidden_markov.fit_contingency(trials, start, max_iter=12, covariates="u")
+    assert all(b >= a - 1e-6 for a, b in zip(fit.log_likelihoods, fit.log_likelihoods[1:]))
+    assert fit.params.weights[0, 0, 0] < -1.0 and fit.params.weights[0, 1, 0] > 1.0
+
+
+def test_a_spline_follows_a_cubic(spark):
+    r = np.random.default_rng(8)
+    curve = lambda t: 2 - t + 0.5 * t**2 - 0.1 * t**3
+    times = {k: np.sort(r.uniform(0, 10, n)) for k, n in (("a", 4), ("b", 30), ("c", 3))}
+    samples = spark.createDataFrame([(k, float(t), float(curve(t))) for k, ts in times.items() for t in ts], "k string, t double, v double")
+    at = spark.createDataFrame([(k, float(t)) for k in times for t in r.uniform(-1, 11, 20)], "k string, t double")
+    for bucket in (None, 2.0):
+        got = preprocessing.interpolate(samples, at, "k", "t", "v", kind="cubic", bucket=bucket).collect()
+        assert len(got) == 60
+        for x in got:
+            assert x["v"] is None if x["k"] == "c" else x["v"] == pytest.approx(curve(x["t"]), abs=1e-6)
+    smooth = spark.createDataFrame([(float(t), float(np.sin(t))) for t in np.linspace(0, 6, 60)], "t double, v double")
+    got = preprocessing.interpolate(smooth, spark.createDataFrame([(1.234,), (4.5,)], "t double"), None, "t", "v", kind="cubic").collect()
+    assert all(x["v"] == pytest.approx(np.sin(x["t"]), abs=1e-4) for x in got)
+
+
+def test_blocks_are_the_dense_filter(spark):
+    r = np.random.default_rng(9)
+    d, units = 5, 4
+    A, Q, P0 = 0.9 * np.eye(d), 0.1 * np.eye(d), np.eye(d)
+    Q[0, 1] = Q[1, 0] = 0.05
+    weights = np.zeros((units, d))
+    weights[0, :2], weights[1, 1], weights[2, 2:4], weights[3, 4] = (0.5, -0.3), 0.4, (0.2, 0.6), 0.7
+    model = point_process.Counts(A, Q, np.linspace(-0.5, 0.5, d), P0, 1.0)
+    counts = r.poisson(1.0, (2, 30, units))
+    rows = spark.createDataFrame([(i, t, [int(x) for x in counts[i, t]]) for i in range(2) for t in range(30)], "series_id long, t long, counts array<int>")
+    parts = point_process.blocks_of(model, weights)
+    assert [o.tolist() for o, _ in parts] == [[0, 1], [2, 3], [4]] and [u.tolist() for _, u in parts] == [[0, 1], [2], [3]]
+    got = point_process.filtered_blocks(rows, model, weights).collect()
+    assert len(got) == 2 * 30 * 3
+    by = {(x["series_id"], x["t"], x["block"]): x for x in got}
+    for i in range(2):
+        m, P = model.m0[None], P0[None]
+        for t in range(30):
+            m, P = m @ A.T, A @ P @ A.T + Q
+            m, P, ll = point_process.laplace(m, P, counts[i, t][None].astype(float), weights[None], 0.0, point_process.poisson(1.0))
+            for k, (own, _) in enumerate(parts):
+                assert by[i, t, k]["m"] == pytest.approx(m[0, own]) and np.allclose(by[i, t, k]["V"], P[0][np.ix_(own, own)])
+            assert sum(by[i, t, k]["ll"] for k in range(3)) == pytest.approx(ll[0], abs=1e-6)
+
+
+def test_kernel_maps_have_the_gradient_of_their_rates():
+    r = np.random.default_rng(10)
+    k = spatial.Kernels(r.uniform(0, 10, (40, 2)), r.poisson(1.0, (40, 3)).astype(float), np.full(40, 0.1), 2.0, np.array([1.0, 2.0, 0.5]), 0.3)
+    p = r.uniform(0, 10, (6, 2))
+    value, slope = k.at(p)
+    assert value == pytest.approx(spatial.kernel_log_rate(p, k.where, k.spikes, k.weights, k.sigma2, k.base, k.tau))
+    for c in (0, 1):
+        e = 1e-5 * np.eye(2)[c]
+        assert slope[..., c] == pytest.approx((k.at(p + e)[0] - k.at(p - e)[0]) / 2e-5, abs=1e-6)
+    assert spatial.grid((0, 0), (1, 2), 3).shape == (9, 2) and spatial.knots_for_width(30.0, (0, 100), (0, 100)) == 10
+
+
+def test_one_hamiltonian_alone_and_twice_the_same(spark):
+    h = hamiltonian.made(1, 0.1, 4, 3, 0.01, C=np.eye(2), offset=np.zeros(2), R=0.1 * np.eye(2))
+    r = np.random.default_rng(11)
+    rows = spark.createDataFrame([(i, t, r.normal(size=2).tolist()) for i in range(3) for t in range(25)], "series_id long, t long, lfp array<double>")
+    plain = hamiltonian.smoothed(hamiltonian.filtered(rows, h), 1).orderBy("series_id", "t").collect()
+    for models, Z, prior in (([h], np.ones((1, 1)), np.ones(1)), ([h, h], np.array([[0.9, 0.1], [0.3, 0.7]]), np.array([0.2, 0.8]))):
+        got = hamiltonian.switching_smoothed(hamiltonian.switching_filtered(rows, models, Z, prior), models, Z).orderBy("series_id", "t").collect()
+        for a, b in zip(plain, got):
+            for k in range(len(models)):
+                assert b["ms"][k] == pytest.approx(a["ms"], abs=1e-7) and np.allclose(b["Vs"][k], a["Vs"], atol=1e-7)
+            assert b["ll"] == pytest.approx(a["ll"]) and sum(b["ps"]) == pytest.approx(1)
+
+
+def test_gradient_fits_rise(spark):
+    model = two_states()
+    rows = simulated.switching(spark, 3, 60, model, seed=12)
+    at, spec, build = switching.matrices(model, ("A", "Q", "Z", "prior", "R"))
+    got = switching.fit_gradient(rows, at, spec, build, ["y"], steps=6, rate=2e-2)
+    assert got.log_likelihoods[-1] > got.log_likelihoods[0] and got.params["Z"].sum(1) == pytest.approx(1)
+    assert np.linalg.eigvalsh(got.params["Q"]).min() > 0
+    penalty = oscillators.Penalty(edge=0.5, area=0.1, shared=0.1, areas=(0, 1))
+    spec, build, pull = oscillators.gradient_family("directed", 1.0, penalty)
+    at = {"strength": np.array([[[0.0, 0.2], [0.1, 0.0]]] * 2), "damping": np.array([0.6, 0.7])}
+    assert pull(at) == pytest.approx(0.5 * 0.6 + 0.1 * 2 * (0.2 + 0.1) + 0.1 * (0.08**0.5 + 0.02**0.5), abs=2e-3)
+    fixed = {"freqs": [0.1, 0.2], "variance": [0.3, 0.3], "phase": np.zeros((2, 2, 2)), "r": 1.0}
+    got = switching.fit_gradient(rows, at, {c: spec[c] for c in at}, build(fixed), ["y"], steps=3, penalty=pull)
+    assert got.params["strength"].sum() < at["strength"].sum()
+    counts = spark.createDataFrame([(i, t, int(x), [1.0]) for i in range(4) for t, x in enumerate(np.random.default_rng(i).poisson(3.0, 40))], "unit_id long, t long, n int, z array<double>")
+    start = point_process.Counts(np.eye(1), 0.05 * np.eye(1), np.zeros(1), np.eye(1), 1.0)
+    got = point_process.fit_gradient(counts, start, steps=8, rate=5e-2, learn=("Q", "m0"))
+    assert got.log_likelihoods[-1] > got.log_likelihoods[0] and got.params.m0[0] > 0.2
