@@ -46,3 +46,9 @@ def mixture_variance(p: Column, reward: Column) -> Column:
     within = F.aggregate(F.zip_with(p, reward, lambda a, b: a * b * (1 - b)), F.lit(0.0), lambda s, x: s + x)
     between = F.aggregate(F.zip_with(p, reward, lambda a, b: a * b * b), F.lit(0.0), lambda s, x: s + x) - mean * mean
     return within + F.greatest(between, F.lit(0.0))
+
+
+def interval(mean: Column, covariance: Column, z: float) -> Column:
+    """[low, high] of each component of a state, z deviations about its mean."""
+    sd = F.transform(covariance, lambda row, i: F.sqrt(F.get(row, i)))
+    return F.zip_with(mean, sd, lambda m, d: F.array(m - z * d, m + z * d))

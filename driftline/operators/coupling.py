@@ -136,3 +136,20 @@ def cross_check(field_rows: DataFrame, params: Field, baseline: np.ndarray, trut
         inside = np.abs(mean - truth) <= 1.96 * sd
         out.append({"estimator": name, "coverage": float(inside.mean()), "bias": float((mean - truth).mean()), "width": float(2 * 1.96 * sd.mean())})
     return out
+
+
+def scaled(couplings: np.ndarray, scale: float) -> np.ndarray:
+    """Couplings of another magnitude and the same phases."""
+    from driftline.operators.checks import scalar
+
+    return np.asarray(couplings) * scalar(scale, "scale", nonnegative=True)
+
+
+def averaged(spark, records: list[dict], by: str = "magnitude"):
+    """(by, estimator, n, metric means) of cross-checks over replicates; numbers that are not finite are passed over."""
+    if not records:
+        raise ValueError("there are no records to average")
+    rows = spark.createDataFrame([{k: v if isinstance(v, str) else float(v) for k, v in r.items()} for r in records])
+    metrics = [c for c in rows.columns if c not in (by, "estimator")]
+    live = lambda c: F.avg(F.when(~F.isnan(c), F.col(c))).alias(c)
+    return rows.groupBy(F.round(by, 4).alias(by), "estimator").agg(F.count("*").alias("n"), *[live(c) for c in metrics])

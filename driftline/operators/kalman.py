@@ -131,7 +131,7 @@ def gain_by_inversion_lemma(p: np.ndarray, H: np.ndarray, r: np.ndarray) -> np.n
     """Kalman gain for diagonal noise r, by a system of the state's size instead of the observations'."""
     weighed = transposed(H) / r
     inner = np.eye(p.shape[-1]) + weighed @ H @ p
-    return p @ np.linalg.solve(transposed(inner), weighed) if p.ndim == 2 else p @ np.linalg.solve(np.swapaxes(inner, -1, -2), weighed)
+    return p @ np.linalg.solve(inner, np.broadcast_to(weighed, (*inner.shape[:-1], weighed.shape[-1])))
 
 
 def filtered(series: DataFrame, model: Linear, key: str = "series_id", order: str = "t", y: str = "y") -> DataFrame:

@@ -266,6 +266,14 @@ def maps_from(rates: DataFrame, edges_x, edges_y, units: Sequence, by: str = "un
     return Maps(out, centres(edges_x), centres(edges_y), visited)
 
 
+def maps_of_fields(weights: np.ndarray, basis: Spline, low: tuple[float, float], high: tuple[float, float], n: int = 50) -> Maps:
+    """Maps of fitted spline fields (units, 1 + size) on a grid, for decoding."""
+    places = grid(low, high, n)
+    Z = np.concatenate([np.ones((len(places), 1)), basis.evaluate(places[:, 0], places[:, 1])], axis=1)
+    logs = (np.asarray(weights, float) @ Z.T).reshape(-1, n, n).swapaxes(1, 2)  # places run along x first
+    return Maps(np.maximum(logs, np.log(1e-10)), np.linspace(low[0], high[0], n), np.linspace(low[1], high[1], n))
+
+
 def motion(dt: float, q_pos: float = 100.0, q_vel: float = 10.0, velocity: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Transition and noise: a random walk of the position, or of a velocity that moves it."""
     if not velocity:

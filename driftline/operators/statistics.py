@@ -222,6 +222,31 @@ def phase_statistics(phases: DataFrame, by: str, phase: str) -> DataFrame:
     return got.withColumn("p", circular.rayleigh_p(F.col("r"), F.col("n")))
 
 
+def spike_phases(samples: DataFrame, at: DataFrame, key: str | None, time: str, phase: str, mask: str | None = None, bucket: float | None = None, n_bins: int = 36) -> DataFrame:
+    """(key, bin, centre, n): histogram of the phase of the sample nearest to each event; events outside the samples, or where the mask is false, do not count."""
+    from driftline.functions.circular import phase_bin
+    from driftline.operators.preprocessing import beside
+
+    found = beside(samples, at, key, time, [phase, *([mask] if mask else [])], bucket).filter("before IS NOT NULL AND after IS NOT NULL")
+    near = F.when(F.col(time) - F.col("before.time") <= F.col("after.time") - F.col(time), F.col("before")).otherwise(F.col("after"))
+    found = found.withColumn("__near", near)
+    if mask:
+        found = found.filter(F.col(f"__near.{mask}"))
+    bins = found.select(*([key] if key else []), phase_bin(F.col(f"__near.{phase}"), n_bins).alias("bin")).filter("bin IS NOT NULL")
+    centre = -math.pi + (F.col("bin") + 0.5) * (2 * math.pi / n_bins)
+    return bins.groupBy(*([key] if key else []), "bin").agg(F.count("*").alias("n")).withColumn("centre", centre)
+
+
+def recovery(rows: DataFrame, truth: str, found: str, by: str | None = None) -> DataFrame:
+    """(by, correlation, rmse, variance_ratio) of estimates against what they estimate; null where the truth does not vary."""
+    t, f = F.col(truth), F.col(found)
+    got = rows.groupBy(*([by] if by else [])).agg(
+        F.when((F.stddev_pop(t) > 0) & (F.stddev_pop(f) > 0), F.corr(t, f)).alias("correlation"), F.sqrt(F.avg((f - t) ** 2)).alias("rmse"),
+        F.when(F.var_pop(t) > 0, F.var_pop(f) / F.var_pop(t)).alias("variance_ratio"),
+    )
+    return got
+
+
 def circular_correlation(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """(by, r): correlation of two phases about their circular means, 0 where the denominator is below 1e-10."""
     from driftline.functions.circular import circular_mean

@@ -245,6 +245,18 @@ def angular_distance(spark, d):
     return series(spark, d).select("series_id", "t", F.round(circular.angular_distance(F.col("y"), F.col("s")), 5).alias("distance"))
 
 
+@_query(_SAMPLES + f""", P AS (SELECT user_id, CASE WHEN s - bs <= cs - s THEN bv ELSE cv END AS v FROM m WHERE bs IS NOT NULL AND cs IS NOT NULL),
+F AS (SELECT user_id, 2 * pi() * (v / 100 - floor(v / 100)) - pi() AS phase FROM P WHERE v > 20)
+SELECT user_id, least(floor((phase + pi()) / (2 * pi() / 12)), 11)::INT AS bin, count(*) AS n, round(-pi() + (bin + 0.5) * (2 * pi() / 12), 8) + 0.0 AS centre FROM F GROUP BY 1, 2""")
+def spike_phase_histogram(spark, d):
+    """Phases of the samples nearest to each event, where the mask holds."""
+    samples, at = _samples(spark, d)
+    turn = F.col("value") / 100
+    samples = samples.withColumns({"phase": 2 * math.pi * (turn - F.floor(turn)) - math.pi, "valid": F.col("value") > 20})
+    got = statistics.spike_phases(samples, at.select("user_id", "s"), "user_id", "s", "phase", "valid", 7 * DAY, 12)
+    return got.withColumn("centre", F.round("centre", 8) + 0.0)
+
+
 # ---------------------------------------------------------------- uncertainty
 
 _SHARES = """, SHARES AS (SELECT series_id, choice, count(*) / (sum(count(*)) OVER (PARTITION BY series_id))::DOUBLE AS p, avg(reward) AS rho FROM SERIES GROUP BY 1, 2)"""
@@ -274,6 +286,69 @@ def surprise(spark, d):
     return both.select("series_id", "t", F.round(uncertainty.surprise(F.col("p"), at.cast("int")), 6).alias("surprise"))
 
 
+@_query(""", LN AS (SELECT series_id, t, (y - 50) / 25 AS a, (y - 20) / 40 AS b, greatest(y / 200, 1e-10) AS p FROM SERIES)
+SELECT series_id, t, 0.0::DOUBLE AS option0, round(a, 8) + 0.0 AS option1, round(b, 8) + 0.0 AS option2, 0.0::DOUBLE AS var0, round(1 + a * a, 8) AS var1, round(2 + b * b, 8) AS var2, round(ln(p) - ln(greatest(1 - p - 0.01, 1e-10)), 8) + 0.0 AS free0,
+ round(ln(0.01) - ln(greatest(1 - p - 0.01, 1e-10)), 8) + 0.0 AS free1, round(exp(a) / (exp(a) + exp(b) + 1), 8) AS share0, round(exp(b) / (exp(a) + exp(b) + 1), 8) AS share1, round(1 / (exp(a) + exp(b) + 1), 8) AS share2,
+ round(ln(0.3 + p / 10) - ln(0.7 - p / 10), 8) + 0.0 AS logit, round(a - 1.959963984540054 * sqrt(1 + a * a), 7) + 0.0 AS low0, round(b + 1.959963984540054 * sqrt(2 + b * b), 7) + 0.0 AS high1 FROM LN""")
+def belief_links(spark, d):
+    """Reference options, variances, centred softmax and its inverse, and intervals."""
+    y = F.col("y")
+    a, b, p = (y - 50) / 25, (y - 20) / 40, F.greatest(y / 200, F.lit(1e-10))
+    rows = series(spark, d).select("series_id", "t", F.array(a, b).alias("x"), F.array(p, F.lit(0.01), 1 - p - 0.01).alias("chance"), F.array(F.array(1 + a * a, F.lit(0.1)), F.array(F.lit(0.1), 2 + b * b)).alias("cov"))
+    made = mapped(rows, ["x", "chance"], {"free": 1, "share": 1}, lambda v: {"free": hidden_markov.centred_softmax_inverse(v["chance"]), "share": hidden_markov.centred_softmax(v["x"])}, ["series_id", "t", "x", "chance", "cov"])
+    made = made.withColumns({"option": uncertainty.append_reference_option(F.col("x")), "var": uncertainty.option_variances(F.col("cov")), "logit": links.logit(0.3 + F.col("chance")[0] / 10), "ci": uncertainty.interval(F.col("x"), F.col("cov"), 1.959963984540054)})
+    got = made.withColumns({"low0": F.col("ci")[0][0], "high1": F.col("ci")[1][1]})
+    return _cells(got, 8, ("series_id", "t", (F.round("low0", 7) + 0.0).alias("low0"), (F.round("high1", 7) + 0.0).alias("high1")), option=(3,), var=(3,), free=(2,), share=(3,), logit=())
+
+
+@_query(""", GF AS (SELECT l_orderkey, l_linenumber, (l_discount - 0.05) * 40 + l_tax * 10 AS eta, (l_quantity % 2)::DOUBLE AS b, least(l_quantity, 7)::DOUBLE AS n FROM lineitem),
+GG AS (SELECT *, 1 / (1 + exp(-eta)) AS p, exp(greatest(least(eta + ln(0.5), 20), -20)) AS mu FROM GF)
+SELECT l_orderkey, l_linenumber, round(p, 8) AS chance, round(p * (1 - p), 8) AS weight, round(b * eta - ln(1 + exp(eta)), 8) + 0.0 AS loglik, round(mu, 6) AS rate, round(n * (eta + ln(0.5)) - mu - lgamma(n + 1), 6) + 0.0 AS countlik,
+ round(7 * p, 8) AS successes, round(n * eta - 7 * ln(1 + exp(eta)) + lgamma(8) - lgamma(n + 1) - lgamma(8 - n), 7) + 0.0 AS trials FROM GG""")
+def glm_families(spark, d):
+    """Means, weights and log densities of Bernoulli, Poisson and binomial observations."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_discount") - 0.05) * 40 + F.col("l_tax") * 10).cast("double").alias("eta"), (F.col("l_quantity") % 2).cast("double").alias("b"), F.least(F.col("l_quantity"), F.lit(7)).cast("double").alias("n"))
+
+    def make(v):
+        one, two, three = point_process.bernoulli(), point_process.poisson(0.5), point_process.binomial(np.full(len(v["n"]), 7.0))
+        eta = v["eta"]
+        p, mu, k = one.mean(eta), two.mean(eta), three.mean(eta)
+        return {"chance": p, "weight": one.weight(eta, p), "loglik": one.loglik(v["b"], eta, p), "rate": mu, "countlik": two.loglik(v["n"], eta, mu), "successes": k, "trials": three.loglik(v["n"], eta, k)}
+
+    to = {"chance": 8, "weight": 8, "loglik": 8, "rate": 6, "countlik": 6, "successes": 8, "trials": 7}
+    got = mapped(rows, ["eta", "b", "n"], {c: 0 for c in to}, make, ["l_orderkey", "l_linenumber"])
+    return got.select("l_orderkey", "l_linenumber", *[(F.round(c, k) + 0.0).alias(c) for c, k in to.items()])
+
+
+@_query(""", MA AS (SELECT l_orderkey, l_linenumber, l_quantity / 10 AS a, (l_discount - 0.05) * 60 AS b, l_tax * 30 AS c FROM lineitem),
+ME AS (SELECT *, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS low, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS high FROM MA), ML AS (SELECT *, greatest(1e-8 - low, 0) AS lift, greatest(abs(low), abs(high)) AS radius FROM ME)
+SELECT l_orderkey, l_linenumber, round(a + lift, 6) AS shifted00, round(b, 6) + 0.0 AS shifted01, round(b, 6) + 0.0 AS shifted10, round(c + lift, 6) AS shifted11, round(radius, 6) AS radius, round(a * least(1, 0.99 / radius), 6) AS stable00, round(b * least(1, 0.99 / radius), 6) + 0.0 AS stable01,
+ round(b * least(1, 0.99 / radius), 6) + 0.0 AS stable10, round(c * least(1, 0.99 / radius), 6) AS stable11, round(ln((a * a + b * b + 1 + 1e-9) * (b * b + c * c + 1 + 1e-9) - (b * (a + c)) ** 2), 6) AS logdet FROM ML""")
+def matrix_utilities(spark, d):
+    """Lifted, stabilised matrices, their radius, and the determinant of a covariance."""
+    c = lambda x: x.cast("double")
+    a, b, e = c(F.col("l_quantity") / 10), c((F.col("l_discount") - 0.05) * 60), c(F.col("l_tax") * 30)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.array(a, b), F.array(b, e)).alias("x"))
+
+    def make(v):
+        x = v["x"]
+        return {"shifted": matrices.shift_to_psd(x), "radius": matrices.spectral_radius(x), "stable": matrices.stabilised(x), "logdet": matrices.log_det(x @ x + np.eye(2))}
+
+    got = mapped(rows, ["x"], {"shifted": 2, "radius": 0, "stable": 2, "logdet": 0}, make, ["l_orderkey", "l_linenumber"])
+    return _cells(got, 6, ("l_orderkey", "l_linenumber"), shifted=(2, 2), radius=(), stable=(2, 2), logdet=())
+
+
+@_query(""", GA AS (SELECT l_orderkey, l_linenumber, 0.3 + l_quantity / 10 AS p, 0.1137 + l_discount AS r, 0.2371 + l_tax AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, round((p * (1 + q) - 0.25) / ((p + r) * (1 + q) - 0.25), 8) + 0.0 AS k00, round((p * -0.5 + 0.5 * (p + r)) / ((p + r) * (1 + q) - 0.25), 8) + 0.0 AS k01,
+ round((0.5 * (1 + q) - 0.5) / ((p + r) * (1 + q) - 0.25), 8) + 0.0 AS k10, round(((p + r) - 0.25) / ((p + r) * (1 + q) - 0.25), 8) AS k11 FROM GA""")
+def inversion_lemma_gain(spark, d):
+    """Kalman gains for diagonal noise by a system of the state's size."""
+    p, r, q = ((F.lit(x) + F.col(c) / y).cast("double") for x, c, y in ((0.3, "l_quantity", 10), (0.1137, "l_discount", 1), (0.2371, "l_tax", 1)))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.array(p, F.lit(0.5)), F.array(F.lit(0.5), F.lit(1.0))).alias("P"), F.array(r, q).alias("R"))
+    make = lambda v: {"k": np.stack([kalman.gain_by_inversion_lemma(a, np.eye(2), b) for a, b in zip(v["P"], v["R"])])}
+    return _cells(mapped(rows, ["P", "R"], {"k": 2}, make, ["l_orderkey", "l_linenumber"]), 8, ("l_orderkey", "l_linenumber"), k=(2, 2))
+
+
 # ---------------------------------------------------------------- states and moments
 
 
@@ -467,6 +542,45 @@ def point_process_filter(spark, d):
     return got.select("unit_id", "bin", F.round(F.expr("m[0]"), 4).alias("m"), F.round(F.expr("V[0][0]"), 4).alias("v"))
 
 
+def _counts_em_sql():
+    """Two EM steps for one-dimensional count models, pooled over units."""
+    sql, rows, at, lls = f", {_DAILY}, PR AS (SELECT unit_id, bin AS t, n::DOUBLE AS n FROM DAILY)", "PR", (O.number(1.0), O.number(0.05), O.number(0.0), O.number(1.0)), []
+    for k in range(3):
+        a, q, m0, p0 = at
+
+        def step(s, m, v, a=a, q=q):
+            pm, pv = s.let(a * m), s.let(a * a * v + q)
+            x, P, ll = O.counted(s, np.array([pm], object), np.array([[pv]], object), np.array([O.column("n")], object), np.eye(1), np.zeros(1))
+            return O.named(m=x[0], v=P[0, 0], ll=ll)
+
+        def later(s, a=a, q=q):
+            v = O.column("v")
+            ahead = s.let(a * a * v + q)
+            g = s.let(a * v / (ahead + O.call("greatest", 1e-9, 1e-12 * ahead)))
+            sm, sv = O.back("ms"), O.back("vs")
+            return O.named(ms=s.let(O.column("m") + g * (sm - a * O.column("m"))), vs=s.let(v + g * g * (sv - ahead)), xc=s.let(g * sv), nm=sm)
+
+        sql += ", " + O.recursion(f"EF{k}", rows, lambda s, m0=m0, p0=p0, step=step: step(s, m0, p0), lambda s, step=step: step(s, O.back("m"), O.back("v")), ("unit_id",))
+        lls.append(f"SELECT {k}::INT AS iteration, round(sum(ll), 2) AS log_likelihood FROM EF{k}")
+        if k < 2:
+            src = f"(SELECT f.*{'' if not k else ', a, q'} FROM EF{k} f{'' if not k else f' CROSS JOIN EP{k - 1}'})"
+            sql += f", EG{k} AS (SELECT * FROM {src}), " + O.recursion(f"ES{k}", f"EG{k}", lambda s: O.named(ms=O.column("m"), vs=O.column("v"), xc=0.0, nm=0.0), later, ("unit_id",), backward=True)
+            sq = "(vs + ms * ms)"
+            sql += f", ET{k} AS (SELECT sum({sq}) FILTER (WHERE NOT last) AS g1, sum({sq}) FILTER (WHERE t > 0) AS g2, sum(xc + nm * ms) FILTER (WHERE NOT last) AS b, (count(*) FILTER (WHERE NOT last))::DOUBLE AS steps, sum(ms) FILTER (WHERE t = 0) / (count(*) FILTER (WHERE t = 0)) AS mzero, sum({sq}) FILTER (WHERE t = 0) / (count(*) FILTER (WHERE t = 0)) AS second FROM (SELECT *, t = max(t) OVER (PARTITION BY unit_id) AS last FROM ES{k}))"
+            sql += f", EP{k} AS (SELECT a, greatest((g2 - 2 * a * b + a * a * g1) / steps, 1e-8) AS q, mzero, greatest(second - mzero * mzero, 1e-8) AS pzero FROM (SELECT *, b / (g1 + greatest(1e-9, 1e-12 * g1)) AS a FROM ET{k})), ER{k} AS (SELECT PR.*, EP{k}.* FROM PR CROSS JOIN EP{k})"
+            rows, at = f"ER{k}", tuple(O.column(c) for c in ("a", "q", "mzero", "pzero"))
+    shown = "round((SELECT a FROM EP1), 4) AS a, round((SELECT q FROM EP1), 5) AS q"
+    return sql + f" SELECT *, {shown} FROM ({' UNION ALL '.join(lls)})"
+
+
+@_query(_counts_em_sql)
+def point_process_em(spark, d):
+    rows = _daily(spark, d).withColumn("z", F.array(F.lit(1.0)))
+    got = point_process.fit(rows, point_process.Counts(np.eye(1), 0.05 * np.eye(1), np.zeros(1), np.eye(1), 1.0), max_iter=2, order="bin")
+    a, q = round(float(got.params.A[0, 0]), 4), round(float(got.params.Q[0, 0]), 5)
+    return spark.createDataFrame([(k, round(float(x), 2), a, q) for k, x in enumerate(got.log_likelihoods)], "iteration int, log_likelihood double, a double, q double")
+
+
 def _counts_gradient_sql():
     def recur(tag, rows, keys):
         a, q = O.column("a"), O.column("q")
@@ -565,6 +679,16 @@ def _areas(spark):
     return spark.range(5).select(F.col("id").cast("int").alias("osc"), (F.col("id") / 2).cast("int").alias("area"))
 
 
+@_query(_PHASES + """, U AS (SELECT unit_id, avg(cos(phase)) AS re, avg(sin(phase)) AS im, avg(cos(phase + 0.2)) AS te, avg(sin(phase + 0.3)) AS ti FROM PHASES GROUP BY 1)
+SELECT round(avg(abs(atan2(sin(atan2(im, re) - atan2(ti, te)), cos(atan2(im, re) - atan2(ti, te))))) FILTER (WHERE unit_id % 2 = 1), 8) AS mae, round(corr(te, re), 8) AS correlation, round(sqrt(avg((re - te) ** 2)), 8) AS rmse, round(var_pop(re) / var_pop(te), 8) AS variance_ratio FROM U""")
+def coupling_recovery(spark, d):
+    """Errors of phases over coupled units, and of magnitudes against what they estimate."""
+    at = _phases(spark, d).groupBy("unit_id").agg(F.avg(F.cos("phase")).alias("re"), F.avg(F.sin("phase")).alias("im"), F.avg(F.cos(F.col("phase") + 0.2)).alias("te"), F.avg(F.sin(F.col("phase") + 0.3)).alias("ti"))
+    mae = statistics.phase_recovery(at, "re", "im", "te", "ti", "unit_id % 2 = 1")
+    got = mae.join(statistics.recovery(at, "te", "re"))
+    return _rounded(got, "mae", "correlation", "rmse", "variance_ratio", to=8)
+
+
 @_query(_EDGES + """, B AS (SELECT state, i // 2 AS a, j // 2 AS b, sum(c * c) AS q FROM EDGES WHERE i <> j GROUP BY 1, 2, 3), N AS (SELECT a, b, sum(q) AS q FROM B GROUP BY 1, 2)
 SELECT 'edge' AS kind, round(sum(sqrt(c * c + 1e-8) - 1e-4), 5) AS penalty FROM EDGES WHERE i <> j UNION ALL
 SELECT 'area', round(sum(sqrt(q + 1e-8) - 1e-4), 5) FROM B UNION ALL SELECT 'shared', round(sum(sqrt(q + 1e-8) - 1e-4), 5) FROM N""")
@@ -627,6 +751,56 @@ def smoothed_occupancy(spark, d):
     return _rounded(spatial.smoothed_map(spatial.occupancy(_track(spark, d), *_CELL, 0.5), "occ", 1.0, (10, 12)), "occ")
 
 
+@_query(""" SELECT event_id, bin::INT AS bin, bin < 24 AS valid, """ + ", ".join(f"CASE WHEN bin < 24 THEN round({'1 / 24.0' if not k else f'cos(pi() * {k} * (bin + 0.5) / 24) ** 2 / 12'}, 7) ELSE 0 END AS z{k}" for k in range(5)) + """ FROM (SELECT event_id, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9) % 26 AS bin FROM events)""")
+def graph_design(spark, d):
+    """Squares of the five smoothest functions on a path of 24 bins, at each event's bin; two bins lie outside."""
+    edges = spark.range(23).select(F.col("id").cast("int").alias("src"), (F.col("id") + 1).cast("int").alias("dst"), F.lit(1.0).alias("distance"))
+    _, vectors, _ = spatial.graph_basis(spatial.laplacian(edges, 24), rank=5)
+    rows = table(spark, d, "events").select("event_id", (F.floor(seconds() / HOUR) % 26).cast("int").alias("bin"))
+    got = spatial.graph_design(rows, vectors)
+    return got.select("event_id", "bin", "valid", *[F.round(F.col("z")[k] ** 2, 7).alias(f"z{k}") for k in range(5)])
+
+
+@_query(f""", EN AS (SELECT n_nationkey % 5 AS x, n_regionkey AS y, (n_nationkey % 3)::DOUBLE AS s0, (n_nationkey % 4)::DOUBLE AS s1 FROM nation),
+QP AS (SELECT c_custkey, c_nationkey % 7 AS x, abs(c_acctbal) / 2000 AS y FROM customer), K AS (SELECT c_custkey, exp(-((q.x - e.x) ** 2 + (q.y - e.y) ** 2) / 2) AS k, s0, s1 FROM QP q CROSS JOIN EN e)
+SELECT c_custkey, round(ln(greatest((sum(k * s0) + 0.3 * 1.0) / (sum(k) * 0.5 + 0.3), 1e-10)), 7) + 0.0 AS rate0, round(ln(greatest((sum(k * s1) + 0.3 * 2.0) / (sum(k) * 0.5 + 0.3), 1e-10)), 7) + 0.0 AS rate1 FROM K GROUP BY 1""")
+def kernel_rates(spark, d):
+    """Log rates at queries from a small encoding set."""
+    r = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    where = np.array([(x["n_nationkey"] % 5, x["n_regionkey"]) for x in r], float)
+    k = spatial.Kernels(where, np.array([(x["n_nationkey"] % 3, x["n_nationkey"] % 4) for x in r], float), np.full(len(r), 0.5), 1.0, np.array([1.0, 2.0]), 0.3)
+    rows = table(spark, d, "customer").select("c_custkey", F.array((F.col("c_nationkey") % 7).cast("double"), (F.abs("c_acctbal") / 2000).cast("double")).alias("at"))
+    return _cells(mapped(rows, ["at"], {"rate": 1}, lambda v: {"rate": k.at(v["at"])[0]}, ["c_custkey"]), 7, ("c_custkey",), rate=(2,))
+
+
+def _regression_sql():
+    """Newton steps of a ridge Poisson regression of quantities on two numbers."""
+    sql = ", RG AS (SELECT least(l_quantity, 9)::DOUBLE AS n, 1e0 AS z0, (l_discount * 10)::DOUBLE AS z1, (l_tax * 10)::DOUBLE AS z2 FROM lineitem)"
+    sums = ", ".join([f"sum(z{i} * z{j}) AS h{i}{j}" for i in range(3) for j in range(3)] + [f"sum(z{i}) AS g{i}" for i in range(3)])
+    s = O.Sheet()
+    base = s.let(O.call("ln", (O.column("total") + 1.0) / O.column("size")))
+    w = O.solved(s, O.columns("h", 3, 3) + np.eye(3), O.columns("g", 3), boost=False)
+    sql += f", RW0 AS ({s.over(f'(SELECT {sums}, sum(n) AS total, count(*)::DOUBLE AS size FROM RG)', (), O.named(w=s.let(base * w)))})"
+    for k in range(15):
+        mu = "exp(least(greatest(w0 * z0 + w1 * z1 + w2 * z2, -20), 20))"
+        sums = ", ".join([f"sum(mu * z{i} * z{j}) AS h{i}{j}" for i in range(3) for j in range(3)] + [f"sum(z{i} * (n - mu)) AS g{i}, any_value(w{i}) AS w{i}" for i in range(3)])
+        s = O.Sheet()
+        w = O.columns("w", 3)
+        move = O.solved(s, O.columns("h", 3, 3) + np.eye(3), s.let(O.columns("g", 3) - w), boost=False)
+        most = s.let(O.call("greatest", *[O.call("abs", x) for x in move]))
+        scale = s.let(O.call("least", 1.0, 5.0 / O.call("greatest", most, 1e-12)))
+        sql += f", RW{k + 1} AS ({s.over(f'(SELECT {sums} FROM (SELECT *, {mu} AS mu FROM RG CROSS JOIN RW{k}))', (), O.named(w=s.let(w + scale * move)))})"
+    return sql + " SELECT round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM RW15"
+
+
+@_query(_regression_sql)
+def stationary_field(spark, d):
+    """A ridge Poisson regression on a design, one job a Newton step."""
+    rows = table(spark, d, "lineitem").select(F.least(F.col("l_quantity"), F.lit(9)).cast("double").alias("n"), F.array(F.lit(1.0), (F.col("l_discount") * 10).cast("double"), (F.col("l_tax") * 10).cast("double")).alias("z"))
+    w, _ = spatial.stationary_field(rows, 1.0, 3)
+    return spark.createDataFrame([tuple(round(float(x), 6) for x in w)], "w0 double, w1 double, w2 double")
+
+
 @_query(" SELECT vec_id, round((0.5 + label) ** (-1.5), 9) AS shape FROM embeddings")
 def spectral_shape(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(spatial.spectral_shape(F.col("label"), 0.5, 1.5), 9).alias("shape"))
@@ -1086,6 +1260,77 @@ def oscillator_gradient(spark, d):
     return _ascent(spark, got, {c: v[0] for c, v in at.items()}, {c: v[0] for c, v in got.params.items()}, rows.count())
 
 
+def _families():
+    """The three families of two oscillators seen by two sources, in two states each."""
+    freqs, damping, turn = [0.1, 0.2], [0.9, 0.8], np.array([[0.0, 0.5], [0.5, 0.0]])
+    H = np.array([[[1.0, 0.0, 0.5, 0.0], [0.0, 1.0, 0.0, 0.5]], [[0.5, 0.0, 1.0, 0.0], [0.0, 0.5, 0.0, 1.0]]])
+    strength = np.array([[[0.0, 0.1], [0.0, 0.0]], [[0.0, 0.0], [0.1, 0.0]]])
+    up = np.array([[[0.0, 0.1], [0.0, 0.0]], [[0.0, 0.2], [0.0, 0.0]]])
+    return {
+        "common": oscillators.common_model(freqs, damping, [0.3, 0.2], H, 1.0), "correlated": oscillators.correlated_model(freqs, damping, [[0.3, 0.2], [0.5, 0.4]], [np.triu(turn), np.triu(turn)], up, 1.0),
+        "directed": oscillators.directed_model(freqs, damping, [0.3, 0.2], [turn, turn], strength, 1.0),
+    }
+
+
+@_query(lambda: _VECTORS + "".join(_switching_sql("VEC", m, _numbers(m), str(k), (), smoother=False) for k, m in enumerate(_families().values()))
+    + " " + " UNION ALL ".join(f"SELECT '{n}' AS family, round(sum(ll), 2) AS log_likelihood FROM SF{k}" for k, n in enumerate(_families())))
+def oscillator_evidence(spark, d):
+    """Log likelihoods of three oscillator families in one pass over the rows."""
+    models = _families()
+    lls = switching.evidences(_vectors(spark, d), list(models.values()), ["y"])
+    return spark.createDataFrame([(n, round(x, 2)) for n, x in zip(models, lls)], "family string, log_likelihood double")
+
+
+def _projected_em_sql(kind: str) -> str:
+    """One EM step of a family's noise or transition, and its projection."""
+    m = _families()[kind]
+    learn = ("Q",) if kind == "correlated" else ("A",)
+    sql = _VECTORS + _switching_sql("VEC", m, _numbers(m)) + f", {O.switching_sums('SUM0', 'SS', 2, 4, ('y0', 'y1'))}, {O.switching_step('PAR0', 'SUM0', 2, 4, 2, learn, m)}"
+    s, cells, J = O.Sheet(), {}, np.kron(np.eye(2), [[0.0, -1.0], [1.0, 0.0]])
+    values = O.switching_values(2, 4, 2)
+    for k in (0, 1):
+        if kind == "correlated":
+            q = s.let(0.5 * (values["Q"][k] + J @ values["Q"][k] @ J.T))
+            a, b, x, y = q[0, 0], q[2, 2], q[0, 2], q[2, 0 + 1]
+            half = s.let((a - b) / 2.0)
+            least = s.let((a + b) / 2.0 - O.call("sqrt", half * half + x * x + y * y))
+            cells |= O.named(**{f"Q{k}": q + s.let(O.call("greatest", 1e-8 - least, 0.0)) * np.eye(4)})
+        else:
+            A = values["A"][k]
+            block = lambda i, j: A[2 * i : 2 * i + 2, 2 * j : 2 * j + 2]
+            parts = [[(s.let((b[0, 0] + b[1, 1]) / 2.0), s.let((b[1, 0] - b[0, 1]) / 2.0)) for b in [block(i, j)]][0] for i in (0, 1) for j in (0, 1)]
+            # blocks are complex numbers, so the eigenvalues are those of a 2 x 2 complex matrix
+            (a, ai), (b, bi), (c, ci), (e, ei) = parts
+            tr, tri = s.let((a + e) / 2.0), s.let((ai + ei) / 2.0)
+            u, ui = s.let((a - e) / 2.0), s.let((ai - ei) / 2.0)
+            d_, di = s.let(u * u - ui * ui + b * c - bi * ci), s.let(2.0 * u * ui + b * ci + bi * c)
+            size = s.let(O.call("sqrt", d_ * d_ + di * di))
+            r, ri = s.let(O.call("sqrt", O.call("greatest", (size + d_) / 2.0, 0.0))), s.let(O.call("sqrt", O.call("greatest", (size - d_) / 2.0, 0.0)) * O.Cell(f"CASE WHEN {di.sql} < 0 THEN -1e0 ELSE 1e0 END", di.depth))
+            most = s.let(O.call("greatest", O.call("sqrt", (tr + r) * (tr + r) + (tri + ri) * (tri + ri)), O.call("sqrt", (tr - r) * (tr - r) + (tri - ri) * (tri - ri))))
+            scale = s.let(O.call("least", 1.0, 0.99 / most))
+            rows = [[np.array([[x, -y], [y, x]], object) for x, y in (parts[2 * i], parts[2 * i + 1])] for i in (0, 1)]
+            cells |= O.named(**{f"A{k}": s.let(np.concatenate([np.concatenate(r_, 1) for r_ in rows], 0) * scale)})
+    return sql + f", PJ AS ({s.over('PAR0', (), cells)}) " + O.rounded("PJ", cells, 5, ())
+
+
+def _projected_em(spark, d, kind: str) -> DataFrame:
+    m, letter = _families()[kind], "Q" if kind == "correlated" else "A"
+    project = oscillators.project_correlated if kind == "correlated" else oscillators.project_directed
+    got = switching.fit(_vectors(spark, d), m, ["y"], max_iter=1, tolerance=1e9, learn=(letter,), project=project).params
+    cells = {f"{letter}{k}{i}{j}": round(float(getattr(got, letter)[k, i, j]), 5) + 0.0 for k in (0, 1) for i in range(4) for j in range(4)}
+    return spark.createDataFrame([tuple(cells.values())], ", ".join(f"{c} double" for c in cells))
+
+
+@_query(lambda: _projected_em_sql("correlated"))
+def correlated_em(spark, d):
+    return _projected_em(spark, d, "correlated")
+
+
+@_query(lambda: _projected_em_sql("directed"))
+def directed_em(spark, d):
+    return _projected_em(spark, d, "directed")
+
+
 _ALL = ("A", "Q", "Z", "prior", "init", "obs")
 
 
