@@ -108,18 +108,18 @@ def confusion(rows: DataFrame, predicted: Column, truth: Column, by: str | None
     return got.withColumn("f1", f1)
 
 
-def _stretches(counts: DataFrame, x: str) -> DataFrame:
-    """counts with __part, a stretch of the order of x, by cut points at even ranks: a function of x alone, whatever the plan."""
+def _stretches(counts: DataFrame, x: str, rows: DataFrame) -> DataFrame:
+    """counts with __part, a stretch of the order of x, by cut points at even ranks of the rows: a function of x alone, whatever the plan."""
     n = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = [k / n for k in range(1, n)]
-    cuts = counts.agg(F.percentile_approx(x, at, max(10_000, 10 * n))).first()[0] or []
+    cuts = rows.agg(F.percentile_approx(x, at, max(1000, 10 * n))).first()[0] or []
     points = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
     return counts.withColumn("__part", F.size(F.filter(points, lambda c: c < F.col(x))))
 
 
-def _before(counts: DataFrame, x: str, n: str, into: str) -> DataFrame:
+def _before(counts: DataFrame, x: str, n: str, into: str, rows: DataFrame) -> DataFrame:
     """counts with the sum of n over all smaller x: within the stretch by a window, over stretches by one row each."""
-    parted = _stretches(counts, x)
+    parted = _stretches(counts, x, rows)
     sizes = parted.groupBy("__part").agg(F.sum(n).alias("__size"))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
     begins = sizes.select("__part", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__begin"))
@@ -132,7 +132,7 @@ def ranked(rows: DataFrame, x: str, into: str) -> DataFrame:
     """rows with the mean rank of x: by counts of equal values, so that one task holds distinct values only."""
     counts = rows.groupBy(x).agg(F.count("*").alias("__n"))
     rank = F.col("__b") + (F.col("__n") + 1) / 2.0
-    return rows.join(_before(counts, x, "__n", "__b").select(x, rank.alias(into)), x)
+    return rows.join(_before(counts, x, "__n", "__b", rows).select(x, rank.alias(into)), x)
 
 
 def roc_auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
@@ -140,10 +140,11 @@ def roc_auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
 
     Taken from counts of each distinct score; rows are never joined.
     """
-    counts = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(
+    rows = rows.filter(F.col(score).isNotNull())
+    counts = rows.groupBy(score).agg(
         F.count_if(F.col(truth) == 1).alias("__p"), F.count_if(F.col(truth) != 1).alias("__q")
     )
-    got = _before(counts, score, "__q", "__below").agg(
+    got = _before(counts, score, "__q", "__below", rows).agg(
         F.sum(F.col("__p") * (F.col("__below") + F.col("__q") / 2.0)).alias("wins"), F.sum("__p").cast("double").alias("p"), F.sum("__q").cast("double").alias("q")
     )
     return got.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("wins") / (F.col("p") * F.col("q"))).alias("auc"))
