@@ -45,13 +45,14 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def marked(documents: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, text, target 0/1): target has the doc_ids of the target rows."""
+    """(doc_id, text, target 0/1): target has the doc_ids of the target rows. Texts that had to be shuffled are written, to be so once."""
     ids = target.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     few = ids.count() <= BROADCAST_IDS
     flag = ids.withColumn("target", F.lit(1))
-    return documents.select("doc_id", "text").join(F.broadcast(flag) if few else flag, "doc_id", "left").select(
+    rows = documents.select("doc_id", "text").join(F.broadcast(flag) if few else flag, "doc_id", "left").select(
         "doc_id", "text", F.coalesce("target", F.lit(0)).alias("target")
     )
+    return rows if few else cut(rows)
 
 
 class Grams:

@@ -33,7 +33,7 @@ from driftline.llm.common import Words, append_columns, cut, mix, slices
 #: Signature values in a band, and how often a pair at the threshold may meet in no band.
 ROWS, MISS = 5, 1e-6
 #: Ids that may be broadcast to pick out their texts (16 bytes each); above it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 #: Hash bins by whose counts shingles are ordered.
 ORDER_BITS = 18
 

@@ -30,9 +30,10 @@ def brute(rows, target):
     return out
 
 
-@pytest.mark.parametrize("share, bucket", [(lm_delta.SHARE, lm_delta.BUCKET), (0.03, 100), (1.0, 50)])
-def test_as_brute_force(spark, share, bucket):
-    """With all n-grams hot, some, and none."""
+@pytest.mark.parametrize("share, bucket, ids", [(lm_delta.SHARE, lm_delta.BUCKET, lm_delta.BROADCAST_IDS), (0.03, 100, 3), (1.0, 50, 0)])
+def test_as_brute_force(spark, monkeypatch, share, bucket, ids):
+    """With all n-grams hot, some, and none; with ids broadcast and shuffled."""
+    monkeypatch.setattr(lm_delta, "BROADCAST_IDS", ids)
     r = random.Random(1)
     good, bad = [f"g{k}" for k in range(30)], [f"b{k}" for k in range(30)]
     rows = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(r.randint(0, 30)))) for i in range(80)]
