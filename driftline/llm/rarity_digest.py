@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ LEVELS, WEAK = 1000, 100
 BITS, FULL, HASHES = 2048, 160, 5
 #: Share of the room above chance that two filters must overlap before they count as alike.
 CUTOFF = 0.3
+#: Stands for all hashes of a doc_id's texts, below each of them; hashes and ids that quantiles give back exactly.
+WHOLE, EXACT = -1, 2**52
 _BLOCK = 1 << 19
 _LAST = np.int64(LEVELS + 1)
 _ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,37 +235,61 @@ def fingerprint(df: DataFrame, rank: np.ndarray, column: str = "text", into: str
     return append_columns(df, column, make, [T.StructField(into, T.StringType())])
 
 
-def with_next(documents: DataFrame) -> DataFrame:
-    """Rows in partitions by descending doc_id, each partition closed by the row that comes next.
+def cut_points(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """At most about n (key, hash) at even ranks of rows by falling key, then rising hash, each where some row lies.
 
-    Cut points are doc_ids taken at even ranks, so that the row at a cut point begins its
-    partition and is sent to the one before it as well, marked `halo`; the greatest doc_id
-    follows the last. A null doc_id comes last; rows of one doc_id are ordered by text.
+    A key that holds several ranks is parted by its texts' hashes, from the least on; any other is taken
+    whole, with WHOLE for a hash.
     """
-    spark = documents.sparkSession
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    n = shuffle_partitions(spark)
     found = rows.agg(
         F.percentile_approx("key", [i / n for i in range(1, n)] or [1.0], max(10_000, 10 * n)).alias("cuts"),
         F.max("key").alias("top"),
     ).first()
-    points = sorted({*(found["cuts"] or []), found["top"]} - {None}, reverse=True) or [0]
+    if found["top"] is None:
+        return [(0, WHOLE)]
+    cuts = found["cuts"] or []
+    if max(map(abs, [c for c in cuts if c > -(2**63)] + [found["top"]])) > EXACT:  # quantiles are doubles; take ids that are there
+        cuts = list(rows.agg(*[F.max(F.when(F.col("key") <= c, F.col("key"))) for c in cuts]).first())
+    cuts = Counter(c for c in cuts if c is not None)
+    hot = {k: c for k, c in cuts.items() if c > 1}
+    points = {(k, WHOLE) for k in {*cuts, found["top"]} if k not in hot}
+    if hot:  # at most half as many keys as ranks
+        at = [i / max(hot.values()) for i in range(1, max(hot.values()))]
+        parts = rows.filter(F.col("key").isin(*hot)).groupBy("key").agg(F.min("hash").alias("low"), F.percentile_approx("hash", at, 10_000).alias("hashes"))
+        for r in parts.collect():
+            own = r["hashes"][:: -(-len(r["hashes"]) // hot[r["key"]])]
+            points |= {(r["key"], h) for h in (r["low"], *own)}
+    return sorted(points, key=lambda p: (-p[0], p[1]))
+
+
+def with_next(documents: DataFrame) -> DataFrame:
+    """Rows in partitions by descending doc_id, each partition closed by the row that comes next.
+
+    A partition begins with the rows at its cut point, which are sent to the one before it as well,
+    marked `halo`; the greatest doc_id follows the last. A null doc_id comes last; rows of one
+    doc_id are ordered by a hash of their texts, so that many of them are many partitions.
+    """
+    spark = documents.sparkSession
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", text.alias("text"), key.alias("key"), F.xxhash64(text).bitwiseAND(F.lit(EXACT - 1)).alias("hash"))
+    points = cut_points(rows, shuffle_partitions(spark))
     side = int(len(points) ** 0.5) + 1  # found in two steps: the stretch, then the place in it
-    longs = lambda xs: f"array({', '.join(f'{x}L' if x > -(2**63) else '(-9223372036854775807L - 1L)' for x in xs)})"
-    stretch = f"greatest(size(filter({longs(points[::side])}, p -> p >= key)) - 1, 0)"
-    rows = rows.withColumn("stretch", F.expr(stretch))
-    within = f"size(filter(slice({longs(points)}, stretch * {side} + 1, {side}), p -> p >= key))"
+    long = lambda x: f"{x}L" if x > -(2**63) else "(-9223372036854775807L - 1L)"
+    pairs = lambda ps: f"array({', '.join(f'struct({long(k)} AS k, {long(h)} AS h)' for k, h in ps)})"
+    upto = "p -> p.k > key OR (p.k = key AND p.h <= hash)"
+    rows = rows.withColumn("stretch", F.expr(f"greatest(size(filter({pairs(points[::side])}, {upto})) - 1, 0)"))
+    within = f"size(filter(slice({pairs(points)}, stretch * {side} + 1, {side}), {upto}))"
     rows = rows.withColumn("part", F.expr(f"cast(stretch * {side} + {within} - 1 as int)"))
-    begins = F.array_contains(F.expr(longs(points)), F.col("key"))
+    begins = F.expr(f"exists({pairs(points)}, p -> p.k = key AND p.h IN ({long(WHOLE)}, hash))")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("halo"))
     sent = F.struct(((F.col("part") + (len(points) - 1)) % len(points)).alias("part"), F.lit(True).alias("halo"))
     dealt = rows.withColumn("to", F.explode(F.when(begins, F.array(own, sent)).otherwise(F.array(own))))
     return (
-        dealt.select("doc_id", "text", "key", "to.part", "to.halo")
+        dealt.select("doc_id", "text", "key", "hash", "to.part", "to.halo")
         .repartitionById(len(points), F.col("part"))
-        .sortWithinPartitions("part", "halo", F.desc("key"), "text")
-        .drop("key")
+        .sortWithinPartitions("part", "halo", F.desc("key"), "hash", "text")
+        .drop("key", "hash")
     )
 
 
@@ -277,7 +304,7 @@ def compare(documents: DataFrame) -> DataFrame:
 
     doc_id is a whole number. The next document is the one of the next smaller doc_id; after the last comes
     the first, and a single document is its own next one. Null texts count as empty, a null doc_id comes
-    last; repeated rows stay and follow one another. Other columns are not looked at; an empty table gives none.
+    last; rows of one doc_id follow one another by a hash of their texts, equal rows stay as many. Other columns are not looked at; an empty table gives none.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -47,7 +47,7 @@ def test_strings_round_trip_and_likeness_orders_texts():
 
 def test_compare_follows_the_next_document(spark):
     r = random.Random(4)
-    rows = [(i * 3, words(r, r.randint(0, 60))) for i in range(300)]
+    rows = [((1 << 60) * (i % 7) - (1 << 61) + i * 3, words(r, r.randint(0, 60))) for i in range(300)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.rand(1))
     got = {x["doc_id"]: x for x in rd.compare(frame).collect()}
     assert len(got) == 300
@@ -125,3 +125,18 @@ def test_the_whole_query_as_window_by_window(spark):
         assert got[i]["edited_fingerprint"] == rd.to_string(of(changed)), i
         assert got[i]["near_edited"] == rd.likeness(of(text), of(changed))
         assert got[i]["near_next"] == rd.likeness(of(text), of(after))
+
+
+def test_a_doc_id_of_many_rows_is_many_partitions(spark):
+    r = random.Random(12)
+    rows = [(None if i % 3 else i, words(r, 6)) for i in range(900)] + [(5000 + i % 2, words(r, 4)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spread = rd.with_next(frame).filter("NOT halo").groupBy("part").count().collect()
+    assert len(spread) >= 3 and max(x["count"] for x in spread) < 0.6 * len(rows)
+    order = frame.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(rd.EXACT - 1))).collect()
+    order.sort(key=lambda x: (-(x["doc_id"] if x["doc_id"] is not None else -(2**63)), x["h"], x["text"]))
+    want = Counter()
+    for one, after in zip(order, order[1:] + order[:1]):
+        changed = one["text"][: len(one["text"]) - len(one["text"]) // 3] + after["text"][: len(one["text"]) // 3]
+        want[one["doc_id"], hashlib.sha256(changed.encode()).hexdigest()] += 1
+    assert Counter((x["doc_id"], x["edited_sha256"]) for x in rd.compare(frame).collect()) == want

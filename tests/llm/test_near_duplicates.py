@@ -26,8 +26,9 @@ def brute(rows, words, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_as_brute_force_with_a_large_group(spark, words, percent):
+@pytest.mark.parametrize(("words", "percent", "ids"), [(3, 85, md.BROADCAST_IDS), (5, 80, 0)])
+def test_as_brute_force_with_a_large_group(spark, monkeypatch, words, percent, ids):
+    monkeypatch.setattr(md, "BROADCAST_IDS", ids)
     r = random.Random(words)
     vocabulary = [f"w{k}" for k in range(400)]
     base = [r.choice(vocabulary) for _ in range(150)]
