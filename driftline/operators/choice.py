@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftline.operators.matrices import log_det, mv, psd_solve, softmax, symmetric, transposed, vec_solve
 from driftline.plans.fitting import Fit, best_on_grid, em
 from driftline.plans.fold import fold, totals
+from driftline.plans.lineage import reused
 
 #: Trial inverse temperatures.
 TEMPERATURES = [0.1, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0]
@@ -193,6 +194,7 @@ def fit(trials: DataFrame, model: Choice, covariates: str | None = None, max_ite
 
     def e_step(model):
         rows = smoothed(filtered(trials, model, covariates, features, key, order), model, key, order, keep, moves)
+        rows = reused(rows) if "weights" in learn and features else rows
 
         def make(x):
             go = x["last"] == 0

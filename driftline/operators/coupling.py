@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftline.operators import kalman
 from driftline.operators.oscillators import common_transition
 from driftline.plans.fold import totals
+from driftline.plans.lineage import reused
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,7 @@ def _held(eta):
 
 def laplace_couplings(rows: DataFrame, baseline: np.ndarray, sigma: float = 5.0, max_iter: int = 10, x: str = "x", spikes: str = "spikes") -> tuple[np.ndarray, np.ndarray]:
     """Means (neurons, 2 bands) and covariances of couplings under a N(0, sigma^2) prior: Newton steps for all neurons in one job each."""
+    rows = reused(rows.select(x, spikes))
     S = len(baseline)
     d = len(rows.select(x).first()[0])
     b = np.zeros((S, d))
@@ -97,7 +99,7 @@ def gibbs_couplings(rows: DataFrame, baseline: np.ndarray, n_iter: int = 60, bur
 
     A row's draws come from a hash of seed, sweep, series, time and neuron, so they do not depend on batches or on lost tasks.
     """
-    rows = rows.withColumn("__seed", F.xxhash64(F.lit(seed), key, t))
+    rows = reused(rows.select(x, spikes, F.xxhash64(F.lit(seed), key, t).alias("__seed")))
     S, d = len(baseline), len(rows.select(x).first()[0])
     driver = np.random.default_rng(seed)
     b, kept = np.zeros((S, d)), []

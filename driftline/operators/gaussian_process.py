@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftline.functions.links import log_normal_rate, matern32
 from driftline.operators.matrices import log_gamma, mv, normal_quantile, psd_solve, symmetric, transposed
 from driftline.plans.fold import fold, totals
+from driftline.plans.lineage import reused
 
 LEAST_WEIGHT = 1e-4
 
@@ -30,10 +31,10 @@ def site(g: np.ndarray, y: np.ndarray, offset: float) -> tuple[np.ndarray, np.nd
     return g + (y - np.exp(np.minimum(g + offset, 50))) / w, 1 / w
 
 
-def infer(counts: DataFrame, model: RateProcess, n_iter: int = 8, key: str = "unit_id", order: str = "t", y: str = "n", cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def infer(counts: DataFrame, model: RateProcess, n_iter: int = 8, key: str = "unit_id", order: str = "t", y: str = "n", cut: Callable[[DataFrame], DataFrame] = reused, every: int = 4) -> DataFrame:
     """(key, order, y, g, var, ev): mode and variance of the log rate, and each row's share of the Laplace evidence.
 
-    Each iteration is a pass forward and one backward; `cut` may write a pass to a shared table so that lineage stays short.
+    Each iteration is a pass forward and one backward; `cut` writes every fourth to the shared folder, so that lineage stays short.
     """
     k = matern32(model.lengthscale, model.variance, model.dt)
     A, Q, P = (np.array(k[c]) for c in ("A", "Q", "P"))
@@ -68,9 +69,10 @@ def infer(counts: DataFrame, model: RateProcess, n_iter: int = 8, key: str = "un
         m, V = np.where(fresh[:, None], x["m"], m), np.where(fresh[:, None, None], x["V"], V)
         return {"m": m, "V": V}, {"g": m[:, 0], "var": V[:, 0, 0]}
 
-    for _ in range(n_iter):
+    for k in range(1, n_iter + 1):
         forward = fold(rows, key, order, start, ahead, {"m": 1, "V": 2, "ev": 0}, ["g", y], [y])
-        rows = cut(fold(forward, key, order, begin, back, {"g": 0, "var": 0}, ["m", "V"], [y, "ev"], backward=True))
+        rows = fold(forward, key, order, begin, back, {"g": 0, "var": 0}, ["m", "V"], [y, "ev"], backward=True)
+        rows = cut(rows) if k % every == 0 and k < n_iter else rows
     return rows
 
 

@@ -15,6 +15,7 @@ from driftline.operators.matrices import log_sum_exp, safe_log, softmax
 from driftline.plans import scan
 from driftline.plans.fitting import POSITIVE, STOCHASTIC_ROW, UNCONSTRAINED, UNIT_INTERVAL, Fit, bfgs, by_gradient, em
 from driftline.plans.fold import evidence, fold, totals
+from driftline.plans.lineage import reused
 
 # ---------------------------------------------------------------- two states, in SQL
 
@@ -132,7 +133,8 @@ def viterbi(rows: DataFrame, transition: np.ndarray, prior: np.ndarray, logits:
 class Contingency:
     """States with a reward chance (and a value) for each option; transitions from logits whose last column is 0.
 
-    weights: effect of transition covariates on the logits, (covariates, states, states - 1).
+    weights: effect of transition covariates on the logits, (covariates, states, states - 1). shifts: effect of
+    features of the choice on the options' values, (options, features) for all states or one such for each.
     """
 
     reward: np.ndarray
@@ -141,6 +143,7 @@ class Contingency:
     prior: np.ndarray
     temperature: float = 1.0
     weights: np.ndarray | None = None
+    shifts: np.ndarray | None = None
 
     def transitions(self, covariates: np.ndarray | None = None) -> np.ndarray:
         base = self.logits if covariates is None or self.weights is None else self.logits + np.einsum("sd,dij->sij", covariates, self.weights)
@@ -161,15 +164,20 @@ def transition_prior(concentration: float, stickiness: float, n: int) -> np.ndar
     return np.full((n, n), concentration) + stickiness * np.eye(n)
 
 
-def trial_log_likelihood(choice: np.ndarray, reward: np.ndarray, c: Contingency) -> np.ndarray:
-    """(rows, states): log chance of the choice under each state's values, and of its reward."""
+def trial_log_likelihood(choice: np.ndarray, reward: np.ndarray, c: Contingency, features: np.ndarray | None = None) -> np.ndarray:
+    """(rows, states): log chance of the choice under each state's values, shifted by features, and of its reward."""
     k = choice.astype(np.int64)
-    chosen = np.log(softmax(c.temperature * c.value))[:, k].T
+    if features is None or c.shifts is None:
+        chosen = np.log(softmax(c.temperature * c.value))[:, k].T
+    else:
+        shifts = np.broadcast_to(c.shifts, (len(c.value), *np.shape(c.shifts)[-2:]))
+        logits = c.temperature * c.value[None] + np.einsum("nf,skf->nsk", features, shifts)
+        chosen = np.log(softmax(logits))[np.arange(len(k)), :, k]
     p = np.clip(c.reward[:, k].T, 1e-10, 1 - 1e-10)
     return chosen + np.where(reward[:, None] > 0, np.log(p), np.log1p(-p))
 
 
-def contingency_steps(c: Contingency, covariates: str | None = None):
+def contingency_steps(c: Contingency, covariates: str | None = None, features: str | None = None):
     """start and step of the forward pass over trials."""
     n = len(c.prior)
 
@@ -180,7 +188,7 @@ def contingency_steps(c: Contingency, covariates: str | None = None):
         T = c.transitions(x[covariates] if covariates else None)
         T = np.broadcast_to(T, (len(fresh), n, n))
         pred = np.where(fresh[:, None], s["p"], np.einsum("si,sij->sj", s["p"], T))
-        joint = np.log(np.maximum(pred, 1e-30)) + trial_log_likelihood(x["choice"], x["reward"], c)
+        joint = np.log(np.maximum(pred, 1e-30)) + trial_log_likelihood(x["choice"], x["reward"], c, x[features] if features else None)
         z = log_sum_exp(joint, -1)
         p = np.exp(joint - z[:, None])
         return {"p": p}, {"p": p, "pred": pred, "lz": z, "ll": z, "moves": T}
@@ -188,10 +196,10 @@ def contingency_steps(c: Contingency, covariates: str | None = None):
     return start, step
 
 
-def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t") -> DataFrame:
+def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None) -> DataFrame:
     """(key, order, choice, reward, lz, sp, pair, last): smoothed belief of every trial."""
-    given = ["choice", "reward", *([covariates] if covariates else [])]
-    got = fold(trials, key, order, *contingency_steps(c, covariates), {"p": 1, "pred": 1, "lz": 0, "moves": 2}, given, given)
+    given = ["choice", "reward", *[x for x in (covariates, features) if x]]
+    got = fold(trials, key, order, *contingency_steps(c, covariates, features), {"p": 1, "pred": 1, "lz": 0, "moves": 2}, given, given)
     return backward(got, None, len(c.prior), "moves", key, order, given)
 
 
@@ -235,7 +243,7 @@ def fit_contingency(trials: DataFrame, c: Contingency, max_iter: int = 20, toler
         from pyspark.sql.window import Window
 
         ahead = F.lead(covariates).over(Window.partitionBy(key).orderBy(order))
-        moves = rows.select(ahead.alias("__u"), "pair").filter("__u IS NOT NULL")
+        moves = reused(rows.select(ahead.alias("__u"), "pair").filter("__u IS NOT NULL"))
         d = c.weights.shape[0]
         logits, weights = c.logits.copy(), c.weights.copy()
         for _ in range(8):

@@ -16,6 +16,9 @@ from driftline.operators.matrices import log_det, mv, psd_solve, symmetric, tran
 from driftline.operators.point_process import Counts, poisson
 from driftline.plans.fold import fold, to_numpy, totals
 
+#: Cells of all units' maps, and bins of an environment, that the driver may hold.
+MOST_CELLS, MOST_BINS = 20_000_000, 4000
+
 # ---------------------------------------------------------------- maps
 
 
@@ -142,12 +145,12 @@ def _cubic(x: np.ndarray, inner: np.ndarray, low: float, high: float) -> np.ndar
 
 
 def spline_basis(track: DataFrame, n_knots: int = 5, x: str = "x", y: str = "y") -> Spline:
-    """Inner knots at even quantiles from 5 to 95 per cent of all positions."""
+    """Inner knots at even quantiles from 5 to 95 per cent of all positions, exact ones."""
+    from driftline.operators.statistics import quantiles
+
     at = np.linspace(0.05, 0.95, n_knots).tolist()
-    r = track.agg(
-        F.percentile_approx(x, at, 10_000).alias("qx"), F.percentile_approx(y, at, 10_000).alias("qy"), F.min(x), F.min(y), F.max(x), F.max(y)
-    ).first()
-    return Spline(np.unique(r[0]), np.unique(r[1]), (r[2], r[3]), (r[4], r[5]))
+    r = track.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+    return Spline(np.unique(quantiles(track, x, at)), np.unique(quantiles(track, y, at)), (r[0], r[1]), (r[2], r[3]))
 
 
 def with_design(track: DataFrame, basis: Spline, x: str = "x", y: str = "y", into: str = "z") -> DataFrame:
@@ -253,15 +256,18 @@ def maps_from(rates: DataFrame, edges_x, edges_y, units: Sequence, by: str = "un
     """Gathers (by, ix, iy, rate): a number for each unit and cell, which is the decoder's own size."""
     n = {u: k for k, u in enumerate(units)}
     shape = (len(units), edges_x[2], edges_y[2])
+    if int(np.prod(shape)) > MOST_CELLS:
+        raise ValueError(f"maps of {shape} cells are more than a decoder broadcasts ({MOST_CELLS})")
     out = np.full(shape, np.log(1e-10))
-    for r in rates.select(by, "ix", "iy", "rate").collect():
-        if r[0] in n:
-            out[n[r[0]], r[1], r[2]] = np.log(max(r[3], 1e-10))
+    got = rates.filter(F.col(by).isin(list(units))).select(by, "ix", "iy", "rate").toArrow()
+    unit = np.array([n[u] for u in got.column(0).to_pylist()], np.int64)
+    x, y, rate = (got.column(k).to_numpy() for k in (1, 2, 3))
+    out[unit, x, y] = np.log(np.maximum(rate, 1e-10))
     visited = None
     if occ is not None:
         visited = np.zeros(shape[1:], bool)
-        for r in occ.filter("occ > 0").select("ix", "iy").collect():
-            visited[r[0], r[1]] = True
+        seen = occ.filter("occ > 0").select("ix", "iy").toArrow()
+        visited[seen.column(0).to_numpy(), seen.column(1).to_numpy()] = True
     centres = lambda e: e[0] + (np.arange(e[2]) + 0.5) * (e[1] - e[0]) / e[2]
     return Maps(out, centres(edges_x), centres(edges_y), visited)
 
@@ -386,14 +392,14 @@ class Kernels:
 
 
 def laplacian(edges: DataFrame, n: int) -> np.ndarray:
-    """Dense Laplacian with inverse distances of (src, dst, distance); for environments of at most a few thousand bins."""
+    """Dense Laplacian with inverse distances of (src, dst, distance); for environments of at most MOST_BINS bins."""
+    if n > MOST_BINS:
+        raise ValueError(f"an environment of {n} bins is more than a dense basis takes ({MOST_BINS})")
+    got = edges.groupBy("src", "dst").agg(F.sum(1.0 / F.col("distance")).alias("w")).toArrow()
+    a, b, w = (got.column(k).to_numpy() for k in range(3))
     out = np.zeros((n, n))
-    for r in edges.select("src", "dst", "distance").collect():
-        w = 1.0 / r[2]
-        out[r[0], r[1]] -= w
-        out[r[1], r[0]] -= w
-        out[r[0], r[0]] += w
-        out[r[1], r[1]] += w
+    for i, j, x in ((a, b, -w), (b, a, -w), (a, a, w), (b, b, w)):
+        np.add.at(out, (i, j), x)
     return out
 
 

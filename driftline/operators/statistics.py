@@ -128,6 +128,26 @@ def _before(counts: DataFrame, x: str, n: str, into: str, rows: DataFrame) -> Da
     return placed.withColumn(into, F.col("__begin") + F.col("__own")).drop("__part", "__own", "__begin")
 
 
+def quantiles(rows: DataFrame, x: str, at: list[float]) -> list[float]:
+    """Exact quantiles, taken between the two rows beside each by its share: ranks of counts of distinct values, of which only those at stake come to the driver."""
+    rows = rows.filter(F.col(x).isNotNull()).select(F.col(x).cast("double").alias(x))
+    counts = rows.groupBy(x).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    if not total:
+        return [math.nan] * len(at)
+    wanted = sorted({k for q in at for k in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))})
+    placed = _before(counts, x, "__n", "__b", rows)
+    here = F.exists(F.array(*[F.lit(k) for k in wanted]), lambda k: (k >= F.col("__b")) & (k < F.col("__b") + F.col("__n")))
+    held = placed.filter(here).select(x, "__b", "__n").collect()  # at most two for each quantile
+    value = {k: r[0] for r in held for k in wanted if r[1] <= k < r[1] + r[2]}
+    out = []
+    for q in at:
+        low = math.floor(q * (total - 1))
+        share = q * (total - 1) - low
+        out.append(value[low] + share * (value[math.ceil(q * (total - 1))] - value[low]))
+    return out
+
+
 def ranked(rows: DataFrame, x: str, into: str) -> DataFrame:
     """rows with the mean rank of x: by counts of equal values, so that one task holds distinct values only."""
     counts = rows.groupBy(x).agg(F.count("*").alias("__n"))

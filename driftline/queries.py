@@ -644,6 +644,13 @@ def roc_auc(spark, d):
     return _rounded(statistics.roc_auc(rows, "l_extendedprice", "truth"), "auc", to=9)
 
 
+@_query(" SELECT unnest([0.05, 0.25, 0.5, 0.731, 0.95])::DOUBLE AS q, round(unnest(quantile_cont(l_extendedprice::DOUBLE, [0.05, 0.25, 0.5, 0.731, 0.95])), 6) AS value FROM lineitem")
+def exact_quantiles(spark, d):
+    at = [0.05, 0.25, 0.5, 0.731, 0.95]
+    got = statistics.quantiles(table(spark, d, "lineitem"), "l_extendedprice", at)
+    return spark.createDataFrame([(q, round(x, 6)) for q, x in zip(at, got)], "q double, value double")
+
+
 @_query(""", r AS (SELECT l_quantity AS x, l_extendedprice AS y, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rx,
  rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS ry FROM lineitem)
 SELECT round(corr(x, y), 8) AS pearson, round(corr(rx, ry), 8) AS spearman FROM r""")
@@ -1542,7 +1549,7 @@ def _pick(values) -> O.Cell:
     return O.Cell("CASE choice " + " ".join(f"WHEN {k} THEN ({v.sql if isinstance(v, O.Cell) else repr(float(v))})" for k, v in enumerate(values)) + " END")
 
 
-def _contingency_sql(rows: str, tag: str, logits, reward, prior, weights=None, keys=("series_id",), smoother: bool = True) -> str:
+def _contingency_sql(rows: str, tag: str, logits, reward, prior, weights=None, keys=("series_id",), smoother: bool = True, shifts=None) -> str:
     """BF, the filter of beliefs, and BS, the smoother; the logits of a row move with `u`."""
     c = _contingency()
     value = np.log(np.exp(c.temperature * c.value) / np.exp(c.temperature * c.value).sum(1, keepdims=True))
@@ -1556,7 +1563,12 @@ def _contingency_sql(rows: str, tag: str, logits, reward, prior, weights=None, k
         out = []
         for k in range(2):
             p = s.let(O.call("least", O.call("greatest", _pick(reward[k]), 1e-10), 1 - 1e-10))
-            out.append(s.let(_pick(value[k]) + O.Cell(f"CASE WHEN reward > 0 THEN ln({p.sql}) ELSE ln(1 - {p.sql}) END", p.depth)))
+            chosen = _pick(value[k])
+            if shifts is not None:  # options shifted by the feature z
+                logit = [s.let(O.number(c.temperature * v) + float(w) * O.column("z")) for v, w in zip(c.value[k], shifts)]
+                z = s.let(O.call("ln", sum(O.call("exp", x) for x in logit)))
+                chosen = s.let(O.Cell("CASE choice " + " ".join(f"WHEN {i} THEN {x.sql}" for i, x in enumerate(logit)) + " END", max(x.depth for x in logit)) - z)
+            out.append(s.let(chosen + O.Cell(f"CASE WHEN reward > 0 THEN ln({p.sql}) ELSE ln(1 - {p.sql}) END", p.depth)))
         return out
 
     kept = ("choice", "reward")
@@ -1573,6 +1585,20 @@ def contingency_belief(spark, d):
     return _cells(got, 6, lz=(), sp=(2,), pair=(2, 2), stays=())
 
 
+_SHIFTS = np.array([0.5, -0.5, 0.0, 0.25, 0.0])
+
+
+@_query(lambda: ", BR AS (SELECT series_id, t, choice, reward, (t % 2)::DOUBLE AS u, (t % 3)::DOUBLE AS z FROM SERIES)" + _contingency_sql("BR", "", _contingency().logits.tolist(), _contingency().reward, _contingency().prior, [0.3, -0.3], shifts=_SHIFTS)
+    + " " + O.rounded("BS", O.names(lz=(), sp=(2,), pair=(2, 2)), 6))
+def contingency_offsets(spark, d):
+    """Beliefs where features shift the options."""
+    from dataclasses import replace
+
+    rows = choices(spark, d).withColumns({"u": F.array((F.col("t") % 2).cast("double")), "z": F.array((F.col("t") % 3).cast("double"))})
+    c = replace(_contingency(), shifts=_SHIFTS[:, None])
+    return _cells(hidden_markov.contingency_posterior(rows, c, "u", features="z"), 6, lz=(), sp=(2,), pair=(2, 2))
+
+
 def _contingency_em_sql():
     c = _contingency()
     sql, rows, lls = ", BR AS (SELECT series_id, t, choice, reward FROM SERIES)", "BR", []

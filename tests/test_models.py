@@ -446,3 +446,27 @@ def test_gradient_fits_rise(spark):
     start = point_process.Counts(np.eye(1), 0.05 * np.eye(1), np.zeros(1), np.eye(1), 1.0)
     got = point_process.fit_gradient(counts, start, steps=8, rate=5e-2, learn=("Q", "m0"))
     assert got.log_likelihoods[-1] > got.log_likelihoods[0] and got.params.m0[0] > 0.2
+
+
+def test_small_helpers(spark):
+    assert coupling.scaled(np.array([1.0, -2.0]), 0.5).tolist() == [0.5, -1.0]
+    with pytest.raises(ValueError):
+        coupling.scaled(np.ones(2), -1.0)
+    records = [{"magnitude": 0.2, "estimator": "a", "bias": b, "coverage": 1.0} for b in (0.1, 0.3, float("nan"))]
+    one = coupling.averaged(spark, records).first()
+    assert (one["n"], one["bias"]) == (3, pytest.approx(0.2))
+    with pytest.raises(ValueError):
+        coupling.averaged(spark, [])
+    values = np.random.default_rng(13).normal(size=500).round(1)
+    frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    at = [0.0, 0.05, 0.5, 0.77, 1.0]
+    assert statistics.quantiles(frame, "x", at) == pytest.approx(np.quantile(values, at))
+    assert np.isnan(statistics.quantiles(frame.filter("x > 99"), "x", [0.5])[0])
+    basis = spatial.Spline(np.array([5.0]), np.array([5.0]), (0.0, 0.0), (10.0, 10.0))
+    w = np.random.default_rng(14).normal(size=(2, basis.size + 1))
+    maps = spatial.maps_of_fields(w, basis, (0.0, 0.0), (10.0, 10.0), 6)
+    p = np.array([[4.0, 8.0]])
+    want = np.concatenate([[1.0], basis.evaluate(p[:, 0], p[:, 1])[0]])
+    assert maps.at(p)[0][0] == pytest.approx(w @ want)
+    with pytest.raises(ValueError):
+        spatial.laplacian(spark.createDataFrame([(0, 1, 1.0)], "src int, dst int, distance double"), 10**6)
