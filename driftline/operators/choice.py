@@ -285,3 +285,46 @@ def switching_model(n_options: int, noises, temperatures, decays, Z, prior=None)
         np.array([a * eye for a in decays]), np.array([q * eye for q in noises]), np.zeros((K, d)), np.array([eye] * K),
         np.asarray(Z, float), np.full(K, 1 / K) if prior is None else np.asarray(prior, float), switching_softmax, np.asarray(temperatures, float),
     )
+
+
+def fit_switching(trials: DataFrame, model, max_iter: int = 10, tolerance: float = 1e-4, key: str = "series_id", order: str = "t", choice: str = "choice") -> Fit:
+    """EM of a switching choice model: the chain from expected moves, each state's noise from its smoothed steps; decays and temperatures stay."""
+    from driftline.operators import switching
+
+    K, d = model.m0.shape
+
+    def e_step(model):
+        rows = switching.smoothed(switching.filtered(trials, model, [choice], key, order), model, key, order, keep=[choice, "ll"])
+        decay = model.A[:, 0, 0]
+
+        def make(x):
+            go = x["last"] == 0
+            m, V, joint, n, Vn, c = (x[k][go] for k in ("ms", "Vs", "joint", "next_ms", "next_Vs", "cross"))
+            out = {"joint": joint.sum(0), "ll": np.array(x["ll"].sum())}
+            w = joint.sum(1)
+            tr = lambda a: np.trace(a, axis1=-2, axis2=-1)
+            off = ((n[:, 0] - decay[:, None] * m) ** 2).sum(-1) + tr(Vn[:, 0]) + decay**2 * tr(V)
+            return out | {"w": w.sum(0), "q": (w * off).sum(0) - 2 * decay * (joint * tr(c)).sum(axis=(0, 1))}
+
+        s = totals(rows, ["ms", "Vs", "joint", "next_ms", "next_Vs", "cross", "last", "ll"], make)
+        return float(s["ll"]), s
+
+    def m_step(model, s):
+        q = np.maximum(s["q"] / (np.maximum(s["w"], 1e-10) * d), 1e-8)
+        total = s["joint"].sum(1, keepdims=True)
+        Z = np.where(total > 0, s["joint"] / np.where(total > 0, total, 1), model.Z)
+        return replace(model, Q=q[:, None, None] * np.eye(d), Z=Z)
+
+    return em(model, e_step, m_step, max_iter, tolerance)
+
+
+def switching_family(n_options: int, prior=None):
+    """spec and build for switching.fit_gradient over noises, temperatures, decays and the chain of a switching choice model."""
+    from driftline.plans.fitting import POSITIVE, STOCHASTIC_ROW, UNIT_INTERVAL, positive_capped
+
+    spec = {"noises": POSITIVE, "temperatures": positive_capped(50.0), "decays": UNIT_INTERVAL, "Z": STOCHASTIC_ROW}
+
+    def build(fixed: dict):
+        return lambda p: switching_model(n_options, *[(fixed | p)[c] for c in ("noises", "temperatures", "decays", "Z")], prior)
+
+    return spec, build

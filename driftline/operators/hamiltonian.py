@@ -38,6 +38,11 @@ class Hamiltonian:
     def n(self) -> int:
         return len(self.omega)
 
+    @property
+    def field_noise(self) -> np.ndarray:
+        """Standard deviation of each channel of the field."""
+        return np.sqrt(np.diag(self.R))
+
     def prior(self) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([np.full(self.n, 0.1), np.zeros(self.n)]), np.eye(2 * self.n)
 

@@ -1449,6 +1449,30 @@ def switching_choice(spark, d):
     return _cells(switching.filtered(choices(spark, d), _choice_states(), ["choice"]), m=(2, 4), p=(2,), ll=())
 
 
+def _switching_choice_em_sql():
+    m = _choice_states()
+    observe = lambda s, x, P, j: O.softmax_update(s, np.asarray(x, object), np.asarray(P, object), O.column("choice"), float(m.obs[j]))
+    sql = ", " + O.switching_filter("SF", "SERIES", 2, 4, m.A, m.Q, m.m0, m.P0, m.Z, m.prior, observe) + ", " + O.switching_smoother("SS", "SF", 2, 4, m.A, m.Q, m.Z, carry=("ll",))
+    ahead = ", ".join(f"lead(ms{k}{a}) OVER w AS nm{k}{a}, lead(Vs{k}{a}{a}) OVER w AS nV{k}{a}" for k in (0, 1) for a in range(4))
+    sql += f", SL AS (SELECT *, {ahead}, lead(t) OVER w AS nt FROM SS WINDOW w AS (PARTITION BY series_id ORDER BY t))"
+    parts = [f"sum(joint{i}{j}) AS j{i}{j}" for i in (0, 1) for j in (0, 1)]
+    for k in (0, 1):
+        a, w = float(m.A[k, 0, 0]), f"(joint0{k} + joint1{k})"
+        off = " + ".join(f"(nm{k}{x} - {a} * ms{k}{x}) ** 2 + nV{k}{x} + {a * a} * Vs{k}{x}{x}" for x in range(4))
+        cross = " + ".join(f"joint{i}{k} * cross{i}{k}{x}{x}" for i in (0, 1) for x in range(4))
+        parts.append(f"(sum({w} * ({off})) - 2 * {a} * sum({cross})) / (sum({w}) * 4) AS q{k}")
+    shown = ", ".join([f"round(q{k}, 6) AS q{k}" for k in (0, 1)] + [f"round(j{i}{j} / (j{i}0 + j{i}1), 6) AS Z{i}{j}" for i in (0, 1) for j in (0, 1)])
+    return sql + f", SE AS (SELECT {', '.join(parts)} FROM SL WHERE nt IS NOT NULL) SELECT round((SELECT sum(ll) FROM SF), 3) AS log_likelihood, {shown} FROM SE"
+
+
+@_query(_switching_choice_em_sql)
+def switching_choice_em(spark, d):
+    got = choice.fit_switching(choices(spark, d), _choice_states(), max_iter=1, tolerance=1e9)
+    m = got.params
+    cells = {"log_likelihood": round(got.log_likelihoods[0], 3)} | {f"q{k}": round(float(m.Q[k, 0, 0]), 6) for k in (0, 1)} | {f"Z{i}{j}": round(float(m.Z[i, j]), 6) for i in (0, 1) for j in (0, 1)}
+    return spark.createDataFrame([tuple(cells.values())], ", ".join(f"{c} double" for c in cells))
+
+
 _EYE4, _ZERO4 = np.eye(4), np.zeros(4)
 _CHOSEN = {"m": (4,), "ll": (), "probs": (5,)}
 

@@ -442,6 +442,14 @@ def test_gradient_fits_rise(spark):
     fixed = {"freqs": [0.1, 0.2], "variance": [0.3, 0.3], "phase": np.zeros((2, 2, 2)), "r": 1.0}
     got = switching.fit_gradient(rows, at, {c: spec[c] for c in at}, build(fixed), ["y"], steps=3, penalty=pull)
     assert got.params["strength"].sum() < at["strength"].sum()
+    r = np.random.default_rng(15)
+    trials = spark.createDataFrame([(i, t, int(r.integers(0, 3))) for i in range(3) for t in range(40)], "series_id long, t long, choice int")
+    spec, build = choice.switching_family(3)
+    at = {"noises": np.array([0.01, 0.1]), "temperatures": np.array([1.0, 3.0]), "decays": np.array([0.9, 0.8]), "Z": np.array([[0.9, 0.1], [0.1, 0.9]])}
+    got = switching.fit_gradient(trials, at, spec, build({}), ["choice"], steps=5, rate=5e-2)
+    assert got.log_likelihoods[-1] > got.log_likelihoods[0]
+    fit = choice.fit_switching(trials, build({})(got.params), max_iter=3)
+    assert fit.params.Z.sum(1) == pytest.approx(1) and (fit.params.Q[:, 0, 0] > 0).all()
     counts = spark.createDataFrame([(i, t, int(x), [1.0]) for i in range(4) for t, x in enumerate(np.random.default_rng(i).poisson(3.0, 40))], "unit_id long, t long, n int, z array<double>")
     start = point_process.Counts(np.eye(1), 0.05 * np.eye(1), np.zeros(1), np.eye(1), 1.0)
     got = point_process.fit_gradient(counts, start, steps=8, rate=5e-2, learn=("Q", "m0"))
