@@ -1,8 +1,8 @@
 """Ordered folds whose steps do not compose, over all series of a partition at once.
 
-Rows are parted by key and sorted by time before key, so that each step of a fold handles one
-time of all series of a partition in one NumPy call, and rows stream through: a task holds the
-carry of its series, never their history. A pass backward is the same with the order turned.
+Rows are parted by key and sorted by time before key, and stream through: a task holds the carry
+of its series, never their history. Each step of a fold is one NumPy call for the next row of all
+series of a batch, whether their times agree or not. A pass backward is the same with the order turned.
 Recursions whose steps do compose belong to plans.scan, which also cuts a series into tasks.
 """
 
@@ -90,22 +90,18 @@ def fold(
                     slot[i] = len(slot)
             at = np.fromiter((slot[i] for i in ids), np.int64, len(ids))
             given = {c: to_numpy(batch.column(c)) for c in inputs}
-            when = batch.column(order).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.concatenate([[True], when[1:] != when[:-1], [True]]))
             made: dict[str, np.ndarray] = {}
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                for where in _rounds(at[a:b]):
-                    where = where + a
-                    own = at[where]
-                    now = {k: v[own] for k, v in carry.items()}
-                    after, out = step(now, {c: v[where] for c, v in given.items()}, ~seen[own])
-                    seen[own] = True
-                    for k, v in after.items():
-                        carry[k][own] = v
-                    for k in into:
-                        if k not in made:
-                            made[k] = np.zeros((batch.num_rows, *out[k].shape[1:]))
-                        made[k][where] = out[k]
+            for where in _rounds(at):
+                own = at[where]
+                now = {k: v[own] for k, v in carry.items()}
+                after, out = step(now, {c: v[where] for c, v in given.items()}, ~seen[own])
+                seen[own] = True
+                for k, v in after.items():
+                    carry[k][own] = v
+                for k in into:
+                    if k not in made:
+                        made[k] = np.zeros((batch.num_rows, *out[k].shape[1:]))
+                    made[k][where] = out[k]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], *[to_arrow(made[c], kind) for c, kind in zip(into, arrow)]], names=schema.names
             )
@@ -157,14 +153,12 @@ def mapped(rows: DataFrame, inputs: Sequence[str], into: dict[str, int], make: C
 
 
 def _rounds(at: np.ndarray) -> list[np.ndarray]:
-    """Places in rounds that hold each series once."""
-    if len(at) == 1 or len(np.unique(at)) == len(at):
-        return [np.arange(len(at))]
+    """Places in rounds that hold each series once: the first rows of all series, the second ones, and so on."""
     order = np.argsort(at, kind="stable")
-    first = np.searchsorted(at[order], at[order])
     nth = np.empty(len(at), np.int64)
-    nth[order] = np.arange(len(at)) - first
-    return [np.flatnonzero(nth == k) for k in range(int(nth.max()) + 1)]
+    nth[order] = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+    order = np.argsort(nth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(nth[order])) + 1)
 
 
 def totals(rows: DataFrame, inputs: Sequence[str], make: Callable[[Arrays], Arrays]) -> Arrays:
