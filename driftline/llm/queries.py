@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import (
     decontaminate,
+    filter_audit,
     license_scan,
     lm_delta,
     minmax_dedup,
+    periodic_runs,
     perspectives,
     piece_codec,
     rarity_digest,
     secret_scan,
     slot_shards,
+    topk_products,
     toxic_crf,
 )
 from driftline.llm.common import table
@@ -68,6 +71,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_products.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pieces": op1_pieces,
@@ -80,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_slots": op9_slots,
         "op10_licenses": op10_licenses,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_topk_products": op13_topk_products,
     }
 
 
@@ -90,4 +108,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_perspectives": perspectives.SQL,
         "op9_slots": slot_shards.sql(),
         "op10_licenses": license_scan.sql(),
+        "op11_filter_audit": filter_audit.SQL,
+        "op13_topk_products": topk_products.SQL,
     }
