@@ -10,7 +10,9 @@ the corpus counts of that word or pair. So documents are cut into their n-grams,
 into buckets by hash, and a bucket counts them, values them and sums up by document. Texts stay
 where they are, and nothing of the corpus goes through the driver but totals and the n-grams that
 make up SHARE or more of all, which number 1 / SHARE at most: they are counted beforehand and
-broadcast, so that no bucket holds a hot one.
+broadcast, so that no bucket holds a hot one. Pairs are first counted together in CELLS cells by
+hash; a pair can be hot only if its cell is, so only pairs of hot cells are counted one by one, in
+executors, and only those that prove hot are gathered, however the texts are parted.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ ADDED, ADDED_PAIR = 1.0, 0.01
 SHARE = 1e-5
 #: N-grams of a bucket, on average; tokens that are counted or dealt out together.
 BUCKET, CHUNK = 2_000_000, 1_000_000
+#: Cells in which pairs are counted together, and the stretches of cells that tasks add up.
+CELLS, SEGMENTS = 1 << 20, 256
 #: Target ids that may be broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 200_000
 #: Documents of a chunk at most: their number and the target mark share 16 bits.
@@ -101,19 +105,13 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[lis
         yield held
 
 
-def word_counts(rows: DataFrame, share: float) -> DataFrame:
-    """(kind, key, n, n_target): counts of every word (kind 0), of texts with words (2), and which pairs may be hot (1).
-
-    A pair of that share of all tokens has it in some chunk, so only those of the chunks are named.
-    """
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(kind, key, n, n_target): counts of every word (kind 0), and of texts with words (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in chunks(batches):
             aimed = np.concatenate([g.aimed[g.text] for g in held])
             yield _rows(0, *_counted(np.concatenate([g.word for g in held]), aimed))
-            key, n, of_target = _counted(np.concatenate([g.pair for g in held]), aimed)
-            hot = n >= share * len(aimed)
-            yield _rows(1, key[hot], n[hot], of_target[hot])
             begun = np.concatenate([g.aimed[g.count > 0] for g in held])
             yield _rows(2, np.zeros(1, np.uint64), np.array([len(begun)]), np.array([begun.sum()]))
 
@@ -145,20 +143,49 @@ class Hot:
         return there, self.n[at[there]], self.aimed[at[there]]
 
 
-def hot_pairs(rows: DataFrame, counts: DataFrame, least: float) -> Hot:
-    """Exact counts of the pairs that have `least` or more."""
-    named = Hot(counts.filter("kind = 1").select("key", "n", "n_target").toArrow())
-    shared = rows.sparkSession.sparkContext.broadcast(named)
+def _cell(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, of_target = np.zeros((2, len(shared.value.key)), np.int64)
+
+def hot_cells(rows: DataFrame, least: float) -> np.ndarray:
+    """Which of the CELLS cells have `least` pairs or more. A task sends its counts of all cells, in SEGMENTS rows."""
+    size = CELLS // SEGMENTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
         for piece in slices(batches, "text"):
-            g = Grams(piece)
-            at, there = shared.value.find(g.pair)
-            n += np.bincount(at[there], minlength=len(n))
-            of_target += np.bincount(at[there & g.aimed[g.text]], minlength=len(n))
-        used = np.flatnonzero(n)
-        yield _rows(1, shared.value.key[used], n[used], of_target[used])
+            n += np.bincount(_cell(Grams(piece).pair), minlength=CELLS)
+        if n.any():
+            parts = n.astype(np.uint32 if n.max() < 1 << 32 else np.uint64).reshape(SEGMENTS, size)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([x.tobytes() for x in parts])], names=["segment", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, counts in zip(*[batch.column(c).to_pylist() for c in ("segment", "counts")]):
+                own = total.setdefault(segment, np.zeros(size, np.int64))
+                own += np.frombuffer(counts, np.uint32 if len(counts) == 4 * size else np.uint64).astype(np.int64)
+        hot = [np.packbits(x >= least).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(hot, pa.binary())], names=["segment", "hot"])
+
+    found = rows.mapInArrow(count, "segment int, counts binary").repartition("segment").mapInArrow(add, "segment int, hot binary")
+    out = np.zeros((SEGMENTS, size), bool)
+    for segment, hot in found.collect():
+        out[segment] = np.unpackbits(np.frombuffer(hot, np.uint8))[:size]
+    return out.ravel()
+
+
+def hot_pairs(rows: DataFrame, least: float) -> Hot:
+    """Exact counts of the pairs that have `least` or more, found among those of hot cells; the others are never gathered."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(hot_cells(rows, least)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.unpackbits(shared.value)[:CELLS] > 0
+        for held in chunks(batches):
+            aimed = np.concatenate([g.aimed[g.text] for g in held])
+            pair = np.concatenate([g.pair for g in held])
+            chosen = hot[_cell(pair)]
+            yield _rows(1, *_counted(pair[chosen], aimed[chosen]))
 
     found = rows.mapInArrow(run, "kind int, key long, n long, n_target long").groupBy("key")
     return Hot(found.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).filter(F.col("n") >= least).toArrow())
@@ -192,13 +219,13 @@ def compare(documents: DataFrame, target: DataFrame, share: float = SHARE, bucke
     """
     spark = documents.sparkSession
     rows = marked(documents, target)
-    counts = cut(word_counts(rows, share))
+    counts = cut(word_counts(rows))
     totals = counts.groupBy("kind").agg(F.sum("n"), F.sum("n_target"), F.count("*")).collect()
     totals = {kind: numbers for kind, *numbers in totals}
     tokens, aimed, words = totals.get(0, (0, 0, 0))
     value = Value(tokens, aimed, words, *totals.get(2, (0, 0))[:2])
     hot_words = Hot(counts.filter((F.col("kind") == 0) & (F.col("n") >= share * tokens)).select("key", "n", "n_target").toArrow())
-    shared = spark.sparkContext.broadcast((value, hot_words, hot_pairs(rows, counts, share * tokens)))
+    shared = spark.sparkContext.broadcast((value, hot_words, hot_pairs(rows, share * tokens)))
     buckets = max(1, math.ceil(2 * tokens / bucket))
     id_type = documents.schema["doc_id"].dataType
     dealt_schema = T.StructType.fromDDL("bucket int, kind int, chunk long, keys binary, texts binary, counts array<long>, sums array<double>")

@@ -57,3 +57,21 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert all((r["n_tokens"], r["delta"]) == (0, 0) for r in rows if r["doc_id"] in (2, 3, 4))
     assert lm_delta.compare(no_documents, labels).count() == 0
     assert lm_delta.compare(odd_documents, labels.limit(0)).count() == len(rows)
+
+
+def test_hot_pairs_do_not_depend_on_partitions(spark):
+    """What the driver gathers is the pairs that are hot in all texts, however small the parts that they lie in."""
+    r = random.Random(3)
+    rows = [(i, " ".join(["the same"] * 20 + [f"w{r.randrange(400)}" for _ in range(60)])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "CAST(doc_id % 2 AS int) AS target")
+    tokens = 300 * 100
+    pairs = Counter()
+    for _, t in rows:
+        words = t.split()
+        pairs.update(zip(["begin", *words], words))
+    least = 0.001 * tokens
+    want = sorted(n for n in pairs.values() if n >= least)
+    assert 3 <= len(want) <= 1000
+    for parts in (1, 64, 512):
+        got = lm_delta.hot_pairs(docs.repartition(parts), least)
+        assert sorted(got.n.tolist()) == want
