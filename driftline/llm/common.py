@@ -73,6 +73,17 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names (in any case) under private ones, and what gives a result the columns of df again."""
+    taken, old = {n.lower() for n in names}, list(df.columns)
+    prefix = "__aside"
+    while any(c.lower().startswith(prefix) for c in old):
+        prefix += "_"
+    private = {c: f"{prefix}{k}" for k, c in enumerate(old) if c.lower() in taken}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.withColumnsRenamed(private), lambda out: out.select(*[quoted(private.get(c, c)).alias(c) for c in old])
+
+
 def give_back() -> None:
     """Hands freed memory back to the system; a worker that is used again would keep the most that it ever held."""
     pa.default_memory_pool().release_unused()

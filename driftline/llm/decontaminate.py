@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import _STEPS, PUNCTUATION, Words, cut, mix, slices, without
+from driftline.llm.common import _STEPS, PUNCTUATION, Words, aside, cut, mix, slices, without
 
 #: Words from which an item has seeds.
 NGRAM = 3
@@ -238,12 +238,15 @@ def matched(documents: DataFrame, benchmark: DataFrame, least: float = LEAST, co
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row for each text and item that it holds: doc_id, item_id, score, start, end."""
+    """One row for each text and item that it holds: doc_id, item_id, score, start, end.
+
+    Null and empty texts hold none; repeated rows have theirs each; other columns are not looked at; an empty table gives no rows.
+    """
     found = matched(documents.select("doc_id", "text"), benchmark, least)
     return found.select("doc_id", F.inline("matches"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents that hold no item, with their columns."""
-    kept = matched(documents, benchmark, least).filter(F.size("matches") == 0)
-    return kept.select(*documents.columns)
+    """The documents that hold no item, with all their columns, one named `matches` too. Nulls, empty tables and repeats are as in `matched`."""
+    rows, back = aside(documents, ["matches"])
+    return back(matched(rows, benchmark, least).filter(F.size("matches") == 0))

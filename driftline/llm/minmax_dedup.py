@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftline.llm.common import Words, append_columns, cut, mix, slices
+from driftline.llm.common import Words, append_columns, aside, cut, mix, slices
 
 #: Signature values in a band, and how often a pair at the threshold may meet in no band.
 ROWS, MISS = 5, 1e-6
@@ -307,9 +307,10 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each class, the one of the smallest doc_id.
 
-    Rows repeated with doc_id and text stay once; rows without a doc_id all stay.
+    Rows repeated with doc_id and text stay once; rows without a doc_id all stay. All columns stay as they are.
     """
-    kept = cut(classes(docs, words, percent).filter("kept").select("doc_id").distinct())
+    old, (docs, back) = docs, aside(docs, ["__text", "__nth"])
+    kept = cut(classes(old, words, percent).filter("kept").select("doc_id").distinct())
     own = Window.partitionBy("doc_id", "__text").orderBy(F.lit(1))
     once = (
         docs.join(kept, "doc_id", "left_semi")
@@ -317,7 +318,7 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         .withColumn("__nth", F.row_number().over(own))
         .filter("__nth = 1")
     )
-    return once.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return back(once.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL")))
 
 
 def sql(words: int, percent: int) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import append_columns
+from driftline.llm.common import append_columns, aside
 
 #: The kinds in their order. github and npm tokens end in six base-62 digits of a CRC-32.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -125,16 +125,19 @@ def scan(df: DataFrame, column: str = "text", into: str = "findings") -> DataFra
 
 
 def redact(df: DataFrame, column: str = "text", placeholder: str = PLACEHOLDER) -> DataFrame:
-    """df with all findings in `column` replaced by the placeholder; every row and column stays."""
-    order = df.columns
+    """df with all findings in `column` replaced by the placeholder; every row and every other column stays; a null stays null."""
+    df, back = aside(df, ["__masked"])
     made = append_columns(
         df, column, lambda texts: [[mask(t, placeholder) for t in texts]], [T.StructField("__masked", T.StringType())]
     )
-    return made.drop(column).withColumnRenamed("__masked", column).select(*order)
+    return back(made.drop(column).withColumnRenamed("__masked", column))
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """Per document: counts of the three base kinds, their digest, and all spans."""
+    """Per document: counts of the three base kinds, their digest, and all spans.
+
+    Null and empty texts have none; repeated rows have equal results; other columns are not looked at.
+    """
     shown = lambda xs: F.array_join(
         F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
     )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import PUNCTUATION, Words, append_columns, cut, slices
+from driftline.llm.common import PUNCTUATION, Words, append_columns, aside, cut, slices
 
 #: The classifier is fitted on at most so many labelled rows, of any length, in so many tasks.
 SAMPLE, TASKS = 6000, 8
@@ -365,7 +365,11 @@ def score(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans (start:end, comma-joined) of every row."""
+    """doc_id, held_out, score, predicted, spans (start:end, comma-joined) of every row.
+
+    A null doc_id is not held out and teaches nothing; null and empty texts have no spans; repeated rows have equal
+    scores; other columns are not looked at; an empty table gives no rows.
+    """
     made = score(documents.select("doc_id", "text"), fit(documents, labels))
     shown = F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
     return made.select(
@@ -378,5 +382,9 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score below one half, with their columns."""
-    return score(documents, fit(documents, labels)).filter("toxicity < 0.5").select(*documents.columns)
+    """The documents with a score below one half, with all their columns, those named as the score's too.
+
+    Null and empty texts have the score of texts without toxic tokens; repeated rows stay or go alike.
+    """
+    rows, back = aside(documents, ["toxicity", "toxic_spans"])
+    return back(score(rows, fit(documents, labels)).filter("toxicity < 0.5"))

@@ -19,7 +19,7 @@ def odd_documents(spark):
         (8, "é梦😀 \x00 ▁▁ text", "src2"),
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for name in ("ids", "findings", "matches", "toxicity", "bands", "key", "fingerprint", "shard"):
+    for name in ("ids", "findings", "matches", "toxicity", "bands", "key", "fingerprint", "shard", "toxic_spans", "__text", "__nth", "__masked", "runs", "collapsed"):
         frame = frame.selectExpr("*", f"'mine' AS {name}")
     return frame
 

@@ -69,6 +69,7 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert {r["doc_id"] for r in dc.leaks(odd_documents, benchmark).collect()} == {1, 6}
     kept = dc.clean(odd_documents, benchmark)
     assert kept.count() == odd_documents.count() - 3 and kept.columns == odd_documents.columns
+    assert kept.exceptAll(odd_documents).count() == 0
     assert dc.leaks(no_documents, benchmark).count() == 0
 
 

@@ -72,5 +72,5 @@ def test_odd_rows(odd_documents, no_documents):
     assert all(r["kept"] for r in got if r["doc_id"] in (2, 3, 4, 5, 7, 8))
     assert md.classes(no_documents).count() == 0
     kept = md.deduplicated(odd_documents)
-    assert kept.columns == odd_documents.columns
+    assert kept.columns == odd_documents.columns and kept.exceptAll(odd_documents).count() == 0
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]

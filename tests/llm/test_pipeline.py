@@ -52,12 +52,14 @@ def test_every_stage_bears_odd_rows(spark, tmp_path, odd_documents, no_documents
     spark.createDataFrame([(1, 0), (2, 0), (None, 1), (5, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "no such passage anywhere"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     gone = {"near_duplicates": 2}  # the two copies of the first text
-    for frame, some in ((odd_documents, True), (odd_documents.withColumn("n_chars", F.lit(7)), True), (no_documents, False)):
+    bare = odd_documents.select("doc_id", "text")
+    for frame, some in ((odd_documents, True), (odd_documents.withColumn("n_chars", F.lit(7)), True), (bare, True), (no_documents, False)):
+        given = frame
         for name, stage in corpus_pipeline.STAGES:
             before, columns = frame.count(), frame.columns
             frame = stage(spark, frame, str(tmp_path))
             assert frame.count() == before - (gone.get(name, 0) if some else 0), name
             if name != "pieces":
-                assert frame.columns == columns
+                assert frame.columns == columns and frame.exceptAll(given).count() == 0
             if name == "secrets" and some and "n_chars" in columns:
                 assert {r["n_chars"] for r in frame.filter("text IS NULL").collect()} == {7}

@@ -102,4 +102,5 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert len(rows) == odd_documents.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert tc.report(no_documents, labels).count() == 0
     assert {r["predicted"] for r in tc.report(odd_documents, labels.limit(0)).collect()} <= {0, 1}
-    assert tc.accepted(odd_documents, labels).columns == odd_documents.columns
+    kept = tc.accepted(odd_documents, labels)
+    assert kept.columns == odd_documents.columns and kept.exceptAll(odd_documents).count() == 0
