@@ -54,11 +54,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and the digests of ids and of the text decoded from them.
+    """doc_id, source where there is one, n_tokens, ids and the digests of ids and of the text decoded from them.
 
     A null text is coded as an empty one; every row gives one. Other columns go.
     """
-    return piece_codec.digests(docs, piece_model_file(), keep=("source", "ids"))
+    return piece_codec.digests(docs, piece_model_file(), keep=tuple(c for c in ("source", "ids") if c == "ids" or c in docs.columns))
 
 
 STAGES = [
