@@ -55,21 +55,27 @@ def linear_smoother(name: str, filtered: str, A, Q, d: int, carry=(), keys=("ser
     return recursion(name, filtered, lambda s: named(ms=m, Vs=V, cross=zero, nm=np.zeros(d), nV=zero), later, keys, carry=carry, backward=True)
 
 
-def linear_sums(name: str, smoothed: str, y: Sequence[str], d: int) -> str:
-    """One row: sums for the maximisation step. gamma1 leaves out last rows, gamma2 first ones."""
-    n = len(y)
+def linear_sums(name: str, smoothed: str, y: Sequence[str], model: tuple) -> str:
+    """One row: sums for the maximisation step, over every step into a row, that from the state before the first one too."""
+    A, Q, _, _, m0, P0 = model
+    n, d = len(y), len(m0)
+    s = Sheet()
+    m, P, c = smoothed_back(s, np.asarray(m0, object), np.asarray(P0, object), A, Q, columns("ms", d), columns("Vs", d, d))
+    began = f"{name}B AS ({s.over(f'(SELECT * FROM {smoothed} WHERE t = 0)', names(ms=(d,)), named(bm=m, bV=P, bc=c))})"
     out = []
     last = "t = max(t) OVER (PARTITION BY series_id)"
     for i in range(d):
         for j in range(d):
             outer = f"(Vs{i}{j} + ms{i} * ms{j})"
-            out += [f"sum({outer}) AS gamma{i}{j}", f"sum({outer}) FILTER (WHERE NOT last) AS gone{i}{j}", f"sum({outer}) FILTER (WHERE t > 0) AS gtwo{i}{j}"]
-            out += [f"sum(cross{j}{i} + nm{i} * ms{j}) FILTER (WHERE NOT last) AS beta{i}{j}", f"sum({outer}) FILTER (WHERE t = 0) AS pzero{i}{j}"]
-        out += [f"sum({c} * ms{i}) AS delta{k}{i}" for k, c in enumerate(y)] + [f"sum(ms{i}) FILTER (WHERE t = 0) AS mzero{i}"]
+            start = lambda what: f"(SELECT sum({what}) FROM {name}B)"
+            before = start(f"bV{i}{j} + bm{i} * bm{j}")
+            out += [f"sum({outer}) AS gamma{i}{j}", f"coalesce(sum({outer}) FILTER (WHERE NOT last), 0) + {before} AS gone{i}{j}", f"{before} AS pzero{i}{j}"]
+            out += [f"coalesce(sum(cross{j}{i} + nm{i} * ms{j}) FILTER (WHERE NOT last), 0) + {start(f'bc{j}{i} + ms{i} * bm{j}')} AS beta{i}{j}"]
+        out += [f"sum({c} * ms{i}) AS delta{k}{i}" for k, c in enumerate(y)] + [f"(SELECT sum(bm{i}) FROM {name}B) AS mzero{i}"]
     out += [f"sum({a} * {b}) AS alpha{k}{j}" for k, a in enumerate(y) for j, b in enumerate(y)]
-    out += ["count(*)::DOUBLE AS nrows", "(count(*) FILTER (WHERE NOT last))::DOUBLE AS steps", "(count(*) FILTER (WHERE t = 0))::DOUBLE AS nfirst"]
+    out += ["count(*)::DOUBLE AS nrows", "(count(*) FILTER (WHERE t = 0))::DOUBLE AS nfirst"]
     assert n
-    return f"{name} AS (SELECT {', '.join(out)} FROM (SELECT *, {last} AS last FROM {smoothed}))"
+    return f"{began}, {name} AS (SELECT {', '.join(out)} FROM (SELECT *, {last} AS last FROM {smoothed}))"
 
 
 def linear_step(name: str, sums: str, d: int, n: int) -> str:
@@ -79,7 +85,7 @@ def linear_step(name: str, sums: str, d: int, n: int) -> str:
     beta, delta = c("beta", d, d), c("delta", n, d)
     A = solved(s, c("gone", d, d), beta.T).T
     H = solved(s, c("gamma", d, d), delta.T).T
-    Q = s.let(even((c("gtwo", d, d) - A @ beta.T) / column("steps")))
+    Q = s.let(even((c("gamma", d, d) - A @ beta.T) / column("nrows")))
     R = s.let(even((c("alpha", n, n) - H @ delta.T) / column("nrows")))
     m0 = s.let(c("mzero", d) / column("nfirst"))
     P0 = s.let(even(c("pzero", d, d) / column("nfirst") - m0[:, None] * m0[None, :]))

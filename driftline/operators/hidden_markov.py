@@ -1,7 +1,7 @@
 """Chains of few states: filters, smoothers, best paths, and beliefs over reward contingencies.
 
-Two-state chains with constant transitions run as scans in SQL; others as folds. The first row
-takes the prior without a transition.
+Two-state chains with constant transitions run as scans in SQL, others as sweeps over blocks of
+K x K matrices; both cut a long series into blocks. The first row takes the prior without a transition.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from driftline.operators.matrices import log_sum_exp, safe_log, softmax
-from driftline.plans import scan
+from driftline.plans import scan, stretch
 from driftline.plans.fitting import POSITIVE, STOCHASTIC_ROW, UNCONSTRAINED, UNIT_INTERVAL, Fit, bfgs, by_gradient, em
-from driftline.plans.fold import evidence, fold, totals
+from driftline.plans.fold import evidence, fold, mapped, totals
 from driftline.plans.lineage import reused
 
 # ---------------------------------------------------------------- two states, in SQL
@@ -99,30 +99,154 @@ def backward(filtered: DataFrame, transition: np.ndarray | None, n_states: int,
     return fold(filtered, key, order, start, step, {"sp": 1, "pair": 2, "last": 0}, ["p", "pred", *([matrix] if matrix else [])], ["lz", *keep], backward=True)
 
 
-def viterbi(rows: DataFrame, transition: np.ndarray, prior: np.ndarray, logits: str = "ll", key: str = "series_id", order: str = "t") -> DataFrame:
-    """(key, order, state): the most likely path; ties go to the lower state. Scores run backward, then the path forward."""
-    k, lt = len(prior), safe_log(np.asarray(transition, float))
+# ---------------------------------------------------------------- any number of states, in blocks
 
-    def start(n):
-        return {"s": np.zeros((n, k)), "l": np.zeros((n, k))}
 
-    def score(s, x, fresh):
-        best = lt[None] + (s["s"] + s["l"])[:, None, :]
-        to = np.where(fresh[:, None], 0, best.argmax(axis=2))
-        value = np.where(fresh[:, None], 0.0, best.max(axis=2))
-        return {"s": value, "l": x[logits]}, {"score": value, "to": to.astype(float)}
+def _chain_inputs(transition: np.ndarray | None, logits: str, matrix: str | None) -> tuple[list[str], object]:
+    """Columns that a row's matrix needs, and the function of it: ln of moves into the row, and of the row's chance in each state."""
 
-    scored = fold(rows, key, order, start, score, {"score": 1, "to": 1}, [logits], [logits], backward=True)
+    def moves(x):
+        n = len(x[logits])
+        T = x[matrix] if matrix else np.broadcast_to(np.asarray(transition, float), (n, *np.shape(transition)))
+        return safe_log(T) + x[logits][:, None, :]
 
-    def begin(n):
-        return {"z": np.zeros(n, np.int64), "to": np.zeros((n, k))}
+    return [logits, *([matrix] if matrix else [])], moves
 
-    def trace(s, x, fresh):
-        first = (safe_log(np.asarray(prior, float)) + x[logits] + x["score"]).argmax(axis=1)
-        z = np.where(fresh, first, s["to"][np.arange(len(fresh)), s["z"]].astype(np.int64))
-        return {"z": z, "to": x["to"]}, {"state": z.astype(float)}
 
-    got = fold(scored, key, order, begin, trace, {"state": 0}, [logits, "score", "to"])
+def _products(k: int, over) -> tuple:
+    """identity and compose of stretches seen from their end: F, the matrix of the first row, and R, the product of the others'.
+
+    over: what sums up (log_sum_exp, or the largest). The sweep runs backward, so b lies before a.
+    """
+    eye = np.where(np.eye(k) > 0, 0.0, -np.inf)
+
+    def product(a, b):
+        return over(a[:, :, :, None] + b[:, None], 2)
+
+    def identity(n):
+        return {"F": np.repeat(eye[None], n, 0), "R": np.repeat(eye[None], n, 0), "some": np.zeros(n)}
+
+    def compose(a, b):
+        both = product(b["R"], product(a["F"], a["R"]))
+        only_a, only_b = b["some"] == 0, a["some"] == 0
+        pick = lambda x, y, z: np.where(only_a[:, None, None], x, np.where(only_b[:, None, None], y, z))
+        return {"F": pick(a["F"], b["F"], b["F"]), "R": pick(a["R"], b["R"], both), "some": np.maximum(a["some"], b["some"])}
+
+    return identity, compose
+
+
+def _largest(x: np.ndarray, axis: int) -> np.ndarray:
+    return x.max(axis=axis)
+
+
+def _ahead(k: int, moves, over, step) -> stretch.Recursion:
+    """Backward over rows: the state has L, the matrix of the next row, and b, what follows that row; b is 0 at an end."""
+    identity, compose = _products(k, over)
+
+    def element(x, fresh):
+        F = moves(x)
+        return {"F": F, "R": identity(len(F))["R"], "some": np.ones(len(F))}
+
+    def start(e, none):
+        rest = over(e["R"], 2)
+        return {"L": e["F"], "b": rest - rest.max(axis=1, keepdims=True)}
+
+    def whole(s, x, fresh):
+        after = over(s["L"] + s["b"][:, None, :], 2)
+        after = np.where(fresh[:, None], 0.0, after - after.max(axis=1, keepdims=True))
+        return {"L": moves(x), "b": after}, step(s, x, fresh, after)
+
+    return stretch.Recursion(identity, element, compose, start, whole)
+
+
+def blocks_posterior(blocks: stretch.Blocks, transition: np.ndarray | None, prior: np.ndarray, logits: str = "ll", matrix: str | None = None, keep=()) -> stretch.Blocks:
+    """The blocks with keep, logits, matrix, p, pred, lz, first (as of `forward`) and sp, pair, last (as of `backward`).
+
+    Forward, matrices of K x K moves compose by sums of chances; backward, what follows a row does.
+    A series is as many tasks as blocks both ways.
+    """
+    k, base = len(prior), safe_log(np.asarray(prior, float))
+    inputs, moves = _chain_inputs(transition, logits, matrix)
+    eye = np.where(np.eye(k) > 0, 0.0, -np.inf)
+
+    def identity(n):
+        return {"E": np.repeat(eye[None], n, 0)}
+
+    def element(x, fresh):
+        return {"E": np.where(fresh[:, None, None], eye + x[logits][:, None, :], moves(x))}
+
+    def compose(a, b):
+        return {"E": log_sum_exp(a["E"][:, :, :, None] + b["E"][:, None], 2)}
+
+    def start(e, none):
+        reached = log_sum_exp(base[None, :, None] + e["E"], 1)
+        return {"p": softmax(np.maximum(reached, -1e300))}
+
+    def step(s, x, fresh):
+        moved = np.einsum("si,sij->sj", s["p"], x[matrix]) if matrix else s["p"] @ np.asarray(transition)
+        pred = np.where(fresh[:, None], np.asarray(prior, float)[None], moved)
+        joint = np.log(np.maximum(pred, 1e-30)) + x[logits]
+        z = log_sum_exp(joint, -1)
+        p = np.exp(joint - z[:, None])
+        return {"p": p}, {"p": p, "pred": pred, "lz": z}
+
+    kept = [*keep, *inputs]
+    got = stretch.sweep(blocks, stretch.Recursion(identity, element, compose, start, step), inputs, {"p": 1, "pred": 1, "lz": 0, "first": 0}, kept)
+    if got.span > 1:
+        got = stretch.replace(got, frame=reused(got.frame))
+
+    def back(s, x, fresh, after):
+        raw = safe_log(x["p"])[:, :, None] + np.where(fresh[:, None, None], 0.0, s["L"] + s["b"][:, None, :])
+        top = raw.max(axis=(1, 2), keepdims=True)
+        pair = np.exp(raw - np.where(np.isfinite(top), top, 0))
+        total = pair.sum(axis=(1, 2), keepdims=True)
+        pair = np.where(total > 0, pair / np.where(total > 0, total, 1), 0)
+        end = fresh[:, None]
+        return {"sp": np.where(end, x["p"], pair.sum(axis=2)), "pair": np.where(end[..., None], 0.0, pair), "last": fresh.astype(float)}
+
+    return stretch.sweep(got, _ahead(k, moves, log_sum_exp, back), ["p", *inputs], {"sp": 1, "pair": 2, "last": 0}, [*kept, "p", "pred", "lz", "first"], backward=True)
+
+
+def posterior(rows: DataFrame, transition: np.ndarray | None, prior: np.ndarray, logits: str = "ll", matrix: str | None = None, key: str = "series_id", order: str = "t", keep=(), block: int = stretch.BLOCK) -> DataFrame:
+    """(key, order, and what blocks_posterior adds): filter and smoother of a chain of any number of states, rows shuffled once."""
+    packed = stretch.pack(rows, key, order, [logits, *([matrix] if matrix else []), *keep], block)
+    return blocks_posterior(packed, transition, prior, logits, matrix, keep).rows()
+
+
+def viterbi(rows: DataFrame, transition: np.ndarray | None, prior: np.ndarray, logits: str = "ll", key: str = "series_id", order: str = "t", matrix: str | None = None, block: int = stretch.BLOCK) -> DataFrame:
+    """(key, order, state): the most likely path; ties go to the lower state. Series are cut into blocks.
+
+    Backward, the best score of what follows each state composes by the largest of sums, and each row learns where each
+    of its states leads. Forward, these maps of states to states compose, so that a block knows where its path begins.
+    """
+    k, base = len(prior), safe_log(np.asarray(prior, float))
+    inputs, moves = _chain_inputs(transition, logits, matrix)
+
+    def lead(s, x, fresh, after):
+        to = (s["L"] + s["b"][:, None, :]).argmax(axis=2)
+        return {"score": after, "to": np.where(fresh[:, None], 0, to).astype(float)}
+
+    packed = stretch.pack(rows, key, order, inputs, block)
+    scored = stretch.sweep(packed, _ahead(k, moves, _largest, lead), inputs, {"score": 1, "to": 1}, [logits], backward=True)
+    if scored.span > 1:
+        scored = stretch.replace(scored, frame=reused(scored.frame))
+
+    def begin(x):
+        return (base + x[logits] + x["score"]).argmax(axis=1)
+
+    def element(x, fresh):
+        to = x["to"]
+        return {"to": np.where(fresh[:, None], np.take_along_axis(to, begin(x)[:, None], 1), to)}
+
+    def trace(s, x, fresh):
+        z = np.where(fresh, begin(x), s["z"].astype(np.int64))
+        return {"z": np.take_along_axis(x["to"], z[:, None], 1)[:, 0]}, {"state": z.astype(float)}
+
+    maps = stretch.Recursion(
+        lambda n: {"to": np.repeat(np.arange(k, dtype=float)[None], n, 0)}, element,
+        lambda a, b: {"to": np.take_along_axis(b["to"], a["to"].astype(np.int64), 1)}, lambda e, none: {"z": e["to"][:, 0].copy()}, trace,
+    )
+    got = stretch.sweep(scored, maps, [logits, "score", "to"], {"state": 0}).rows()
     return got.withColumn("state", got["state"].cast("int"))
 
 
@@ -196,11 +320,17 @@ def contingency_steps(c: Contingency, covariates: str | None = None, features: s
     return start, step
 
 
-def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None) -> DataFrame:
-    """(key, order, choice, reward, lz, sp, pair, last): smoothed belief of every trial."""
+def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None, block: int = stretch.BLOCK) -> DataFrame:
+    """(key, order, choice, reward, covariates, features, lz, first, sp, pair, last): smoothed belief of every trial."""
     given = ["choice", "reward", *[x for x in (covariates, features) if x]]
-    got = fold(trials, key, order, *contingency_steps(c, covariates, features), {"p": 1, "pred": 1, "lz": 0, "moves": 2}, given, given)
-    return backward(got, None, len(c.prior), "moves", key, order, given)
+
+    def make(x):
+        n = len(x["choice"])
+        T = np.broadcast_to(c.transitions(x[covariates] if covariates else None), (n, *[len(c.prior)] * 2))
+        return {"log_chance": trial_log_likelihood(x["choice"], x["reward"], c, x[features] if features else None), "moves": T}
+
+    rows = mapped(trials, given, {"log_chance": 1, "moves": 2}, make, [key, order, *given])
+    return posterior(rows, None, c.prior, "log_chance", "moves", key, order, given, block)
 
 
 def fit_contingency_gradient(trials: DataFrame, c: Contingency, covariates: str | None = None, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("reward", "logits", "weights", "prior", "temperature"), key: str = "series_id", order: str = "t") -> Fit:
@@ -227,14 +357,14 @@ def fit_contingency(trials: DataFrame, c: Contingency, max_iter: int = 20, toler
     def e_step(c):
         def make(x):
             chosen = np.eye(n_options)[x["choice"].astype(np.int64)]
-            first = x[order] == 0
+            first = x["first"] > 0
             return {
                 "count": np.einsum("ns,no->so", x["sp"], chosen), "won": np.einsum("ns,no,n->so", x["sp"], chosen, x["reward"]),
                 "pair": x["pair"].sum(0), "first": x["sp"][first].sum(0), "n": np.array([len(first), first.sum()], float), "ll": np.array(x["lz"].sum()),
             }
 
         rows = contingency_posterior(trials, c, covariates if moved else None, key, order)
-        got = totals(rows, [order, "choice", "reward", "lz", "sp", "pair"], make)
+        got = totals(rows, ["first", "choice", "reward", "lz", "sp", "pair"], make)
         return float(got["ll"]), got | ({"rows": rows} if moved else {})
 
     def refit(c, rows):

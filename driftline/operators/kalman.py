@@ -1,8 +1,9 @@
 """Linear-Gaussian filters, smoothers and their maximisation step.
 
-Series in one dimension run as scans in SQL, which cut a long series into blocks. Series in
-more dimensions run as folds, all series of a partition at a time. The prior is that of the
-state before the first observation, so that a prediction comes first.
+Series in one dimension run as scans in SQL, series in more dimensions as sweeps over blocks;
+both cut a long series into blocks, and a smoother runs on the blocks of its filter. A fold, which
+takes a whole series in one task, is there for steps that need it. The prior is that of the state
+before the first observation, so that a prediction comes first.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.matrices import gaussian_log_density, mv, project_psd, psd_solve, symmetric, transposed
-from driftline.plans import scan
+from driftline.plans import scan, stretch
 from driftline.plans.fitting import Fit, em
 from driftline.plans.fold import fold, totals
+from driftline.plans.lineage import reused
 
 # ---------------------------------------------------------------- one dimension, in SQL
 
@@ -135,12 +137,22 @@ def gain_by_inversion_lemma(p: np.ndarray, H: np.ndarray, r: np.ndarray) -> np.n
 
 
 def filtered(series: DataFrame, model: Linear, key: str = "series_id", order: str = "t", y: str = "y") -> DataFrame:
-    """(key, order, y, m, P, ll): y holds one array of observations for each row."""
+    """(key, order, y, m, V, ll, first): y holds one array of observations for each row, first marks that of each series."""
     d = len(model.m0)
+    step = _filter_step(model, y)
 
     def start(n):
         return {"m": np.repeat(model.m0[None], n, 0).astype(float), "V": np.repeat(model.P0[None], n, 0).astype(float)}
 
+    assert d == len(model.Q)
+    return fold(series, key, order, start, step, FILTERED, [y], [y])
+
+
+FILTERED = {"m": 1, "V": 2, "ll": 0, "first": 0}
+SMOOTHED = {"ms": 1, "Vs": 2, "cross": 2, "next_m": 1, "next_P": 2, "last": 0}
+
+
+def _filter_step(model: Linear, y: str):
     def step(s, x, fresh):
         if not np.isfinite(x[y]).all():
             raise ValueError("observations must be finite")
@@ -148,8 +160,99 @@ def filtered(series: DataFrame, model: Linear, key: str = "series_id", order: st
         m, P, ll = measured(pm, pv, x[y], model.H, model.R)
         return {"m": m, "V": P}, {"m": m, "V": P, "ll": ll}
 
-    assert d == len(model.Q)
-    return fold(series, key, order, start, step, {"m": 1, "V": 2, "ll": 0}, [y], [y])
+    return step
+
+
+def _smoother_step(A: np.ndarray, Q: np.ndarray):
+    def step(s, x, fresh):
+        m, P, c = rts(x["m"], x["V"], A, Q, (s["m"], s["V"]))
+        last = fresh[:, None, None]
+        m, P, c = np.where(last[..., 0], x["m"], m), np.where(last, x["V"], P), np.where(last, 0.0, c)
+        return {"m": m, "V": P}, {"ms": m, "Vs": P, "cross": c, "next_m": s["m"], "next_P": s["V"], "last": fresh.astype(float)}
+
+    return step
+
+
+def _filter_recursion(k: Linear, y: str) -> stretch.Recursion:
+    """Elements (A, b, C, eta, J): the state given the one before the stretch, and what its observations say of that one."""
+    d = len(k.m0)
+    eye = np.eye(d)
+    s = symmetric(k.H @ k.Q @ k.H.T + k.R)
+    gain = psd_solve(s, k.H @ k.Q).T
+    seen = psd_solve(s, k.H @ k.A).T
+    A, C, J = (eye - gain @ k.H) @ k.A, symmetric((eye - gain @ k.H) @ k.Q), symmetric(seen @ k.H @ k.A)
+
+    def identity(n):
+        zero = np.zeros((n, d, d))
+        return {"A": zero + eye, "b": np.zeros((n, d)), "C": zero.copy(), "n": np.zeros((n, d)), "J": zero.copy()}
+
+    def element(x, fresh):
+        n = len(fresh)
+        many = lambda a: np.repeat(a[None], n, 0)
+        return {"A": many(A), "b": x[y] @ gain.T, "C": many(C), "n": x[y] @ seen.T, "J": many(J)}
+
+    def compose(a, b):
+        down = b["A"] @ np.linalg.inv(eye + a["C"] @ b["J"])
+        up = transposed(a["A"]) @ np.linalg.inv(eye + b["J"] @ a["C"])
+        return {
+            "A": down @ a["A"],
+            "b": mv(down, a["b"] + mv(a["C"], b["n"])) + b["b"],
+            "C": symmetric(down @ a["C"] @ transposed(b["A"]) + b["C"]),
+            "n": mv(up, b["n"] - mv(b["J"], a["b"])) + a["n"],
+            "J": symmetric(up @ b["J"] @ a["A"] + a["J"]),
+        }
+
+    def start(e, none):
+        n = len(none)
+        zero = np.zeros((n, d, d))
+        prior = {"A": zero, "b": np.repeat(k.m0[None], n, 0).astype(float), "C": zero + k.P0, "n": np.zeros((n, d)), "J": zero}
+        got = compose(prior, e)
+        return {"m": got["b"], "V": got["C"]}
+
+    return stretch.Recursion(identity, element, compose, start, _filter_step(k, y))
+
+
+def _smoother_recursion(A: np.ndarray, Q: np.ndarray) -> stretch.Recursion:
+    """Elements (E, g, L): the state as E times the one after the stretch, plus g, with spread L; a last row has no E."""
+    d = len(A)
+
+    def identity(n):
+        zero = np.zeros((n, d, d))
+        return {"E": zero + np.eye(d), "g": np.zeros((n, d)), "L": zero.copy()}
+
+    def element(x, fresh):
+        ahead = symmetric(A @ x["V"] @ A.T + Q)
+        E = np.where(fresh[:, None, None], 0.0, transposed(psd_solve(ahead, A @ x["V"])))
+        return {"E": E, "g": x["m"] - mv(E, mv(A, x["m"])), "L": symmetric(x["V"] - E @ ahead @ transposed(E))}
+
+    def compose(a, b):
+        return {"E": b["E"] @ a["E"], "g": mv(b["E"], a["g"]) + b["g"], "L": symmetric(b["E"] @ a["L"] @ transposed(b["E"]) + b["L"])}
+
+    def start(e, none):
+        return {"m": e["g"].copy(), "V": e["L"].copy()}
+
+    return stretch.Recursion(identity, element, compose, start, _smoother_step(A, Q))
+
+
+def blocks_filtered(blocks: stretch.Blocks, model: Linear, y: str = "y", keep=()) -> stretch.Blocks:
+    """As `filtered`, over packed blocks: a series of any length is as many tasks as blocks."""
+    return stretch.sweep(blocks, _filter_recursion(model, y), [y], FILTERED, [y, *keep])
+
+
+def blocks_smoothed(got: stretch.Blocks, A: np.ndarray, Q: np.ndarray, keep=("y", "ll", "first")) -> stretch.Blocks:
+    """As `smoothed`, over filtered blocks, which several blocks of a series have to be written for."""
+    if got.span > 1:
+        got = stretch.replace(got, frame=reused(got.frame))
+    return stretch.sweep(got, _smoother_recursion(A, Q), ["m", "V"], SMOOTHED, [*keep, "m", "V"], backward=True)
+
+
+def path(series: DataFrame, model: Linear, key: str = "series_id", order: str = "t", y: str = "y", block: int = stretch.BLOCK, keep=()) -> DataFrame:
+    """(key, order, y, keep, ll, first, m, V, ms, Vs, cross, next_m, next_P, last): filter and smoother, rows shuffled once.
+
+    Orders are whole numbers, beginning anywhere, with gaps or without; a step is from one row to the next.
+    """
+    blocks = stretch.pack(series, key, order, [y, *keep], block)
+    return blocks_smoothed(blocks_filtered(blocks, model, y, keep), model.A, model.Q, [y, *keep, "ll", "first"]).rows()
 
 
 def rts(m, P, A, Q, s):
@@ -166,52 +269,51 @@ def smoothed(filtered_rows: DataFrame, A: np.ndarray, Q: np.ndarray, key: str =
     def start(n):
         return {"m": np.zeros((n, d)), "V": np.zeros((n, d, d))}
 
-    def step(s, x, fresh):
-        m, P, c = rts(x["m"], x["V"], A, Q, (s["m"], s["V"]))
-        last = fresh[:, None, None]
-        m, P, c = np.where(last[..., 0], x["m"], m), np.where(last, x["V"], P), np.where(last, 0.0, c)
-        return {"m": m, "V": P}, {"ms": m, "Vs": P, "cross": c, "next_m": s["m"], "next_P": s["V"], "last": fresh.astype(float)}
+    return fold(filtered_rows, key, order, start, _smoother_step(A, Q), SMOOTHED, ["m", "V"], keep, backward=True)
 
-    into = {"ms": 1, "Vs": 2, "cross": 2, "next_m": 1, "next_P": 2, "last": 0}
-    return fold(filtered_rows, key, order, start, step, into, ["m", "V"], keep, backward=True)
 
+def statistics(rows: DataFrame, model, y: str = "y") -> dict[str, np.ndarray]:
+    """Sums of smoothed moments: gamma and gamma2 over all rows, gamma1 over the states before them, beta over both, delta, alpha, counts.
 
-def statistics(rows: DataFrame, order: str = "t", y: str = "y") -> dict[str, np.ndarray]:
-    """Sums of smoothed moments over all rows: gamma, gamma1 (without last rows), gamma2 (without first), beta, delta, alpha, and counts."""
+    The state before a series' first row, which the prior is of, is smoothed too, by one more step back; so the
+    first transition counts, and m0 and P0 are sums of that state's moments. model: its A, Q, m0, P0 are those of rows.
+    """
 
     def make(x):
-        ms, Ps, last, first = x["ms"], x["Vs"], x["last"] > 0, x[order] == 0
+        ms, Ps, go, first = x["ms"], x["Vs"], x["last"] == 0, x["first"] > 0
         outer = Ps + ms[:, :, None] * ms[:, None, :]
-        go = ~last
+        m0, P0, c0 = rts(model.m0, model.P0, model.A, model.Q, (ms[first], Ps[first]))
+        began = P0 + m0[:, :, None] * m0[:, None, :]
+        beta = transposed(x["cross"][go]) + x["next_m"][go][:, :, None] * ms[go][:, None, :]
         return {
-            "gamma": outer.sum(0), "gamma1": outer[go].sum(0), "gamma2": outer[~first].sum(0),
-            "beta": (transposed(x["cross"][go]) + x["next_m"][go][:, :, None] * ms[go][:, None, :]).sum(0),
+            "gamma": outer.sum(0), "gamma1": outer[go].sum(0) + began.sum(0), "gamma2": outer.sum(0),
+            "beta": beta.sum(0) + (transposed(c0) + ms[first][:, :, None] * m0[:, None, :]).sum(0),
             "delta": np.einsum("ni,nj->ij", x[y], ms), "alpha": np.einsum("ni,nj->ij", x[y], x[y]),
-            "m0": ms[first].sum(0), "P0": outer[first].sum(0), "n": np.array([len(ms), go.sum(), first.sum()], float),
-            "ll": np.array(x["ll"].sum()) if "ll" in x else np.array(0.0),
+            "m0": m0.sum(0), "P0": began.sum(0), "n": np.array([len(ms), first.sum()], float), "ll": np.array(x["ll"].sum()),
         }
 
-    return totals(rows, [order, y, "ms", "Vs", "last", "cross", "next_m", "ll"], make)
+    return totals(rows, [y, "ms", "Vs", "last", "first", "cross", "next_m", "ll"], make)
 
 
 def maximised(s: dict[str, np.ndarray], floor: float = 1e-8) -> Linear:
-    """Closed form from the sums: A, Q over steps, H, R over rows, and the first state's moments."""
-    steps = s["n"][1]
-    if steps < 1:
-        raise ValueError("series of at least two rows are needed")
+    """Closed form from the sums: A, Q over all steps into a row, H, R over rows, and the moments of the states before them."""
+    if s["n"][0] < 1:
+        raise ValueError("rows are needed")
     A = transposed(psd_solve(s["gamma1"], s["beta"].T))
     H = transposed(psd_solve(s["gamma"], s["delta"].T))
-    Q = project_psd((s["gamma2"] - A @ s["beta"].T) / steps, floor)
+    Q = project_psd((s["gamma2"] - A @ s["beta"].T) / s["n"][0], floor)
     R = project_psd((s["alpha"] - H @ s["delta"].T) / s["n"][0], floor)
-    m0 = s["m0"] / s["n"][2]
-    return Linear(A, Q, H, R, m0, project_psd(s["P0"] / s["n"][2] - np.outer(m0, m0), floor))
+    m0 = s["m0"] / s["n"][1]
+    return Linear(A, Q, H, R, m0, project_psd(s["P0"] / s["n"][1] - np.outer(m0, m0), floor))
 
 
 def fit(series: DataFrame, model: Linear, max_iter: int = 20, tolerance: float = 1e-4, key: str = "series_id", order: str = "t") -> Fit:
-    """EM over all series together; orders count from 0 in each."""
+    """EM over all series together, long or short, whose whole-number orders begin anywhere and may have gaps."""
+    blocks = stretch.pack(series, key, order, ["y"])
+    blocks = stretch.replace(blocks, frame=reused(blocks.frame))
 
     def e_step(model):
-        got = statistics(smoothed(filtered(series, model, key, order), model.A, model.Q, key, order), order)
+        got = statistics(blocks_smoothed(blocks_filtered(blocks, model), model.A, model.Q).rows(), model)
         return float(got["ll"]), got
 
     return em(model, e_step, lambda _, s: maximised(s), max_iter, tolerance)

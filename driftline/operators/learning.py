@@ -62,8 +62,8 @@ def steps_of(model: Learner, correct: str = "n_correct", possible: str = "n_poss
 
 
 def filtered(trials: DataFrame, model: Learner, key: str = "series_id", order: str = "t", correct: str = "n_correct", possible: str = "n_possible", steps: int = 10) -> DataFrame:
-    """(key, order, correct, possible, m, v, pm, pv, ll): mode by Newton steps, variance by its curvature."""
-    return fold(trials, key, order, *steps_of(model, correct, possible, steps), {"m": 0, "v": 0, "pm": 0, "pv": 0, "ll": 0}, [correct, possible], [correct, possible])
+    """(key, order, correct, possible, m, v, pm, pv, ll, first): mode by Newton steps, variance by its curvature."""
+    return fold(trials, key, order, *steps_of(model, correct, possible, steps), {"m": 0, "v": 0, "pm": 0, "pv": 0, "ll": 0, "first": 0}, [correct, possible], [correct, possible])
 
 
 def smoothed(rows: DataFrame, key: str = "series_id", order: str = "t", keep=("ll",)) -> DataFrame:
@@ -86,12 +86,12 @@ def fit(trials: DataFrame, model: Learner, max_iter: int = 20, tolerance: float
 
     def e_step(model):
         def make(x):
-            go, first = x["last"] == 0, x[order] == 0
+            go, first = x["last"] == 0, x["first"] > 0
             d = x["next_m"] - x["ms"]
             each = d * d + x["next_v"] + x["vs"] - 2 * x["g"] * x["next_v"]
             return {"q": np.array(each[go].sum()), "n": np.array([go.sum(), first.sum()], float), "x0": np.array(x["ms"][first].sum()), "ll": np.array(x["ll"].sum())}
 
-        s = totals(smoothed(filtered(trials, model, key, order), key, order), [order, "ms", "vs", "g", "next_m", "next_v", "last", "ll"], make)
+        s = totals(smoothed(filtered(trials, model, key, order), key, order, ("ll", "first")), ["first", "ms", "vs", "g", "next_m", "next_v", "last", "ll"], make)
         return float(s["ll"]), s
 
     def m_step(model, s):

@@ -120,11 +120,11 @@ def steps_of(model: Counts, y: str = "n", design: str = "z", family: Family | No
 
 
 def filtered(series: DataFrame, model: Counts, key: str = "unit_id", order: str = "t", y: str = "n", design: str = "z", family: Family | None = None, keep=()) -> DataFrame:
-    """(key, order, y, design, m, P, ll); `design` holds the row's weights of the state, y one count.
+    """(key, order, y, design, m, V, ll, first); `design` holds the row's weights of the state, y one count.
 
     Units are independent given their own states, so each is a series: no dense state of all units is built.
     """
-    return fold(series, key, order, *steps_of(model, y, design, family), {"m": 1, "V": 2, "ll": 0}, [y, design], [y, design, *keep])
+    return fold(series, key, order, *steps_of(model, y, design, family), {"m": 1, "V": 2, "ll": 0, "first": 0}, [y, design], [y, design, *keep])
 
 
 def blocks_of(model: Counts, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -184,23 +184,23 @@ def fit(series: DataFrame, model: Counts, max_iter: int = 10, tolerance: float =
     from dataclasses import replace
 
     def e_step(model):
-        rows = smoothed(filtered(series, model, key, order), model, key, order, ("n", "ll")).withColumnRenamed("n", "__n")
+        rows = smoothed(filtered(series, model, key, order), model, key, order, ("n", "ll", "first"))
         from pyspark.sql import functions as F
 
-        s = kalman.statistics(rows.withColumn("__y", F.array(F.col("__n").cast("double"))), order, "__y")
+        s = kalman.statistics(rows.withColumn("__y", F.array(F.col("n").cast("double"))), model, "__y")
         return float(s["ll"]), s
 
     def m_step(model, s):
         A = model.A if fixed_A else transposed(psd_solve(s["gamma1"], s["beta"].T))
         b = A @ s["beta"].T
-        Q = (s["gamma2"] - b - b.T + A @ s["gamma1"] @ A.T) / s["n"][1]
+        Q = (s["gamma2"] - b - b.T + A @ s["gamma1"] @ A.T) / s["n"][0]
         if structure == "full":
             Q = project_psd(Q)
         else:
             d = np.maximum(np.diag(Q), 1e-10)
             Q = np.diag(d if structure == "diagonal" else np.full(len(d), d.mean()))
-        m0 = s["m0"] / s["n"][2]
-        return replace(model, A=A, Q=Q, m0=m0, P0=project_psd(s["P0"] / s["n"][2] - np.outer(m0, m0)))
+        m0 = s["m0"] / s["n"][1]
+        return replace(model, A=A, Q=Q, m0=m0, P0=project_psd(s["P0"] / s["n"][1] - np.outer(m0, m0)))
 
     return em(model, e_step, m_step, max_iter, tolerance)
 

@@ -144,12 +144,12 @@ def steps_of(model: Switching, inputs: list[str], pairs: bool = False, scores: b
 
 
 def filtered(series: DataFrame, model: Switching, inputs: list[str], key: str = "series_id", order: str = "t", pairs: bool = False, keep=(), scores: bool = False) -> DataFrame:
-    """(key, order, keep, m, P, p, ll): moments of each state and its chance; with `pairs` also those given the state before.
+    """(key, order, keep, m, P, p, ll, first): moments of each state and its chance; with `pairs` also those given the state before.
 
     inputs: the observation columns; `observe` gets them as one array if there is one, else as a tuple. With
     `scores` also pll, the log density of the row given the state before and its own (zeros at first rows).
     """
-    into = {"m": 2, "V": 3, "p": 1, "ll": 0} | ({"pm": 3, "pV": 4, "pp": 2} if pairs else {}) | ({"pll": 2} if scores else {})
+    into = {"m": 2, "V": 3, "p": 1, "ll": 0, "first": 0} | ({"pm": 3, "pV": 4, "pp": 2} if pairs else {}) | ({"pll": 2} if scores else {})
     return fold(series, key, order, *steps_of(model, inputs, pairs, scores), into, inputs, [*inputs, *keep])
 
 
@@ -281,12 +281,12 @@ def _weighted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.einsum("nk,nka,nkb->kab", w, x, y)
 
 
-def statistics(rows: DataFrame, order: str = "t", y: str | None = "y") -> dict[str, np.ndarray]:
-    """Sums over all rows for the maximisation step, by state."""
+def statistics(rows: DataFrame, y: str | None = "y") -> dict[str, np.ndarray]:
+    """Sums over all rows for the maximisation step, by state; rows keep the filter's ll and first."""
 
     def make(x):
         ms, Ps, ps, joint = x["ms"], x["Vs"], x["ps"], x["joint"]
-        first = x[order] == 0
+        first = x["first"] > 0
         second = Ps + ms[..., :, None] * ms[..., None, :]
         pair = x["pair_P"] + x["pair_m"][..., :, None] * x["pair_m"][..., None, :]
         moved = transposed(x["cross"]) + x["next_ms"][..., :, None] * x["pair_m"][..., None, :]
@@ -301,7 +301,7 @@ def statistics(rows: DataFrame, order: str = "t", y: str | None = "y") -> dict[s
             out |= {"delta": np.einsum("nk,no,nka->koa", ps, x[y], ms), "alpha": np.einsum("nk,no,np->kop", ps, x[y], x[y])}
         return out
 
-    used = [order, "ms", "Vs", "ps", "joint", "pair_m", "pair_P", "cross", "next_ms", "ll", *([y] if y else [])]
+    used = ["first", "ms", "Vs", "ps", "joint", "pair_m", "pair_P", "cross", "next_ms", "ll", *([y] if y else [])]
     return totals(rows, used, make)
 
 
@@ -372,11 +372,11 @@ def expected_log_likelihood(model: Switching, s: dict[str, np.ndarray]) -> float
 
 
 def trajectory_entropy(rows: DataFrame) -> float:
-    """Entropy of a first-order smoother's chain of states and Gaussians, summed over series; rows: of `smoothed`, with next_Vs."""
+    """Entropy of a first-order smoother's chain of states and Gaussians, summed over series; rows: of `smoothed`, with next_Vs and the filter's first."""
 
     def make(x):
         xlogx = lambda p: float(np.where(p > 0, p * safe_log(np.where(p > 0, p, 1)), 0).sum())
-        last, first = x["last"] > 0, x["__t"] == 0
+        last, first = x["last"] > 0, x["first"] > 0
         joint, ps = x["joint"][~last], x["ps"][~last]
         chain = -xlogx(x["ps"][first]) - (xlogx(joint) - xlogx(ps))
         ends = (x["ps"][last] * gaussian_entropy(x["Vs"][last])).sum()
@@ -384,16 +384,14 @@ def trajectory_entropy(rows: DataFrame) -> float:
         left = x["pair_P"][~last] - gain @ transposed(x["cross"][~last])
         return {"h": np.array(chain + ends + (joint * gaussian_entropy(symmetric(left))).sum())}
 
-    return float(totals(rows, ["__t", "last", "ps", "Vs", "joint", "pair_P", "cross", "next_Vs"], make)["h"])
+    return float(totals(rows, ["first", "last", "ps", "Vs", "joint", "pair_P", "cross", "next_Vs"], make)["h"])
 
 
 def bound(series: DataFrame, model: Switching, key: str = "series_id", order: str = "t", y: str = "y") -> dict[str, float]:
     """Evidence, expected log density, entropy and their sum, the bound; for one state it is the evidence itself."""
-    from pyspark.sql import functions as F
-
-    rows = smoothed(filtered(series, model, [y], key, order), model, key, order, keep=[y, "ll"])
-    s = statistics(rows, order, y)
-    expected, entropy = expected_log_likelihood(model, s), trajectory_entropy(rows.withColumn("__t", F.col(order)))
+    rows = smoothed(filtered(series, model, [y], key, order), model, key, order, keep=[y, "ll", "first"])
+    s = statistics(rows, y)
+    expected, entropy = expected_log_likelihood(model, s), trajectory_entropy(rows)
     return {"log_likelihood": float(s["ll"]), "expected": expected, "entropy": entropy, "bound": expected + entropy}
 
 
@@ -425,8 +423,8 @@ def fit(series: DataFrame, model: Switching, inputs: list[str], max_iter: int =
 
     def e_step(model):
         got = filtered(series, model, inputs, key, order, second_order)
-        rows = smoothed(got, model, key, order, second_order, [*inputs, "ll"])
-        s = statistics(rows, order, y)
+        rows = smoothed(got, model, key, order, second_order, [*inputs, "ll", "first"])
+        s = statistics(rows, y)
         return float(s["ll"]), (s, rows)
 
     def step(model, held):

@@ -63,7 +63,8 @@ def fold(
 
     start(n): carries of n new series. step(carry, inputs, fresh): new carries and outputs;
     every array has one entry for each series in front, and fresh marks first rows. into: names
-    of outputs and how deep their arrays nest. Rows of one key and order are taken one after
+    of outputs and how deep their arrays nest; one named `first` need not be given, it is 1 in the
+    first row of each series, wherever its orders begin. Rows of one key and order are taken one after
     another; a null key is a series of its own; null rows of inputs are the step's concern.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -95,6 +96,7 @@ def fold(
                 own = at[where]
                 now = {k: v[own] for k, v in carry.items()}
                 after, out = step(now, {c: v[where] for c, v in given.items()}, ~seen[own])
+                out = {"first": (~seen[own]).astype(float), **out}
                 seen[own] = True
                 for k, v in after.items():
                     carry[k][own] = v

@@ -517,6 +517,59 @@ def viterbi(spark, d):
     return hidden_markov.viterbi(rows, moves, np.array(PRIOR))
 
 
+def _five_states() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Moves between five hidden states, their prior, and the chance of each choice in each state."""
+    i, j = np.indices((5, 5))
+    moves, shown = 1 + 4.0 * (i == j) + 0.1 * ((2 * i + 3 * j) % 7), 1 + 3.0 * (i == j) + 0.1 * ((3 * i + 5 * j) % 11)
+    return moves / moves.sum(1, keepdims=True), np.arange(1, 6) / 15, shown / shown.sum(1, keepdims=True)
+
+
+def _seen(spark, d) -> DataFrame:
+    """Choices with ln of their chance in each of the five states."""
+    shown = np.log(_five_states()[2])
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in shown[:, c]]) for c in range(5)])
+    return choices(spark, d).select("series_id", "t", F.element_at(table, F.col("choice") + 1).alias("ll"))
+
+
+def _case(values) -> str:
+    return "CASE choice " + " ".join(f"WHEN {c} THEN {float(x)!r}::DOUBLE" for c, x in enumerate(values)) + " END"
+
+
+def _five_sql() -> str:
+    T, prior, shown = _five_states()
+    loglik = lambda s: [O.Cell(_case(np.log(shown[k]))) for k in range(5)]
+    moves = np.array([[O.number(x) for x in row] for row in T], object)
+    return ", CH AS (SELECT series_id, t, choice FROM SERIES), " + O.chain_filter("CF", "CH", 5, prior, lambda s: moves, loglik) + ", " + O.chain_smoother("CS", "CF", 5, ("lz",))
+
+
+@_query(lambda: _five_sql() + " " + O.rounded("CS", O.names(lz=(), sp=(5,), pair=(5, 5)), 6))
+def chain_blocks(spark, d):
+    """Filter and smoother of five states, in blocks of 16 rows."""
+    T, prior, _ = _five_states()
+    return _cells(hidden_markov.posterior(_seen(spark, d), T, prior, block=16), 6, lz=(), sp=(5,), pair=(5, 5))
+
+
+def _five_path_sql() -> str:
+    T, prior, shown = (np.log(x) for x in _five_states())
+    of = lambda k: f"({_case(shown[k])})"
+    after = lambda i: "greatest(" + ", ".join(f"{float(T[i, j])!r}::DOUBLE + v.s{j} + v.l{j}" for j in range(5)) + ")"
+    l, s = ", ".join(f"l{k}" for k in range(5)), ", ".join(f"s{k}" for k in range(5))
+    best = lambda xs: f"list_position([{', '.join(xs)}], greatest({', '.join(xs)})) - 1"
+    move = lambda j: "CASE f.state " + " ".join(f"WHEN {i} THEN {float(T[i, j])!r}::DOUBLE" for i in range(5)) + f" END + b.l{j} + b.s{j}"
+    return f""", CH AS (SELECT series_id, t, max(t) OVER (PARTITION BY series_id) AS last, {", ".join(f"{of(k)} AS l{k}" for k in range(5))} FROM SERIES),
+CB(series_id, t, {l}, {s}) AS (SELECT series_id, t, {l}, {", ".join(["0.0::DOUBLE"] * 5)} FROM CH WHERE t = last UNION ALL
+SELECT c.series_id, c.t, {", ".join(f"c.l{k}" for k in range(5))}, {", ".join(after(k) for k in range(5))} FROM CB v JOIN CH c ON c.series_id = v.series_id AND c.t = v.t - 1),
+CP(series_id, t, state) AS (SELECT series_id, t, ({best([f"{float(prior[k])!r}::DOUBLE + l{k} + s{k}" for k in range(5)])})::INT FROM CB WHERE t = 0 UNION ALL
+SELECT b.series_id, b.t, ({best([move(j) for j in range(5)])})::INT FROM CP f JOIN CB b ON b.series_id = f.series_id AND b.t = f.t + 1) SELECT series_id, t, state FROM CP"""
+
+
+@_query(_five_path_sql)
+def chain_best_path(spark, d):
+    """The most likely path through five states, in blocks of 16 rows."""
+    T, prior, _ = _five_states()
+    return hidden_markov.viterbi(_seen(spark, d), T, prior, block=16)
+
+
 _LEARNER = learning.Learner(sigma=0.4, chance=0.4, x0=0.0, v0=0.2)
 
 
@@ -566,7 +619,12 @@ def _counts_em_sql():
             src = f"(SELECT f.*{'' if not k else ', a, q'} FROM EF{k} f{'' if not k else f' CROSS JOIN EP{k - 1}'})"
             sql += f", EG{k} AS (SELECT * FROM {src}), " + O.recursion(f"ES{k}", f"EG{k}", lambda s: O.named(ms=O.column("m"), vs=O.column("v"), xc=0.0, nm=0.0), later, ("unit_id",), backward=True)
             sq = "(vs + ms * ms)"
-            sql += f", ET{k} AS (SELECT sum({sq}) FILTER (WHERE NOT last) AS g1, sum({sq}) FILTER (WHERE t > 0) AS g2, sum(xc + nm * ms) FILTER (WHERE NOT last) AS b, (count(*) FILTER (WHERE NOT last))::DOUBLE AS steps, sum(ms) FILTER (WHERE t = 0) / (count(*) FILTER (WHERE t = 0)) AS mzero, sum({sq}) FILTER (WHERE t = 0) / (count(*) FILTER (WHERE t = 0)) AS second FROM (SELECT *, t = max(t) OVER (PARTITION BY unit_id) AS last FROM ES{k}))"
+            old = "1.0::DOUBLE AS oa, 0.05::DOUBLE AS oq, 0.0::DOUBLE AS om, 1.0::DOUBLE AS ov" if not k else "a AS oa, q AS oq, mzero AS om, pzero AS ov"
+            sql += f", EO{k} AS (SELECT * FROM ES{k} CROSS JOIN (SELECT {old}{'' if not k else f' FROM EP{k - 1}'}) WHERE t = 0)"
+            sql += f", EA{k} AS (SELECT *, oa * oa * ov + oq AS ahead FROM EO{k}), EJ{k} AS (SELECT *, oa * ov / (ahead + greatest(1e-9, 1e-12 * ahead)) AS j FROM EA{k})"
+            sql += f", EB{k} AS (SELECT ms, om + j * (ms - oa * om) AS bm, ov + j * j * (vs - ahead) AS bv, j * vs AS bc FROM EJ{k})"
+            at_start = f"(SELECT sum(bv + bm * bm) FROM EB{k})"
+            sql += f", ET{k} AS (SELECT coalesce(sum({sq}) FILTER (WHERE NOT last), 0) + {at_start} AS g1, sum({sq}) AS g2, coalesce(sum(xc + nm * ms) FILTER (WHERE NOT last), 0) + (SELECT sum(bc + ms * bm) FROM EB{k}) AS b, count(*)::DOUBLE AS steps, (SELECT avg(bm) FROM EB{k}) AS mzero, (SELECT avg(bv + bm * bm) FROM EB{k}) AS second FROM (SELECT *, t = max(t) OVER (PARTITION BY unit_id) AS last FROM ES{k}))"
             sql += f", EP{k} AS (SELECT a, greatest((g2 - 2 * a * b + a * a * g1) / steps, 1e-8) AS q, mzero, greatest(second - mzero * mzero, 1e-8) AS pzero FROM (SELECT *, b / (g1 + greatest(1e-9, 1e-12 * g1)) AS a FROM ET{k})), ER{k} AS (SELECT PR.*, EP{k}.* FROM PR CROSS JOIN EP{k})"
             rows, at = f"ER{k}", tuple(O.column(c) for c in ("a", "q", "mzero", "pzero"))
     shown = "round((SELECT a FROM EP1), 4) AS a, round((SELECT q FROM EP1), 5) AS q"
@@ -1036,17 +1094,24 @@ def linear_filter_smoother(spark, d):
     return _cells(kalman.smoothed(kalman.filtered(_vectors(spark, d), m), m.A, m.Q), **_LINEAR_CELLS)
 
 
+@_query(lambda: _VECTORS + _linear_sql("VEC", _linear_numbers()) + " " + O.rounded("LS", O.names(**_LINEAR_CELLS)))
+def linear_blocks(spark, d):
+    """Filter and smoother of two channels, in blocks of 16 rows."""
+    return _cells(kalman.path(_vectors(spark, d), _linear(), block=16), **_LINEAR_CELLS)
+
+
 def _fit_rows(spark, lls, to=2):
     return spark.createDataFrame([(k, round(float(x), to)) for k, x in enumerate(lls)], "iteration int, log_likelihood double")
 
 
 def _linear_em_sql():
     sql, model, rows, lls = _VECTORS, _linear_numbers(), "VEC", []
-    for k in range(3):
+    for k in range(4):
         sql += _linear_sql(rows, model, str(k), ("y0", "y1") if not k else ("y0", "y1", *O.names(A=(2, 2), Q=(2, 2), H=(2, 2), R=(2, 2), mstart=(2,), Pstart=(2, 2))))
         lls.append(f"SELECT {k}::INT AS iteration, round(sum(ll), 2) AS log_likelihood FROM LF{k}")
-        if k < 2:
-            sql += f", {O.linear_sums(f'SUM{k}', f'LS{k}', ('y0', 'y1'), 2)}, {O.linear_step(f'PAR{k}', f'SUM{k}', 2, 2)}, ROW{k} AS (SELECT VEC.*, PAR{k}.* FROM VEC CROSS JOIN PAR{k})"
+        if k < 3:
+            smooth = f"LS{k}" if not k else f"(SELECT LS{k}.*, PAR{k - 1}.* FROM LS{k} CROSS JOIN PAR{k - 1})"
+            sql += f", {O.linear_sums(f'SUM{k}', smooth, ('y0', 'y1'), model)}, {O.linear_step(f'PAR{k}', f'SUM{k}', 2, 2)}, ROW{k} AS (SELECT VEC.*, PAR{k}.* FROM VEC CROSS JOIN PAR{k})"
             c, rows = O.columns, f"ROW{k}"
             model = (c("A", 2, 2), c("Q", 2, 2), c("H", 2, 2), c("R", 2, 2), c("mstart", 2), c("Pstart", 2, 2))
     return sql + " " + " UNION ALL ".join(lls)
@@ -1054,7 +1119,7 @@ def _linear_em_sql():
 
 @_query(_linear_em_sql)
 def linear_em(spark, d):
-    return _fit_rows(spark, kalman.fit(_vectors(spark, d), _linear(), max_iter=2).log_likelihoods)
+    return _fit_rows(spark, kalman.fit(_vectors(spark, d), _linear(), max_iter=3).log_likelihoods)
 
 
 def _switching_sql(rows: str, model, values: dict, tag: str = "", carry=("y0", "y1"), smoother: bool = True, second_order: bool = False) -> str:
