@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from driftline.operators.matrices import log_sum_exp, safe_log, softmax
 from driftline.plans import scan, stretch
 from driftline.plans.fitting import POSITIVE, STOCHASTIC_ROW, UNCONSTRAINED, UNIT_INTERVAL, Fit, bfgs, by_gradient, em
-from driftline.plans.fold import evidence, fold, mapped, totals
+from driftline.plans.fold import fold, mapped, totals
 from driftline.plans.lineage import reused
 
 # ---------------------------------------------------------------- two states, in SQL
@@ -159,7 +159,7 @@ def _ahead(k: int, moves, over, step) -> stretch.Recursion:
     return stretch.Recursion(identity, element, compose, start, whole)
 
 
-def blocks_posterior(blocks: stretch.Blocks, transition: np.ndarray | None, prior: np.ndarray, logits: str = "ll", matrix: str | None = None, keep=()) -> stretch.Blocks:
+def blocks_posterior(blocks: stretch.Blocks, transition: np.ndarray | None, prior: np.ndarray, logits: str = "ll", matrix: str | None = None, keep=(), before: bool = False) -> stretch.Blocks:
     """The blocks with keep, logits, matrix, p, pred, lz, first (as of `forward`) and sp, pair, last (as of `backward`).
 
     Forward, matrices of K x K moves compose by sums of chances; backward, what follows a row does.
@@ -188,10 +188,11 @@ def blocks_posterior(blocks: stretch.Blocks, transition: np.ndarray | None, prio
         joint = np.log(np.maximum(pred, 1e-30)) + x[logits]
         z = log_sum_exp(joint, -1)
         p = np.exp(joint - z[:, None])
-        return {"p": p}, {"p": p, "pred": pred, "lz": z}
+        return {"p": p}, {"p": p, "pred": pred, "lz": z, "was": np.where(fresh[:, None], 0.0, s["p"])}
 
     kept = [*keep, *inputs]
-    got = stretch.sweep(blocks, stretch.Recursion(identity, element, compose, start, step), inputs, {"p": 1, "pred": 1, "lz": 0, "first": 0}, kept)
+    into = {"p": 1, "pred": 1, "lz": 0, "first": 0} | ({"was": 1} if before else {})
+    got = stretch.sweep(blocks, stretch.Recursion(identity, element, compose, start, step), inputs, into, kept)
     if got.span > 1:
         got = stretch.replace(got, frame=reused(got.frame))
 
@@ -202,15 +203,25 @@ def blocks_posterior(blocks: stretch.Blocks, transition: np.ndarray | None, prio
         total = pair.sum(axis=(1, 2), keepdims=True)
         pair = np.where(total > 0, pair / np.where(total > 0, total, 1), 0)
         end = fresh[:, None]
-        return {"sp": np.where(end, x["p"], pair.sum(axis=2)), "pair": np.where(end[..., None], 0.0, pair), "last": fresh.astype(float)}
+        sp = np.where(end, x["p"], pair.sum(axis=2))
+        out = {"sp": sp, "pair": np.where(end[..., None], 0.0, pair), "last": fresh.astype(float)}
+        if before:
+            T = x[matrix] if matrix else np.asarray(transition, float)
+            out["into"] = x["was"][:, :, None] * T * (sp / np.maximum(x["pred"], 1e-300))[:, None, :]
+        return out
+
+    more = ["was", "pred"] if before else []
+    into = {"sp": 1, "pair": 2, "last": 0} | ({"into": 2} if before else {})
+    return stretch.sweep(got, _ahead(k, moves, log_sum_exp, back), ["p", *inputs, *more], into, [*kept, "p", "pred", "lz", "first"], backward=True)
 
-    return stretch.sweep(got, _ahead(k, moves, log_sum_exp, back), ["p", *inputs], {"sp": 1, "pair": 2, "last": 0}, [*kept, "p", "pred", "lz", "first"], backward=True)
 
+def posterior(rows: DataFrame, transition: np.ndarray | None, prior: np.ndarray, logits: str = "ll", matrix: str | None = None, key: str = "series_id", order: str = "t", keep=(), block: int = stretch.BLOCK, before: bool = False) -> DataFrame:
+    """(key, order, and what blocks_posterior adds): filter and smoother of a chain of any number of states, rows shuffled once.
 
-def posterior(rows: DataFrame, transition: np.ndarray | None, prior: np.ndarray, logits: str = "ll", matrix: str | None = None, key: str = "series_id", order: str = "t", keep=(), block: int = stretch.BLOCK) -> DataFrame:
-    """(key, order, and what blocks_posterior adds): filter and smoother of a chain of any number of states, rows shuffled once."""
+    With `before` also into, the joint of the row before and this one, zeros at first rows.
+    """
     packed = stretch.pack(rows, key, order, [logits, *([matrix] if matrix else []), *keep], block)
-    return blocks_posterior(packed, transition, prior, logits, matrix, keep).rows()
+    return blocks_posterior(packed, transition, prior, logits, matrix, keep, before).rows()
 
 
 def viterbi(rows: DataFrame, transition: np.ndarray | None, prior: np.ndarray, logits: str = "ll", key: str = "series_id", order: str = "t", matrix: str | None = None, block: int = stretch.BLOCK) -> DataFrame:
@@ -320,8 +331,11 @@ def contingency_steps(c: Contingency, covariates: str | None = None, features: s
     return start, step
 
 
-def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None, block: int = stretch.BLOCK) -> DataFrame:
-    """(key, order, choice, reward, covariates, features, lz, first, sp, pair, last): smoothed belief of every trial."""
+def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None, block: int = stretch.BLOCK, beliefs_before: bool = False) -> DataFrame:
+    """(key, order, choice, reward, covariates, features, lz, first, sp, pair, last): smoothed belief of every trial.
+
+    With beliefs_before also moves, the chances of moves into the row, and into, the joint with the row before.
+    """
     given = ["choice", "reward", *[x for x in (covariates, features) if x]]
 
     def make(x):
@@ -330,18 +344,61 @@ def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | N
         return {"log_chance": trial_log_likelihood(x["choice"], x["reward"], c, x[features] if features else None), "moves": T}
 
     rows = mapped(trials, given, {"log_chance": 1, "moves": 2}, make, [key, order, *given])
-    return posterior(rows, None, c.prior, "log_chance", "moves", key, order, given, block)
+    return posterior(rows, None, c.prior, "log_chance", "moves", key, order, given, block, beliefs_before)
+
 
+def contingency_score(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Log evidence and its gradient in reward, value, temperature, shifts, logits, weights and prior.
 
-def fit_contingency_gradient(trials: DataFrame, c: Contingency, covariates: str | None = None, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("reward", "logits", "weights", "prior", "temperature"), key: str = "series_id", order: str = "t") -> Fit:
-    """Adam over any of the parameters by the evidence; weights only with covariates."""
-    spec = {"reward": UNIT_INTERVAL, "value": UNCONSTRAINED, "logits": UNCONSTRAINED, "weights": UNCONSTRAINED, "prior": STOCHASTIC_ROW, "temperature": POSITIVE}
-    learn = tuple(x for x in learn if x != "weights" or (covariates and c.weights is not None))
+    By Fisher's identity: the expected gradient of the log chance of choices, rewards and moves under the smoothed
+    belief, so one filter and one smoother give all of it, however many parameters there are.
+    """
+    n_options, k = c.reward.shape[1], len(c.prior)
+    rows = contingency_posterior(trials, c, covariates, key, order, features, beliefs_before=True)
+    shifted = features is not None and c.shifts is not None
+
+    def make(x):
+        n = len(x["choice"])
+        chosen = np.eye(n_options)[x["choice"].astype(np.int64)]
+        logits = np.broadcast_to(c.temperature * c.value[None], (n, k, n_options))
+        if shifted:
+            logits = logits + np.einsum("nf,skf->nsk", x[features], np.broadcast_to(c.shifts, (k, *np.shape(c.shifts)[-2:])))
+        off = x["sp"][:, :, None] * (chosen[:, None, :] - softmax(logits))
+        won = x["reward"] > 0
+        p = np.clip(c.reward, 1e-10, 1 - 1e-10)
+        out = {
+            "reward": np.einsum("ns,no->so", x["sp"] * won[:, None], chosen) / p - np.einsum("ns,no->so", x["sp"] * ~won[:, None], chosen) / (1 - p),
+            "value": c.temperature * off.sum(0), "temperature": np.array([(off * c.value).sum()]),
+            "prior": (x["sp"][x["first"] > 0] / np.maximum(c.prior, 1e-300)).sum(0), "ll": np.array(x["lz"].sum()),
+        }
+        if shifted:
+            each = np.einsum("nsk,nf->skf", off, x[features])
+            out["shifts"] = each if np.ndim(c.shifts) == 3 else each.sum(0)
+        into = x["into"]  # joint of the row before and this one, zeros at first rows
+        moved = (into - into.sum(2, keepdims=True) * x["moves"])[..., :-1]
+        out["logits"] = moved.sum(0)
+        if covariates and c.weights is not None:
+            out["weights"] = np.einsum("nd,nij->dij", x[covariates], moved)
+        return out
+
+    given = [v for v in (covariates, features) if v]
+    s = totals(rows, ["choice", "reward", *given, "lz", "sp", "first", "into", "moves"], make)
+    return float(s.pop("ll")), s
+
+
+def fit_contingency_gradient(trials: DataFrame, c: Contingency, covariates: str | None = None, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("reward", "logits", "weights", "prior", "temperature"), key: str = "series_id", order: str = "t", features: str | None = None) -> Fit:
+    """Adam over any of the parameters by the evidence, shifts and value among them; weights only with covariates, shifts with features."""
+    spec = {"reward": UNIT_INTERVAL, "value": UNCONSTRAINED, "logits": UNCONSTRAINED, "weights": UNCONSTRAINED, "shifts": UNCONSTRAINED, "prior": STOCHASTIC_ROW, "temperature": POSITIVE}
+    has = {"weights": covariates and c.weights is not None, "shifts": features and c.shifts is not None}
+    learn = tuple(x for x in learn if has.get(x, True))
     at = {x: np.atleast_1d(np.asarray(getattr(c, x), float)) for x in learn}
     put = lambda p: replace(c, **{x: float(v[0]) if x == "temperature" else v for x, v in p.items()})
-    given = ["choice", "reward", *([covariates] if covariates else [])]
-    values = lambda ps: evidence(trials, [contingency_steps(put(p), covariates) for p in ps], given, key, order)
-    got = by_gradient(at, {x: spec[x] for x in learn}, values, trials.count(), steps, rate)
+
+    def value(p):
+        ll, g = contingency_score(trials, put(p), covariates, key, order, features)
+        return ll, {x: g[x] for x in learn}
+
+    got = by_gradient(at, {x: spec[x] for x in learn}, None, trials.count(), steps, rate, score=value)
     return Fit(put(got.params), got.log_likelihoods, got.converged)
 
 

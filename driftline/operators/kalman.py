@@ -8,7 +8,7 @@ before the first observation, so that a prediction comes first.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.matrices import gaussian_log_density, mv, project_psd, psd_solve, symmetric, transposed
 from driftline.plans import scan, stretch
-from driftline.plans.fitting import Fit, em
+from driftline.plans.fitting import PSD_MATRIX, UNCONSTRAINED, Fit, by_gradient, em
 from driftline.plans.fold import fold, totals
 from driftline.plans.lineage import reused
 
@@ -307,6 +307,44 @@ def maximised(s: dict[str, np.ndarray], floor: float = 1e-8) -> Linear:
     return Linear(A, Q, H, R, m0, project_psd(s["P0"] / s["n"][1] - np.outer(m0, m0), floor))
 
 
+def score(s: dict[str, np.ndarray], model: Linear) -> dict[str, np.ndarray]:
+    """Gradient of the log evidence in A, Q, H, R, m0 and P0, from `statistics` under the model.
+
+    By Fisher's identity it is the expected gradient of the complete log density, so one filter and one smoother
+    give all of it, however many parameters there are. Those of symmetric matrices are symmetric.
+    """
+    n, first = s["n"]
+
+    def of(inverse, sums, count):
+        return -0.5 * (count * inverse - inverse @ symmetric(sums) @ inverse)
+
+    q, r, p = (np.linalg.inv(x) for x in (model.Q, model.R, model.P0))
+    A, H, m0 = model.A, model.H, np.asarray(model.m0, float)
+    b, c, off = A @ s["beta"].T, H @ s["delta"].T, np.outer(s["m0"], m0)
+    return {
+        "A": q @ (s["beta"] - A @ s["gamma1"]), "Q": of(q, s["gamma2"] - b - b.T + A @ s["gamma1"] @ A.T, n),
+        "H": r @ (s["delta"] - H @ s["gamma"]), "R": of(r, s["alpha"] - c - c.T + H @ s["gamma"] @ H.T, n),
+        "m0": p @ (s["m0"] - first * m0), "P0": of(p, s["P0"] - off - off.T + first * np.outer(m0, m0), first),
+    }
+
+
+def fit_gradient(series: DataFrame, model: Linear, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("A", "Q", "H", "R", "m0"), key: str = "series_id", order: str = "t", **how) -> Fit:
+    """Adam over any of the model's matrices: each step is one filter and one smoother, whatever their size."""
+    kinds = {"A": UNCONSTRAINED, "Q": PSD_MATRIX, "H": UNCONSTRAINED, "R": PSD_MATRIX, "m0": UNCONSTRAINED, "P0": PSD_MATRIX}
+    blocks = stretch.pack(series, key, order, ["y"])
+    blocks = stretch.replace(blocks, frame=reused(blocks.frame))
+
+    def value(p):
+        now = replace(model, **p)
+        s = statistics(blocks_smoothed(blocks_filtered(blocks, now), now.A, now.Q).rows(), now)
+        g = score(s, now)
+        return float(s["ll"]), {c: g[c] for c in learn}
+
+    at = {c: np.asarray(getattr(model, c), float) for c in learn}
+    got = by_gradient(at, {c: kinds[c] for c in learn}, None, series.count(), steps, rate, score=value, **how)
+    return Fit(replace(model, **got.params), got.log_likelihoods, got.converged)
+
+
 def fit(series: DataFrame, model: Linear, max_iter: int = 20, tolerance: float = 1e-4, key: str = "series_id", order: str = "t") -> Fit:
     """EM over all series together, long or short, whose whole-number orders begin anywhere and may have gaps."""
     blocks = stretch.pack(series, key, order, ["y"])

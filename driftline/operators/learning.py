@@ -17,7 +17,7 @@ from driftline.functions.links import normal_cdf, sigmoid
 from driftline.operators.matrices import log_gamma, normal_quantile
 from driftline.operators.preprocessing import runs
 from driftline.plans.fitting import POSITIVE, UNCONSTRAINED, Fit, by_gradient, em
-from driftline.plans.fold import evidence, fold, totals
+from driftline.plans.fold import fold, fold_sums, totals
 
 
 @dataclass(frozen=True)
@@ -101,12 +101,41 @@ def fit(trials: DataFrame, model: Learner, max_iter: int = 20, tolerance: float
     return em(model, e_step, m_step, max_iter, tolerance)
 
 
+def score(trials: DataFrame, model: Learner, key: str = "series_id", order: str = "t") -> tuple[float, dict[str, float]]:
+    """Log evidence and its gradient in sigma and x0: the filter, and one pass back over it with the slopes of what follows.
+
+    The mode's own slope comes from the equation that it solves.
+    """
+    rows = filtered(trials, model, key, order)
+
+    def start(n):
+        return {"m": np.zeros(n), "v": np.zeros(n)}
+
+    def step(s, x, fresh):
+        n, m, pm, pv, v = (x[c].astype(float) for c in ("n_possible", "m", "pm", "pv", "v"))
+        p = 1 / (1 + np.exp(-(model.bias + m)))
+        off = m - pm
+        gv = s["v"] + 0.5 / v
+        gm = s["m"] - gv * v * v * n * p * (1 - p) * (1 - 2 * p)
+        to_m = off / pv + gm * v / pv
+        to_v = 0.5 * off**2 / pv**2 - 0.5 / pv + gv * v * v / pv**2 + gm * v * off / pv**2
+        return {"m": to_m, "v": to_v}, {"q": to_v, "ll": x["ll"]}
+
+    s = fold_sums(rows, key, order, start, step, ["n_possible", "m", "pm", "pv", "v", "ll"], backward=True)
+    q = s["q"] + (s["carry v"] if model.v0 is None else 0)
+    return float(s["ll"]), {"sigma": float(2 * model.sigma * q), "x0": float(s["carry m"])}
+
+
 def fit_gradient(trials: DataFrame, model: Learner, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("sigma", "x0"), key: str = "series_id", order: str = "t") -> Fit:
     """Adam over sigma and the initial state by the filter's evidence."""
     spec = {"sigma": POSITIVE, "x0": UNCONSTRAINED}
     put = lambda p: replace(model, **{c: float(p[c][0]) for c in learn})
-    values = lambda ps: evidence(trials, [steps_of(put(p)) for p in ps], ["n_correct", "n_possible"], key, order)
-    got = by_gradient({c: np.array([getattr(model, c)], float) for c in learn}, {c: spec[c] for c in learn}, values, trials.count(), steps, rate)
+
+    def value(p):
+        ll, g = score(trials, put(p), key, order)
+        return ll, {c: np.array([g[c]]) for c in learn}
+
+    got = by_gradient({c: np.array([getattr(model, c)], float) for c in learn}, {c: spec[c] for c in learn}, None, trials.count(), steps, rate, score=value)
     return Fit(put(got.params), got.log_likelihoods, got.converged)
 
 

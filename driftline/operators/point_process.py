@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from driftline.operators import kalman
 from driftline.operators.matrices import log_det, log_gamma, mv, project_psd, psd_solve, symmetric, transposed, vec_solve
 from driftline.plans.fitting import PSD_MATRIX, UNCONSTRAINED, Fit, by_gradient, em
-from driftline.plans.fold import evidence, fold, totals
+from driftline.plans.fold import evidence, fold, fold_sums, totals
 
 MOST_LOG_COUNT = 20.0
 
@@ -205,13 +205,69 @@ def fit(series: DataFrame, model: Counts, max_iter: int = 10, tolerance: float =
     return em(model, e_step, m_step, max_iter, tolerance)
 
 
+def score(series: DataFrame, model: Counts, key: str = "unit_id", order: str = "t", y: str = "n", design: str = "z") -> tuple[float, dict[str, np.ndarray]]:
+    """Log evidence of Poisson counts and its gradient in A, Q, m0 and P0: the filter, and one pass back over it.
+
+    The pass back carries the slopes of all that follows in the moments of a row, and hands them through the row's
+    update and prediction, so that two passes give the gradient in any number of parameters. Updates are of one step.
+    """
+    if model.steps != 1:
+        raise ValueError("slopes are those of updates of one step")
+    family = poisson(model.dt)
+    begin, go = steps_of(model, y, design, family)
+
+    def with_before(s, x, fresh):
+        after, out = go(s, x, fresh)
+        return after, {"bm": s["m"], "bV": s["V"], "ll": out["ll"]}
+
+    rows = fold(series, key, order, begin, with_before, {"bm": 1, "bV": 2, "ll": 0}, [y, design], [y, design])
+    d = len(model.m0)
+    open_at = lambda eta: ((eta + np.log(model.dt) > -20.0) & (eta + np.log(model.dt) < MOST_LOG_COUNT)).astype(float)
+    outer = lambda a, b: a[:, :, None] * b[:, None, :]
+
+    def start(n):
+        return {"m": np.zeros((n, d)), "V": np.zeros((n, d, d))}
+
+    def step(s, x, fresh):
+        m, V, z = x["bm"], x["bV"], x[design]
+        pm, pv = mv(model.A, m), symmetric(model.A @ V @ model.A.T + model.Q)
+        prec = psd_solve(pv, np.broadcast_to(np.eye(d), pv.shape))
+        eta = (z * pm).sum(1)
+        mu = family.mean(eta)
+        info = symmetric(prec + mu[:, None, None] * outer(z, z))
+        P = symmetric(psd_solve(info, np.broadcast_to(np.eye(d), info.shape)))
+        off = P @ z[..., None]
+        off = off[..., 0] * (x[y] - mu)[:, None]
+        eta_x = (z * (pm + off)).sum(1)
+        pull = mv(prec, off)
+        gx = s["m"] + z * ((x[y] - family.mean(eta_x)) * open_at(eta_x))[:, None] - pull
+        gP = s["V"] + 0.5 * info + symmetric(outer(gx, z * (x[y] - mu)[:, None]))
+        g_info = -symmetric(P @ gP @ P)
+        g_mu = np.einsum("na,nab,nb->n", z, g_info, z) - (z * mv(P, gx)).sum(1)
+        # the mode is pm + off, so what moves pm moves the mode; the pull of the prior does not see it
+        g_pm = gx + pull + z * (g_mu * mu * open_at(eta))[:, None]
+        g_prec = g_info - 0.5 * outer(off, off)
+        g_pv = -symmetric(prec @ g_prec @ prec) - 0.5 * prec
+        back = {"m": mv(model.A.T, g_pm), "V": symmetric(model.A.T @ g_pv @ model.A)}
+        return back, {"A": outer(g_pm, m) + 2 * g_pv @ model.A @ V, "Q": g_pv, "ll": x["ll"]}
+
+    s = fold_sums(rows, key, order, start, step, ["bm", "bV", y, design, "ll"], backward=True)
+    return float(s["ll"]), {"A": s["A"], "Q": s["Q"], "m0": s["carry m"], "P0": s["carry V"]}
+
+
 def fit_gradient(series: DataFrame, model: Counts, steps: int = 50, rate: float = 1e-2, learn: tuple[str, ...] = ("A", "Q", "m0"), key: str = "unit_id", order: str = "t", y: str = "n", design: str = "z", family: Family | None = None) -> Fit:
     """Adam over any of A, Q, m0 and P0 by the filter's evidence; drifting place fields are such models too."""
     from dataclasses import replace
 
     spec = {"A": UNCONSTRAINED, "Q": PSD_MATRIX, "m0": UNCONSTRAINED, "P0": PSD_MATRIX}
     values = lambda ps: evidence(series, [steps_of(replace(model, **p), y, design, family) for p in ps], [y, design], key, order)
-    got = by_gradient({c: np.asarray(getattr(model, c), float) for c in learn}, {c: spec[c] for c in learn}, values, series.count(), steps, rate)
+
+    def value(p):
+        ll, g = score(series, replace(model, **p), key, order, y, design)
+        return ll, {c: g[c] for c in learn}
+
+    own = value if family is None and model.steps == 1 else None  # other updates are valued by differences
+    got = by_gradient({c: np.asarray(getattr(model, c), float) for c in learn}, {c: spec[c] for c in learn}, values, series.count(), steps, rate, score=own)
     return Fit(replace(model, **got.params), got.log_likelihoods, got.converged)
 
 

@@ -127,13 +127,22 @@ def stacked(t: Transform) -> Transform:
     return Transform(lambda x: np.concatenate([t.free(part) for part in x]), bound, t.trained)
 
 
-def by_gradient(at: Params, spec: dict[str, Transform], evidences: Callable[[list[Params]], list[float]], n: int, steps: int = 50, rate: float = 1e-2, penalty: Callable[[Params], float] = lambda p: 0.0, **how) -> Fit:
-    """Adam on the log evidence per row less a penalty; evidences(candidates) values all of a step in one pass over the rows.
+def by_gradient(at: Params, spec: dict[str, Transform], evidences: Callable[[list[Params]], list[float]] | None, n: int, steps: int = 50, rate: float = 1e-2, penalty: Callable[[Params], float] = lambda p: 0.0, score: Callable[[Params], tuple[float, Params]] | None = None, **how) -> Fit:
+    """Adam on the log evidence per row less a penalty.
 
+    score(params) gives the evidence and its gradient in the parameters, in a number of passes that does not depend on
+    how many there are; without it evidences(candidates) values all of a step in one pass over the rows.
     Log likelihoods of the result are sums again, with the penalty taken off.
     """
     losses = lambda ps: [-e / n + penalty(p) for e, p in zip(evidences(ps), ps)]
-    got = adam(at, spec, losses, steps, rate, **how)
+
+    def slope(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        p = from_free(flat, at, spec)
+        value, g = score(p)
+        pull = differences(lambda x: penalty(from_free(x, at, spec)), flat)
+        return -value / n + penalty(p), pull - pulled_back(flat, at, spec, g) / n
+
+    got = adam(at, spec, losses, steps, rate, slope=slope if score else None, **how)
     return Fit(got.params, [x * n for x in got.log_likelihoods], got.converged)
 
 
@@ -168,6 +177,24 @@ def from_free(flat: np.ndarray, like: Params, spec: dict[str, Transform]) -> Par
     return out
 
 
+def differences(f: Callable[[np.ndarray], float], x: np.ndarray, width: float = 1e-6) -> np.ndarray:
+    """Central differences of a function of numbers on the driver."""
+    return np.array([(f(x + width * e) - f(x - width * e)) / (2 * width) for e in np.eye(len(x))])
+
+
+def pulled_back(flat: np.ndarray, like: Params, spec: dict[str, Transform], gradient: Params) -> np.ndarray:
+    """Gradient in free numbers from that in the parameters: each transform's own slope, which needs no data."""
+    out, at = np.zeros_like(flat), 0
+    for k, t in spec.items():
+        if t.trained:
+            shape = np.shape(like[k])
+            n = len(np.ravel(t.free(np.asarray(like[k], float))))
+            g = np.asarray(gradient[k], float)
+            out[at : at + n] = differences(lambda x, t=t, g=g, shape=shape: float((t.bound(x, shape) * g).sum()), flat[at : at + n])
+            at += n
+    return out
+
+
 # ---------------------------------------------------------------- gradient fits
 
 
@@ -180,8 +207,10 @@ def adam(
     clip: float = 10.0,
     tolerance: float | None = None,
     width: float = 1e-4,
+    slope: Callable[[np.ndarray], tuple[float, np.ndarray]] | None = None,
 ) -> Fit:
-    """Adam on free parameters with central differences; `losses` values many candidates in one job over the data.
+    """Adam on free parameters. slope(free) gives the loss and its gradient; without it, central differences, for
+    which `losses` values many candidates in one job over the data.
 
     Gradients are clipped to a global norm; a step without a finite loss goes back to the last
     good one and ends; five steps in turn that change less than the tolerance end it too.
@@ -190,9 +219,14 @@ def adam(
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     fit, stalled, last = Fit(params), 0, None
     for k in range(1, steps + 1):
-        trial = [flat, *[flat + s * width * e for e in np.eye(len(flat)) for s in (1, -1)]]
-        got = np.array(losses([from_free(x, params, spec) for x in trial]), float)
-        if not np.isfinite(got).all():
+        if slope:
+            now, g = slope(flat)
+            got = np.array([now])
+        else:
+            trial = [flat, *[flat + s * width * e for e in np.eye(len(flat)) for s in (1, -1)]]
+            got = np.array(losses([from_free(x, params, spec) for x in trial]), float)
+            g = (got[1::2] - got[2::2]) / (2 * width)
+        if not np.isfinite(got).all() or not np.isfinite(g).all():
             break
         fit.params = from_free(flat, params, spec)
         fit.log_likelihoods.append(-float(got[0]))
@@ -202,8 +236,7 @@ def adam(
                 fit.converged = True
                 break
         last = got[0]
-        g = (got[1::2] - got[2::2]) / (2 * width)
-        g *= min(1.0, clip / max(np.linalg.norm(g), 1e-300))
+        g = g * min(1.0, clip / max(np.linalg.norm(g), 1e-300))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         flat = flat - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return fit

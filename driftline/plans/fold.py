@@ -75,31 +75,9 @@ def fold(
     used = list(dict.fromkeys([*names, *inputs]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot: dict = {}
-        carry: Arrays = {}
-        seen = np.zeros(0, bool)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(key).to_pylist()
-            new = list(dict.fromkeys(i for i in ids if i not in slot))
-            if new:
-                more = start(len(new))
-                carry = {k: np.concatenate([carry[k], v]) if carry else v for k, v in more.items()}
-                seen = np.concatenate([seen, np.zeros(len(new), bool)])
-                for i in new:
-                    slot[i] = len(slot)
-            at = np.fromiter((slot[i] for i in ids), np.int64, len(ids))
-            given = {c: to_numpy(batch.column(c)) for c in inputs}
+        for batch, rounds, _ in _rolled(batches, key, start, step, inputs):
             made: dict[str, np.ndarray] = {}
-            for where in _rounds(at):
-                own = at[where]
-                now = {k: v[own] for k, v in carry.items()}
-                after, out = step(now, {c: v[where] for c, v in given.items()}, ~seen[own])
-                out = {"first": (~seen[own]).astype(float), **out}
-                seen[own] = True
-                for k, v in after.items():
-                    carry[k][own] = v
+            for where, out in rounds:
                 for k in into:
                     if k not in made:
                         made[k] = np.zeros((batch.num_rows, *out[k].shape[1:]))
@@ -108,9 +86,59 @@ def fold(
                 [*[batch.column(c) for c in names], *[to_arrow(made[c], kind) for c, kind in zip(into, arrow)]], names=schema.names
             )
 
-    dealt = rows.select(*used).repartition(key)
-    sort = F.desc(order) if backward else F.asc(order)
-    return dealt.sortWithinPartitions(sort, key).mapInArrow(run, schema)
+    return _dealt(rows.select(*used), key, order, backward).mapInArrow(run, schema)
+
+
+def _dealt(rows: DataFrame, key: str, order: str, backward: bool) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(F.desc(order) if backward else F.asc(order), key)
+
+
+def _rolled(batches: Iterator[pa.RecordBatch], key: str, start: Callable, step: Callable, inputs: Sequence[str]) -> Iterator[tuple]:
+    """(batch, the rounds' (places, outputs), the carries of all series so far, which the next batch goes on with)."""
+    slot: dict = {}
+    carry: Arrays = {}
+    seen = np.zeros(0, bool)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(key).to_pylist()
+        new = list(dict.fromkeys(i for i in ids if i not in slot))
+        if new:
+            more = start(len(new))
+            carry = {k: np.concatenate([carry[k], v]) if carry else v for k, v in more.items()}
+            seen = np.concatenate([seen, np.zeros(len(new), bool)])
+            for i in new:
+                slot[i] = len(slot)
+        at = np.fromiter((slot[i] for i in ids), np.int64, len(ids))
+        given = {c: to_numpy(batch.column(c)) for c in inputs}
+        rounds = []
+        for where in _rounds(at):
+            own = at[where]
+            now = {k: v[own] for k, v in carry.items()}
+            after, out = step(now, {c: v[where] for c, v in given.items()}, ~seen[own])
+            rounds.append((where, {"first": (~seen[own]).astype(float), **out}))
+            seen[own] = True
+            for k, v in after.items():
+                carry[k][own] = v
+        yield batch, rounds, carry
+
+
+def fold_sums(rows: DataFrame, key: str, order: str, start: Callable, step: Callable, inputs: Sequence[str], backward: bool = False) -> Arrays:
+    """Sums over all rows of what `step` gives, and over all series of their last carries (as `carry NAME`).
+
+    As fold, but outputs are summed up in tasks; what reaches the driver is bounded by the arrays' size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Arrays = {}
+        carry: Arrays = {}
+        for _, rounds, carry in _rolled(batches, key, start, step, inputs):
+            for _, out in rounds:
+                for k, v in out.items():
+                    held[k] = held[k] + v.sum(0) if k in held else np.asarray(v.sum(0), float)
+        yield from _sent(held | {f"carry {k}": np.asarray(v.sum(0), float) for k, v in carry.items()})
+
+    return _gathered(_dealt(rows.select(*dict.fromkeys([key, order, *inputs])), key, order, backward).mapInArrow(run, _SENT))
 
 
 def together(parts: Sequence[tuple[Callable, Callable]]) -> tuple[Callable, Callable]:
@@ -175,14 +203,25 @@ def totals(rows: DataFrame, inputs: Sequence[str], make: Callable[[Arrays], Arra
             if batch.num_rows:
                 for k, v in make({c: to_numpy(batch.column(c)) for c in inputs}).items():
                     held[k] = held[k] + v if k in held else np.asarray(v, float)
-        for k, v in held.items():
-            flat = v.ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * len(flat)), pa.array(np.arange(len(flat))), pa.array(flat), pa.array([",".join(map(str, v.shape))] * len(flat))],
-                names=["name", "place", "x", "shape"],
-            )
+        yield from _sent(held)
+
+    return _gathered(rows.select(*inputs).mapInArrow(run, _SENT))
+
+
+_SENT = "name string, place long, x double, shape string"
+
+
+def _sent(held: Arrays) -> Iterator[pa.RecordBatch]:
+    """A row for each number."""
+    for k, v in held.items():
+        flat = v.ravel()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k] * len(flat)), pa.array(np.arange(len(flat))), pa.array(flat), pa.array([",".join(map(str, v.shape))] * len(flat))],
+            names=["name", "place", "x", "shape"],
+        )
+
 
-    got = rows.select(*inputs).mapInArrow(run, "name string, place long, x double, shape string")
+def _gathered(got: DataFrame) -> Arrays:
     out: Arrays = {}
     for r in got.groupBy("name", "shape", "place").agg(F.sum("x").alias("x")).collect():
         shape = tuple(int(s) for s in r["shape"].split(",") if s)

@@ -1100,6 +1100,48 @@ def linear_blocks(spark, d):
     return _cells(kalman.path(_vectors(spark, d), _linear(), block=16), **_LINEAR_CELLS)
 
 
+_SLOPES = {"A": (2, 2), "Q": (2, 2), "H": (2, 2), "R": (2, 2), "m0": (2,), "P0": (2, 2)}
+
+
+def _linear_score_sql():
+    A, Q, H, R, m0, P0 = _linear_numbers()
+    q, r, p = (np.linalg.inv(x) for x in (Q, R, P0))
+    c, n, first = O.columns, O.column("nrows"), O.column("nfirst")
+    gone, beta, gamma, delta = c("gone", 2, 2), c("beta", 2, 2), c("gamma", 2, 2), c("delta", 2, 2)
+    s = O.Sheet()
+    of = lambda inverse, sums, count: -0.5 * (inverse * count - inverse @ s.let(O.even(sums)) @ inverse)
+    b, d, off = A @ beta.T, H @ delta.T, c("mzero", 2)[:, None] * m0[None, :]
+    made = O.named(
+        A=q @ (beta - A @ gone), Q=of(q, gamma - b - b.T + A @ gone @ A.T, n), H=r @ (delta - H @ gamma), R=of(r, c("alpha", 2, 2) - d - d.T + H @ gamma @ H.T, n),
+        m0=p @ (c("mzero", 2) - first * m0), P0=of(p, c("pzero", 2, 2) - off - off.T + np.outer(m0, m0) * first, first),
+    )
+    sql = _VECTORS + _linear_sql("VEC", _linear_numbers()) + ", " + O.linear_sums("SUM", "LS", ("y0", "y1"), _linear_numbers())
+    return sql + f", SLOPE AS ({s.over('SUM', (), made)}) " + O.rounded("SLOPE", O.names(**_SLOPES), 3, given=())
+
+
+@_query(_linear_score_sql)
+def linear_score(spark, d):
+    """Gradient of the log evidence in all matrices of a linear model, by one filter and one smoother."""
+    m = _linear()
+    got = kalman.score(kalman.statistics(kalman.path(_vectors(spark, d), m), m), m)
+    cells = {c + "".join(map(str, at)): round(float(got[c][at]), 3) + 0.0 for c, shape in _SLOPES.items() for at in np.ndindex(*shape)}
+    return spark.createDataFrame([tuple(cells.values())], ", ".join(f"{c} double" for c in cells))
+
+
+def _choice_temperature_sql():
+    tried = [0.5, 1.5, 3.0]
+    sql = ", " + ", ".join(O.choice_filter(f"CT{k}", "SERIES", 4, 0.05, b, 0.95, _ZERO4, _EYE4) for k, b in enumerate(tried))
+    return sql + " " + " UNION ALL ".join(f"SELECT {b}::DOUBLE AS temperature, round(sum(ll), 3) AS log_likelihood FROM CT{k}" for k, b in enumerate(tried))
+
+
+@_query(_choice_temperature_sql)
+def choice_temperature(spark, d):
+    """Evidence of three temperatures of choice, valued in one pass: what a fit of the temperature climbs."""
+    tried = [0.5, 1.5, 3.0]
+    got = choice.log_evidence(choices(spark, d), [choice.Choice(5, 0.05, b, 0.95) for b in tried])
+    return spark.createDataFrame([(b, round(float(x), 3)) for b, x in zip(tried, got)], "temperature double, log_likelihood double")
+
+
 def _fit_rows(spark, lls, to=2):
     return spark.createDataFrame([(k, round(float(x), to)) for k, x in enumerate(lls)], "iteration int, log_likelihood double")
 
