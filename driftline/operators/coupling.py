@@ -85,13 +85,92 @@ def _uniform(counter: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
-def draw_polya_gamma(eta: np.ndarray, seeds: np.ndarray, terms: int = 60) -> np.ndarray:
-    """Draws of PG(1, eta), one for each seed: a sum of exponentials over growing denominators, its tail replaced by the mean."""
-    k = np.arange(1, terms + 1)
-    under = (k - 0.5) ** 2 + (eta[..., None] / (2 * np.pi)) ** 2
+#: Where the two forms of the density's terms meet.
+_MEET = 0.64
+
+
+def _normal_cdf(x: np.ndarray) -> np.ndarray:
+    from math import erfc
+
+    return 0.5 * np.vectorize(erfc, otypes=[float])(-np.asarray(x) / 2**0.5)
+
+
+def _term(n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Term n of the alternating series of the density at x, each form where its terms fall."""
+    k = n + 0.5
+    left = np.exp(1.5 * np.log(2 / (np.pi * x)) - 2 * k**2 / x)
+    return np.pi * k * np.where(x > _MEET, np.exp(-0.5 * k**2 * np.pi**2 * x), left)
+
+
+def draw_polya_gamma(eta: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Exact draws of PG(1, eta), one for each seed, in rounds over all that are not yet accepted.
+
+    A proposal is an exponential tail or a truncated inverse Gaussian; whether it is accepted is settled by the partial
+    sums of an alternating series, which close in on the density from both sides. Numbers are drawn by a seed's own
+    counter, so a draw depends on nothing but its eta and seed.
+    """
+    z = np.abs(np.ravel(np.asarray(eta, float))) / 2
+    seed, count = np.ravel(seeds).astype(np.uint64), np.zeros(z.size, np.uint64)
     with np.errstate(over="ignore"):
-        drawn = -np.log(_uniform(seeds[..., None] * np.uint64(terms + 1) + k.astype(np.uint64)))
-    return (drawn / under).sum(-1) / (2 * np.pi**2) + polya_gamma_mean(eta) - (1 / under).sum(-1) / (2 * np.pi**2)
+        seed = seed * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
+
+    def uniform(at):
+        count[at] += np.uint64(1)
+        with np.errstate(over="ignore"):
+            return _uniform(seed[at] + count[at] * np.uint64(0xA24BAED4963EE407))
+
+    rate = np.pi**2 / 8 + z**2 / 2
+    right = np.pi / (2 * rate) * np.exp(-rate * _MEET)
+    root = _MEET**-0.5
+    # chance that an inverse Gaussian of mean 1/z stays below _MEET, times 2 exp(-z)
+    with np.errstate(over="ignore", invalid="ignore"):
+        far = np.exp(np.minimum(z, 700)) * _normal_cdf(-root * (_MEET * z + 1))
+    left = 2 * (np.exp(-z) * _normal_cdf(root * (_MEET * z - 1)) + np.where(z < 700, far, 0.0))
+    out, open_ = np.zeros(z.size), np.arange(z.size)
+    while len(open_):
+        x = np.zeros(len(open_))
+        tail = uniform(open_) < right[open_] / (right[open_] + left[open_])
+        x[tail] = _MEET - np.log(uniform(open_[tail])) / rate[open_[tail]]
+        x[~tail] = _truncated_inverse_gaussian(z[open_[~tail]], open_[~tail], uniform)
+        total = _term(np.zeros(len(x)), x)
+        goal = uniform(open_) * total
+        verdict, n = np.zeros(len(x), np.int8), 0  # 1 accepted, -1 refused
+        while (todo := np.flatnonzero(verdict == 0)).size:
+            n += 1
+            step = _term(np.full(len(todo), float(n)), x[todo])
+            if n % 2:
+                total[todo] -= step
+                verdict[todo[goal[todo] <= total[todo]]] = 1
+            else:
+                total[todo] += step
+                verdict[todo[goal[todo] > total[todo]]] = -1
+        won = verdict == 1
+        out[open_[won]] = x[won] / 4
+        open_ = open_[~won]
+    return out.reshape(np.shape(eta))
+
+
+def _truncated_inverse_gaussian(z: np.ndarray, at: np.ndarray, uniform) -> np.ndarray:
+    """Inverse Gaussian of mean 1 / z and shape 1 below _MEET."""
+    x, wide = np.zeros(len(z)), z < 1 / _MEET
+    todo = np.flatnonzero(wide)  # a mean beyond the bound: scaled from the inverse chi-square, thinned
+    while len(todo):
+        e, f = -np.log(uniform(at[todo])), -np.log(uniform(at[todo]))
+        drawn = _MEET / (1 + _MEET * e) ** 2
+        good = (e**2 <= 2 * f / _MEET) & (uniform(at[todo]) <= np.exp(-0.5 * z[todo] ** 2 * drawn))
+        x[todo[good]] = drawn[good]
+        todo = todo[~good]
+    todo = np.flatnonzero(~wide)  # else drawn whole until it is below
+    while len(todo):
+        mean = 1 / z[todo]
+        normal = np.sqrt(-2 * np.log(uniform(at[todo]))) * np.cos(2 * np.pi * uniform(at[todo]))
+        y = normal**2
+        drawn = mean + 0.5 * mean**2 * y - 0.5 * mean * np.sqrt(4 * mean * y + (mean * y) ** 2)
+        drawn = np.where(uniform(at[todo]) > mean / (mean + drawn), mean**2 / drawn, drawn)
+        good = drawn < _MEET
+        x[todo[good]] = drawn[good]
+        todo = todo[~good]
+    return x
 
 
 def gibbs_couplings(rows: DataFrame, baseline: np.ndarray, n_iter: int = 60, burn_in: int = 20, sigma: float = 5.0, seed: int = 0, x: str = "x", spikes: str = "spikes", t: str = "t", key: str = "series_id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

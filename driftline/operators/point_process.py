@@ -16,6 +16,7 @@ from driftline.operators import kalman
 from driftline.operators.matrices import log_det, log_gamma, mv, project_psd, psd_solve, symmetric, transposed, vec_solve
 from driftline.plans.fitting import PSD_MATRIX, UNCONSTRAINED, Fit, by_gradient, em
 from driftline.plans.fold import evidence, fold, fold_sums, totals
+from driftline.plans.lineage import reused
 
 MOST_LOG_COUNT = 20.0
 
@@ -138,41 +139,147 @@ def blocks_of(model: Counts, weights: np.ndarray) -> list[tuple[np.ndarray, np.n
     return [(own, np.flatnonzero(np.abs(weights[:, own]).sum(1) > 0)) for own in seen]
 
 
+@dataclass(frozen=True)
+class Parts:
+    """The parts of a dense model, filled up to one size: a state that a part lacks stands alone, a unit that it lacks says nothing."""
+
+    own: list[np.ndarray]
+    units: list[np.ndarray]
+    A: np.ndarray
+    Q: np.ndarray
+    P0: np.ndarray
+    m0: np.ndarray
+    Z: np.ndarray
+    there: np.ndarray
+
+    def family(self, b: np.ndarray, dt: float) -> Family:
+        """Poisson counts of the units that the parts b have."""
+        f, there = poisson(dt), self.there[b]
+        return Family(lambda eta: f.mean(eta) * there, lambda eta, mu: mu, lambda y, eta, mu: f.loglik(y, eta, mu) * there)
+
+
+def parts_of(model: Counts, weights: np.ndarray) -> Parts:
+    own, units = (list(x) for x in zip(*blocks_of(model, weights)))
+    n, d, u = len(own), max(map(len, own)), max(1, *map(len, units))
+    A, Q, P0, m0 = np.zeros((n, d, d)), np.tile(np.eye(d), (n, 1, 1)), np.tile(np.eye(d), (n, 1, 1)), np.zeros((n, d))
+    Z, there = np.zeros((n, u, d)), np.zeros((n, u))
+    for k, (o, w) in enumerate(zip(own, units)):
+        at = np.ix_([k], range(len(o)), range(len(o)))
+        A[at], Q[at], P0[at] = model.A[np.ix_(o, o)], model.Q[np.ix_(o, o)], model.P0[np.ix_(o, o)]
+        m0[k, : len(o)], there[k, : len(w)] = model.m0[o], 1
+        Z[np.ix_([k], range(len(w)), range(len(o)))] = weights[np.ix_(w, o)]
+    return Parts(own, units, A, Q, P0, m0, Z, there)
+
+
+def _filtered_parts(series: DataFrame, model: Counts, parts: Parts, key: str, order: str, y: str) -> DataFrame:
+    """(__series, key, order, block, m, V, ll, first): all parts of all series in one pass, states filled up."""
+    from pyspark.sql import functions as F
+
+    u, d = parts.Z.shape[1:]
+    counts = [F.array(*[F.get(y, F.lit(int(w))).cast("double") for w in units], *[F.lit(0.0)] * (u - len(units))) for units in parts.units]
+    each = F.array(*[F.struct(F.lit(k).alias("block"), x.alias("own")) for k, x in enumerate(counts)])
+    rows = series.select(key, order, F.explode(each).alias("b")).select(key, order, "b.*")
+    name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("none"))  # an empty text is another key than none
+    rows = rows.withColumn("__series", F.concat_ws(":", name, "block"))
+
+    def start(n):
+        return {"m": np.zeros((n, d)), "V": np.repeat(np.eye(d)[None], n, 0)}
+
+    def step(s, x, fresh):
+        b, e = x["block"].astype(int), fresh[:, None]
+        m, V = np.where(e, parts.m0[b], s["m"]), np.where(e[..., None], parts.P0[b], s["V"])
+        pm, pv = mv(parts.A[b], m), symmetric(parts.A[b] @ V @ transposed(parts.A[b]) + parts.Q[b])
+        m, V, ll = laplace(pm, pv, x["own"], parts.Z[b], 0.0, parts.family(b, model.dt), model.steps)
+        return {"m": m, "V": V}, {"m": m, "V": V, "ll": ll}
+
+    return fold(rows, "__series", order, start, step, {"m": 1, "V": 2, "ll": 0, "first": 0}, ["block", "own"], [key, "block"])
+
+
+def _trimmed(rows: DataFrame, parts: Parts, vectors: tuple[str, ...], matrices: tuple[str, ...]) -> DataFrame:
+    """Each part's own states."""
+    from pyspark.sql import functions as F
+
+    n = F.element_at(F.array(*[F.lit(len(o)) for o in parts.own]), F.col("block") + 1)
+    cut = lambda x: F.slice(x, F.lit(1), n)
+    return rows.withColumns({c: cut(F.col(c)) for c in vectors} | {c: F.transform(cut(F.col(c)), cut) for c in matrices})
+
+
 def filtered_blocks(series: DataFrame, model: Counts, weights: np.ndarray, key: str = "series_id", order: str = "t", y: str = "counts") -> DataFrame:
     """(key, order, block, m, V, ll) of a dense model of many units, block by block: rows hold an array of all units' counts.
 
-    Each block is a series of its own, of its own size; blocks of one shape go in one pass. The
-    dense filter's evidence is the sum over blocks.
+    Each block is a series of its own; blocks of any size go in one pass. The dense filter's evidence is the sum over blocks.
     """
-    from pyspark.sql import functions as F
+    parts = parts_of(model, weights)
+    got = _filtered_parts(series, model, parts, key, order, y)
+    return _trimmed(got, parts, ("m",), ("V",)).select(key, order, "block", "m", "V", "ll")
+
 
-    parts = blocks_of(model, weights)
-    shapes: dict[tuple[int, int], list[int]] = {}
-    for k, (own, units) in enumerate(parts):
-        shapes.setdefault((len(own), len(units)), []).append(k)
-    family, out = poisson(model.dt), None
-    for (d, _), which in shapes.items():
-        pick = lambda f: np.stack([f(*parts[k]) for k in which])
-        A, Q = pick(lambda o, u: model.A[np.ix_(o, o)]), pick(lambda o, u: model.Q[np.ix_(o, o)])
-        P0, m0 = pick(lambda o, u: model.P0[np.ix_(o, o)]), pick(lambda o, u: model.m0[o])
-        Z = pick(lambda o, u: weights[np.ix_(u, o)])
-        each = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("block"), F.array(*[F.get(y, F.lit(int(u))).cast("double") for u in parts[k][1]]).alias("own")) for n, k in enumerate(which)])
-        rows = series.select(key, order, F.explode(each).alias("b")).select(key, order, "b.*")
-        rows = rows.withColumn("__series", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), "block"))
-
-        def start(n, d=d):
-            return {"m": np.zeros((n, d)), "V": np.repeat(np.eye(d)[None], n, 0)}
-
-        def step(s, x, fresh, A=A, Q=Q, P0=P0, m0=m0, Z=Z):
-            b, e = x["n"].astype(int), fresh[:, None]
-            m, V = np.where(e, m0[b], s["m"]), np.where(e[..., None], P0[b], s["V"])
-            pm, pv = mv(A[b], m), symmetric(A[b] @ V @ transposed(A[b]) + Q[b])
-            m, V, ll = laplace(pm, pv, x["own"], Z[b], 0.0, family, model.steps)
-            return {"m": m, "V": V}, {"m": m, "V": V, "ll": ll}
-
-        got = fold(rows, "__series", order, start, step, {"m": 1, "V": 2, "ll": 0}, ["n", "own"], [key, "block"]).drop("__series")
-        out = got if out is None else out.union(got)
-    return out.select(key, order, "block", "m", "V", "ll")
+def _smoothed_parts(rows: DataFrame, parts: Parts, key: str, order: str) -> DataFrame:
+    d = parts.m0.shape[1]
+
+    def start(n):
+        return {"m": np.zeros((n, d)), "V": np.zeros((n, d, d))}
+
+    def step(s, x, fresh):
+        b, e = x["block"].astype(int), fresh[:, None, None]
+        m, P, c = kalman.rts(x["m"], x["V"], parts.A[b], parts.Q[b], (s["m"], s["V"]))
+        m, P, c = np.where(e[..., 0], x["m"], m), np.where(e, x["V"], P), np.where(e, 0.0, c)
+        return {"m": m, "V": P}, {"ms": m, "Vs": P, "cross": c, "next_m": s["m"], "last": fresh.astype(float)}
+
+    into = {"ms": 1, "Vs": 2, "cross": 2, "next_m": 1, "last": 0}
+    return fold(rows.withColumnRenamed("first", "begins"), "__series", order, start, step, into, ["block", "m", "V"], [key, "block", "ll", "begins"], backward=True)
+
+
+def smoothed_blocks(series: DataFrame, model: Counts, weights: np.ndarray, key: str = "series_id", order: str = "t", y: str = "counts") -> DataFrame:
+    """(key, order, block, ms, Vs, cross, ll): the dense model's smoother, block by block; states of different blocks are independent."""
+    parts = parts_of(model, weights)
+    got = _smoothed_parts(_filtered_parts(series, model, parts, key, order, y), parts, key, order)
+    return _trimmed(got, parts, ("ms",), ("Vs", "cross")).select(key, order, "block", "ms", "Vs", "cross", "ll")
+
+
+def fit_blocks(series: DataFrame, model: Counts, weights: np.ndarray, max_iter: int = 10, tolerance: float = 1e-4, key: str = "series_id", order: str = "t", y: str = "counts") -> Fit:
+    """EM of a dense model of many units for A, Q and the prior, block by block; what is between blocks stays 0.
+
+    Sums are kept for each block, so their number is that of the blocks' own entries.
+    """
+    from dataclasses import replace
+
+    def e_step(model):
+        parts = parts_of(model, weights)
+        n = len(parts.own)
+        rows = _smoothed_parts(_filtered_parts(series, model, parts, key, order, y), parts, key, order)
+
+        def make(x):
+            b, ms, Ps, go, first = x["block"].astype(int), x["ms"], x["Vs"], x["last"] == 0, x["begins"] > 0
+            outer = lambda u, v: u[:, :, None] * v[:, None, :]
+            m0, P0, c0 = kalman.rts(parts.m0[b[first]], parts.P0[b[first]], parts.A[b[first]], parts.Q[b[first]], (ms[first], Ps[first]))
+            out = {c: np.zeros((n, *x["Vs"].shape[1:])) for c in ("gamma1", "gamma2", "beta", "P0")} | {"m0": np.zeros((n, ms.shape[1])), "n": np.zeros((n, 2)), "ll": np.array(x["ll"].sum())}
+            for name, at, value in (
+                ("gamma2", b, Ps + outer(ms, ms)), ("gamma1", b[go], (Ps + outer(ms, ms))[go]), ("gamma1", b[first], P0 + outer(m0, m0)),
+                ("beta", b[go], (transposed(x["cross"]) + outer(x["next_m"], ms))[go]), ("beta", b[first], transposed(c0) + outer(ms[first], m0)),
+                ("P0", b[first], P0 + outer(m0, m0)), ("m0", b[first], m0),
+            ):
+                np.add.at(out[name], at, value)
+            out["n"] += np.stack([np.bincount(b, minlength=n), np.bincount(b[first], minlength=n)], 1)
+            return out
+
+        s = totals(rows, ["block", "ms", "Vs", "cross", "next_m", "last", "begins", "ll"], make)
+        return float(s["ll"]), (s, parts)
+
+    def m_step(model, held):
+        s, parts = held
+        A, Q, P0, m0 = np.zeros_like(model.A), np.zeros_like(model.Q), np.zeros_like(model.P0), np.array(model.m0, float)
+        for k, o in enumerate(parts.own):
+            at, d = np.ix_(o, o), len(o)
+            g1, g2, b = (s[c][k, :d, :d] for c in ("gamma1", "gamma2", "beta"))
+            A[at] = transposed(psd_solve(g1, b.T))
+            c = A[at] @ b.T
+            Q[at] = project_psd((g2 - c - c.T + A[at] @ g1 @ A[at].T) / s["n"][k, 0])
+            m0[o] = s["m0"][k, :d] / s["n"][k, 1]
+            P0[at] = project_psd(s["P0"][k, :d, :d] / s["n"][k, 1] - np.outer(m0[o], m0[o]))
+        return replace(model, A=A, Q=Q, m0=m0, P0=P0)
+
+    return em(model, e_step, m_step, max_iter, tolerance)
 
 
 def smoothed(rows: DataFrame, model: Counts, key: str = "unit_id", order: str = "t", keep=("n", "z", "ll")) -> DataFrame:
@@ -368,30 +475,58 @@ def spikes(obs: SpikeObs, m, P, y, j):
     return laplace(m, P, y, obs.weights[j], obs.baseline[j], poisson(obs.dt))
 
 
-def refit_spikes(rows: DataFrame, obs: SpikeObs, y: str = "y", ridge: float = 1e-2) -> SpikeObs:
-    """One Newton step for each state and unit on state-conditional smoothed moments, in one job for all."""
+#: Step sizes that a line search values at once, and the share of the expected gain that a step has to bring.
+LADDER, GAIN = tuple(2.0**-k for k in range(12)), 1e-4
+
+
+def refit_spikes(rows: DataFrame, obs: SpikeObs, y: str = "y", ridge: float = 1e-2, rounds: int = 1) -> SpikeObs:
+    """Newton steps for each state and unit on state-conditional smoothed moments, two jobs a round for all of them.
+
+    A step moves no number by more than 1. All sizes of LADDER are then valued for all states and units in one pass,
+    and each takes the largest that lowers its own loss enough, or stays.
+    """
     K, n, d = obs.weights.shape
+    rows = reused(rows.select(y, "ms", "Vs", "ps"))
+
+    def expected(x, at, k, u):
+        """Expected counts of a unit in a state, its log rate, and how the state's spread leans on the weights."""
+        m, P, c = x["ms"][:, k], x["Vs"][:, k], at[k, u, 1:]
+        lift = np.einsum("nab,b->na", P, c)
+        return np.exp(np.clip(at[k, u, 0] + m @ c + 0.5 * (lift * c).sum(1), -50, 50)) * obs.dt, at[k, u, 0] + m @ c, lift
 
-    def make(x):
-        g, h = np.zeros((K, n, d + 1)), np.zeros((K, n, d + 1, d + 1))
-        for k in range(K):
-            m, P, w = x["ms"][:, k], x["Vs"][:, k], x["ps"][:, k]
-            for u in range(n):
-                c = obs.weights[k, u]
-                lift = np.einsum("nab,b->na", P, c)
-                mu = np.exp(np.clip(obs.baseline[k, u] + m @ c + 0.5 * lift @ c, -50, 50)) * obs.dt
-                v = np.concatenate([np.ones((len(m), 1)), m + lift], 1)
-                one = np.concatenate([np.ones((len(m), 1)), m], 1)
-                g[k, u] = ((w * mu)[:, None] * v - (w * x[y][:, u])[:, None] * one).sum(0)
-                h[k, u] = np.einsum("n,na,nb->ab", w * mu, v, v)
-                h[k, u, 1:, 1:] += np.einsum("n,nab->ab", w * mu, P)
-        return {"g": g, "h": h}
-
-    s = totals(rows, [y, "ms", "Vs", "ps"], make)
     at = np.concatenate([obs.baseline[..., None], obs.weights], axis=-1)
-    lift = np.diag([1e-6, *[ridge] * d])
-    move = -np.linalg.solve(s["h"] + lift, (s["g"] + np.concatenate([np.zeros((K, n, 1)), ridge * obs.weights], -1))[..., None])[..., 0]
-    at = at + np.clip(move, -1.0, 1.0)
+    for _ in range(rounds):
+        def make(x, at=at):
+            g, h = np.zeros((K, n, d + 1)), np.zeros((K, n, d + 1, d + 1))
+            for k in range(K):
+                m, P, w = x["ms"][:, k], x["Vs"][:, k], x["ps"][:, k]
+                for u in range(n):
+                    mu, _, lift = expected(x, at, k, u)
+                    v = np.concatenate([np.ones((len(m), 1)), m + lift], 1)
+                    one = np.concatenate([np.ones((len(m), 1)), m], 1)
+                    g[k, u] = ((w * mu)[:, None] * v - (w * x[y][:, u])[:, None] * one).sum(0)
+                    h[k, u] = np.einsum("n,na,nb->ab", w * mu, v, v)
+                    h[k, u, 1:, 1:] += np.einsum("n,nab->ab", w * mu, P)
+            return {"g": g, "h": h}
+
+        s = totals(rows, [y, "ms", "Vs", "ps"], make)
+        lift = np.diag([1e-6, *[ridge] * d])
+        slope = s["g"] + np.concatenate([np.zeros((K, n, 1)), ridge * at[..., 1:]], -1)
+        move = np.clip(-np.linalg.solve(s["h"] + lift, slope[..., None])[..., 0], -1.0, 1.0)
+        tried = np.array([at, *[at + size * move for size in LADDER]])
+
+        def losses(x, tried=tried):
+            out = np.zeros((len(tried), K, n))
+            for r, k, u in np.ndindex(out.shape):
+                mu, eta, _ = expected(x, tried[r], k, u)
+                out[r, k, u] = (x["ps"][:, k] * (mu - x[y][:, u] * eta)).sum()
+            return {"loss": out}
+
+        loss = totals(rows, [y, "ms", "Vs", "ps"], losses)["loss"] + 0.5 * ridge * (tried[..., 1:] ** 2).sum(-1)
+        gain = np.minimum((slope * move).sum(-1), 0)
+        good = loss[1:] <= loss[0] + GAIN * np.array(LADDER)[:, None, None] * gain
+        size = np.where(good.any(0), np.array(LADDER)[good.argmax(0)], 0.0)
+        at = at + size[..., None] * move
     return SpikeObs(at[..., 0], at[..., 1:], obs.dt)
 
 
