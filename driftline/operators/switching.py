@@ -12,12 +12,14 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from driftline.operators.kalman import measured
 from driftline.operators.matrices import log_det, log_sum_exp, mv, project_psd, psd_solve, safe_log, symmetric, transposed
-from driftline.plans.fitting import PSD_MATRIX, STOCHASTIC_ROW, UNCONSTRAINED, Fit, Transform, by_gradient, em, stacked
-from driftline.plans.fold import evidence, fold, totals
+from driftline.plans.fitting import PSD_MATRIX, STOCHASTIC_ROW, UNCONSTRAINED, Fit, Transform, by_gradient, converged, em, stacked
+from driftline.plans.fold import evidence, fold, side_by_side, to_numpy, totals
+from driftline.plans.lineage import reused
 
 #: Smoothed covariances are held to this many times the trace of the filter's.
 TRACE_CAP = 1e8
@@ -177,6 +179,12 @@ def smoothed(rows: DataFrame, model: Switching, key: str = "series_id", order: s
     cross are those of this row given both states, next_ms and next_Vs those of the next row; they
     are zeros at a series' last row.
     """
+    start, step, inputs = smoother_steps(model, second_order)
+    return fold(rows, key, order, start, step, SMOOTHED, inputs, keep, backward=True)
+
+
+def smoother_steps(model: Switching, second_order: bool = False) -> tuple[Callable, Callable, list[str]]:
+    """start, step and inputs of the smoother."""
     K, d = model.m0.shape
     lay = {"sm": (K, K, d), "sP": (K, K, d, d), "joint": (K, K)}
 
@@ -235,8 +243,7 @@ def smoothed(rows: DataFrame, model: Switching, key: str = "series_id", order: s
             carry = {"sm": rep(ms), "sP": rep(Ps), "joint": rep(ps) / K}
         return carry, out
 
-    inputs = ["m", "V", "p", *(["pm", "pV", "pp"] if second_order else [])]
-    return fold(rows, key, order, start, step, SMOOTHED, inputs, keep, backward=True)
+    return start, step, ["m", "V", "p", *(["pm", "pV", "pp"] if second_order else [])]
 
 
 def path_scores(filtered_rows: DataFrame) -> DataFrame:
@@ -284,6 +291,13 @@ def _weighted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 def statistics(rows: DataFrame, y: str | None = "y") -> dict[str, np.ndarray]:
     """Sums over all rows for the maximisation step, by state; rows keep the filter's ll and first."""
 
+    make, used = _sums(y)
+    return totals(rows, used, make)
+
+
+def _sums(y: str | None) -> tuple[Callable, list[str]]:
+    """What adds up the rows of a batch, and the columns that it reads."""
+
     def make(x):
         ms, Ps, ps, joint = x["ms"], x["Vs"], x["ps"], x["joint"]
         first = x["first"] > 0
@@ -301,8 +315,7 @@ def statistics(rows: DataFrame, y: str | None = "y") -> dict[str, np.ndarray]:
             out |= {"delta": np.einsum("nk,no,nka->koa", ps, x[y], ms), "alpha": np.einsum("nk,no,np->kop", ps, x[y], x[y])}
         return out
 
-    used = ["first", "ms", "Vs", "ps", "joint", "pair_m", "pair_P", "cross", "next_ms", "ll", *([y] if y else [])]
-    return totals(rows, used, make)
+    return make, ["first", "ms", "Vs", "ps", "joint", "pair_m", "pair_P", "cross", "next_ms", "ll", *([y] if y else [])]
 
 
 def maximised(model: Switching, s: dict[str, np.ndarray], concentration: float = 1.0, stickiness: float = 0.0, learn: tuple[str, ...] = ("A", "Q", "Z", "prior", "init", "obs"), shared_R: bool = True) -> Switching:
@@ -448,40 +461,183 @@ def window_moments(series: DataFrame, key: str = "series_id", order: str = "t",
     return got.select(key, "window", "n", F.array(*[F.col(f"s{i}") / window for i in range(n)]).alias("mean"), F.array(*[F.array(*r) for r in cov]).alias("cov"))
 
 
-def warm_start(series: DataFrame, model: Switching, key: str = "series_id", order: str = "t", y: str = "y", window: int = 50, rounds: int = 20, seed: int = 0) -> Switching:
-    """The model with a prior, first means and spread from a mixture over windows' covariances; unchanged with too few windows.
+def _upper(cov: np.ndarray) -> np.ndarray:
+    """What tells windows apart: the upper triangle of their covariances."""
+    i, j = np.triu_indices(cov.shape[-1])
+    return cov[:, i, j]
+
+
+def seeded(rows: DataFrame, k: int, starts: int = 5, rounds: int = 4, seed: int = 0) -> np.ndarray:
+    """(starts, k, features): first centres of windows for several starts, spread out by k-means||.
 
-    The mixture (one diagonal Gaussian a state) is fitted by sums over all windows, one job a round.
+    Each round draws windows with chances in proportion to their squared distance from the centres so far, 2k a round and
+    start on average, by a hash of the window; two jobs a round serve all starts. The candidates, weighed by the windows nearest to them,
+    are thinned to k on the driver by the same rule. A draw depends on the window and the seed alone.
     """
-    K, d = model.m0.shape
-    rows = window_moments(series, key, order, y, window)
-    n = len(series.select(y).first()[0])
-    upper = np.triu_indices(n)
-    every = totals(rows, ["mean", "cov"], lambda x: {"f": x["cov"][:, upper[0], upper[1]].sum(0), "ff": (x["cov"][:, upper[0], upper[1]] ** 2).sum(0), "n": np.array(float(len(x["mean"]))), "m": x["mean"].sum(0), "mm": (x["mean"] ** 2).sum(0), "v": np.einsum("waa->a", x["cov"])})
-    if not every or every["n"] < 2 * K or K < 2:
-        return model
-    mean, spread = every["f"] / every["n"], np.maximum(every["ff"] / every["n"] - (every["f"] / every["n"]) ** 2, 1e-12)
+    from driftline.operators.coupling import _uniform
+
+    rows = rows.select("cov", "__hash")
+    first = rows.orderBy("__hash").limit(starts).toArrow()
     rng = np.random.default_rng(seed)
-    centre, var, share = mean + np.sqrt(spread) * rng.normal(size=(K, len(mean))), np.tile(spread, (K, 1)), np.full(K, 1 / K)
-    for _ in range(rounds):
-        def make(x, centre=centre, var=var, share=share):
-            f = x["cov"][:, upper[0], upper[1]]
-            lp = np.log(share) - 0.5 * ((f[:, None] - centre) ** 2 / var + np.log(var)).sum(-1)
-            r = np.exp(lp - log_sum_exp(lp, 1)[:, None])
-            return {"r": r.sum(0), "f": r.T @ f, "ff": r.T @ f**2, "m": r.T @ x["mean"]}
+    held = [_upper(to_numpy(first.column("cov").combine_chunks()))[[s % first.num_rows]] for s in range(starts)]
+
+    def far(f, centres):
+        return ((f[:, None] - centres[None]) ** 2).sum(-1)
+
+    for turn in range(rounds):
+        total = totals(rows, ["cov"], lambda x, held=held: {"d": np.array([far(_upper(x["cov"]), c).min(1).sum() for c in held])})["d"]
+
+        def drawn(batches, held=held, total=total, turn=turn):
+            for batch in batches:
+                f, h = _upper(to_numpy(batch.column("cov"))), batch.column("__hash").to_numpy().view(np.uint64)
+                for s, c in enumerate(held):
+                    with np.errstate(over="ignore"):
+                        u = _uniform(h * np.uint64(31) + np.uint64(turn * len(held) + s + 1000 * seed))
+                    at = np.flatnonzero(u * max(total[s], 1e-300) < 2 * k * far(f, c).min(1))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(f[at].tolist(), pa.list_(pa.float64()))], names=["s", "f"])
+
+        found = rows.mapInArrow(drawn, "s int, f array<double>").toArrow()
+        for s in range(starts):
+            own = [f for t, f in zip(found.column("s").to_pylist(), found.column("f").to_pylist()) if t == s]
+            if own:
+                held[s] = np.unique(np.concatenate([held[s], np.array(own)]), axis=0)
+
+    def counted(x):
+        f = _upper(x["cov"])
+        return {str(s): np.bincount(far(f, c).argmin(1), minlength=len(c)) for s, c in enumerate(held)}
+
+    weight, out = totals(rows, ["cov"], counted), []
+    for s, c in enumerate(held):
+        w = np.maximum(weight[str(s)], 1e-12)
+        chosen = [int(rng.choice(len(c), p=w / w.sum()))]
+        while len(chosen) < k:
+            d = w * far(c, c[chosen]).min(1)
+            chosen.append(int(rng.choice(len(c), p=d / d.sum() if d.sum() > 0 else w / w.sum())))
+        out.append(c[chosen])
+    return np.array(out)
+
+
+def mixture(rows: DataFrame, k: int, rounds: int = 20, starts: int = 5, seed: int = 0, floor: float = 1e-6) -> dict[str, np.ndarray]:
+    """A mixture of k Gaussians with full covariances over windows' covariances: share, centre, spread, means of windows, likelihood.
+
+    Several starts run at once, one job a round for all of them, and the likeliest is taken; sums are matrices of the
+    features' size, so what a round gathers does not grow with the windows. One of fewer windows than states is None.
+    """
+    every = totals(rows, ["cov"], lambda x: {"n": np.array(float(len(x["cov"]))), "f": _upper(x["cov"]).sum(0), "ff": _upper(x["cov"]).T @ _upper(x["cov"])})
+    if not every or every["n"] < 2 * k:
+        return {}
+    mean = every["f"] / every["n"]
+    whole = symmetric(every["ff"] / every["n"] - np.outer(mean, mean))
+    lift = floor * max(float(np.trace(whole)) / len(mean), 1e-12) * np.eye(len(mean))
+    centre, spread = seeded(rows, k, starts, seed=seed), np.tile(whole + lift, (starts, k, 1, 1))
+    share = np.full((starts, k), 1 / k)
+    for step in range(rounds + 1):
+        def make(x, centre=centre, spread=spread, share=share):
+            f = _upper(x["cov"])
+            off = f[None, None] - centre[:, :, None]
+            pull = np.linalg.solve(spread, np.swapaxes(off, -1, -2))
+            quad = np.einsum("skwa,skaw->skw", off, pull)
+            lp = np.log(np.maximum(share, 1e-300))[..., None] - 0.5 * (quad + np.linalg.slogdet(spread)[1][..., None] + f.shape[1] * np.log(2 * np.pi))
+            z = log_sum_exp(lp, 1)
+            r = np.exp(lp - z[:, None])
+            return {"r": r.sum(2), "f": r @ f, "ff": np.einsum("skw,wa,wb->skab", r, f, f), "m": r @ x["mean"], "ll": z.sum(1)}
 
         s = totals(rows, ["mean", "cov"], make)
-        w = np.maximum(s["r"], 1e-10)[:, None]
-        centre, var, share = s["f"] / w, np.maximum(s["ff"] / w - (s["f"] / w) ** 2, 1e-6 * spread), np.maximum(s["r"], 1e-10) / max(s["r"].sum(), 1e-10)
-    prior = share * 0.9 + 0.1 / K
+        if step == rounds:
+            break
+        w = np.maximum(s["r"], 1e-10)
+        centre = s["f"] / w[..., None]
+        spread = symmetric(s["ff"] / w[..., None, None] - centre[..., :, None] * centre[..., None, :]) + lift
+        spread = project_psd(spread, float(lift[0, 0]))
+        share = w / w.sum(1, keepdims=True)
+    best = int(np.argmax(s["ll"]))
+    return {"share": share[best], "centre": centre[best], "spread": spread[best], "mean": s["m"][best] / np.maximum(s["r"][best], 1e-10)[:, None], "log_likelihood": s["ll"][best]}
+
+
+def warm_start(series: DataFrame, model: Switching, key: str = "series_id", order: str = "t", y: str = "y", window: int = 50, rounds: int = 20, seed: int = 0, starts: int = 5) -> Switching:
+    """The model with a prior, first means and spread from a mixture over windows' covariances; unchanged with too few windows.
+
+    The mixture has full covariances, centres spread out by k-means|| and several starts, all in one job a round.
+    """
+    from pyspark.sql import functions as F
+
+    K, d = model.m0.shape
+    if K < 2:
+        return model
+    rows = reused(window_moments(series, key, order, y, window).withColumn("__hash", F.xxhash64(F.lit(seed), key, "window")))
+    got = mixture(rows, K, rounds, starts, seed)
+    if not got:
+        return model
+    every = totals(rows, ["mean", "cov"], lambda x: {"n": np.array(float(len(x["mean"]))), "m": x["mean"].sum(0), "mm": (x["mean"] ** 2).sum(0), "v": np.einsum("waa->a", x["cov"])})
+    prior = got["share"] * 0.9 + 0.1 / K
     total = every["v"] / every["n"] + every["mm"] / every["n"] - (every["m"] / every["n"]) ** 2
     new = replace(model, prior=prior / prior.sum(), P0=np.repeat(max(float(total.mean()), 1e-6) * np.eye(d)[None], K, 0))
     H = model.obs.H
     if np.allclose(H, H[:1]):  # only where all states see alike do means of windows say where they begin
-        new = replace(new, m0=(s["m"] / w) @ np.linalg.pinv(H[0]).T)
+        new = replace(new, m0=got["mean"] @ np.linalg.pinv(H[0]).T)
     return new
 
 
+def statistics_of(series: DataFrame, models: list[Switching], inputs: list[str], key: str = "series_id", order: str = "t", second_order: bool = False, y: str | None = "y") -> list[dict[str, np.ndarray]]:
+    """`statistics` under each of several models: all of them in one filter pass, one smoother pass and one sum."""
+    into = {"m": 3, "V": 4, "p": 2, "ll": 1, "first": 0} | ({"pm": 4, "pV": 5, "pp": 3} if second_order else {})
+    rows = fold(series, key, order, *side_by_side([steps_of(m, inputs, second_order) for m in models]), into, inputs, inputs)
+    back = [smoother_steps(m, second_order) for m in models]
+    given = back[0][2]
+    start, step = side_by_side([(a, b) for a, b, _ in back], given)
+    rows = fold(rows, key, order, start, step, {k: v + 1 for k, v in SMOOTHED.items()}, given, [*inputs, "ll", "first"], backward=True)
+    make, used = _sums(y)
+    shared = {"first", *([y] if y else [])}
+
+    def each(x):
+        return {f"{k} {name}": v for k in range(len(models)) for name, v in make({c: a if c in shared else a[:, k] for c, a in x.items()}).items()}
+
+    got = totals(rows, used, each)
+    return [{name.split(" ", 1)[1]: v for name, v in got.items() if name.startswith(f"{k} ")} for k in range(len(models))]
+
+
+def fit_restarts(series: DataFrame, starts: list[Switching], inputs: list[str], max_iter: int = 20, tolerance: float = 1e-4, key: str = "series_id", order: str = "t", second_order: bool = False, project: Callable[[Switching], Switching] = lambda m: m, **how) -> tuple[Fit, list[Fit]]:
+    """EM from several starts at once: the best fit, and that of each start.
+
+    A step takes one filter, one smoother and one sum for all starts that are still moving. A start whose likelihood
+    falls stops with its last good parameters; one whose numbers break down before its first likelihood is lost.
+    """
+    y = inputs[0] if isinstance(starts[0].obs, GaussianObs) else None
+    fits, held = [Fit(m) for m in starts], {}
+    trying, done = dict(enumerate(starts)), set()
+    for step in range(max_iter + 1):
+        if not trying:
+            break
+        got = statistics_of(series, list(trying.values()), inputs, key, order, second_order, y)
+        for (k, model), s in zip(list(trying.items()), got):
+            ll, fit = float(s["ll"]), fits[k]
+            if not all(np.isfinite(v).all() for v in s.values()):  # a likelihood may stay finite where moments do not
+                done.add(k)
+                continue
+            if fit.log_likelihoods:
+                small, fell = converged(ll, fit.log_likelihood, tolerance)
+                if fell:
+                    done.add(k)
+                    continue
+                fit.converged = small
+                if small:
+                    done.add(k)
+            fit.params, held[k] = model, s
+            fit.log_likelihoods.append(ll)
+        trying = {}
+        for k in range(len(starts)) if step < max_iter else []:
+            if k not in done:
+                try:
+                    trying[k] = project(maximised(fits[k].params, held[k], **how))
+                except (np.linalg.LinAlgError, FloatingPointError, ValueError):
+                    done.add(k)
+    live = [f for f in fits if f.log_likelihoods]
+    if not live:
+        raise FloatingPointError("no start led to a fit")
+    return max(live, key=lambda f: f.log_likelihood), fits
+
+
 def best_of(starts: list[Switching], run: Callable[[Switching], Fit]) -> Fit:
     """The fit of the largest likelihood from several starts; starts that break down are passed over."""
     got = []

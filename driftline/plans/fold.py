@@ -158,6 +158,36 @@ def together(parts: Sequence[tuple[Callable, Callable]]) -> tuple[Callable, Call
     return start, step
 
 
+def side_by_side(parts: Sequence[tuple[Callable, Callable]], split: Sequence[str] = ()) -> tuple[Callable, Callable]:
+    """start and step of several recursions over the same rows, whose outputs are stacked behind the series' axis.
+
+    Inputs in `split` are stacked so themselves, one slice a recursion. A recursion whose algebra breaks down gives
+    NaN from then on and leaves the others alone.
+    """
+
+    def start(n):
+        return {f"{k} {name}": v for k, (begin, _) in enumerate(parts) for name, v in begin(n).items()}
+
+    def step(s, x, fresh):
+        carry, outs = {}, []
+        for k, (_, go) in enumerate(parts):
+            own = {name.split(" ", 1)[1]: v for name, v in s.items() if name.startswith(f"{k} ")}
+            given = {c: v[:, k] if c in split else v for c, v in x.items()}
+            try:
+                after, out = go(own, given, fresh)
+            except np.linalg.LinAlgError:
+                after, out = {name: np.full_like(np.asarray(v, float), np.nan) for name, v in own.items()}, None
+            carry |= {f"{k} {name}": v for name, v in after.items()}
+            outs.append(out)
+        alive = next((o for o in outs if o is not None), None)
+        if alive is None:
+            raise np.linalg.LinAlgError("no recursion is left")
+        fill = {name: np.full_like(np.asarray(v, float), np.nan) for name, v in alive.items()}
+        return carry, {name: np.stack([(o or fill)[name] for o in outs], 1) for name in alive}
+
+    return start, step
+
+
 def evidence(rows: DataFrame, parts: Sequence[tuple[Callable, Callable]], inputs: Sequence[str], key: str, order: str) -> list[float]:
     """Sum of `ll` over all rows for each of several recursions, in one pass."""
     got = fold(rows, key, order, *together(parts), {"ll": 1}, inputs)

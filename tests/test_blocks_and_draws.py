@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
-from driftline.operators import coupling, kalman, point_process
+from driftline.operators import coupling, kalman, point_process, switching
 from driftline.operators.matrices import block_diagonal, project_psd, psd_solve, symmetric
 from driftline.plans.fold import totals
+from driftline.sources import simulated
 
 
 def dense_model(r):
@@ -115,3 +116,52 @@ def test_polya_gamma_draws_are_exact(eta):
     assert abs(((x - mean) ** 2).mean() - variance) < 4 * spread
     again = coupling.draw_polya_gamma(np.full((2, 3), eta), np.arange(6, dtype=np.uint64).reshape(2, 3) + np.uint64(7))
     assert np.array_equal(again.ravel(), x[:6])
+
+
+def regimes(scale=1.0):
+    obs = switching.GaussianObs(np.array([np.eye(2)] * 2), np.array([0.3 * np.eye(2)] * 2))
+    A = np.array([0.95 * np.eye(2), scale * 0.3 * np.eye(2)])
+    return switching.Switching(A, np.array([0.1 * np.eye(2), np.eye(2)]), np.zeros((2, 2)), np.array([np.eye(2)] * 2), np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5]), switching.gaussian, obs)
+
+
+def test_five_restarts_as_five_fits(spark):
+    """All starts share each pass; one that breaks down leaves the others alone."""
+    rows = simulated.switching(spark, 3, 60, regimes(), seed=9).coalesce(1).cache()
+    base = regimes(0.5)
+    broken = switching.Switching(base.A * np.nan, base.Q, base.m0, base.P0, base.Z, base.prior, base.observe, base.obs)
+    starts = [base, regimes(1.5), broken, switching.Switching(base.A, 4 * base.Q, base.m0, base.P0, base.Z, base.prior, base.observe, base.obs), regimes(0.1)]
+    best, fits = switching.fit_restarts(rows, starts, ["y"], max_iter=2)
+    for k, fit in enumerate(fits):
+        if k == 2:
+            assert not fit.log_likelihoods
+            continue
+        alone = switching.fit(rows, starts[k], ["y"], max_iter=2)
+        assert fit.log_likelihoods == pytest.approx(alone.log_likelihoods, rel=1e-9)
+        assert fit.params.A == pytest.approx(alone.params.A, rel=1e-7)
+    assert best.log_likelihood == max(f.log_likelihood for f in fits if f.log_likelihoods)
+    with pytest.raises(FloatingPointError):
+        switching.fit_restarts(rows, [broken], ["y"], max_iter=1)
+
+
+def test_a_mixture_finds_regimes_that_differ_in_correlation_only(spark):
+    """Same variances and means, correlation of 0.8 or -0.8, in stretches of 50 rows."""
+    r = np.random.default_rng(12)
+    rows, truth = [], {}
+    for k in range(4):
+        for w in range(30):
+            sign = 1 if r.random() < 0.6 else -1
+            truth[k, w] = sign
+            draws = r.multivariate_normal([0, 0], [[1, 0.8 * sign], [0.8 * sign, 1]], 50)
+            rows += [(k, 50 * w + i, y.tolist()) for i, y in enumerate(draws)]
+    df = spark.createDataFrame(rows, "series_id long, t int, y array<double>")
+    from pyspark.sql import functions as F
+
+    windows = switching.window_moments(df, "series_id", "t", "y", 50).withColumn("__hash", F.xxhash64("series_id", "window")).cache()
+    got = switching.mixture(windows, 2, rounds=15)
+    order = np.argsort(got["centre"][:, 1])
+    assert got["centre"][order, 1] == pytest.approx([-0.8, 0.8], abs=0.08)
+    assert got["share"][order[1]] == pytest.approx(np.mean([v > 0 for v in truth.values()]), abs=0.02)
+    assert got["spread"].shape == (2, 3, 3) and np.linalg.eigvalsh(got["spread"]).min() > 0
+    again = switching.mixture(windows.repartition(7), 2, rounds=15)
+    assert sorted(again["centre"][:, 1]) == pytest.approx(sorted(got["centre"][:, 1]), abs=1e-6)  # partitions do not matter
+    assert switching.mixture(windows.limit(3), 2) == {}
