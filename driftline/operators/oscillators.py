@@ -296,3 +296,39 @@ def gradient_family(kind: str, fs: float = 1.0, penalty: Penalty | None = None):
 
     pull = (lambda p: penalty.of(p["strength"])) if penalty else (lambda p: 0.0)
     return spec, build, pull
+
+
+def with_spikes(model: Switching, baseline: np.ndarray, weights: np.ndarray, dt: float) -> Switching:
+    """The model's oscillators seen by counts of units instead: baseline (units) and weights (units, 2n), for all states or one such for each."""
+    from dataclasses import replace
+
+    from driftline.operators.point_process import SpikeObs, spikes
+
+    K, d = model.m0.shape
+    weights = np.asarray(weights, float)
+    baseline = np.broadcast_to(np.asarray(baseline, float), (K, weights.shape[-2]))
+    return replace(model, observe=spikes, obs=SpikeObs(baseline, np.broadcast_to(weights, (K, *weights.shape[-2:])), dt))
+
+
+def spike_family(kind: str, dt: float, fs: float = 1.0, penalty: Penalty | None = None):
+    """spec, build and penalty for switching.fit_gradient of oscillators seen by counts of spikes: as `gradient_family`, with baseline and weights in place of H and r."""
+    from driftline.plans.fitting import UNCONSTRAINED
+
+    spec, _, pull = gradient_family(kind, fs, penalty)
+    spec = {c: t for c, t in spec.items() if c not in ("H", "r")} | {"baseline": UNCONSTRAINED, "weights": UNCONSTRAINED}
+    make = {"common": common_model, "correlated": correlated_model, "directed": directed_model}[kind]
+
+    def build(fixed: dict):
+        def model(p):
+            v = dict(fixed | p)
+            baseline, weights = v.pop("baseline"), np.asarray(v.pop("weights"), float)
+            if "stay" in v:
+                v["stay"] = float(np.ravel(v["stay"])[0])
+            if kind == "common":  # what its sources would see; counts take their place
+                K = weights.shape[0] if weights.ndim == 3 else np.shape(baseline)[0] if np.ndim(baseline) == 2 else 1
+                v["H"] = np.zeros((K, 1, weights.shape[-1]))
+            return with_spikes(make(fs=fs, r=1.0, **v), baseline, weights, dt)
+
+        return model
+
+    return spec, build, pull

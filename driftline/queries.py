@@ -1506,6 +1506,33 @@ def switching_spikes(spark, d):
     return _cells(got, 4, ll=(), ms=(2, 2), Vs=(2, 2, 2), ps=(2,))
 
 
+_SPIKE_PATHS = {"freqs": [0.1], "baseline": np.array([[0.5, 0.5], [1.0, 1.0]]), "weights": np.array([0.3 * np.eye(2), 0.6 * np.eye(2)])}
+
+
+def _spike_gradient_sql():
+    c, s, e = math.cos(2 * math.pi * 0.1), math.sin(2 * math.pi * 0.1), np.eye(2)
+    base, w = _SPIKE_PATHS["baseline"], _SPIKE_PATHS["weights"]
+
+    def recur(tag, rows, keys):
+        d, q = O.column("damping"), O.column("variance")
+        A, Q = np.array([[c * d, -s * d], [s * d, c * d]], object), np.array([[q, 0.0], [0.0, q]], object)
+        observe = lambda t, x, P, j: O.counted(t, np.asarray(x, object), np.asarray(P, object), _Y, w[j], base[j])
+        return ", " + O.switching_filter(f"SH{tag}", rows, 2, 2, [A, A], [Q, Q], np.zeros((2, 2)), np.array([e, e]), np.array([[0.98, 0.02], [0.02, 0.98]]), np.array([0.5, 0.5]), observe, (), keys)
+
+    cells = lambda xs: {"damping": f"1 / (1 + exp(-{xs[0]}))", "variance": f"ln(1 + exp({xs[1]}))"}
+    return f", {_DAILY}{_PAIRED}" + _ascent_sql("DC", [_logit(0.9), _soft(0.1)], cells, recur, "SH")
+
+
+@_query(_spike_gradient_sql)
+def spike_oscillator_gradient(spark, d):
+    """A step of Adam for an oscillator whose states differ in how two units see it."""
+    spec, build, _ = oscillators.spike_family("common", 1.0)
+    at = {"damping": np.array([0.9]), "variance": np.array([0.1])}
+    rows = _spike_counts(spark, d)
+    got = switching.fit_gradient(rows, at, {c: spec[c] for c in at}, build(_SPIKE_PATHS), ["y"], steps=2)
+    return _ascent(spark, got, {c: v[0] for c, v in at.items()}, {c: v[0] for c, v in got.params.items()}, rows.count())
+
+
 def _spike_refit_sql():
     m, sql, parts = _spike_states(), _switching_spikes_sql(), []
     for k in range(2):

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftline.operators import coupling, kalman, point_process, switching
+from driftline.operators import coupling, kalman, oscillators, point_process, switching
 from driftline.operators.matrices import block_diagonal, project_psd, psd_solve, symmetric
 from driftline.plans.fold import totals
 from driftline.sources import simulated
@@ -165,3 +165,23 @@ def test_a_mixture_finds_regimes_that_differ_in_correlation_only(spark):
     again = switching.mixture(windows.repartition(7), 2, rounds=15)
     assert sorted(again["centre"][:, 1]) == pytest.approx(sorted(got["centre"][:, 1]), abs=1e-6)  # partitions do not matter
     assert switching.mixture(windows.limit(3), 2) == {}
+
+
+@pytest.mark.parametrize("kind", ["common", "correlated", "directed"])
+def test_gradient_fits_of_oscillators_seen_by_spikes(spark, kind):
+    r = np.random.default_rng(13)
+    rows = [(k, t, r.poisson(np.exp(0.2 + 0.8 * np.cos(2 * np.pi * 0.1 * t + np.arange(2)))).tolist()) for k in range(3) for t in range(40)]
+    df = spark.createDataFrame(rows, "series_id long, t int, y array<int>").coalesce(1).cache()
+    spec, build, pull = oscillators.spike_family(kind, 1.0, penalty=oscillators.Penalty(edge=0.01) if kind == "directed" else None)
+    each = r.normal(size=(2, 2, 4)) * 0.3
+    at = {"damping": np.array([0.8, 0.7]), "weights": each if kind == "common" else each[0], "baseline": np.zeros(2)}
+    fixed = {"freqs": [0.12, 0.2], "variance": [0.2, 0.2]}
+    if kind != "common":
+        turn = np.array([[0.0, 0.5], [0.5, 0.0]])
+        fixed |= {"phase": [np.triu(turn)] * 2 if kind == "correlated" else [turn] * 2}
+        strength = np.array([np.zeros((2, 2)), [[0.0, 0.1], [0.0, 0.0]]])
+        at, fixed = (at, fixed | {"strength": strength, "variance": [[0.2, 0.2]] * 2}) if kind == "correlated" else (at | {"strength": strength}, fixed)
+    model = build(fixed)(at)
+    assert model.obs.weights.shape == (2, 2, 4) and model.obs.baseline.shape == (2, 2)
+    got = switching.fit_gradient(df, at, {c: spec[c] for c in at}, build(fixed), ["y"], steps=4, rate=0.05, penalty=pull)
+    assert np.diff(got.log_likelihoods).min() > 0
