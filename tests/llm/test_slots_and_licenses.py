@@ -94,6 +94,8 @@ def test_every_sentence_and_rule_on_one_line_and_wrapped(spark):
     by_id = {}
     for sentence, i in license_scan.SENTENCES.items():
         by_id.setdefault(i, sentence.replace("{}", "J. Doe, of Example Inc"))
+    for name, i in license_scan.UNDER.items():
+        by_id.setdefault(i, f"this software is licensed under the terms of the {name}")
     texts = []
     for sentence in license_scan.SENTENCES:
         full = sentence.replace("{}", "J. Doe, of Example Inc")
@@ -179,3 +181,87 @@ def test_wrapped_licences(spark):
     frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["licenses"] for r in license_scan.report(frame).collect()}
     assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
+OPENINGS = {
+    "GPL-3.0-only": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+""",
+    "GPL-2.0-only": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Copyright (C) 1989, 1991 Free Software Foundation, Inc.,
+ 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+""",
+    "LGPL-2.1-only": """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+""",
+    "LGPL-3.0-only": """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+""",
+    "AGPL-3.0-only": """                    GNU AFFERO GENERAL PUBLIC LICENSE
+                       Version 3, 19 November 2007
+""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+""",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n",
+    "EPL-2.0": "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE (\"AGREEMENT\").\n",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge,\n",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+The software is provided "as is" and the author disclaims all warranties
+with regard to this software including all implied warranties of
+merchantability and fitness.
+""",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM",
+    "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike 4.0 International\n\n=====\n",
+    "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International Public\nLicense\n",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.\n",
+    "Artistic-2.0": "                       The Artistic License 2.0\n\n           Copyright (c) 2000-2006, The Perl Foundation.",
+    "WTFPL": "            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n                    Version 2, December 2004\n",
+}
+LINES = {
+    "// SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0,MIT",
+    "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only,unknown",
+    "/* SPDX-License-Identifier: (MIT AND BSD-3-Clause) */": "MIT,BSD-3-Clause",
+    "This program is licensed under the MIT License.": "MIT",
+    "This project is licensed under the terms of the MIT license.": "MIT",
+    "The code is released under the Apache License, Version 2.0.": "Apache-2.0",
+    "This library is distributed under the terms of the GNU\n# Lesser General Public License version 2.1.": "LGPL-2.1-only",
+    "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+    "The software is available under the Mozilla Public License 2.0.": "MPL-2.0",
+    "This work is licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0\nInternational License.": "CC-BY-NC-ND-4.0",
+    "This document is published under CC-BY-SA-4.0.": "CC-BY-SA-4.0",
+    "The dataset is made available under the ISC license.": "ISC",
+    "This program is licensed under the terms that we agree on.": "",
+    "Whether it is licensed under the MIT License we do not say": "",
+}
+
+
+def test_openings_of_whole_licences_templates_and_expressions(spark):
+    cases = [*OPENINGS.items(), *[(want, text) for text, want in LINES.items()]]
+    frame = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.report(frame).collect()}
+    assert {k: got[k] for k in got} == {k: want for k, (want, _) in enumerate(cases)}
