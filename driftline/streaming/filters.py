@@ -117,3 +117,70 @@ def sessions(stream: DataFrame, time: str, gap: str, late: str, *keys: str) -> D
 def into_folder(frame: DataFrame, folder: str, checkpoint: str) -> None:
     """Runs a stream over what there is and appends it to Parquet files."""
     frame.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: The state store that timers and lists of state need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def in_event_time(stream: DataFrame, key: str, time: str, delay: str, start: Callable, step: Callable, into: dict[str, int], inputs: Sequence[str]) -> DataFrame:
+    """(key, time, into) of a fold over a stream whose rows come in any order, up to `delay` late: as a batch in order of time.
+
+    Rows wait in a list of state until the watermark has passed them; then a timer takes all that are due, in order of
+    time, and the carry goes on. time: a timestamp; delay: as of withWatermark. A key's rows of one time are taken
+    one after another, in the order of their inputs. Rows later than the delay are dropped, and rows that the
+    watermark has not passed are not given yet. The session needs the state store ROCKSDB; a null key is a series.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    shapes = {k: v.shape[1:] for k, v in start(1).items()}
+    sizes = [int(np.prod(s, dtype=int)) for s in shapes.values()]
+    fields = [stream.schema[c] for c in dict.fromkeys([time, *inputs])]
+    out = T.StructType([stream.schema[key], stream.schema[time], *[T.StructField(c, kind_of(d)) for c, d in into.items()]])
+    columns = [f.name for f in fields]
+    plain = lambda x: x.tolist() if isinstance(x, np.ndarray) else x
+
+    class InOrder(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", T.StructType(fields))
+            self.carry = handle.getValueState("carry", T.StructType([T.StructField("carry", T.ArrayType(T.DoubleType()))]))
+
+        def handleInputRows(self, key, rows, timerValues):
+            came = pd.concat(list(rows))
+            self.waiting.appendList([tuple(plain(v) for v in r) for r in came[columns].itertuples(index=False)])
+            due = int(came[time].min().timestamp() * 1000) + 1
+            if not any(t <= due for t in self.handle.listTimers()):
+                self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=columns)
+            passed = held[time] <= pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+            rest = held[~passed]
+            if len(rest):
+                self.waiting.put([tuple(plain(v) for v in r) for r in rest.itertuples(index=False)])
+                self.handle.registerTimer(int(rest[time].min().timestamp() * 1000) + 1)
+            else:
+                self.waiting.clear()
+            due = held[passed].sort_values(columns[:1] + [c for c in columns[1:] if not isinstance(held[c].iloc[0], list)], kind="stable")
+            if not len(due):
+                return iter([])
+            carry, fresh = start(1), not self.carry.exists()
+            if not fresh:
+                parts = np.split(np.asarray(self.carry.get()[0], float), np.cumsum(sizes)[:-1])
+                carry = {k: x.reshape(1, *s) for (k, s), x in zip(shapes.items(), parts)}
+            made: dict[str, list] = {c: [] for c in into}
+            for n in range(len(due)):
+                row = {c: np.asarray([due[c].iloc[n]], float) for c in inputs}
+                carry, got = step(carry, row, np.array([fresh and n == 0]))
+                for c in into:
+                    made[c].append(got[c][0].tolist() if into[c] else float(got[c][0]))
+            self.carry.update((np.concatenate([np.ravel(carry[k]) for k in shapes]).tolist(),))
+            return iter([pd.DataFrame({out.names[0]: [key[0]] * len(due), time: due[time].to_numpy(), **made})])
+
+        def close(self) -> None:
+            pass
+
+    used = stream.select(*dict.fromkeys([key, time, *inputs])).withWatermark(time, delay)
+    return used.groupBy(key).transformWithStateInPandas(InOrder(), out, "append", "EventTime")
