@@ -838,6 +838,22 @@ def kernel_rates(spark, d):
     return _cells(mapped(rows, ["at"], {"rate": 1}, lambda v: {"rate": k.at(v["at"])[0]}, ["c_custkey"]), 7, ("c_custkey",), rate=(2,))
 
 
+@_query("""
+, EN AS (SELECT l_quantity AS x, round(l_discount * 100) AS y, (l_linenumber % 3)::DOUBLE AS s0, (l_linenumber % 4)::DOUBLE AS s1 FROM lineitem),
+EG AS (SELECT x, y, count(*) AS n, sum(s0) AS s0, sum(s1) AS s1 FROM EN GROUP BY 1, 2), QP AS (SELECT c_custkey, c_nationkey * 2.0 AS x, abs(c_acctbal) / 1000 AS y FROM customer),
+K AS (SELECT c_custkey, exp(-((q.x - e.x) ** 2 + (q.y - e.y) ** 2) / 32) AS k, s0, s1, n FROM QP q CROSS JOIN EG e)
+SELECT c_custkey, round(ln((sum(k * s0) + 0.3) / (sum(k * n) * 0.5 + 0.3)), 4) + 0.0 AS rate0, round(ln((sum(k * s1) + 0.6) / (sum(k * n) * 0.5 + 0.3)), 4) + 0.0 AS rate1 FROM K GROUP BY 1""")
+def kernel_cells(spark, d):
+    """Log rates at queries from every row of a large encoding table, gathered in cells."""
+    line = table(spark, d, "lineitem").select(
+        F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"), F.lit(0.5).alias("weight"),
+        F.array((F.col("l_linenumber") % 3).cast("double"), (F.col("l_linenumber") % 4).cast("double")).alias("spikes"),
+    )
+    k = spatial.cell_kernels(line, 16.0, np.array([1.0, 2.0]), 0.3)
+    rows = table(spark, d, "customer").select("c_custkey", F.array((F.col("c_nationkey") * 2).cast("double"), (F.abs("c_acctbal") / 1000).cast("double")).alias("at"))
+    return _cells(mapped(rows, ["at"], {"rate": 1}, lambda v: {"rate": k.at(v["at"])[0]}, ["c_custkey"]), 4, ("c_custkey",), rate=(2,))
+
+
 def _regression_sql():
     """Newton steps of a ridge Poisson regression of quantities on two numbers."""
     sql = ", RG AS (SELECT least(l_quantity, 9)::DOUBLE AS n, 1e0 AS z0, (l_discount * 10)::DOUBLE AS z1, (l_tax * 10)::DOUBLE AS z2 FROM lineitem)"

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftline.operators import coupling, kalman, oscillators, point_process, switching
+from driftline.operators import coupling, kalman, oscillators, point_process, spatial, switching
 from driftline.operators.matrices import block_diagonal, project_psd, psd_solve, symmetric
 from driftline.plans.fold import totals
 from driftline.sources import simulated
@@ -185,3 +185,28 @@ def test_gradient_fits_of_oscillators_seen_by_spikes(spark, kind):
     assert model.obs.weights.shape == (2, 2, 4) and model.obs.baseline.shape == (2, 2)
     got = switching.fit_gradient(df, at, {c: spec[c] for c in at}, build(fixed), ["y"], steps=4, rate=0.05, penalty=pull)
     assert np.diff(got.log_likelihoods).min() > 0
+
+
+def test_kernels_in_cells_stay_within_their_bound(spark):
+    """A million positions; sums against all of them at some places, and slopes against differences."""
+    n = 1_000_000
+    table = spark.range(n).selectExpr(
+        "100 * (0.5 + 0.5 * sin(id * 0.001)) AS x", "100 * (0.5 + 0.5 * cos(id * 0.00137)) AS y", "0.004 AS weight", "array(CAST(id % 7 = 0 AS int), CAST(id % 11 = 0 AS int)) AS spikes")
+    k = spatial.cell_kernels(table, 25.0, np.array([1.0, 2.0]), 0.1)
+    assert k.rows.sum() == n and len(k.codes) < 10_000
+    i = np.arange(n)
+    at = np.stack([100 * (0.5 + 0.5 * np.sin(i * 0.001)), 100 * (0.5 + 0.5 * np.cos(i * 0.00137))], 1)
+    mass = np.stack([np.full(n, 0.004), i % 7 == 0, i % 11 == 0], 1)
+    places = np.array([[50.0, 50.0], [3.0, 97.0], [20.0, 71.5], [-10.0, 40.0], [99.9, 0.2]])
+    value, slope = k.sums(places)
+    for p, got in zip(places, value):
+        want = np.exp(-((p - at) ** 2).sum(1) / 50) @ mass
+        assert (np.abs(got - want) <= k.error * mass.sum(0)).all()
+        assert got == pytest.approx(want, rel=2e-4, abs=1e-6)
+    rate, grad = k.at(places)
+    for c in (0, 1):
+        e = np.eye(2)[c] * 1e-4
+        assert grad[..., c] == pytest.approx((k.at(places + e)[0] - k.at(places - e)[0]) / 2e-4, abs=1e-3)
+    few = spatial.Kernels(at[::50_000], mass[::50_000, 1:], mass[::50_000, 0], 25.0, np.array([1.0, 2.0]), 0.1)
+    small = spatial.cell_kernels(table.filter("id % 50000 = 0"), 25.0, np.array([1.0, 2.0]), 0.1)
+    assert small.at(places)[0] == pytest.approx(few.at(places)[0], abs=1e-6) and small.at(places)[1] == pytest.approx(few.at(places)[1], abs=1e-6)
