@@ -1,7 +1,8 @@
 """Latents that follow a learned separable Hamiltonian: leapfrog steps, extended filters and smoothers, gradient fits.
 
-H = p'p / 2 + omega^2 q'q / 2 + net(q) - net(0). The net has one hidden layer of tanh units, so
-force and curvature have closed forms.
+H = p'p / 2 + omega^2 q'q / 2 + net(q) - net(0). The net has any number of hidden layers of tanh
+units. Force and curvature are carried through it layer by layer, first and second slopes in q
+beside the values, for all series of a batch at once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from driftline.plans.fold import evidence, fold, totals
 
 @dataclass(frozen=True)
 class Hamiltonian:
-    """omega (n), w (hidden, n), b (hidden), v (hidden); noise Q (2n, 2n); field: C, offset, R; spikes: W, baseline."""
+    """omega (n), w (hidden, n), b (hidden), v (hidden); noise Q (2n, 2n); field: C, offset, R; spikes: W, baseline.
+
+    inner: weights (units, units before) and offsets (units) of each further hidden layer; v reads the last one.
+    """
 
     omega: np.ndarray
     w: np.ndarray
@@ -33,6 +37,16 @@ class Hamiltonian:
     R: np.ndarray | None = None
     W: np.ndarray | None = None
     baseline: np.ndarray | None = None
+    inner: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
+
+    @property
+    def layers(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.w, self.b), *self.inner]
+
+    @property
+    def weight(self) -> float:
+        """Sum of the squares of the net's weights, without offsets."""
+        return float(sum((U**2).sum() for U, _ in self.layers) + (self.v**2).sum())
 
     @property
     def n(self) -> int:
@@ -47,25 +61,36 @@ class Hamiltonian:
         return np.concatenate([np.full(self.n, 0.1), np.zeros(self.n)]), np.eye(2 * self.n)
 
 
-def made(n: int, dt: float, hidden: int = 8, seed: int = 42, noise: float = 1e-3, **observed) -> Hamiltonian:
+def made(n: int, dt: float, hidden: int | tuple[int, ...] = 8, seed: int = 42, noise: float = 1e-3, **observed) -> Hamiltonian:
+    """hidden: units of the hidden layer, or of each."""
     r = np.random.default_rng(seed)
-    return Hamiltonian(
-        np.ones(n), r.normal(0, 0.1, (hidden, n)), np.zeros(hidden), r.normal(0, 0.1, hidden), noise * np.eye(2 * n), dt, **observed
-    )
+    first, *more = (hidden,) if isinstance(hidden, int) else hidden
+    w, v = r.normal(0, 0.1, (first, n)), r.normal(0, 0.1, (more or [first])[-1])
+    inner = tuple((r.normal(0, before**-0.5, (units, before)), np.zeros(units)) for before, units in zip([first, *more], more))
+    return Hamiltonian(np.ones(n), w, np.zeros(first), v, noise * np.eye(2 * n), dt, inner=inner, **observed)
+
+
+def potential(q: np.ndarray, h: Hamiltonian) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The net, its gradient and its second derivatives in q."""
+    y, J, T = q, np.broadcast_to(np.eye(h.n), (*q.shape, h.n)), np.zeros((*q.shape, h.n, h.n))
+    for U, c in h.layers:
+        t = np.tanh(y @ U.T + c)
+        J, T = U @ J, np.einsum("ij,...jab->...iab", U, T)
+        one = 1 - t * t
+        T = (-2 * t * one)[..., None, None] * J[..., :, None] * J[..., None, :] + one[..., None, None] * T
+        y, J = t, one[..., None] * J
+    return y @ h.v, np.einsum("i,...ia->...a", h.v, J), np.einsum("i,...iab->...ab", h.v, T)
 
 
 def energy(x: np.ndarray, h: Hamiltonian) -> np.ndarray:
     q, p = x[..., : h.n], x[..., h.n :]
-    net = lambda q: np.tanh(q @ h.w.T + h.b) @ h.v
-    return 0.5 * (p * p).sum(-1) + 0.5 * (h.omega**2 * q * q).sum(-1) + net(q) - net(np.zeros(h.n))
+    return 0.5 * (p * p).sum(-1) + 0.5 * (h.omega**2 * q * q).sum(-1) + potential(q, h)[0] - potential(np.zeros(h.n), h)[0]
 
 
 def gradient(q: np.ndarray, h: Hamiltonian) -> tuple[np.ndarray, np.ndarray]:
     """dH/dq and d2H/dq2."""
-    t = np.tanh(q @ h.w.T + h.b)
-    g = h.omega**2 * q + (h.v * (1 - t * t)) @ h.w
-    curve = np.einsum("...h,ha,hb->...ab", h.v * (-2 * t * (1 - t * t)), h.w, h.w)
-    return g, curve + np.diag(h.omega**2)
+    _, slope, curve = potential(q, h)
+    return h.omega**2 * q + slope, curve + np.diag(h.omega**2)
 
 
 def leapfrog(x: np.ndarray, h: Hamiltonian) -> tuple[np.ndarray, np.ndarray]:
@@ -139,19 +164,36 @@ def smoothed(rows: DataFrame, n: int, key: str = "series_id", order: str = "t",
     return fold(rows, key, order, start, step, {"ms": 1, "Vs": 2}, ["m", "V", "pm", "pV", "F"], keep, backward=True)
 
 
-def fit(series: DataFrame, model: Hamiltonian, steps: int = 20, lfp: str | None = "lfp", spikes: str | None = None, ridge: float = 1e-4, rate: float = 1e-2, learn: tuple[str, ...] = ("omega", "w", "b", "v"), **how) -> fitting.Fit:
-    """Adam on the filter's evidence less an L2 pull on the net; all differences of a step in one pass over the rows."""
+def fit(series: DataFrame, model: Hamiltonian, steps: int = 20, lfp: str | None = "lfp", spikes: str | None = None, ridge: float = 1e-4, rate: float = 1e-2, learn: tuple[str, ...] = ("omega", "w", "b", "v", "inner"), **how) -> fitting.Fit:
+    """Adam on the filter's evidence less an L2 pull on the net; all differences of a step in one pass over the rows.
+
+    learn: any of omega, w, b, v, inner (all further layers), C, offset, W and baseline.
+    """
     n = series.count()
-    spec = {k: fitting.POSITIVE if k == "omega" else fitting.UNCONSTRAINED for k in learn}
-    at = {k: np.asarray(getattr(model, k), float) for k in learn}
+    at = parameters(model, learn)
+    spec = {k: fitting.POSITIVE if k == "omega" else fitting.UNCONSTRAINED for k in at}
 
     def losses(ps):
-        tried = [replace(model, **p) for p in ps]
+        tried = [with_parameters(model, p) for p in ps]
         got = totals(filtered(series, tried, lfp, spikes, **how), ["ll"], lambda x: {"ll": x["ll"].sum(0)})["ll"]
-        return [-x / n + ridge * float((h.w**2).sum() + (h.v**2).sum()) for x, h in zip(got, tried)]
+        return [-x / n + ridge * h.weight for x, h in zip(got, tried)]
 
     got = fitting.adam(at, spec, losses, steps, rate)
-    return fitting.Fit(replace(model, **got.params), got.log_likelihoods, got.converged)
+    return fitting.Fit(with_parameters(model, got.params), got.log_likelihoods, got.converged)
+
+
+def parameters(h: Hamiltonian, learn: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Arrays to learn by name; those of inner layers are U0, c0, U1, ..."""
+    out = {c: np.asarray(getattr(h, c), float) for c in learn if c != "inner"}
+    if "inner" in learn:
+        out |= {f"{name}{k}": np.asarray(x, float) for k, layer in enumerate(h.inner) for name, x in zip("Uc", layer)}
+    return out
+
+
+def with_parameters(h: Hamiltonian, p: dict[str, np.ndarray]) -> Hamiltonian:
+    inner = tuple((p.get(f"U{k}", U), p.get(f"c{k}", c)) for k, (U, c) in enumerate(h.inner))
+    taken = {f"{name}{k}" for k in range(len(h.inner)) for name in "Uc"}
+    return replace(h, inner=inner, **{c: x for c, x in p.items() if c not in taken})
 
 
 def _moved(m, P, h: Hamiltonian):
@@ -228,19 +270,19 @@ def switching_smoothed(rows: DataFrame, models: list[Hamiltonian], Z: np.ndarray
     return fold(rows, key, order, start, step, {"ms": 2, "Vs": 3, "ps": 1}, ["m", "V", "p"], keep, backward=True)
 
 
-def fit_switching(series: DataFrame, models: list[Hamiltonian], Z: np.ndarray, prior: np.ndarray, steps: int = 20, lfp: str | None = "lfp", spikes: str | None = None, ridge: float = 1e-4, rate: float = 1e-2, learn: tuple[str, ...] = ("omega", "w", "b", "v", "Z", "prior"), key: str = "series_id", order: str = "t") -> fitting.Fit:
+def fit_switching(series: DataFrame, models: list[Hamiltonian], Z: np.ndarray, prior: np.ndarray, steps: int = 20, lfp: str | None = "lfp", spikes: str | None = None, ridge: float = 1e-4, rate: float = 1e-2, learn: tuple[str, ...] = ("omega", "w", "b", "v", "inner", "Z", "prior"), key: str = "series_id", order: str = "t") -> fitting.Fit:
     """Adam over the chain and each state's Hamiltonian by the filter's evidence less an L2 pull on the nets; params: (models, Z, prior)."""
-    own = [c for c in learn if c not in ("Z", "prior")]
-    at = {f"{c}{k}": np.asarray(getattr(h, c), float) for k, h in enumerate(models) for c in own}
+    own = [list(parameters(h, tuple(c for c in learn if c not in ("Z", "prior")))) for h in models]
+    at = {f"{c} {k}": x for k, h in enumerate(models) for c, x in parameters(h, tuple(c for c in learn if c not in ("Z", "prior"))).items()}
     at |= {c: np.asarray(x, float) for c, x in (("Z", Z), ("prior", prior)) if c in learn}
     spec = {c: fitting.STOCHASTIC_ROW if c in ("Z", "prior") else fitting.POSITIVE if c.startswith("omega") else fitting.UNCONSTRAINED for c in at}
 
     def build(p):
-        made = [replace(h, **{c: p[f"{c}{k}"] for c in own}) for k, h in enumerate(models)]
+        made = [with_parameters(h, {c: p[f"{c} {k}"] for c in own[k]}) for k, h in enumerate(models)]
         return made, p.get("Z", np.asarray(Z, float)), p.get("prior", np.asarray(prior, float))
 
     def pull(p):
-        return ridge * sum(float((h.w**2).sum() + (h.v**2).sum()) for h in build(p)[0])
+        return ridge * sum(h.weight for h in build(p)[0])
 
     given = [c for c in (lfp, spikes) if c]
     values = lambda ps: evidence(series, [_switching_steps(*build(p), lfp, spikes) for p in ps], given, key, order)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftline.operators import coupling, kalman, oscillators, point_process, spatial, switching
+from driftline.operators import coupling, hamiltonian, kalman, oscillators, point_process, spatial, switching
 from driftline.operators.matrices import block_diagonal, project_psd, psd_solve, symmetric
 from driftline.plans.fold import totals
 from driftline.sources import simulated
@@ -210,3 +210,32 @@ def test_kernels_in_cells_stay_within_their_bound(spark):
     few = spatial.Kernels(at[::50_000], mass[::50_000, 1:], mass[::50_000, 0], 25.0, np.array([1.0, 2.0]), 0.1)
     small = spatial.cell_kernels(table.filter("id % 50000 = 0"), 25.0, np.array([1.0, 2.0]), 0.1)
     assert small.at(places)[0] == pytest.approx(few.at(places)[0], abs=1e-6) and small.at(places)[1] == pytest.approx(few.at(places)[1], abs=1e-6)
+
+
+def test_nets_of_three_layers(spark):
+    """Slopes and curvature against differences, a symplectic step, its Jacobian, energy kept, and a fit that rises."""
+    r = np.random.default_rng(15)
+    h = hamiltonian.made(2, 0.1, (5, 4, 3), seed=1, C=np.eye(4), offset=np.zeros(4), R=0.5 * np.eye(4))
+    h = hamiltonian.with_parameters(h, {"v": 3 * h.v, "U1": 2 * h.inner[1][0], "c0": r.normal(size=4)})
+    assert [U.shape for U, _ in h.layers] == [(5, 2), (4, 5), (3, 4)]
+    q, e = r.normal(size=(7, 2)), 1e-5 * np.eye(2)
+    value, slope, curve = hamiltonian.potential(q, h)
+    for c in (0, 1):
+        up, down = hamiltonian.potential(q + e[c], h), hamiltonian.potential(q - e[c], h)
+        assert slope[:, c] == pytest.approx((up[0] - down[0]) / 2e-5, abs=1e-8)
+        assert curve[:, :, c] == pytest.approx((up[1] - down[1]) / 2e-5, abs=1e-8)
+    x = r.normal(size=(7, 4))
+    after, F = hamiltonian.leapfrog(x, h)
+    S = np.block([[np.zeros((2, 2)), np.eye(2)], [-np.eye(2), np.zeros((2, 2))]])
+    assert np.swapaxes(F, 1, 2) @ S @ F == pytest.approx(np.tile(S, (7, 1, 1)), abs=1e-10)
+    for c in range(4):
+        d = 1e-5 * np.eye(4)[c]
+        assert F[:, :, c] == pytest.approx((hamiltonian.leapfrog(x + d, h)[0] - hamiltonian.leapfrog(x - d, h)[0]) / 2e-5, abs=1e-8)
+    far = x
+    for _ in range(500):
+        far, _ = hamiltonian.leapfrog(far, h)
+    assert hamiltonian.energy(far, h) == pytest.approx(hamiltonian.energy(x, h), rel=0.02)
+    rows = [(k, t, (np.sin(0.1 * t + np.arange(4)) + 0.1 * r.normal(size=4)).tolist()) for k in range(2) for t in range(25)]
+    df = spark.createDataFrame(rows, "series_id long, t int, lfp array<double>").coalesce(1).cache()
+    got = hamiltonian.fit(df, h, steps=3, rate=0.02, learn=("omega", "b", "v", "inner"))
+    assert np.diff(got.log_likelihoods).min() > 0 and not np.allclose(got.params.inner[1][0], h.inner[1][0])
