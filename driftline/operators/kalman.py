@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.diagnostics import marks, of_moments
 from driftline.operators.matrices import gaussian_log_density, mv, project_psd, psd_solve, symmetric, transposed
 from driftline.plans import scan, stretch
 from driftline.plans.fitting import PSD_MATRIX, UNCONSTRAINED, Fit, by_gradient, em
@@ -137,7 +138,7 @@ def gain_by_inversion_lemma(p: np.ndarray, H: np.ndarray, r: np.ndarray) -> np.n
 
 
 def filtered(series: DataFrame, model: Linear, key: str = "series_id", order: str = "t", y: str = "y") -> DataFrame:
-    """(key, order, y, m, V, ll, first): y holds one array of observations for each row, first marks that of each series."""
+    """(key, order, y, m, V, ll, first, diag): y holds one array of observations for each row, first marks that of each series."""
     d = len(model.m0)
     step = _filter_step(model, y)
 
@@ -148,7 +149,7 @@ def filtered(series: DataFrame, model: Linear, key: str = "series_id", order: st
     return fold(series, key, order, start, step, FILTERED, [y], [y])
 
 
-FILTERED = {"m": 1, "V": 2, "ll": 0, "first": 0}
+FILTERED = {"m": 1, "V": 2, "ll": 0, "first": 0, "diag": 0}
 SMOOTHED = {"ms": 1, "Vs": 2, "cross": 2, "next_m": 1, "next_P": 2, "last": 0}
 
 
@@ -158,7 +159,7 @@ def _filter_step(model: Linear, y: str):
             raise ValueError("observations must be finite")
         pm, pv = mv(model.A, s["m"]), symmetric(model.A @ s["V"] @ model.A.T + model.Q)
         m, P, ll = measured(pm, pv, x[y], model.H, model.R)
-        return {"m": m, "V": P}, {"m": m, "V": P, "ll": ll}
+        return {"m": m, "V": P}, {"m": m, "V": P, "ll": ll, "diag": marks(**of_moments(m, P))}
 
     return step
 

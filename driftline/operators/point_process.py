@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from driftline.operators import kalman
+from driftline.operators.diagnostics import marks, of_moments
 from driftline.operators.matrices import log_det, log_gamma, mv, project_psd, psd_solve, symmetric, transposed, vec_solve
 from driftline.plans.fitting import PSD_MATRIX, UNCONSTRAINED, Fit, by_gradient, em
 from driftline.plans.fold import evidence, fold, fold_sums, totals
@@ -115,17 +116,18 @@ def steps_of(model: Counts, y: str = "n", design: str = "z", family: Family | No
         pm, pv = mv(model.A, s["m"]), symmetric(model.A @ s["V"] @ model.A.T + model.Q)
         Z = x[design][:, None, :]
         m, P, ll = laplace(pm, pv, x[y][:, None].astype(float), Z, 0.0, family, model.steps)
-        return {"m": m, "V": P}, {"m": m, "V": P, "ll": ll}
+        eta = (x[design] * m).sum(1) + np.log(model.dt)
+        return {"m": m, "V": P}, {"m": m, "V": P, "ll": ll, "diag": marks(saturated=(eta > MOST_LOG_COUNT) | (eta < -20.0), **of_moments(m, P))}
 
     return start, step
 
 
 def filtered(series: DataFrame, model: Counts, key: str = "unit_id", order: str = "t", y: str = "n", design: str = "z", family: Family | None = None, keep=()) -> DataFrame:
-    """(key, order, y, design, m, V, ll, first); `design` holds the row's weights of the state, y one count.
+    """(key, order, y, design, m, V, ll, first, diag); `design` holds the row's weights of the state, y one count.
 
     Units are independent given their own states, so each is a series: no dense state of all units is built.
     """
-    return fold(series, key, order, *steps_of(model, y, design, family), {"m": 1, "V": 2, "ll": 0, "first": 0}, [y, design], [y, design, *keep])
+    return fold(series, key, order, *steps_of(model, y, design, family), {"m": 1, "V": 2, "ll": 0, "first": 0, "diag": 0}, [y, design], [y, design, *keep])
 
 
 def blocks_of(model: Counts, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

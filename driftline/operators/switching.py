@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from driftline.operators.diagnostics import marks, of_moments
 from driftline.operators.kalman import measured
 from driftline.operators.matrices import log_det, log_sum_exp, mv, project_psd, psd_solve, safe_log, symmetric, transposed
 from driftline.plans.fitting import PSD_MATRIX, STOCHASTIC_ROW, UNCONSTRAINED, Fit, Transform, by_gradient, converged, em, stacked
@@ -135,7 +136,10 @@ def steps_of(model: Switching, inputs: list[str], pairs: bool = False, scores: b
                 both[fresh], both[~fresh] = u, v
                 got.append(both)
         m, P, p, z, pm, pP, pp, pll = got
-        out = {"m": m, "V": P, "p": p, "ll": z}
+        with np.errstate(invalid="ignore"):
+            before = np.where(fresh[:, None, None], 0.0, safe_log(model.Z)[None] + safe_log(s["p"])[:, :, None])
+        lost = ~fresh & ~np.isfinite(pll + before).any(axis=(1, 2))
+        out = {"m": m, "V": P, "p": p, "ll": z, "diag": marks(unexplained=lost, **of_moments(m, P))}
         if scores:
             out |= {"pll": pll}
         if pairs:
@@ -146,12 +150,12 @@ def steps_of(model: Switching, inputs: list[str], pairs: bool = False, scores: b
 
 
 def filtered(series: DataFrame, model: Switching, inputs: list[str], key: str = "series_id", order: str = "t", pairs: bool = False, keep=(), scores: bool = False) -> DataFrame:
-    """(key, order, keep, m, P, p, ll, first): moments of each state and its chance; with `pairs` also those given the state before.
+    """(key, order, keep, m, P, p, ll, first, diag): moments of each state and its chance; with `pairs` also those given the state before.
 
     inputs: the observation columns; `observe` gets them as one array if there is one, else as a tuple. With
     `scores` also pll, the log density of the row given the state before and its own (zeros at first rows).
     """
-    into = {"m": 2, "V": 3, "p": 1, "ll": 0, "first": 0} | ({"pm": 3, "pV": 4, "pp": 2} if pairs else {}) | ({"pll": 2} if scores else {})
+    into = {"m": 2, "V": 3, "p": 1, "ll": 0, "first": 0, "diag": 0} | ({"pm": 3, "pV": 4, "pp": 2} if pairs else {}) | ({"pll": 2} if scores else {})
     return fold(series, key, order, *steps_of(model, inputs, pairs, scores), into, inputs, [*inputs, *keep])
 
 
@@ -168,7 +172,7 @@ def _capped(P: np.ndarray, most: np.ndarray) -> np.ndarray:
     return P * np.where(t > most, most / np.maximum(t, 1e-300), 1.0)[..., None, None]
 
 
-SMOOTHED = {"ms": 2, "Vs": 3, "ps": 1, "joint": 2, "pair_m": 3, "pair_P": 4, "cross": 4, "next_ms": 3, "next_Vs": 4, "last": 0}
+SMOOTHED = {"ms": 2, "Vs": 3, "ps": 1, "joint": 2, "pair_m": 3, "pair_P": 4, "cross": 4, "next_ms": 3, "next_Vs": 4, "last": 0, "diag": 0}
 
 
 def smoothed(rows: DataFrame, model: Switching, key: str = "series_id", order: str = "t", second_order: bool = False, keep=()) -> DataFrame:
@@ -233,9 +237,10 @@ def smoother_steps(model: Switching, second_order: bool = False) -> tuple[Callab
         e = fresh[:, None, None]
         ms, Ps = np.where(e, x["m"], ms), np.where(e[..., None], x["V"], Ps)
         most = TRACE_CAP * np.trace(x["V"], axis1=-2, axis2=-1).max(axis=-1)
+        held = np.trace(Ps, axis1=-2, axis2=-1).max(axis=-1) > most
         Ps = _capped(Ps, most)
         off = lambda a: np.where(fresh.reshape(-1, *[1] * (a.ndim - 1)), 0.0, a)
-        out = {"ms": ms, "Vs": Ps, "ps": ps, "joint": off(joint), "pair_m": off(m), "pair_P": off(P), "cross": off(c), "next_ms": off(ahead), "next_Vs": off(ahead_P), "last": fresh.astype(float)}
+        out = {"ms": ms, "Vs": Ps, "ps": ps, "joint": off(joint), "pair_m": off(m), "pair_P": off(P), "cross": off(c), "next_ms": off(ahead), "next_Vs": off(ahead_P), "last": fresh.astype(float), "diag": marks(capped=held, **of_moments(ms, Ps))}
         if second_order:
             carry = {"sm": pair_ms, "sP": pair_Ps, "joint": v * ps[:, None, :]}
         else:

@@ -16,6 +16,7 @@ from driftline.operators import (
     checks,
     choice,
     coupling,
+    diagnostics,
     gaussian_process,
     hamiltonian,
     hidden_markov,
@@ -595,6 +596,30 @@ def point_process_filter(spark, d):
     return got.select("unit_id", "bin", F.round(F.expr("m[0]"), 4).alias("m"), F.round(F.expr("V[0][0]"), 4).alias("v"))
 
 
+_THIN = 1e-9
+
+
+def _saturated_sql():
+    def step(s, m, v):
+        pv = s.let(v + 0.05)
+        x, P, _ = O.counted(s, np.array([m], object), np.array([[pv]], object), np.array([O.column("n")], object), np.eye(1), np.zeros(1), math.log(_THIN))
+        return O.named(m=x[0], v=P[0, 0])
+
+    sql = f", {_DAILY}, SR AS (SELECT unit_id, bin AS t, n::DOUBLE AS n FROM DAILY), " + O.recursion("SA", "SR", lambda s: step(s, O.number(0.0), O.number(1.0)), lambda s: step(s, O.back("m"), O.back("v")), ("unit_id",))
+    held = f"(m + {math.log(_THIN)!r} < -20 OR m + {math.log(_THIN)!r} > 20)"
+    return sql + f""" SELECT 'saturated' AS flag, count(*) FILTER (WHERE {held}) AS n, count(DISTINCT unit_id) FILTER (WHERE {held}) AS n_keys,
+coalesce(min(t) FILTER (WHERE {held}), -1) AS first, coalesce(max(t) FILTER (WHERE {held}), -1) AS last FROM SA UNION ALL SELECT unnest(['not_finite', 'not_positive', 'capped', 'unexplained']), 0, 0, -1, -1"""
+
+
+@_query(_saturated_sql)
+def held_rates(spark, d):
+    """How often and where a count filter of very thin bins holds its log rate."""
+    rows = _daily(spark, d).withColumn("z", F.array(F.lit(1.0)))
+    model = point_process.Counts(np.eye(1), 0.05 * np.eye(1), np.zeros(1), np.eye(1), _THIN)
+    got = diagnostics.report(point_process.filtered(rows, model, order="bin"), "unit_id", "bin")
+    return got.select("flag", "n", "n_keys", F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("last", F.lit(-1)).alias("last"))
+
+
 def _counts_em_sql():
     """Two EM steps for one-dimensional count models, pooled over units."""
     sql, rows, at, lls = f", {_DAILY}, PR AS (SELECT unit_id, bin AS t, n::DOUBLE AS n FROM DAILY)", "PR", (O.number(1.0), O.number(0.05), O.number(0.0), O.number(1.0)), []

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftline.operators import coupling, hamiltonian, kalman, oscillators, point_process, spatial, switching
+from driftline.operators import coupling, diagnostics, hamiltonian, kalman, oscillators, point_process, spatial, switching
 from driftline.operators.matrices import block_diagonal, project_psd, psd_solve, symmetric
 from driftline.plans.fold import totals
 from driftline.sources import simulated
@@ -239,3 +239,24 @@ def test_nets_of_three_layers(spark):
     df = spark.createDataFrame(rows, "series_id long, t int, lfp array<double>").coalesce(1).cache()
     got = hamiltonian.fit(df, h, steps=3, rate=0.02, learn=("omega", "b", "v", "inner"))
     assert np.diff(got.log_likelihoods).min() > 0 and not np.allclose(got.params.inner[1][0], h.inner[1][0])
+
+
+def counted(rows, **how):
+    return {x["flag"]: x for x in diagnostics.report(rows, **how).collect()}
+
+
+def test_ill_posed_models_say_where(spark):
+    """Saturated rates, rows that no state explains, capped covariances; a sound model reports zeros."""
+    df = spark.createDataFrame([(1, t, 5, [1.0 if t < 6 else 100.0]) for t in range(10)], "unit_id long, t int, n int, z array<double>")
+    model = point_process.Counts(np.eye(1), 0.5 * np.eye(1), np.zeros(1), np.eye(1), 1.0)
+    got = counted(point_process.filtered(df, model), key="unit_id")
+    assert got["saturated"]["n"] >= 1 and got["saturated"]["first"] == 6 and got["saturated"]["n_keys"] == 1
+    rows = simulated.switching(spark, 3, 30, regimes(), seed=2)
+    sound = counted(switching.filtered(rows, regimes(), ["y"]))
+    assert {x["n"] for x in sound.values()} == {0} and set(sound) == set(diagnostics.FLAGS) and sound["capped"]["first"] is None
+    base = regimes()
+    broken = switching.Switching(base.A * np.array([np.nan, 1.0])[:, None, None], base.Q, base.m0, base.P0, base.Z, base.prior, base.observe, base.obs)
+    bad = counted(switching.filtered(rows, broken, ["y"]))
+    assert bad["not_finite"]["n"] == 3 * 29 and bad["not_finite"]["first"] == 1 and bad["not_finite"]["share"] == pytest.approx(29 / 30)
+    far = switching.Switching(np.array([1e-6 * np.eye(2)] * 2), base.Q, base.m0, base.P0, base.Z, base.prior, base.observe, base.obs)
+    assert counted(switching.smoothed(switching.filtered(rows, far, ["y"]), far))["not_finite"]["n"] == 0
