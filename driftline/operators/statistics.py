@@ -45,12 +45,26 @@ def transition_matrix(counts: DataFrame, concentration: float = 1.0, stickiness:
     return weighed.select("from_state", "to_state", (F.col("__w") / F.sum("__w").over(row)).alias("p"))
 
 
+HELD_CELLS = 4_000_000
+
+
 def outer_sums(vectors: DataFrame, x: str, y: str, by: str | None = None, weight: str | None = None) -> DataFrame:
-    """(by, i, j, s): sums of w * x_i * y_j over all rows, for arrays x and y: matrix products of each batch by group, then sums."""
+    """(by, i, j, s): sums of w * x_i * y_j over all rows, for arrays x and y: matrix products by group, added up in tasks, then over them.
+
+    A task holds up to HELD_CELLS numbers of groups before it hands them on.
+    """
     names = ([by] if by else []) + ["i", "j", "s"]
     kinds = ([vectors.schema[by]] if by else []) + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("s", T.DoubleType())]
 
+    def handed(held: dict) -> Iterator[pa.RecordBatch]:
+        for (value, kind), s in held.items():
+            i, j = np.divmod(np.arange(s.size), s.shape[1])
+            key = [pa.array([value] * s.size, kind)] if by else []
+            yield pa.RecordBatch.from_arrays([*key, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(s.ravel())], names=names)
+        held.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -59,12 +73,14 @@ def outer_sums(vectors: DataFrame, x: str, y: str, by: str | None = None, weight
                 u = u * to_numpy(batch.column(weight))[:, None]
             groups = batch.column(by).dictionary_encode() if by else None
             at = groups.indices.fill_null(len(groups.dictionary)).to_numpy(zero_copy_only=False) if by else np.zeros(len(u), int)
-            i, j = np.divmod(np.arange(u.shape[1] * v.shape[1]), v.shape[1])
             for k in np.unique(at).tolist():
                 own = at == k
-                made = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array((u[own].T @ v[own]).ravel())]
-                key = [pa.repeat(groups.dictionary[k], len(i)) if k < len(groups.dictionary) else pa.nulls(len(i), groups.dictionary.type)] if by else []
-                yield pa.RecordBatch.from_arrays([*key, *made], names=names)
+                name = (groups.dictionary[k].as_py() if k < len(groups.dictionary) else None, groups.dictionary.type) if by else (None, None)
+                made = u[own].T @ v[own]
+                held[name] = held[name] + made if name in held else made
+                if len(held) * made.size > HELD_CELLS:
+                    yield from handed(held)
+        yield from handed(held)
 
     used = list(dict.fromkeys([*([by] if by else []), x, y, *([weight] if weight else [])]))
     return vectors.select(*used).mapInArrow(run, T.StructType(kinds)).groupBy(*names[:-1]).agg(F.sum("s").alias("s"))
