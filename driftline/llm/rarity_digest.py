@@ -281,7 +281,8 @@ def with_next(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("stretch", F.expr(f"greatest(size(filter({pairs(points[::side])}, {upto})) - 1, 0)"))
     within = f"size(filter(slice({pairs(points)}, stretch * {side} + 1, {side}), {upto}))"
     rows = rows.withColumn("part", F.expr(f"cast(stretch * {side} + {within} - 1 as int)"))
-    begins = F.expr(f"exists({pairs(points)}, p -> p.k = key AND p.h IN ({long(WHOLE)}, hash))")
+    own_point = f"element_at({pairs(points)}, part + 1)"  # the last one up to the row, so the only one that it can lie on
+    begins = F.expr(f"{own_point}.k = key AND {own_point}.h IN ({long(WHOLE)}, hash)")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("halo"))
     sent = F.struct(((F.col("part") + (len(points) - 1)) % len(points)).alias("part"), F.lit(True).alias("halo"))
     dealt = rows.withColumn("to", F.explode(F.when(begins, F.array(own, sent)).otherwise(F.array(own))))
