@@ -126,6 +126,53 @@ def behaviour_label(speed: Column, running: float = 5.0, immobility: float = 2.0
     return F.when(speed < immobility, 0).when(speed > running, 1).otherwise(2)
 
 
+#: Cells whose ends are looked over together.
+CELLS = 1024
+
+
+def _ends_beside(ends: DataFrame, keys: list[str], cells: int | None = None) -> DataFrame:
+    """(keys, __cell, __b, __a): the last sample of the cells before each and the first of those after, from ends (keys, __cell, __top, __low).
+
+    Cells are looked over in groups of CELLS, and groups by the same plan, so that no task has more than so many
+    rows of a key, or of all rows without one.
+    """
+    if cells is None:  # cells are numbered from 0, so that groups of groups become one
+        first, last = ends.agg(F.min("__cell"), F.max("__cell")).first()
+        first, last = first or 0, last or 0
+        return _ends_beside(ends.withColumn("__cell", F.col("__cell") - first), keys, last - first + 1).withColumn("__cell", F.col("__cell") + first)
+    rows = ends.withColumn("__up", F.floor(F.col("__cell") / CELLS).cast("long"))
+    own = Window.partitionBy(*keys, "__up")
+    earlier = own.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    later = own.orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.select(*keys, "__cell", "__up", F.last("__top", ignorenulls=True).over(earlier).alias("__b"), F.last("__low", ignorenulls=True).over(later).alias("__a"))
+    if cells > CELLS:
+        ups = rows.groupBy(*keys, "__up").agg(F.max("__top").alias("__top"), F.min("__low").alias("__low")).withColumnRenamed("__up", "__cell")
+        above = _ends_beside(ups, keys, -(-cells // CELLS)).select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__cell").alias("__of"), F.col("__b").alias("__ub"), F.col("__a").alias("__ua"))
+        same = F.col("__up") == F.col("__of")
+        for n, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+        held = held.join(above, same).withColumns({"__b": F.coalesce("__b", "__ub"), "__a": F.coalesce("__a", "__ua")})
+    return held.select(*keys, "__cell", "__b", "__a")
+
+
+def with_neighbours(samples: DataFrame, key: str | None, time: str, value: str, bucket: float | None) -> DataFrame:
+    """samples with __prev and __next, the samples (time, v) before and after each of a key, by stretches of `bucket` time units."""
+    keys = [key] if key else []
+    cell = F.floor(F.col(time) / bucket).cast("long") if bucket else F.lit(0).cast("long")
+    rows = samples.withColumn("__cell", cell).withColumn("__own", F.struct(F.col(time).alias("time"), F.col(value).alias("v")))
+    own = Window.partitionBy(*keys, "__cell").orderBy(time)
+    rows = rows.withColumns({"__prev": F.lag("__own").over(own), "__next": F.lead("__own").over(own)})
+    if not bucket:
+        return rows.drop("__cell", "__own")
+    ends = rows.groupBy(*keys, "__cell").agg(F.max("__own").alias("__top"), F.min("__own").alias("__low"))
+    near = _ends_beside(ends, keys).select(*[F.col(k).alias(f"__n{n}") for n, k in enumerate(keys)], F.col("__cell").alias("__at"), "__b", "__a")
+    same = F.col("__cell") == F.col("__at")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__n{n}"))
+    joined = rows.join(near, same).withColumns({"__prev": F.coalesce("__prev", "__b"), "__next": F.coalesce("__next", "__a")})
+    return joined.select(*samples.columns, "__prev", "__next")
+
+
 def beside(samples: DataFrame, at: DataFrame, key: str | None, time: str, values: Sequence[str], bucket: float | None = None) -> DataFrame:
     """Rows of `at` with the samples just before (or at) and just after (or at) them.
 
@@ -150,11 +197,7 @@ def beside(samples: DataFrame, at: DataFrame, key: str | None, time: str, values
     near = near.filter("__row IS NOT NULL").select(*keys, "__cell", "__row", "before", "after")
     if bucket:
         ends = both.groupBy(*group).agg(F.max("__held").alias("__top"), F.min("__held").alias("__low"))
-        of_key = Window.partitionBy(*keys)
-        earlier = of_key.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-        later = of_key.orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*group, F.last("__top", ignorenulls=True).over(earlier).alias("__b"), F.last("__low", ignorenulls=True).over(later).alias("__a"))
-        near = near.join(carried, group).withColumn("before", F.coalesce("before", "__b")).withColumn("after", F.coalesce("after", "__a"))
+        near = near.join(_ends_beside(ends, keys), group).withColumn("before", F.coalesce("before", "__b")).withColumn("after", F.coalesce("after", "__a"))
     return near.select(*keys, "__row.*", "before", "after")
 
 
@@ -175,11 +218,8 @@ def interpolate(samples: DataFrame, at: DataFrame, key: str | None, time: str, v
         return _cubic(samples, at, key, time, value, bucket)
     if kind not in ("linear", "nearest"):
         raise ValueError(f"unknown kind: {kind}")
-    own = Window.partitionBy(*([key] if key else [])).orderBy(time)
     # each sample knows its neighbours, so that a row beyond the ends still finds two
-    known = samples.withColumn("__prev", F.lag(F.struct(F.col(time).alias("time"), F.col(value).alias("v"))).over(own)).withColumn(
-        "__next", F.lead(F.struct(F.col(time).alias("time"), F.col(value).alias("v"))).over(own)
-    )
+    known = with_neighbours(samples, key, time, value, bucket)
     found = beside(known, at, key, time, [value, "__prev", "__next"], bucket)
     t0 = F.coalesce("before.time", "after.time")
     v0 = F.coalesce(F.col(f"before.{value}"), F.col(f"after.{value}"))
