@@ -69,9 +69,11 @@ def numbered(rows: DataFrame) -> DataFrame:
     )
 
 
-def rotated(conversations: DataFrame, part: int = PART) -> DataFrame:
+def rotated(conversations: DataFrame, part: int | None = PART) -> DataFrame:
     """(conv_id, speaker, part, n_turns, text, mask): the rendering of each participant, in one row up to `part` turns.
 
+    Without `part` a rendering is one row, however long; a task then holds the whole of a conversation.
+
     mask is start:end of each trained span of the row's text, comma-joined, code points, end exclusive: the
     speaker's text with its end mark. Turns are ordered by number, then role, then text, so
     repeated rows stay and ties have one order. A null role is the participant `unknown`, a
@@ -87,7 +89,7 @@ def rotated(conversations: DataFrame, part: int = PART) -> DataFrame:
     speakers = rows.select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
     parts = (
         numbered(rows)
-        .groupBy("conv_id", F.floor(F.col("place") / part).cast("long").alias("part"))
+        .groupBy("conv_id", (F.floor(F.col("place") / part) if part else F.lit(0)).cast("long").alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
     )
     each = parts.join(speakers, F.expr("conv_id <=> c")).withColumn("turns", F.expr(f"transform(turns, x -> struct(x.role AS role, {_safe('x.role')} AS name, {_safe('x.text')} AS text))"))

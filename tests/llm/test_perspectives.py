@@ -52,3 +52,16 @@ def test_a_hot_conversation_is_counted_through_its_partitions(spark):
     rows = spark.range(20000).selectExpr("cast(null AS long) AS conv_id", "cast(null AS long) AS turn", "'r' AS role", "'t' AS text")
     got = perspectives.rotated(rows, 64).collect()
     assert sorted(r["part"] for r in got) == list(range(313)) and sum(r["n_turns"] for r in got) == 20000
+
+
+def test_a_long_dialogue_in_one_row_or_several(spark):
+    rows = [(1, k, "a" if k % 2 else "b", f"t{k}") for k in range(2500)] + [(2, 0, "a", "x")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    cut = {(r["conv_id"], r["speaker"], r["part"]): r for r in perspectives.rotated(talk).collect()}
+    whole = {(r["conv_id"], r["speaker"]): r for r in perspectives.rotated(talk, None).collect()}
+    assert len(whole) == 3 and len(cut) == 2 * 3 + 1
+    for who in "ab":
+        assert whole[1, who]["n_turns"] == 2500 and whole[1, who]["part"] == 0
+        assert whole[1, who]["text"] == "".join(cut[1, who, k]["text"] for k in range(3))
+        spans = [tuple(map(int, s.split(":"))) for s in whole[1, who]["mask"].split(",")]
+        assert len(spans) == 1250 and all(whole[1, who]["text"][a:b].endswith("<|end|>\n") for a, b in spans)
