@@ -260,12 +260,12 @@ def start_bounds(queries: DataFrame, table: DataFrame, keep: int) -> DataFrame:
 
 
 FOUND = T.StructType(
-    [T.StructField("q", T.IntegerType()), T.StructField("score", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("same", T.BooleanType())]
+    [T.StructField("block", T.LongType()), T.StructField("q", T.IntegerType()), T.StructField("score", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("same", T.BooleanType())]
 )
 
 
 def searched(table: DataFrame, block: pa.Table, theta: np.ndarray, keep: int) -> DataFrame:
-    """(q, score, vec_id, same): of each task, the `keep` best rows of each query of the block that reach its bound."""
+    """(block, q, score, vec_id, same): of each task, the `keep` best rows of each query of `block` that reach its bound."""
     shared = table.sparkSession.sparkContext.broadcast((block, theta))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,13 +278,14 @@ def searched(table: DataFrame, block: pa.Table, theta: np.ndarray, keep: int) ->
             for rows in buckets(norm):
                 probe(q, best, vectors.take(rows), ids.slice(rows.start, rows.stop - rows.start))
         query, score, number, missing, same = best.settle()
-        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(score), pa.array(number, mask=missing), pa.array(same)], names=FOUND.names)
+        place = [block.column(c).combine_chunks().take(pa.array(query)) for c in ("block", "q")]
+        yield pa.RecordBatch.from_arrays([*place, pa.array(score), pa.array(number, mask=missing), pa.array(same)], names=FOUND.names)
 
     return table.select("vector", "ids", "norm").mapInArrow(run, FOUND)
 
 
 def best_of(found: DataFrame, keep: int) -> DataFrame:
-    order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    order = Window.partitionBy("block", "q").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= keep)
 
 
@@ -302,15 +303,30 @@ def strata(table: DataFrame) -> list[tuple[int, int]]:
     return found
 
 
+def together(bounds: DataFrame) -> list[tuple[int, int, int]]:
+    """(dim, first block, last block): neighbouring blocks of one dimension that are searched at once, as partitions may leave small ones."""
+    found, used = [], 0
+    for block, dim, n in sorted(bounds.groupBy("block", "dim").count().collect()):
+        size = n * max(1, dim)
+        if found and found[-1][0] == dim and used + size <= BLOCK:
+            found[-1], used = (dim, found[-1][1], block), used + size
+        else:
+            found.append((dim, block, block))
+            used = size
+    return found
+
+
 def answers(queries: DataFrame, table: DataFrame, keep: int) -> DataFrame:
     """(vector, best): for each distinct query vector its `keep` best rows (score, vec_id, same), in order."""
     spark = queries.sparkSession
     bounds, ranges = start_bounds(queries, table, keep), strata(table)
     path = new_path(spark)
-    kind = T.StructType([T.StructField("block", T.LongType()), *FOUND.fields, T.StructField("nth", T.IntegerType())])
+    kind = T.StructType([*FOUND.fields, T.StructField("nth", T.IntegerType())])
     spark.createDataFrame([], kind).write.parquet(path)
-    for block, dim in sorted(bounds.select("block", "dim").distinct().collect()):
-        own = bounds.filter(F.col("block") == block).select("q", "vector", "norm", "theta", "need").toArrow().sort_by("q")
+    for dim, low, high in together(bounds):
+        own = bounds.filter(F.col("block").between(low, high)).select("block", "q", "vector", "norm", "theta", "need").toArrow()
+        own = own.sort_by([("block", "ascending"), ("q", "ascending")])
+        index = {p: n for n, p in enumerate(zip(*[own.column(c).to_pylist() for c in ("block", "q")]))}
         theta = own.column("theta").fill_null(np.iinfo(np.int64).min).to_numpy().copy()
         need = np.where((theta > 0) & (own.column("norm").to_numpy() > 0), own.column("need").to_numpy(), 0.0)
         best = None
@@ -321,13 +337,13 @@ def answers(queries: DataFrame, table: DataFrame, keep: int) -> DataFrame:
             best = best_of(found if best is None else best.drop("nth").unionByName(found), keep)
             if k < len(ranges) - 1:
                 best = cut(best)
-                full = best.filter(F.col("nth") == keep).select("q", "score").toArrow()
-                at = full.column("q").to_numpy()
+                full = best.filter(F.col("nth") == keep).select("block", "q", "score").toArrow()
+                at = np.array([index[p] for p in zip(*[full.column(c).to_pylist() for c in ("block", "q")])], np.int64)
                 theta[at] = np.maximum(theta[at], full.column("score").to_numpy())
                 norm = own.column("norm").to_numpy()
                 need = np.where((theta > 0) & (norm > 0), theta / np.maximum(norm, 1e-300), 0.0)
         if best is not None:
-            best.select(F.lit(block).cast("long").alias("block"), *FOUND.names, "nth").write.mode("append").parquet(path)
+            best.select(*FOUND.names, "nth").write.mode("append").parquet(path)
     lists = F.sort_array(F.collect_list(F.struct("nth", "score", "vec_id", "same")))
     made = spark.read.schema(kind).parquet(path).groupBy("block", "q").agg(lists.alias("best"))
     return made.join(bounds.select("block", "q", "vector"), ["block", "q"]).select("vector", "best")
