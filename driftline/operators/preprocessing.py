@@ -156,8 +156,11 @@ def _ends_beside(ends: DataFrame, keys: list[str], cells: int | None = None) ->
 
 
 def with_neighbours(samples: DataFrame, key: str | None, time: str, value: str, bucket: float | None) -> DataFrame:
-    """samples with __prev and __next, the samples (time, v) before and after each of a key, by stretches of `bucket` time units."""
-    keys = [key] if key else []
+    """samples with __prev and __next, the samples (time, v) before and after each.
+
+    Within a key they are looked for in one window; without one, by stretches of `bucket` time units.
+    """
+    keys, bucket = [key] if key else [], None if key else bucket
     cell = F.floor(F.col(time) / bucket).cast("long") if bucket else F.lit(0).cast("long")
     rows = samples.withColumn("__cell", cell).withColumn("__own", F.struct(F.col(time).alias("time"), F.col(value).alias("v")))
     own = Window.partitionBy(*keys, "__cell").orderBy(time)
@@ -165,11 +168,7 @@ def with_neighbours(samples: DataFrame, key: str | None, time: str, value: str,
     if not bucket:
         return rows.drop("__cell", "__own")
     ends = rows.groupBy(*keys, "__cell").agg(F.max("__own").alias("__top"), F.min("__own").alias("__low"))
-    near = _ends_beside(ends, keys).select(*[F.col(k).alias(f"__n{n}") for n, k in enumerate(keys)], F.col("__cell").alias("__at"), "__b", "__a")
-    same = F.col("__cell") == F.col("__at")
-    for n, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__n{n}"))
-    joined = rows.join(near, same).withColumns({"__prev": F.coalesce("__prev", "__b"), "__next": F.coalesce("__next", "__a")})
+    joined = rows.join(_ends_beside(ends, keys), "__cell").withColumns({"__prev": F.coalesce("__prev", "__b"), "__next": F.coalesce("__next", "__a")})
     return joined.select(*samples.columns, "__prev", "__next")
 
 
