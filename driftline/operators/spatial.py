@@ -224,6 +224,175 @@ def rate_map(smoothed_rows: DataFrame, basis: Spline, grid: np.ndarray, key: str
     return part.groupBy(key, "block", "place").agg(*[(F.sum(c) / total).alias(c) for c in ("rate", "low", "high")])
 
 
+def stationary_fields(track: DataFrame, basis: Spline, units: Sequence, dt: float, ridge: float = 1.0, max_iter: int = 15, unit: str = "unit_id", x: str = "x", y: str = "y") -> tuple[np.ndarray, np.ndarray]:
+    """Weights (units, size) and covariances of each unit's stationary_field, one job a Newton step for all of them.
+
+    Rows of the track are spikes of the unit that they name; the design is made from the position and never stored.
+    """
+    size, each = basis.size + 1, np.asarray(units)
+    design = lambda v: np.concatenate([np.ones((len(v[x]), 1)), basis.evaluate(v[x], v[y])], axis=1)
+    counts = lambda v: (v[unit][:, None] == each).astype(float)
+
+    def begin(v):
+        z, n = design(v), counts(v)
+        return {"zz": z.T @ z, "z1": z.sum(0), "n": np.array([len(z), *n.sum(0)], float)}
+
+    s0 = totals(track, [unit, x, y], begin)
+    eye = ridge * np.eye(size)
+    w = np.log((s0["n"][1:, None] + 1) / s0["n"][0] / dt) * np.linalg.solve(s0["zz"] + eye, s0["z1"])
+    h, going = np.zeros((len(each), size, size)), np.ones(len(each), bool)
+    for _ in range(max_iter):
+        own = np.flatnonzero(going)
+
+        def make(v, w=w[own], own=own):
+            z, n = design(v), counts(v)[:, own]
+            mu = np.exp(np.clip(z @ w.T + np.log(dt), -20, 20))
+            return {"g": (n - mu).T @ z, "h": np.stack([(z * m[:, None]).T @ z for m in mu.T])}
+
+        s = totals(track, [unit, x, y], make)
+        for k, g, now in zip(own, s["g"], s["h"]):
+            h[k] = now
+            move = np.linalg.solve(now + eye, g - ridge * w[k])
+            w[k] = w[k] + move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-12))
+            going[k] = not np.abs(move).max() < 1e-6
+        if not going.any():
+            break
+    return w, np.linalg.inv(h + eye)
+
+
+def drifting_maps(track: DataFrame, basis: Spline, models: dict[object, Counts], grid: np.ndarray, key: str = "series_id", order: str = "t", unit: str = "unit_id", x: str = "x", y: str = "y", z: float = 1.96, block: int = 128, room: int = 1 << 25) -> DataFrame:
+    """(key, unit, place, rate, low, high): what filtered, smoothed and rate_map give for the fields of all units, in one pass.
+
+    Rows are spikes of the unit that they name; orders are whole numbers. The track alone is shuffled, and the moments
+    of a row never leave the task: blocks of so many orders are filtered and smoothed at once, a long series passes
+    its state from block to block, and the state before a block is all that is stored. Updates of one count and one step
+    change a covariance by rank one; smoothed moments come from the slopes of what follows, without another inverse.
+    room: bytes of moments that a task holds at once.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from driftline.plans import stretch
+    from driftline.plans.fold import kind_of, to_arrow
+
+    if any(m.steps != 1 for m in models.values()):
+        raise ValueError("updates are of one step")
+    each = np.array(list(models))
+    A, Q, m0, P0 = (np.stack([np.asarray(getattr(m, c), float) for m in models.values()]) for c in ("A", "Q", "m0", "P0"))
+    log_dt = np.log([m.dt for m in models.values()])
+    still = bool((A == np.eye(A.shape[-1])).all())
+    places = np.concatenate([np.ones((len(grid), 1)), basis.evaluate(grid[:, 0], grid[:, 1])], axis=1)
+    n_units, d = m0.shape
+    width = 8 * n_units * (d * d + 4 * d)
+
+    packed = stretch.pack(track, key, order, [unit, x, y], block)
+    many = packed.span > 1
+    kind = packed.frame.schema["k"].dataType[key].dataType
+
+    def ahead(m, V, x, n):
+        """A row's prediction, and the moments after it."""
+        pm, pv = (m, V + Q) if still else (mv(A, m), symmetric(A @ V @ transposed(A) + Q))
+        Px = mv(pv, x[:, None])
+        mu = np.exp(np.clip((pm * x[:, None]).sum(-1) + log_dt, -20, 20))
+        c = 1 / (1 + mu * (Px * x[:, None]).sum(-1))
+        off = (n - mu) * c
+        return (pm, pv, (mu * c)[..., None] * Px, off, mu * c), pm + off[..., None] * Px, pv - ((mu * c)[..., None] * Px)[..., None] * Px[..., None, :]
+
+    def back(r, N, x, seen):
+        """Slope and curvature, in a row's prediction, of that row and all that follow, from those in the next prediction."""
+        _, _, K, off, w = seen
+        if not still:
+            r, N = mv(transposed(A), r), symmetric(transposed(A) @ N @ A)
+        x = np.broadcast_to(x[:, None], K.shape)
+        NK = mv(N, K)
+        r = r + (off - (K * r).sum(-1))[..., None] * x
+        both = NK[..., None] * x[..., None, :]
+        return r, N + (w + (K * NK).sum(-1))[..., None, None] * (x[..., None] * x[..., None, :]) - both - transposed(both)
+
+    def ordered(batches, held):
+        """(batch, places in it of one block of each series, keys, lengths, starts, design, counts), in the order of the pass.
+
+        Rows come series by series, so of what is held only the first series of a batch can go on.
+        """
+        from driftline.plans.fold import _rounds
+
+        for batch in stretch._chunks(batches, width, room):
+            length, flat = stretch._fields(batch.column("items"))
+            start = np.cumsum(length) - length
+            inside = {c: to_numpy(pa.compute.struct_field(flat, c)) for c in (unit, x, y)}
+            Z = np.concatenate([np.ones((len(flat), 1)), basis.evaluate(inside[x], inside[y])], axis=1)
+            counts = (inside[unit][:, None] == each).astype(float)
+            ids = batch.column("k").field(0).to_pylist()
+            slot: dict = {}
+            for i in [i for i in held if i != ids[0]]:
+                del held[i]
+            for own in _rounds(np.array([slot.setdefault(i, len(slot)) for i in ids])):
+                yield batch, own, [ids[i] for i in own], length[own], start[own], Z, counts
+
+    def passed(held, ids, begin):
+        """State of each series: what its last block left, or `begin`."""
+        return [np.stack([held[i][k] if i in held else b for i in ids]) for k, b in enumerate(begin)]
+
+    def run_ahead(batches):
+        held: dict = {}
+        for batch, own, ids, length, start, Z, counts in ordered(batches, held):
+            m, V = passed(held, ids, (m0, P0))
+            sent = batch.take(pa.array(own))
+            columns = [*sent.columns, *[to_arrow(v, k) for v, k in zip((m, V), moments)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*sent.schema.names, "m", "V"])
+            m, V = m.copy(), V.copy()
+            for nth in range(int(length.max(initial=0))):
+                on = np.flatnonzero(length > nth)
+                _, m[on], V[on] = ahead(m[on], V[on], Z[start[on] + nth], counts[start[on] + nth])
+            held |= {i: (m[k], V[k]) for k, i in enumerate(ids)}
+
+    moments = [to_arrow_type(kind_of(k)) for k in (2, 3)]
+    head = T.StructType([T.StructField(key, kind), T.StructField(unit, track.schema[unit].dataType), T.StructField("place", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("rate", "low", "high")]])
+    sent = [to_arrow_type(f.dataType) for f in head]
+    total = len(each) * len(places)
+
+    def run(batches):
+        held: dict = {}
+        for batch, own, ids, length, start, Z, counts in ordered(batches, held):
+            n, most = len(own), int(length.max(initial=0))
+            if many:
+                m, V = (to_numpy(batch.column(c).take(pa.array(own))) for c in ("m", "V"))
+                m, V = m.copy(), V.copy()
+            else:
+                m, V = np.repeat(m0[None], n, 0), np.repeat(P0[None], n, 0)
+            seen = []
+            for nth in range(most):
+                on = np.flatnonzero(length > nth)
+                row, m[on], V[on] = ahead(m[on], V[on], Z[start[on] + nth], counts[start[on] + nth])
+                seen.append(row)
+            r, N = passed(held, ids, (np.zeros_like(m0), np.zeros_like(P0)))
+            sums = np.zeros((3, n, n_units, len(places)))
+            for nth in reversed(range(most)):
+                on = np.flatnonzero(length > nth)
+                row = seen.pop()
+                r[on], N[on] = back(r[on], N[on], Z[start[on] + nth], row)
+                B = places @ row[1]
+                eta = row[0] @ places.T + mv(B, r[on])
+                v = (B * places).sum(-1) - ((B @ N[on]) * B).sum(-1)
+                sd = np.sqrt(np.maximum(v, 0))
+                for k, off in enumerate((v / 2, -z * sd, z * sd)):
+                    sums[k, on] += np.exp(eta + off)
+            held |= {i: (r[k], N[k]) for k, i in enumerate(ids)}
+            flat = [np.tile(np.repeat(each, len(places)), n), np.tile(np.arange(len(places)), n * n_units), np.repeat(length, total), *[v.ravel() for v in sums]]
+            keys = pa.array([i for i in ids for _ in range(total)], sent[0])
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(v, k) for v, k in zip(flat, sent[1:])]], names=head.names)
+
+    frame = packed.frame
+    if many:
+        more = T.StructType([*frame.schema.fields, T.StructField("m", kind_of(2)), T.StructField("V", kind_of(3))])
+        frame = frame.repartition("k").sortWithinPartitions("k", "block").mapInArrow(run_ahead, more)
+        frame = frame.repartition("k").sortWithinPartitions("k", F.desc("block"))
+    part = frame.mapInArrow(run, head)
+    rows = F.sum("n")
+    if not many:
+        return part.select(key, unit, "place", *[(F.col(c) / F.col("n")).alias(c) for c in ("rate", "low", "high")])
+    return part.groupBy(key, unit, "place").agg(*[(F.sum(c) / rows).alias(c) for c in ("rate", "low", "high")])
+
+
 # ---------------------------------------------------------------- decoding
 
 

@@ -82,9 +82,9 @@ def _take(x: Arrays, at) -> Arrays:
     return {k: v[at] for k, v in x.items()}
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Batches whose items are about BYTES / width at most (one row at least)."""
-    most = max(1, BYTES // max(1, width))
+def _chunks(batches: Iterator[pa.RecordBatch], width: int, room: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches whose items are about room / width at most (one row at least)."""
+    most = max(1, room // max(1, width))
     for batch in batches:
         ends = np.cumsum(batch.column("items").value_lengths().to_numpy(zero_copy_only=False))
         start = 0

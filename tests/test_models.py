@@ -478,3 +478,32 @@ def test_small_helpers(spark):
     assert maps.at(p)[0][0] == pytest.approx(w @ want)
     with pytest.raises(ValueError):
         spatial.laplacian(spark.createDataFrame([(0, 1, 1.0)], "src int, dst int, distance double"), 10**6)
+
+
+def test_drifting_maps_in_one_pass(spark):
+    """Maps of all units at once, with series in one block, in several and over several batches, as by filter, smoother and map of each."""
+    r = np.random.default_rng(3)
+    track = spark.createDataFrame(
+        [(k, t + 5, int(r.integers(0, 2)), *map(float, r.uniform(0, 1, 2))) for k in (0, 1, 2) for t in range(11 + 19 * k)], "series_id long, t long, unit_id int, x double, y double"
+    )
+    basis, units = spatial.spline_basis(track, 1), [0, 1]
+    d = basis.size + 1
+    weights, covs = spatial.stationary_fields(track, basis, units, 1.0)
+    turn = 0.95 * np.eye(d) + 0.01 * np.eye(d, k=1)
+    places = np.array([[0.2, 0.3], [0.8, 0.6]])
+    want, models = {}, {False: {}, True: {}}
+    for unit in units:
+        rows = spatial.with_design(track.withColumn("n", (F.col("unit_id") == unit).cast("int")).select("series_id", "t", "x", "y", "n"), basis)
+        w, cov = spatial.stationary_field(rows, 1.0, d)
+        assert np.allclose(weights[unit], w, atol=1e-8) and np.allclose(covs[unit], cov, atol=1e-8)
+        for moving in (False, True):
+            m = models[moving][unit] = point_process.Counts(turn if moving else np.eye(d), 1e-2 * np.eye(d), w, 0.01 * np.eye(d) + cov, 1.0)
+            smooth = point_process.smoothed(point_process.filtered(rows, m, key="series_id"), m, key="series_id", keep=("n", "ll"))
+            want |= {(moving, x["series_id"], unit, x["place"]): (x["rate"], x["low"], x["high"]) for x in spatial.rate_map(smooth, basis, places, key="series_id").collect()}
+    for room in (1 << 25, 100_000):
+        for block in (128, 8):
+            for moving in (False, True):
+                got = spatial.drifting_maps(track, basis, models[moving], places, block=block, room=room).collect()
+                assert len(got) == 12
+                for x in got:
+                    assert (x["rate"], x["low"], x["high"]) == pytest.approx(want[moving, x["series_id"], x["unit_id"], x["place"]], rel=1e-5)
