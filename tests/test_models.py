@@ -507,3 +507,13 @@ def test_drifting_maps_in_one_pass(spark):
                 assert len(got) == 12
                 for x in got:
                     assert (x["rate"], x["low"], x["high"]) == pytest.approx(want[moving, x["series_id"], x["unit_id"], x["place"]], rel=1e-5)
+
+
+def test_gains_of_many_cases_at_once():
+    r = np.random.default_rng(0)
+    root, H, noise = r.normal(size=(5, 2, 2)), r.normal(size=(4, 2)), r.uniform(0.5, 2, (5, 4))
+    p = root @ np.swapaxes(root, 1, 2)
+    many = kalman.gain_by_inversion_lemma(p, H, noise)
+    for k in range(5):
+        want = p[k] @ H.T @ np.linalg.inv(H @ p[k] @ H.T + np.diag(noise[k]))
+        assert np.allclose(many[k], want) and np.allclose(kalman.gain_by_inversion_lemma(p[k], H, noise[k]), want)
