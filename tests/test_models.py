@@ -517,3 +517,11 @@ def test_gains_of_many_cases_at_once():
     for k in range(5):
         want = p[k] @ H.T @ np.linalg.inv(H @ p[k] @ H.T + np.diag(noise[k]))
         assert np.allclose(many[k], want) and np.allclose(kalman.gain_by_inversion_lemma(p[k], H, noise[k]), want)
+
+
+def test_covariances_of_many_cases_to_free_numbers_and_back():
+    root = np.random.default_rng(0).normal(size=(5, 3, 3))
+    p = root @ np.swapaxes(root, 1, 2)
+    free = fitting.PSD_MATRIX.free(p)
+    assert free.shape == (5, 6) and np.allclose(free, [fitting.PSD_MATRIX.free(x) for x in p])
+    assert np.allclose(fitting.PSD_MATRIX.bound(free, p.shape), p) and np.allclose(fitting.PSD_MATRIX.bound(free[0], (3, 3)), p[0])
