@@ -600,8 +600,8 @@ class CellKernels:
         close = ((z[row] - self.centre[at]) ** 2).sum(1) <= self.reach**2
         return row[close], at[close]
 
-    def sums(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Kernel sums (rows, 1 + units) and their gradients (rows, 1 + units, 2), without base and tau."""
+    def sums(self, p: np.ndarray, slopes: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel sums (rows, 1 + units) and their gradients (rows, 1 + units, 2; zeros without slopes), without base and tau."""
         sigma = self.sigma2**0.5
         value, slope = np.zeros((len(p), self.moments.shape[1])), np.zeros((len(p), self.moments.shape[1], 2))
         for start in range(0, len(p), 64):
@@ -612,21 +612,33 @@ class CellKernels:
             u, m = z[row] - self.centre[at], self.moments[at]
             x, y = u[:, :1], u[:, 1:]
             k = np.exp(-0.5 * (u**2).sum(1))[:, None]
-            lean_x, lean_y = m[:, :, 1] + m[:, :, 3] * x + m[:, :, 4] * y, m[:, :, 2] + m[:, :, 4] * x + m[:, :, 5] * y
             f = k * (m[:, :, 0] + m[:, :, 1] * x + m[:, :, 2] * y + 0.5 * (m[:, :, 3] * (x * x - 1) + 2 * m[:, :, 4] * x * y + m[:, :, 5] * (y * y - 1)))
             first = np.flatnonzero(np.diff(row, prepend=-1))
             value[start + row[first]] = np.add.reduceat(f, first)
+            if not slopes:
+                continue
+            lean_x, lean_y = m[:, :, 1] + m[:, :, 3] * x + m[:, :, 4] * y, m[:, :, 2] + m[:, :, 4] * x + m[:, :, 5] * y
             slope[start + row[first]] = np.stack([np.add.reduceat(k * lean - c * f, first) for c, lean in ((x, lean_x), (y, lean_y))], -1) / sigma
         return value, slope
 
     def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log rates (rows, units) and their gradients (rows, units, 2)."""
         value, slope = self.sums(p)
+        return self._logs(value), self._slopes(value, slope)
+
+    def log_rates(self, p: np.ndarray) -> np.ndarray:
+        """Log rates (rows, units) alone."""
+        return self._logs(self.sums(p, slopes=False)[0])
+
+    def _logs(self, value: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum((np.maximum(value[:, 1:], 0) + self.tau * self.base) / np.maximum(value[:, :1] + self.tau, 1e-300), 1e-10))
+
+    def _slopes(self, value: np.ndarray, slope: np.ndarray) -> np.ndarray:
         top = np.maximum(value[:, 1:], 0) + self.tau * self.base
         under = np.maximum(value[:, :1] + self.tau, 1e-300)
         rate = top / under
         live = (rate > 1e-10)[..., None]
-        return np.log(np.maximum(rate, 1e-10)), np.where(live, slope[:, 1:] / np.maximum(top, 1e-300)[..., None] - slope[:, :1] / under[..., None], 0.0)
+        return np.where(live, slope[:, 1:] / np.maximum(top, 1e-300)[..., None] - slope[:, :1] / under[..., None], 0.0)
 
 
 def _code(ix: np.ndarray, iy) -> np.ndarray:

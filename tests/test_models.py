@@ -525,3 +525,14 @@ def test_covariances_of_many_cases_to_free_numbers_and_back():
     free = fitting.PSD_MATRIX.free(p)
     assert free.shape == (5, 6) and np.allclose(free, [fitting.PSD_MATRIX.free(x) for x in p])
     assert np.allclose(fitting.PSD_MATRIX.bound(free, p.shape), p) and np.allclose(fitting.PSD_MATRIX.bound(free[0], (3, 3)), p[0])
+
+
+def test_cell_kernels_without_slopes_and_in_many_tasks(spark):
+    from driftline import queries
+
+    r = np.random.default_rng(0)
+    rows = spark.createDataFrame([(*map(float, r.uniform(0, 9, 2)), 0.5, [float(r.integers(0, 3))]) for _ in range(200)], "x double, y double, weight double, spikes array<double>")
+    k = spatial.cell_kernels(rows, 4.0, np.array([1.0]), 0.3)
+    p = r.uniform(0, 9, (100, 2))
+    assert (k.log_rates(p) == k.at(p)[0]).all()
+    assert queries.queries()["kernel_cells"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
