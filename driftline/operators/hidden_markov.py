@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from driftline.operators.matrices import log_sum_exp, safe_log, softmax
 from driftline.plans import scan, stretch
 from driftline.plans.fitting import POSITIVE, STOCHASTIC_ROW, UNCONSTRAINED, UNIT_INTERVAL, Fit, bfgs, by_gradient, em
-from driftline.plans.fold import fold, mapped, totals
+from driftline.plans.fold import fold, totals
 from driftline.plans.lineage import reused
 
 # ---------------------------------------------------------------- two states, in SQL
@@ -193,8 +193,7 @@ def blocks_posterior(blocks: stretch.Blocks, transition: np.ndarray | None, prio
     kept = [*keep, *inputs]
     into = {"p": 1, "pred": 1, "lz": 0, "first": 0} | ({"was": 1} if before else {})
     got = stretch.sweep(blocks, stretch.Recursion(identity, element, compose, start, step), inputs, into, kept)
-    if got.span > 1:
-        got = stretch.replace(got, frame=reused(got.frame))
+    got = got.written() if got.span > 1 else got
 
     def back(s, x, fresh, after):
         raw = safe_log(x["p"])[:, :, None] + np.where(fresh[:, None, None], 0.0, s["L"] + s["b"][:, None, :])
@@ -239,8 +238,7 @@ def viterbi(rows: DataFrame, transition: np.ndarray | None, prior: np.ndarray, l
 
     packed = stretch.pack(rows, key, order, inputs, block)
     scored = stretch.sweep(packed, _ahead(k, moves, _largest, lead), inputs, {"score": 1, "to": 1}, [logits], backward=True)
-    if scored.span > 1:
-        scored = stretch.replace(scored, frame=reused(scored.frame))
+    scored = scored.written() if scored.span > 1 else scored
 
     def begin(x):
         return (base + x[logits] + x["score"]).argmax(axis=1)
@@ -336,6 +334,17 @@ def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | N
 
     With beliefs_before also moves, the chances of moves into the row, and into, the joint with the row before.
     """
+    packed = contingency_trials(trials, covariates, key, order, features, block)
+    return contingency_blocks(packed, c, covariates, features, beliefs_before).rows()
+
+
+def contingency_trials(trials: DataFrame, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None, block: int = stretch.BLOCK) -> stretch.Blocks:
+    """Trials in blocks, with no more than their chances are made of."""
+    return stretch.pack(trials, key, order, ["choice", "reward", *[x for x in (covariates, features) if x]], block)
+
+
+def contingency_blocks(packed: stretch.Blocks, c: Contingency, covariates: str | None = None, features: str | None = None, beliefs_before: bool = False) -> stretch.Blocks:
+    """As contingency_posterior, over packed trials: the chances of a slice of blocks are made where it is smoothed."""
     given = ["choice", "reward", *[x for x in (covariates, features) if x]]
 
     def make(x):
@@ -343,8 +352,8 @@ def contingency_posterior(trials: DataFrame, c: Contingency, covariates: str | N
         T = np.broadcast_to(c.transitions(x[covariates] if covariates else None), (n, *[len(c.prior)] * 2))
         return {"log_chance": trial_log_likelihood(x["choice"], x["reward"], c, x[features] if features else None), "moves": T}
 
-    rows = mapped(trials, given, {"log_chance": 1, "moves": 2}, make, [key, order, *given])
-    return posterior(rows, None, c.prior, "log_chance", "moves", key, order, given, block, beliefs_before)
+    blocks = stretch.derived(packed, given, {"log_chance": 1, "moves": 2}, make)
+    return blocks_posterior(blocks, None, c.prior, "log_chance", "moves", given, beliefs_before)
 
 
 def contingency_score(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None) -> tuple[float, dict[str, np.ndarray]]:
@@ -382,7 +391,7 @@ def contingency_score(trials: DataFrame, c: Contingency, covariates: str | None
         return out
 
     given = [v for v in (covariates, features) if v]
-    s = totals(rows, ["choice", "reward", *given, "lz", "sp", "first", "into", "moves"], make)
+    s = stretch.totals(rows, ["choice", "reward", *given, "lz", "sp", "first", "into", "moves"], make)
     return float(s.pop("ll")), s
 
 
@@ -410,6 +419,7 @@ def fit_contingency(trials: DataFrame, c: Contingency, max_iter: int = 20, toler
     """
     k, n_options = c.reward.shape
     moved = bool(covariates and c.weights is not None)
+    packed = contingency_trials(trials, covariates if moved else None, key, order).written()
 
     def e_step(c):
         def make(x):
@@ -420,9 +430,9 @@ def fit_contingency(trials: DataFrame, c: Contingency, max_iter: int = 20, toler
                 "pair": x["pair"].sum(0), "first": x["sp"][first].sum(0), "n": np.array([len(first), first.sum()], float), "ll": np.array(x["lz"].sum()),
             }
 
-        rows = contingency_posterior(trials, c, covariates if moved else None, key, order)
-        got = totals(rows, ["first", "choice", "reward", "lz", "sp", "pair"], make)
-        return float(got["ll"]), got | ({"rows": rows} if moved else {})
+        blocks = contingency_blocks(packed, c, covariates if moved else None)
+        got = stretch.totals(blocks, ["first", "choice", "reward", "lz", "sp", "pair"], make)
+        return float(got["ll"]), got | ({"rows": blocks.rows()} if moved else {})
 
     def refit(c, rows):
         """Logits and weights: Newton steps of a multinomial regression of the expected moves on the next trial's covariates."""

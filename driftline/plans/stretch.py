@@ -6,6 +6,10 @@ composes the elements of each block (pairwise, in a tree, for all blocks of a ba
 the same plan over the compositions, by levels of LEVEL blocks, and then runs each block step by
 step from the composition of all blocks before it. Series of one block skip all but the last.
 
+Sweeps of series of one block, what is derived from their items and what is summed over them wait as
+`passes` and run one after another over a slice of a batch, in one Python process of a task: nothing
+but the packed rows goes to Python, and only what is asked for comes back.
+
 No task holds more than some blocks, whatever the length of a series. plans.scan does the same for
 scalars within SQL; plans.fold has recursions that do not compose.
 """
@@ -21,7 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.plans import fold
 from driftline.plans.fold import Arrays, kind_of, to_arrow, to_numpy
+from driftline.plans.lineage import reused
+
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 #: Steps of a block, blocks of a level, and bytes of elements that are composed at once.
 BLOCK, LEVEL, BYTES = 128, 256, 1 << 25
@@ -46,18 +54,43 @@ class Recursion:
 
 @dataclass(frozen=True)
 class Blocks:
-    """frame: (k, block, items), k a struct of the key, items the rows of a block in order. span: blocks from the first to the last of all."""
+    """frame: (k, block, items), k a struct of the key, items the rows of a block in order. span: blocks from the first to the last of all.
+
+    It is base, and what the passes still to come make of its items; item is what they are then made of.
+    """
 
-    frame: DataFrame
+    base: DataFrame
     key: str
     order: str
     first: int
     span: int
+    item: T.StructType
+    passes: tuple[Pass, ...] = ()
+
+    @property
+    def frame(self) -> DataFrame:
+        if not self.passes:
+            return self.base
+        schema = T.StructType([self.base.schema["k"], self.base.schema["block"], T.StructField("items", T.ArrayType(self.item))])
+        return self.base.mapInArrow(_one_by_one(self.passes), schema)
 
     def rows(self) -> DataFrame:
         """(key, and the fields of items), a row for each item."""
         return self.frame.select(F.col(f"k.{self.key}").alias(self.key), F.explode("items").alias("x")).select(self.key, "x.*")
 
+    def written(self) -> Blocks:
+        """The blocks as a table that several jobs or sweeps read."""
+        return replace(self, base=reused(self.frame), passes=())
+
+
+def _one_by_one(passes: Sequence[Pass]) -> Pass:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in passes:
+            batches = one(batches)
+        yield from batches
+
+    return run
+
 
 def pack(rows: DataFrame, key: str, order: str, columns: Sequence[str], block: int = BLOCK) -> Blocks:
     """Rows with whole-number orders in blocks of so many orders; a null key is a series of its own, a null order no row.
@@ -70,7 +103,11 @@ def pack(rows: DataFrame, key: str, order: str, columns: Sequence[str], block: i
     first, last = (0, -1) if ends[0] is None else ends
     fields = F.struct(*dict.fromkeys([order, *columns]))
     frame = rows.select(F.struct(key).alias("k"), place.alias("block"), fields.alias("x")).groupBy("k", "block")
-    return Blocks(frame.agg(F.sort_array(F.collect_list("x")).alias("items")), key, order, first, last - first + 1)
+    return _blocks(frame.agg(F.sort_array(F.collect_list("x")).alias("items")), key, order, first, last - first + 1)
+
+
+def _blocks(packed: DataFrame, key: str, order: str, first: int, span: int) -> Blocks:
+    return Blocks(packed, key, order, first, span, packed.schema["items"].dataType.elementType)
 
 
 def _fields(items: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
@@ -87,6 +124,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int, room: int = BYTES) ->
     most = max(1, room // max(1, width))
     for batch in batches:
         ends = np.cumsum(batch.column("items").value_lengths().to_numpy(zero_copy_only=False))
+        if len(ends) and ends[-1] <= most:
+            yield batch
+            continue
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -95,6 +135,55 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int, room: int = BYTES) ->
             start = stop
 
 
+def _width(kind: T.DataType, cells: int = 4) -> int:
+    """Bytes of a value, an array taken for so many entries a level."""
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType, cells) for f in kind)
+    return cells * _width(kind.elementType, cells) if isinstance(kind, T.ArrayType) else 8
+
+
+def _remade(batch: pa.RecordBatch, length: np.ndarray, fields: Sequence[str], columns: Sequence[pa.Array]) -> pa.RecordBatch:
+    """The batch with other items."""
+    structs = pa.StructArray.from_arrays(list(columns), names=list(fields))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), structs)
+    names = batch.schema.names
+    return pa.RecordBatch.from_arrays([lists if c == "items" else batch.column(c) for c in names], names=names)
+
+
+def derived(blocks: Blocks, inputs: Sequence[str], into: dict[str, int], make: Callable[[Arrays], Arrays]) -> Blocks:
+    """The blocks with what `make` gives for a run of items, one entry an item in front. into: names and how deep they nest."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item = T.StructType([*blocks.item, *[T.StructField(c, kind_of(d)) for c, d in into.items()]])
+    names, arrow, width = blocks.item.names, {c: to_arrow_type(kind_of(d)) for c, d in into.items()}, _width(item)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _chunks(batches, width, BYTES // 4):
+            length, flat = _fields(batch.column("items"))
+            made = make({c: to_numpy(pa.compute.struct_field(flat, c)) for c in inputs})
+            columns = [pa.compute.struct_field(flat, c) for c in names] + [to_arrow(np.asarray(made[c], float), arrow[c]) for c in into]
+            yield _remade(batch, length, item.names, columns)
+
+    return replace(blocks, item=item, passes=(*blocks.passes, run))
+
+
+def totals(rows: Blocks | DataFrame, inputs: Sequence[str], make: Callable[[Arrays], Arrays]) -> Arrays:
+    """As fold.totals, over the items of blocks too, in the process that makes them."""
+    if not isinstance(rows, Blocks):
+        return fold.totals(rows, inputs, make)
+    width = _width(rows.item)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Arrays = {}
+        for batch in _chunks(batches, width, BYTES // 4):
+            _, flat = _fields(batch.column("items"))
+            if len(flat):
+                fold.add(held, make({c: to_numpy(pa.compute.struct_field(flat, c)) for c in inputs}))
+        yield from fold.sent(held)
+
+    return fold.gathered(rows.base.mapInArrow(_one_by_one([*rows.passes, run]), fold.SENT))
+
+
 def _composed(recursion: Recursion, e: Arrays, length: np.ndarray) -> Arrays:
     """The composition of each list of elements; e has the elements of all lists one after another."""
     n, most = len(length), int(length.max(initial=0))
@@ -118,20 +207,22 @@ def _composed(recursion: Recursion, e: Arrays, length: np.ndarray) -> Arrays:
 def sweep(blocks: Blocks, recursion: Recursion, inputs: Sequence[str], into: dict[str, int], keep: Sequence[str] = (), backward: bool = False) -> Blocks:
     """The blocks with the order, `keep` and what `step` gives for each item. into: names of outputs and how deep they nest; `first` is as in fold.
 
-    A sweep of several blocks reads its blocks twice: hand it a packed or a written table.
+    A sweep of several blocks reads its blocks twice: hand it a packed or a written table, or what is derived from one.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    frame = blocks.frame
-    old = frame.schema["items"].dataType.elementType
+    if blocks.span > 1 and "none" in blocks.base.columns:  # what a sweep handed on is not for this one
+        blocks = replace(blocks, base=blocks.frame, passes=())
+    base, old = blocks.base, blocks.item
     names = list(dict.fromkeys([blocks.order, *keep]))
     fields = [*[old[c] for c in names], *[T.StructField(c, kind_of(d)) for c, d in into.items()]]
-    head = [frame.schema["k"], frame.schema["block"]]
-    schema = T.StructType([*head, T.StructField("items", T.ArrayType(T.StructType(fields)))])
+    head = [base.schema["k"], base.schema["block"]]
+    item = T.StructType(fields)
     arrow = {c: to_arrow_type(kind_of(d)) for c, d in into.items()}
     one = recursion.identity(1)
     depth = {c: v.ndim - 1 for c, v in one.items()}
     width = sum(v.nbytes for v in one.values())
+    room = _width(old) + _width(item)
     many = blocks.span > 1
     used = list(dict.fromkeys(inputs))
 
@@ -159,7 +250,7 @@ def sweep(blocks: Blocks, recursion: Recursion, inputs: Sequence[str], into: dic
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("block"), *columns], names=["k", "block", *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches, 2 * width):
+        for batch in _chunks(batches, max(width // 2, room), BYTES // 4):
             length, begin, flat, x, where = given(batch)
             n = batch.num_rows
             if many:
@@ -182,15 +273,13 @@ def sweep(blocks: Blocks, recursion: Recursion, inputs: Sequence[str], into: dic
                         made[k] = np.zeros((len(flat), *out[k].shape[1:]))
                     made[k][where[at]] = out[k]
             inside = [pa.compute.struct_field(flat, c) for c in names] + [to_arrow(made[c], arrow[c]) for c in into]
-            structs = pa.StructArray.from_arrays(inside, names=[f.name for f in fields])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), structs)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("block"), lists], names=schema.names)
+            yield _remade(batch.select(["k", "block", "items"]), length, item.names, inside)
 
     if many:
         found = [T.StructField(f"{v}_{k}", kind_of(depth[k])) for v in "ef" for k in one]
-        sums = frame.mapInArrow(summed, T.StructType([*head, *found]))
-        frame = frame.join(_before(sums, blocks, recursion, depth, backward), ["k", "block"])
-    return replace(blocks, frame=frame.mapInArrow(run, schema))
+        sums = base.mapInArrow(_one_by_one([*blocks.passes, summed]), T.StructType([*head, *found]))
+        base = base.join(_before(sums, blocks, recursion, depth, backward), ["k", "block"])
+    return replace(blocks, base=base, item=item, passes=(*blocks.passes, run))
 
 
 def _before(sums: DataFrame, blocks: Blocks, recursion: Recursion, depth: dict[str, int], backward: bool) -> DataFrame:
@@ -210,6 +299,6 @@ def _before(sums: DataFrame, blocks: Blocks, recursion: Recursion, depth: dict[s
     inputs = [f"{v}_{k}" for v in "ef" for k in names]
     frame = sums.select("k", place.alias("upper"), F.struct("block", *inputs).alias("x")).groupBy("k", "upper")
     packed = frame.agg(F.sort_array(F.collect_list("x")).alias("items")).withColumnRenamed("upper", "block")
-    up = Blocks(packed, blocks.key, "block", 0, -(-blocks.span // LEVEL))
+    up = _blocks(packed, blocks.key, "block", 0, -(-blocks.span // LEVEL))
     got = sweep(up, over, inputs, {"none": 0, **{f"e_{k}": d for k, d in depth.items()}}, backward=backward)
     return got.frame.select("k", F.explode("items").alias("x")).select("k", "x.*")

@@ -143,3 +143,38 @@ def test_count_and_switching_fits_shifted(spark):
     fits = [switching.fit(spark.createDataFrame(short_series(12, shift=lambda k, s=s: s * (k % 2)), schema), two, ["y"], max_iter=1).params for s in (0, 9)]
     for name in ("A", "Q", "Z", "prior", "m0"):
         assert getattr(fits[0], name) == pytest.approx(getattr(fits[1], name), abs=1e-8)
+
+
+def python_steps(df) -> int:
+    """Python processes that a task of the plan hands its rows through."""
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+TRIALS = hidden_markov.Contingency(np.array([[0.8, 0.3], [0.2, 0.6]]), np.array([[0.5, 0.1], [0.2, 0.4]]), np.array([[2.0], [-1.0]]), np.array([0.5, 0.5]), 1.5)
+
+
+@pytest.fixture(scope="module")
+def trials(spark):
+    r = np.random.default_rng(7)
+    rows = [(k, t + 3, int(r.integers(2)), int(r.integers(2))) for k in range(40) for t in range(5 + k % 17)]
+    return spark.createDataFrame(rows, "series_id long, t int, choice int, reward int")
+
+
+def test_beliefs_take_one_process(trials):
+    """Chances, filter, smoother and sums of short series run in one process of a task, on slices of its batch."""
+    packed = hidden_markov.contingency_trials(trials)
+    assert packed.span == 1
+    assert python_steps(hidden_markov.contingency_blocks(packed, TRIALS).frame) == 1
+    rows = hidden_markov.contingency_posterior(trials, TRIALS)
+    assert rows.columns[:4] == ["series_id", "t", "choice", "reward"]
+
+
+def test_slices_of_a_batch():
+    """A batch goes through the passes in slices, whose sums are those of the whole."""
+    import pyarrow as pa
+
+    items = pa.array([[{"t": t} for t in range(n)] for n in range(100)], pa.list_(pa.struct([("t", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([items], names=["items"])
+    parts = list(stretch._chunks(iter([batch]), 8, 8 * 120))
+    assert len(parts) > 30 and max(len(stretch._fields(p.column("items"))[1]) for p in parts) <= 120
+    assert sum(stretch._fields(p.column("items"))[1].field("t").to_numpy().sum() for p in parts) == sum(n * (n - 1) // 2 for n in range(100))
