@@ -356,14 +356,15 @@ def contingency_blocks(packed: stretch.Blocks, c: Contingency, covariates: str |
     return blocks_posterior(blocks, None, c.prior, "log_chance", "moves", given, beliefs_before)
 
 
-def contingency_score(trials: DataFrame, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None) -> tuple[float, dict[str, np.ndarray]]:
+def contingency_score(trials: DataFrame | stretch.Blocks, c: Contingency, covariates: str | None = None, key: str = "series_id", order: str = "t", features: str | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Log evidence and its gradient in reward, value, temperature, shifts, logits, weights and prior.
 
     By Fisher's identity: the expected gradient of the log chance of choices, rewards and moves under the smoothed
-    belief, so one filter and one smoother give all of it, however many parameters there are.
+    belief, so one filter and one smoother give all of it, however many parameters there are. trials: rows, or packed.
     """
     n_options, k = c.reward.shape[1], len(c.prior)
-    rows = contingency_posterior(trials, c, covariates, key, order, features, beliefs_before=True)
+    packed = trials if isinstance(trials, stretch.Blocks) else contingency_trials(trials, covariates, key, order, features)
+    rows = contingency_blocks(packed, c, covariates, features, beliefs_before=True)
     shifted = features is not None and c.shifts is not None
 
     def make(x):
@@ -403,8 +404,10 @@ def fit_contingency_gradient(trials: DataFrame, c: Contingency, covariates: str
     at = {x: np.atleast_1d(np.asarray(getattr(c, x), float)) for x in learn}
     put = lambda p: replace(c, **{x: float(v[0]) if x == "temperature" else v for x, v in p.items()})
 
+    packed = contingency_trials(trials, covariates, key, order, features).written()
+
     def value(p):
-        ll, g = contingency_score(trials, put(p), covariates, key, order, features)
+        ll, g = contingency_score(packed, put(p), covariates, key, order, features)
         return ll, {x: g[x] for x in learn}
 
     got = by_gradient(at, {x: spec[x] for x in learn}, None, trials.count(), steps, rate, score=value)

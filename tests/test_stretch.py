@@ -169,6 +169,17 @@ def test_beliefs_take_one_process(trials):
     assert rows.columns[:4] == ["series_id", "t", "choice", "reward"]
 
 
+def test_scores_of_beliefs_over_packed_trials(trials):
+    """The evidence's gradient from trials packed once, series of one block and of several."""
+    one, several = (hidden_markov.contingency_trials(trials, block=n) for n in (128, 4))
+    got = [hidden_markov.contingency_score(x, TRIALS) for x in (one, several)]
+    rows = hidden_markov.contingency_posterior(trials, TRIALS)
+    assert got[0][0] == pytest.approx(rows.groupBy().sum("lz").first()[0], abs=1e-8)
+    assert got[0][0] == pytest.approx(got[1][0], abs=1e-8)
+    for k, v in got[0][1].items():
+        np.testing.assert_allclose(v, got[1][1][k], atol=1e-8)
+
+
 def test_slices_of_a_batch():
     """A batch goes through the passes in slices, whose sums are those of the whole."""
     import pyarrow as pa
