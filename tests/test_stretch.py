@@ -189,3 +189,12 @@ def test_slices_of_a_batch():
     parts = list(stretch._chunks(iter([batch]), 8, 8 * 120))
     assert len(parts) > 30 and max(len(stretch._fields(p.column("items"))[1]) for p in parts) <= 120
     assert sum(stretch._fields(p.column("items"))[1].field("t").to_numpy().sum() for p in parts) == sum(n * (n - 1) // 2 for n in range(100))
+
+
+def test_moments_take_one_process(vectors, linear):
+    """Filter, smoother and sums of vectors run in one process of a task, and are those of the rows."""
+    blocks = kalman.blocks_path(vectors, linear, block=1000)
+    assert blocks.span == 1 and python_steps(blocks.frame) == 1
+    got, want = kalman.statistics(blocks, linear), kalman.statistics(kalman.path(vectors, linear, block=4), linear)
+    for k, v in want.items():
+        np.testing.assert_allclose(got[k], v, atol=1e-7)
