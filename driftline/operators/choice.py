@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.matrices import log_det, mv, psd_solve, softmax, symmetric, transposed, vec_solve
 from driftline.plans.fitting import Fit, best_on_grid, em
-from driftline.plans.fold import fold, totals
+from driftline.plans.fold import fold, fold_sums, totals
 from driftline.plans.lineage import reused
 
 #: Trial inverse temperatures.
@@ -74,14 +74,8 @@ def softmax_update(pm, pv, choice, temperature, offset=0.0, steps: int = 3):
     return x, P, loglik - 0.5 * (off * mv(prec, off)).sum(-1) - 0.5 * log_det(pv) + 0.5 * log_det(P)
 
 
-def filtered(trials: DataFrame, models: Choice | list[Choice], covariates: str | None = None, features: str | None = None, key: str = "series_id", order: str = "t", choice: str = "choice") -> DataFrame:
-    """(key, order, choice, m, V, pm, pV, ll, probs, pprobs) under one model, probs of filtered and pprobs of predicted values; (key, order, ll) with an array of log evidences under several.
-
-    Several models are valued in one pass over the rows.
-    """
-    several = isinstance(models, list)
-    tried = models if several else [models]
-    given = [choice, *[c for c in (covariates, features) if c]]
+def _steps(tried: list[Choice], choice: str, covariates: str | None, features: str | None, several: bool):
+    """start and step of one model's filter, or of several over the same rows."""
 
     def start(n):
         out = {}
@@ -106,12 +100,25 @@ def filtered(trials: DataFrame, models: Choice | list[Choice], covariates: str |
         shown = lambda x: softmax(c.temperature * np.concatenate([np.zeros((len(x), 1)), x], 1))
         return carry, {"m": m, "V": P, "pm": pm, "pV": pv, "ll": lls[0], "probs": shown(m), "pprobs": shown(pm)}
 
+    return start, step
+
+
+def filtered(trials: DataFrame, models: Choice | list[Choice], covariates: str | None = None, features: str | None = None, key: str = "series_id", order: str = "t", choice: str = "choice") -> DataFrame:
+    """(key, order, choice, m, V, pm, pV, ll, probs, pprobs) under one model, probs of filtered and pprobs of predicted values; (key, order, ll) with an array of log evidences under several.
+
+    Several models are valued in one pass over the rows.
+    """
+    several = isinstance(models, list)
+    tried = models if several else [models]
+    given = [choice, *[c for c in (covariates, features) if c]]
     into = {"ll": 1} if several else {"m": 1, "V": 2, "pm": 1, "pV": 2, "ll": 0, "probs": 1, "pprobs": 1}
-    return fold(trials, key, order, start, step, into, given, [] if several else given)
+    return fold(trials, key, order, *_steps(tried, choice, covariates, features, several), into, given, [] if several else given)
 
 
-def log_evidence(trials: DataFrame, models: list[Choice], **how) -> list[float]:
-    return totals(filtered(trials, models, **how), ["ll"], lambda x: {"ll": x["ll"].sum(0)})["ll"].tolist()
+def log_evidence(trials: DataFrame, models: list[Choice], covariates: str | None = None, features: str | None = None, key: str = "series_id", order: str = "t", choice: str = "choice") -> list[float]:
+    """Log evidence of each model, in one pass whose sums are made where the rows are valued."""
+    given = [choice, *[c for c in (covariates, features) if c]]
+    return fold_sums(trials, key, order, *_steps(models, choice, covariates, features, True), given)["ll"].tolist()
 
 
 def smoothed(rows: DataFrame, model: Choice, key: str = "series_id", order: str = "t", keep=("choice", "ll"), covariates: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from driftline.operators import hidden_markov, kalman, point_process, switching
+from driftline.operators import choice, hidden_markov, kalman, point_process, switching
 from driftline.plans import stretch
 
 
@@ -199,3 +199,20 @@ def test_moments_take_one_process(vectors, linear):
     got, want = kalman.statistics(blocks, linear), kalman.statistics(kalman.path(rows, linear, block=4), linear)
     for k, v in want.items():
         np.testing.assert_allclose(got[k], v, atol=1e-7)
+
+
+def summed_in(monkeypatch, call):
+    """Python processes of each job that `call` gathers sums by, and what it gives."""
+    from driftline.plans import fold
+
+    steps, gathered = [], fold.gathered
+    monkeypatch.setattr(fold, "gathered", lambda df: steps.append(python_steps(df)) or gathered(df))
+    return call(), steps
+
+
+def test_evidence_of_choices_takes_one_process(monkeypatch, trials):
+    """Models are valued and their evidence is summed in one process of a task."""
+    models = [choice.Choice(2, 0.05, b, 0.9) for b in (0.5, 2.0)]
+    got, steps = summed_in(monkeypatch, lambda: choice.log_evidence(trials, models))
+    assert steps == [1]
+    assert got == pytest.approx([choice.filtered(trials, m).groupBy().sum("ll").first()[0] for m in models], abs=1e-8)
