@@ -216,3 +216,12 @@ def test_evidence_of_choices_takes_one_process(monkeypatch, trials):
     got, steps = summed_in(monkeypatch, lambda: choice.log_evidence(trials, models))
     assert steps == [1]
     assert got == pytest.approx([choice.filtered(trials, m).groupBy().sum("ll").first()[0] for m in models], abs=1e-8)
+
+
+def test_evidence_of_recursions_takes_one_process(monkeypatch, vectors):
+    """Evidence of several switching models, summed where the rows are valued."""
+    eye = np.array([np.eye(2)] * 2)
+    models = [switching.Switching(a * eye, eye, np.zeros((2, 2)), eye, np.full((2, 2), 0.5), np.full(2, 0.5), switching.gaussian, switching.GaussianObs(eye, b * eye)) for a, b in ((0.9, 1.0), (0.5, 2.0))]
+    got, steps = summed_in(monkeypatch, lambda: switching.evidences(vectors, models, ["y"]))
+    assert steps == [1]
+    assert got == pytest.approx([switching.filtered(vectors, m, ["y"]).groupBy().sum("ll").first()[0] for m in models], abs=1e-8)
