@@ -47,7 +47,11 @@ def poisson_log_likelihood(n: Column, mean: Column) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    """By the series of the error function within 6, and 0 or 1 beyond."""
+    """By the series of the error function within 6, and 0 or 1 beyond; x is worked out once, not at each term."""
+    return F.transform(F.array(x), _normal_cdf)[0]
+
+
+def _normal_cdf(x: Column) -> Column:
     z = F.abs(x) / math.sqrt(2.0)
     # erf(z) = 2/sqrt(pi) exp(-z^2) sum_k 2^k z^(2k+1) / (1 * 3 * ... * (2k+1))
     first = F.struct(z.alias("term"), z.alias("total"))

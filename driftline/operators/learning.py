@@ -178,8 +178,8 @@ def significant_runs(trials: DataFrame, success: Column, chance: float, length:
 
 
 def first_better(comparisons: DataFrame, reference: int = 0, level: float = 0.05, key: str = "series_id") -> DataFrame:
-    """(key, trial): the first trial j with P(x_reference > x_j) below half the level."""
-    return comparisons.filter((F.col("i") == reference) & (F.col("p") < level / 2)).groupBy(key).agg(F.min("j").alias("trial"))
+    """(key, trial): the first trial j with P(x_reference > x_j) below half the level, told by z, so that no chance is worked out."""
+    return comparisons.filter((F.col("i") == reference) & (F.col("z") < normal_quantile(level / 2))).groupBy(key).agg(F.min("j").alias("trial"))
 
 
 def null_log_likelihood(trials: DataFrame, chance: float, correct: str = "n_correct", possible: str = "n_possible") -> DataFrame:

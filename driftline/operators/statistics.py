@@ -295,7 +295,7 @@ def circular_correlation(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
 
 
 def trial_comparisons(smoothed: DataFrame, key: str = "series_id", reference: int | None = None) -> DataFrame:
-    """(key, i, j, p): chance that the state of trial i exceeds that of trial j > i, from m, v and the smoother's gain g (toward the next trial).
+    """(key, i, j, z, p): chance that the state of trial i exceeds that of trial j > i, and its place z on the normal scale, from m, v and the smoother's gain g (toward the next trial).
 
     Cov(x_i, x_j) is the product of the gains from i to j - 1 times v_j, taken as a difference of
     running sums of logs. With a reference only that trial i is compared, a row for each later one. In full
@@ -310,4 +310,4 @@ def trial_comparisons(smoothed: DataFrame, key: str = "series_id", reference: in
     cov = F.exp(F.col("gj") - F.col("gi")) * F.col("vj")
     spread = F.sqrt(F.greatest(F.col("vi") + F.col("vj") - 2 * cov, F.lit(TINY)))
     pairs = (a if reference is None else a.filter(F.col("i") == reference)).join(b, key).filter("i < j")
-    return pairs.select(key, "i", "j", normal_cdf((F.col("mi") - F.col("mj")) / spread).alias("p"))
+    return pairs.select(key, "i", "j", ((F.col("mi") - F.col("mj")) / spread).alias("z")).withColumn("p", normal_cdf(F.col("z")))

@@ -536,3 +536,16 @@ def test_cell_kernels_without_slopes_and_in_many_tasks(spark):
     p = r.uniform(0, 9, (100, 2))
     assert (k.log_rates(p) == k.at(p)[0]).all()
     assert queries.queries()["kernel_cells"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_first_better_works_out_no_chances(spark):
+    """Comparisons with the first trial are told by z; chances are those of the normal distribution at z."""
+    from statistics import NormalDist
+
+    rows = spark.createDataFrame([(0, t, 0.1 * t * t, 0.5 + 0.1 * t, 0.7) for t in range(8)], "series_id long, t int, m double, v double, g double")
+    pairs = statistics.trial_comparisons(rows, reference=0)
+    got = pairs.collect()
+    assert len(got) == 7 and max(abs(r["p"] - NormalDist().cdf(r["z"])) for r in got) < 1e-12
+    first = learning.first_better(pairs, level=0.4)
+    assert "aggregate(sequence" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in first.collect()] == [(0, min(r["j"] for r in got if r["p"] < 0.2))]
