@@ -225,3 +225,25 @@ def test_evidence_of_recursions_takes_one_process(monkeypatch, vectors):
     got, steps = summed_in(monkeypatch, lambda: switching.evidences(vectors, models, ["y"]))
     assert steps == [1]
     assert got == pytest.approx([switching.filtered(vectors, m, ["y"]).groupBy().sum("ll").first()[0] for m in models], abs=1e-8)
+
+
+def test_systems_of_two_unknowns():
+    """All at once as by the library, also where rows have to change places; singular ones are an error."""
+    from driftline.operators import matrices
+
+    r = np.random.default_rng(3)
+    s, b = r.normal(size=(50, 3, 2, 2)), r.normal(size=(50, 1, 2, 4))
+    np.testing.assert_allclose(matrices._solved_pairs(s, b), np.linalg.solve(s, b), rtol=1e-7, atol=1e-9)
+    with pytest.raises(np.linalg.LinAlgError):
+        matrices._solved_pairs(np.zeros((1, 2, 2)), b[0])
+
+
+def test_field_is_read_once(spark, tmp_path):
+    """Field and spikes come from one pass over the events, without a join of it with itself."""
+    from driftline import queries
+
+    d = str(tmp_path)
+    spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-01 01:00:00' AS ts, id % 3 AS user_id, 'view' AS event_type, id * 9.0D AS value FROM range(12)").write.parquet(f"{d}/events.parquet")
+    rows = queries._field(spark, d)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.columns == ["series_id", "t", "lfp", "spikes"] and rows.count() == 12
